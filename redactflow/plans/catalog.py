@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from redactflow.plans import text_queries  # noqa: F401
+from redactflow.plans import queue_queries, text_queries  # noqa: F401
 from redactflow.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -98,7 +98,7 @@ def _closure(names: set[str]) -> set[str]:
 
 
 def with_views(views: str, body: str) -> str:
-    """``body`` preceded by the views it names and those they need."""
+    """``body`` preceded by the views it names and those they need. A body may start with ``,`` and add its own."""
     wanted = _closure(set(views.split()))
     parts = [f"{name} AS ({sql})" for name, sql in VIEW_SQL.items() if name in wanted]
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    return f"WITH {', '.join(parts)}{' ' if not body.startswith(',') else ''}{body}" if parts else body
