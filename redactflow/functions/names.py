@@ -62,11 +62,16 @@ def glob_match(name: Column, patterns: Sequence[str]) -> Column:
     return name.rlike(globs_regex(patterns))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Decimal text with ties to even, as C-style formatting rounds them."""
+    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+
+
 def human_size(num_bytes: Column) -> Column:
     kib, mib, gib = 1024, 1024**2, 1024**3
     return (
         F.when(num_bytes < kib, F.concat(num_bytes.cast("string"), F.lit(" B")))
-        .when(num_bytes < mib, F.format_string("%.2f KiB", num_bytes / kib))
-        .when(num_bytes < gib, F.format_string("%.2f MiB", num_bytes / mib))
-        .otherwise(F.format_string("%.2f GiB", num_bytes / gib))
+        .when(num_bytes < mib, F.concat(fixed(num_bytes / kib, 2), F.lit(" KiB")))
+        .when(num_bytes < gib, F.concat(fixed(num_bytes / mib, 2), F.lit(" MiB")))
+        .otherwise(F.concat(fixed(num_bytes / gib, 2), F.lit(" GiB")))
     )

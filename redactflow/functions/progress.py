@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from redactflow.config import DEFAULTS, Settings
+from redactflow.functions.names import fixed
 
 
 def progress_pct(processed: Column, target: Column) -> Column:
@@ -38,7 +39,7 @@ def format_eta(seconds: Column) -> Column:
 
 
 def _percent(rate: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f%%", rate * 100)
+    return F.concat(fixed(rate * 100, digits), F.lit("%"))
 
 
 def recommendations(
@@ -50,7 +51,7 @@ def recommendations(
 ) -> Column:
     """Tuning advice as an array of texts; one neutral text when no threshold is crossed."""
     slow = F.concat(
-        F.format_string("Average %.2fs/item is high: ", avg_sec),
+        F.lit("Average "), fixed(avg_sec, 2), F.lit("s/item is high: "),
         F.lit(f"add executors or raise batch_size (current max {settings.max_batch_size})."),
     )
     notes = [F.when(avg_sec > 3.0, slow)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from redactflow.config import DEFAULTS, Settings
 from redactflow.functions.batching import adaptive_batch_size
-from redactflow.functions.names import basename
+from redactflow.functions.names import basename, fixed
 from redactflow.operators.joins import join_small
 from redactflow.operators.order import running_by_index
 from redactflow.operators.queue import pilot_cap
@@ -126,7 +126,7 @@ def readiness_gate(decisions: DataFrame, min_pass: float = 0.95, max_quarantine:
     )
     go = F.col("pass_rate") >= min_pass
     low = F.concat(
-        F.lit("QA pass rate "), F.format_string("%.1f%%", F.col("pass_rate") * 100), F.lit(f" below {min_pass:.0%} target")
+        F.lit("QA pass rate "), fixed(F.col("pass_rate") * 100, 1), F.lit(f"% below {min_pass:.0%} target")
     )
     return out.withColumns(
         {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from redactflow.config import DEFAULTS, Settings
 from redactflow.functions.names import sha256_hex
@@ -68,7 +69,7 @@ def header_dims(content: Column) -> Column:
     )
 
 
-@F.pandas_udf("struct<width:bigint,height:bigint>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())]))
 def _other_dims(heads: pd.Series) -> pd.DataFrame:
     from redactflow.image.headers import dims_of
 

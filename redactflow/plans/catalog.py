@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from redactflow.plans import queue_queries, text_queries  # noqa: F401
+from redactflow.plans import (  # noqa: F401
+    file_queries,
+    image_queries,
+    queue_queries,
+    report_queries,
+    stream_queries,
+    text_queries,
+)
 from redactflow.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
