@@ -48,9 +48,26 @@ def _secret_key_column(key: Column) -> Column:
     return named | F.lower(key).rlike("|".join(SECRET_FIELD_PARTS))
 
 
+def redact_json_text(text: Column, literals: Sequence[str] = ()) -> Column:
+    """Redact JSON text of unknown shape: values under secret-named keys (plain, or an object or list without
+    further nesting), and secrets inside strings. With a known shape use ``redact_json``, which goes all the way."""
+    value = r'("(?:[^"\\]|\\.)*"|\{[^{}]*\}|\[[^\[\]]*\]|[^,}\]\s]+)'
+    names = "|".join(SECRET_FIELD_PARTS)
+    keyed = rf'(?i)"([^"]*(?:{names})[^"]*|{"|".join(SECRET_FIELD_NAMES)})"\s*:\s*{value}'
+    out = F.regexp_replace(text, keyed, '"$1":"' + REDACTED + '"')
+    inline = rf'(?i)({SECRET_KEYS})\s*[:=]\s*[^\s"\\]+'
+    out = F.regexp_replace(out, inline, "$1=" + REDACTED)
+    for literal in literals:
+        if len(literal) > 4:
+            out = F.replace(out, F.lit(literal), F.lit(REDACTED))
+    return out
+
+
 def _walk(col: Column, dtype: T.DataType, literals: Sequence[str]) -> Column:
     if isinstance(dtype, T.StringType):
         return redact_secrets(col, literals)
+    if isinstance(dtype, T.VariantType):
+        return F.try_parse_json(redact_json_text(F.to_json(col), literals))
     if isinstance(dtype, T.StructType):
         fields = [
             (F.lit(REDACTED) if is_secret_field(f.name) else _walk(col.getField(f.name), f.dataType, literals)).alias(
@@ -72,7 +89,7 @@ def _walk(col: Column, dtype: T.DataType, literals: Sequence[str]) -> Column:
 
 
 def _holds_text(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.StringType):
+    if isinstance(dtype, (T.StringType, T.VariantType)):
         return True
     if isinstance(dtype, T.StructType):
         return any(is_secret_field(f.name) or _holds_text(f.dataType) for f in dtype.fields)
@@ -99,8 +116,8 @@ def redact_json(text: Column, schema: str | T.StructType | T.MapType) -> Column:
     """Redact a JSON text column: parse with ``schema``, redact, write back. Unparsable text is scanned as plain text."""
     if isinstance(schema, str):
         schema = T.DataType.fromDDL(schema)
-    parsed = F.from_json(text, schema)
-    return F.coalesce(F.to_json(_walk(parsed, schema, ())), redact_secrets(text))
+    redacted = F.to_json(_walk(F.from_json(text, schema), schema, ()))
+    return F.when(F.try_parse_json(text).isNotNull(), redacted).otherwise(redact_secrets(text))
 
 
 def sanitize_for_export(df: DataFrame, literals: Sequence[str] = (), drop: Sequence[str] = ("decode_path",)) -> DataFrame:
