@@ -41,7 +41,9 @@ def export_clean(
     joined: contents are written once per attempt and read back once.
     """
     passed = audit.filter(F.col("qa.final_decision") == "pass")
-    chosen = items.join(passed.select("stem").distinct(), "stem", "left_semi").select("path", "stem", "content", "sha256")
+    size = F.col("length") if "length" in items.columns else F.octet_length("content")
+    sized = items.select("path", "stem", "content", "sha256", size.cast("bigint").alias("size_bytes"))
+    chosen = sized.join(passed.select("stem").distinct(), "stem", "left_semi").select(*sized.columns)
     expected = chosen.select("path", "sha256")
 
     first = f"{target}/items/attempt=0"
@@ -64,9 +66,7 @@ def export_clean(
         )
         failures.write.mode("append").json(f"{target}/failures")
 
-    files = items.join(passed.select("stem").distinct(), "stem", "left_semi").select(
-        "path", "sha256", F.octet_length("content").cast("bigint").alias("size_bytes")
-    )
+    files = chosen.select("path", "sha256", "size_bytes")
     files.write.mode("overwrite").parquet(f"{target}/manifest_files")
     header = manifest_totals(spark.read.parquet(f"{target}/manifest_files")).select(
         F.lit(TRANSFER_MANIFEST_SCHEMA_NAME).alias("schema"),

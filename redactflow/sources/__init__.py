@@ -1,6 +1,7 @@
 from redactflow.sources.files import (
     dataset_profile,
     decode_images,
+    empty_files,
     list_with_excludes,
     listing_counts,
     scan_files,
@@ -16,7 +17,7 @@ from redactflow.sources.records import (
 )
 
 __all__ = [
-    "dataset_profile", "decode_images", "events_from_text", "list_with_excludes", "listing_counts", "read_audit",
+    "dataset_profile", "decode_images", "empty_files", "events_from_text", "list_with_excludes", "listing_counts", "read_audit",
     "read_events", "read_processed_manifest", "read_transfer_manifest", "scan_files", "scan_items",
     "transfer_manifest_header",
 ]

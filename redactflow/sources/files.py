@@ -11,18 +11,52 @@ from redactflow.config import DEFAULTS
 from redactflow.functions.names import basename, extension, glob_match, stem
 
 
-def scan_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """``path, modificationTime, length, content, stem, ext``. Unselected ``content`` is never read from disk."""
-    reader = spark.read.format("binaryFile")
+def _load(spark: SparkSession, fmt: str, path: str, recursive: bool, **options: str) -> DataFrame:
+    reader = spark.read.format(fmt).options(**options)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    files = reader.load(path)
+    return reader.load(path)
+
+
+def empty_files(files: DataFrame, path: Column | None = None) -> DataFrame:
+    """Paths of zero-length files of a file scan.
+
+    Spark's scans leave such files out, although the file index it keeps on the driver has them. The names in
+    that index are compared with the scan; contents are not touched. For folders whose names are too many for the
+    driver, turn this off in the readers and take empty files from the store's own inventory table.
+    """
+    spark = files.sparkSession
+    indexed = spark.createDataFrame([(name,) for name in files.inputFiles()], "value string")
+    # the index gives URIs, the scan gives plain paths
+    plain = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
+    as_path = F.regexp_replace(plain, "^file:/+", "file:/").alias("path")
+    seen = files.select((path if path is not None else F.col("path")).alias("path"))
+    seen = seen.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    return indexed.select(as_path).join(seen, "path", "left_anti")
+
+
+def scan_files(spark: SparkSession, path: str, recursive: bool = False, include_empty: bool = False) -> DataFrame:
+    """``path, modificationTime, length, content, stem, ext``. Unselected ``content`` is never read from disk."""
+    files = _load(spark, "binaryFile", path, recursive)
+    if include_empty:
+        empty = empty_files(files).select(
+            "path",
+            F.lit(None).cast("timestamp").alias("modificationTime"),
+            F.lit(0).cast("bigint").alias("length"),
+            F.lit(b"").alias("content"),
+        )
+        files = files.unionByName(empty)
     return files.withColumns({"stem": stem(F.col("path")), "ext": extension(F.col("path"))})
 
 
-def scan_items(spark: SparkSession, path: str, extensions: Sequence[str] = DEFAULTS.image_extensions) -> DataFrame:
+def scan_items(
+    spark: SparkSession,
+    path: str,
+    extensions: Sequence[str] = DEFAULTS.image_extensions,
+    include_empty: bool = True,
+) -> DataFrame:
     """Files directly in the folder whose lower-cased suffix is listed. Order by ``path`` where output order matters."""
-    return scan_files(spark, path).filter(F.col("ext").isin(*[e.lower() for e in extensions]))
+    return scan_files(spark, path, include_empty=include_empty).filter(F.col("ext").isin(*[e.lower() for e in extensions]))
 
 
 def dataset_profile(files: DataFrame, by: Sequence[str] = ("ext",), size: str = "length") -> DataFrame:
@@ -56,20 +90,25 @@ def listing_counts(
 
 
 def decode_images(
-    spark: SparkSession, path: str, extensions: Sequence[str] = DEFAULTS.image_extensions
+    spark: SparkSession,
+    path: str,
+    extensions: Sequence[str] = DEFAULTS.image_extensions,
+    include_empty: bool = True,
 ) -> DataFrame:
     """``path, stem, height, width, channels, data`` (BGR rows); a file that does not decode keeps its row, with nulls.
 
-    The image source reports unreadable files itself, so no join back to the listing is needed.
+    The image source reports unreadable files itself, so the listing is not joined; empty files are added.
     """
-    raw = spark.read.format("image").option("dropInvalid", "false").load(path)
-    origin = F.col("image.origin")
+    raw = _load(spark, "image", path, False, dropInvalid="false")
     valid = F.col("image.width") > 0
-    return raw.filter(is_image_name(origin, extensions)).select(
-        origin.alias("path"),
-        stem(origin).alias("stem"),
+    found = raw.select(
+        F.col("image.origin").alias("path"),
         F.when(valid, F.col("image.height")).alias("height"),
         F.when(valid, F.col("image.width")).alias("width"),
         F.when(valid, F.col("image.nChannels")).alias("channels"),
         F.when(valid, F.col("image.data")).alias("data"),
     )
+    if include_empty:
+        found = found.unionByName(empty_files(raw, F.col("image.origin")), allowMissingColumns=True)
+    named = found.filter(is_image_name(F.col("path"), extensions))
+    return named.select("path", stem(F.col("path")).alias("stem"), "height", "width", "channels", "data")
