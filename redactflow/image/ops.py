@@ -86,9 +86,10 @@ def apply_model(df: DataFrame, make_predict_fn: Callable[[], Detector], key: str
 def embed_with(make_predict_fn: Callable, column: Column, size: int, batch_size: int = 64) -> Column:
     """Embeddings by a batch model of the caller (``ndarray -> ndarray``), loaded once per worker."""
     from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
 
     model = predict_batch_udf(
-        make_predict_fn, return_type="array<float>", batch_size=batch_size, input_tensor_shapes=[[size]]
+        make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size, input_tensor_shapes=[[size]]
     )
     return model(column)
 
