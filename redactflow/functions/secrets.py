@@ -51,7 +51,7 @@ def _secret_key_column(key: Column) -> Column:
 def redact_json_text(text: Column, literals: Sequence[str] = ()) -> Column:
     """Redact JSON text of unknown shape: values under secret-named keys (plain, or an object or list without
     further nesting), and secrets inside strings. With a known shape use ``redact_json``, which goes all the way."""
-    value = r'("(?:[^"\\]|\\.)*"|\{[^{}]*\}|\[[^\[\]]*\]|[^,}\]\s]+)'
+    value = r'("[\s\S]*?(?<!\\)(?:\\\\)*"|\{[^{}]*\}|\[[^\[\]]*\]|[^,}\]\s]+)'
     names = "|".join(SECRET_FIELD_PARTS)
     keyed = rf'(?i)"([^"]*(?:{names})[^"]*|{"|".join(SECRET_FIELD_NAMES)})"\s*:\s*{value}'
     out = F.regexp_replace(text, keyed, '"$1":"' + REDACTED + '"')
@@ -67,7 +67,8 @@ def _walk(col: Column, dtype: T.DataType, literals: Sequence[str]) -> Column:
     if isinstance(dtype, T.StringType):
         return redact_secrets(col, literals)
     if isinstance(dtype, T.VariantType):
-        return F.try_parse_json(redact_json_text(F.to_json(col), literals))
+        clean = redact_json_text(F.to_json(col), literals)
+        return F.coalesce(F.try_parse_json(clean), clean.cast("variant"))
     if isinstance(dtype, T.StructType):
         fields = [
             (F.lit(REDACTED) if is_secret_field(f.name) else _walk(col.getField(f.name), f.dataType, literals)).alias(

@@ -30,10 +30,27 @@ def _fill(mask: np.ndarray, polygon: np.ndarray) -> None:
                 mask[y, lo : hi + 1] = 255
 
 
+def around(on: np.ndarray, margin: int) -> tuple[slice, slice]:
+    """The part of the raster that holds all set pixels, widened by ``margin``."""
+    ys, xs = np.nonzero(on.any(axis=1))[0], np.nonzero(on.any(axis=0))[0]
+    height, width = on.shape
+    return (
+        slice(max(0, ys[0] - margin), min(height, ys[-1] + margin + 1)),
+        slice(max(0, xs[0] - margin), min(width, xs[-1] + margin + 1)),
+    )
+
+
 def dilate(mask: np.ndarray, radius: int) -> np.ndarray:
     """Dilation by a disk of size ``2 * radius + 1``."""
     if radius <= 0 or not mask.any():
         return mask
+    part = around(mask > 0, radius)
+    full = np.zeros_like(mask)
+    full[part] = _dilate(mask[part], radius)
+    return full
+
+
+def _dilate(mask: np.ndarray, radius: int) -> np.ndarray:
     height, width = mask.shape
     on = (mask > 0).astype(np.int32)
     out = np.zeros_like(on, dtype=bool)
@@ -120,11 +137,13 @@ def redact_regions(rgb: np.ndarray, mask: np.ndarray, mode: str | Fill = "bounda
     elif mode == "solid":
         out[hole] = 0
     elif mode in ("boundary_mean", "diffuse"):
-        work = rgb.astype(np.float64)
-        work[hole] = _boundary_mean(rgb, hole)
+        part = around(hole, 1)
+        inside = hole[part]
+        work = rgb[part].astype(np.float64)
+        work[inside] = _boundary_mean(rgb[part], inside)
         for _ in range(rounds if mode == "diffuse" else 0):
-            work[hole] = _neighbours(work)[hole]
-        out[hole] = np.clip(np.rint(work[hole]), 0, 255).astype(np.uint8)
+            work[inside] = _neighbours(work)[inside]
+        out[part][inside] = np.clip(np.rint(work[inside]), 0, 255).astype(np.uint8)
     else:
         raise ValueError(f"unknown redaction mode: {mode}")
     return out, "ok"

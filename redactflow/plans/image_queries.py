@@ -19,6 +19,7 @@ from redactflow.operators.screen import image_dims
 from redactflow.plans.registry import query
 from redactflow.plans.views import Tables
 from redactflow.schemas import BOXES_DDL
+from redactflow.session import spread
 
 SIDE, BLOCK = 64, 8
 TEXT_LEVEL, FACE_LEVEL = 255, 250
@@ -35,7 +36,7 @@ def rasters(t: Tables) -> DataFrame:
     lines = [
         F.repeat(F.array_join(F.slice("_blocks", 1 + BLOCK * r, BLOCK), ""), BLOCK) for r in range(SIDE // BLOCK)
     ]
-    return t.embeddings.withColumn("_blocks", blocks).select(
+    return spread(t.embeddings).withColumn("_blocks", blocks).select(
         F.concat(F.lit("vec-"), F.col("vec_id")).alias("stem"),
         "vec_id",
         "label",
@@ -93,13 +94,28 @@ def blur_boxes(t: Tables) -> DataFrame:
     return both.select("stem", "regions_blurred", "replacement_success", same.alias("rest_unchanged"))
 
 
-@query(f"SELECT {_STEM} AS stem, 'ok' AS status, TRUE AS rest_unchanged, FALSE AS box_unchanged FROM embeddings")
-def redact_regions(t: Tables) -> DataFrame:
+def _redacted(t: Tables, mode: str) -> DataFrame:
     start = _corner_boxes(t)
-    done = ops.redact(start, "diffuse", dilate=2).withColumnRenamed("data", "redacted")
-    both = done.join(start.select("stem", "data"), "stem")
+    done = ops.redact(start, mode, dilate=2).withColumnRenamed("data", "redacted")
+    return done.join(start.select("stem", "data"), "stem")
+
+
+@query(f"SELECT {_STEM} AS stem, 'ok' AS status, TRUE AS rest_unchanged FROM embeddings")
+def redact_regions(t: Tables) -> DataFrame:
     same = _rows_below(F.col("redacted"), 17) == _rows_below(F.col("data"), 17)
-    return both.select("stem", "status", same.alias("rest_unchanged"), (F.col("redacted") == F.col("data")).alias("box_unchanged"))
+    return _redacted(t, "diffuse").select("stem", "status", same.alias("rest_unchanged"))
+
+
+@query(f"SELECT {_STEM} AS stem, repeat('000000', label + 6) AS first_row, TRUE AS row_end_unchanged FROM embeddings")
+def redact_regions_solid(t: Tables) -> DataFrame:
+    """The first row is black over the box and its two dilated columns, and unchanged after them."""
+    length = (F.col("label") + 6) * 3
+    both = _redacted(t, "solid").join(rasters(t).select("stem", "label"), "stem")
+    end = F.lit(SIDE * 3) - length
+    same = F.substring("redacted", length + 1, end) == F.substring("data", length + 1, end)
+    return both.select(
+        "stem", F.hex(F.substring("redacted", F.lit(1), length)).alias("first_row"), same.alias("row_end_unchanged")
+    )
 
 
 @query(f"SELECT {_STEM} AS stem, 'chunks_dropped' AS method, TRUE AS had_note, TRUE AS same_as_plain FROM embeddings")

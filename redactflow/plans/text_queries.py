@@ -88,12 +88,12 @@ def audited_select(table: str, key: str, column: str) -> str:
 
 @query(detect_sql("documents", "doc_id", "text"))
 def detect_entities_documents(t: Tables) -> DataFrame:
-    return detect_entities(t.documents, "text", "doc_id")
+    return detect_entities(t.texts("documents", "doc_id", "text"), "text", "doc_id")
 
 
 @query(detect_sql("pages", "page_id", "html"))
 def detect_entities_pages(t: Tables) -> DataFrame:
-    return detect_entities(t.pages, "html", "page_id")
+    return detect_entities(t.texts("pages", "page_id", "html"), "html", "page_id")
 
 
 @query(detect_sql("(SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)", "turn_id", "text"))
@@ -110,7 +110,7 @@ _COUNTS = ", ".join(f"n_{k.lower()}" for k in _KINDS)
     f"length(masked) AS masked_length, entity_count, masked_chars, {_COUNTS} FROM found"
 )
 def mask_entities_documents(t: Tables) -> DataFrame:
-    masked = mask_entities(t.documents.select("doc_id", "text"), "text")
+    masked = mask_entities(t.texts("documents", "doc_id", "text"), "text")
     return masked.select(
         "doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.length("masked").alias("masked_length"),
         "entity_count", "masked_chars", *[f"n_{k.lower()}" for k in _KINDS],
@@ -122,7 +122,7 @@ def mask_entities_documents(t: Tables) -> DataFrame:
     "length(masked) AS masked_length, entity_count FROM found"
 )
 def pseudonymize_documents(t: Tables) -> DataFrame:
-    masked = mask_entities(t.documents.select("doc_id", "text"), "text", salt=SALT)
+    masked = mask_entities(t.texts("documents", "doc_id", "text"), "text", salt=SALT)
     return masked.select(
         "doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.length("masked").alias("masked_length"), "entity_count"
     )
@@ -133,23 +133,23 @@ def pseudonymize_documents(t: Tables) -> DataFrame:
     "round(retained_ratio, 6) AS retained_ratio, detection_fail, integrity_fail FROM audited"
 )
 def text_qa_documents(t: Tables) -> DataFrame:
-    audit = anonymize_text(t.documents.select("doc_id", "text"), "text")
+    audit = anonymize_text(t.texts("documents", "doc_id", "text"), "text")
     return audit.select("doc_id", "residual_count", "retained_ratio", "detection_fail", "integrity_fail")
 
 
 @query(audited_select("documents", "doc_id", "text"))
 def anonymize_text_documents(t: Tables) -> DataFrame:
-    return anonymize_text(t.documents.select("doc_id", "text"), "text").select("doc_id", *AUDIT_COLUMNS)
+    return anonymize_text(t.texts("documents", "doc_id", "text"), "text").select("doc_id", *AUDIT_COLUMNS)
 
 
 @query(audited_select("pages", "page_id", "html"))
 def anonymize_text_pages(t: Tables) -> DataFrame:
-    return anonymize_text(t.pages.select("page_id", "html"), "html").select("page_id", *AUDIT_COLUMNS)
+    return anonymize_text(t.texts("pages", "page_id", "html"), "html").select("page_id", *AUDIT_COLUMNS)
 
 
 def totals(t: Tables) -> DataFrame:
     """Flagship: mask every document, verify by re-scan, route, report totals."""
-    audit = anonymize_text(t.documents.select("doc_id", "text"), "text")
+    audit = anonymize_text(t.texts("documents", "doc_id", "text"), "text")
     rows = audit.withColumn("text_regions_detected", F.col("entity_count")).withColumn(
         "text_regions_inpainted", F.col("entity_count") - F.col("residual_count")
     )
@@ -178,7 +178,7 @@ def anonymize_text_totals(t: Tables) -> DataFrame:
     FROM audited WHERE final_decision = 'pass'"""
 )
 def residual_gate_documents(t: Tables) -> DataFrame:
-    audit = anonymize_text(t.documents.select("doc_id", "text"), "text").filter(F.col("final_decision") == "pass")
+    audit = anonymize_text(t.texts("documents", "doc_id", "text"), "text").filter(F.col("final_decision") == "pass")
     outputs = audit.select(
         F.lit(0).alias("face_count"), F.when(F.col("residual_count") > 0, 1.0).otherwise(0.0).alias("max_score")
     )
@@ -193,7 +193,7 @@ _SECRET = _lit(rf"(?i)({SECRET_KEYS})\s*[:=]\s*\S+")
     SELECT doc_id, text, regexp_replace(text, {_SECRET}, '\\1=***REDACTED***', 'g') AS t FROM documents)"""
 )
 def redact_secrets_documents(t: Tables) -> DataFrame:
-    out = t.documents.withColumn("_t", redact_secrets(F.col("text")))
+    out = t.texts("documents", "doc_id", "text").withColumn("_t", redact_secrets(F.col("text")))
     return out.select("doc_id", F.sha2("_t", 256).alias("redacted_sha256"), (F.col("_t") != F.col("text")).alias("changed"))
 
 

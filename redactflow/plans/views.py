@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from redactflow.functions.vectors import cosine_distance
 from redactflow.operators.route import number_attempts
+from redactflow.session import spread
 
 
 class Tables:
@@ -23,6 +24,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, table: str, *columns: str) -> DataFrame:
+        """Columns of a text table, dealt out over the cores when the table is small."""
+        return spread(getattr(self, table).select(*columns))
+
     @cached_property
     def items(self) -> DataFrame:
         return self.documents.select(

@@ -53,3 +53,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores, as small tables give, dealt out over all cores before heavy per-row
+    work. A scan that already has enough partitions comes back as it is: large data is not shuffled for this."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

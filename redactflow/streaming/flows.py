@@ -13,6 +13,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from redactflow.config import DEFAULTS, Settings
 from redactflow.operators.text import PATTERNS, anonymize_text
+from redactflow.session import spread
+
+Step = Callable[[DataFrame], DataFrame]
 
 
 def open_stream(
@@ -27,21 +30,24 @@ def open_stream(
     return reader.load(path)
 
 
-def _replace_batch(target: str) -> Callable[[DataFrame, int], None]:
+def _replace_batch(target: str, prepare: Step | None = None) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        rows = prepare(batch) if prepare else batch
+        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("batch_id").parquet(target)
 
     return write
 
 
-def write_batches(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> DataStreamWriter:
-    """Sink that writes each micro-batch under its own ``batch_id`` partition."""
+def write_batches(
+    stream: DataFrame, target: str, checkpoint: str, mode: str = "append", prepare: Step | None = None
+) -> DataStreamWriter:
+    """Sink that writes each micro-batch, after ``prepare``, under its own ``batch_id`` partition."""
     return (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(_replace_batch(target))
+        .foreachBatch(_replace_batch(target, prepare))
     )
 
 
@@ -73,7 +79,19 @@ def stream_anonymize(
     salt: str | None = None,
 ) -> DataStreamWriter:
     """Detect, mask, verify and route a text stream. A restart from the same checkpoint neither repeats nor loses items."""
-    return write_batches(anonymize_text(items, column, settings, patterns, salt), target, checkpoint)
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        return anonymize_text(spread(batch), column, settings, patterns, salt)
+
+    return write_batches(items, target, checkpoint, prepare=prepare)
+
+
+def stream_images(
+    items: DataFrame, anonymize: Step, target: str, checkpoint: str
+) -> DataStreamWriter:
+    """Image twin of ``stream_anonymize``: ``items`` streams the files of a folder (``binaryFile``), ``anonymize`` maps
+    the listed files of one micro-batch to judged rows. The batch is written once; rasters are not computed twice."""
+    return write_batches(items, target, checkpoint, prepare=anonymize)
 
 
 def _metrics(outcome: Column, seconds: Column) -> list[Column]:
