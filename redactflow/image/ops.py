@@ -20,6 +20,7 @@ from redactflow.image.png import encode_png, orientation, strip_metadata, uprigh
 from redactflow.image.raster import Fill, blur_boxes, boxes_to_mask, redact_regions
 from redactflow.operators.qa import decide, detection_fail, integrity_fail
 from redactflow.operators.route import regions_inpainted, route
+from redactflow.operators.screen import HEAD_BYTES
 from redactflow.schemas import BOXES_DDL
 
 Detector = Callable[[np.ndarray], Sequence[dict]]
@@ -203,7 +204,9 @@ def process_images(
     of the next pass. An item that cannot be processed gives a row with ``error``; the job goes on.
     """
     faces, texts = once_per_worker(make_face_detector), once_per_worker(make_text_detector)
-    optional = [c for c in ("content", "extra_mask_dilation") if c in items.columns]
+    optional = [F.col("extra_mask_dilation")] if "extra_mask_dilation" in items.columns else []
+    if "content" in items.columns:  # only the part that can hold the orientation
+        optional.append(F.substring("content", 1, HEAD_BYTES).alias("content"))
 
     def run(row: dict) -> dict:
         try:

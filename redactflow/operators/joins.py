@@ -14,14 +14,19 @@ SALTS = 64
 
 
 def join_small(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    limit: int = BROADCAST_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Join on ``keys``, which must be unique in ``right``; ``how`` is inner or left.
 
-    ``right`` is written out and counted. Up to ``limit`` rows it is broadcast. Beyond that both sides are salted,
+    ``right`` is written out (unless ``written`` says it already is) and counted. Up to ``limit`` rows it is broadcast. Beyond that both sides are salted,
     so that a key holding much of ``left`` is spread over ``SALTS`` partitions instead of one.
     """
-    small = cut_lineage(right)
+    small = right if written else cut_lineage(right)
     if small.count() <= limit:
         return left.join(F.broadcast(small), list(keys), how)
     others = [F.col(c) for c in left.columns if c not in keys]

@@ -34,6 +34,12 @@ def _in_order(df: DataFrame, order: Sequence[Column], partitions: int | None) ->
     return cut_lineage(spread).withColumns({"_part": part, "_pos": pos}).drop("_mid")
 
 
+def _per_part(values: Sequence[float], dtype: str) -> Column:
+    """The value of a row's own partition, from one constant list."""
+    listed = F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{dtype}>")
+    return F.element_at(listed, F.col("_part") + 1)
+
+
 def _offsets(per_part: Mapping[int, float], count: int, zero: float) -> list[float]:
     return [zero, *accumulate(per_part.get(i, zero) for i in range(count))][:count]
 
@@ -43,8 +49,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", part
     n = _partitions(df, partitions)
     placed = _in_order(df, order, n)
     counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    offsets = F.array(*[F.lit(int(v)).cast("bigint") for v in _offsets(counts, n, 0)])
-    rank = F.element_at(offsets, F.col("_part") + 1) + F.col("_pos") + 1
+    rank = _per_part(_offsets(counts, n, 0), "bigint") + F.col("_pos") + 1
     return placed.withColumn(name, rank).drop("_part", "_pos")
 
 
@@ -68,12 +73,10 @@ def group_ordinal(
     )
     offsets, starts = _group_starts({r["_part"]: r for r in edges.collect()}, n)
 
-    def at(values: Sequence[int]) -> Column:
-        return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("_part") + 1)
-
+    before, first = _per_part(offsets, "bigint"), _per_part(starts, "bigint")
     local = F.min("_pos").over(Window.partitionBy("_part", *keys))
-    start = F.when(F.col("_local") == 0, at(starts)).otherwise(at(offsets) + F.col("_local"))
-    ordinal = at(offsets) + F.col("_pos") - start + 1
+    start = F.when(F.col("_local") == 0, first).otherwise(before + F.col("_local"))
+    ordinal = before + F.col("_pos") - start + 1
     return placed.withColumn("_local", local).withColumn(name, ordinal).drop("_part", "_pos", "_local")
 
 
@@ -106,9 +109,9 @@ def prefix_sums(
     out = placed
     for name, src in sums.items():
         per_part = {r["_part"]: r[name] for r in totals if r[name] is not None}
-        zero = 0 if all(isinstance(v, int) for v in per_part.values()) else 0.0
-        base = F.array(*[F.lit(v) for v in _offsets(per_part, n, zero)])
-        out = out.withColumn(name, F.element_at(base, F.col("_part") + 1) + F.sum(src).over(in_part))
+        whole = all(isinstance(v, int) for v in per_part.values())
+        base = _per_part(_offsets(per_part, n, 0 if whole else 0.0), "bigint" if whole else "double")
+        out = out.withColumn(name, base + F.sum(src).over(in_part))
     return out.drop("_part", "_pos")
 
 
@@ -154,7 +157,7 @@ def running_by_index(
     own window. No window partition ever holds more than ``chunk`` rows of a key (or its chunk totals), so a run
     holding most of the batches is still spread out.
     """
-    keyed = df.withColumn("_chunk", F.floor(F.col(index) / F.lit(chunk)))
+    keyed = df.withColumn("_chunk", F.col(index) - F.pmod(F.col(index), F.lit(chunk)))
     group = [*keys, "_chunk"]
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = keyed.groupBy(*group).agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])

@@ -45,16 +45,23 @@ def pending_queue(
 
 
 def skip_set(manifest: DataFrame, outputs: DataFrame, current: DataFrame) -> DataFrame:
-    """Stems already done: an output exists and the source still has the recorded hash."""
-    known = manifest.filter(F.col("original_hash").isNotNull()).select("stem", F.lower("original_hash").alias("_hash"))
-    now = current.select("stem", F.lower("sha256").alias("_hash"))
-    return (
-        known.distinct()
-        .join(outputs.select("stem").distinct(), "stem", "left_semi")
-        .join(now.distinct(), ["stem", "_hash"], "left_semi")
-        .select("stem")
-        .distinct()
+    """Stems already done: an output exists and every source of the stem still has the recorded hash.
+
+    The three tables are stacked and grouped once, so each is shuffled once and repeated stems collapse before that.
+    """
+    nothing = F.lit(None).cast("string")
+    stacked = (
+        manifest.select("stem", F.lower("original_hash").alias("_known"), nothing.alias("_now"), F.lit(False).alias("_out"))
+        .unionByName(current.select("stem", nothing.alias("_known"), F.lower("sha256").alias("_now"), F.lit(False).alias("_out")))
+        .unionByName(outputs.select("stem", nothing.alias("_known"), nothing.alias("_now"), F.lit(True).alias("_out")))
+    )
+    per_stem = stacked.groupBy("stem").agg(
+        F.min("_known").alias("known"), F.max("_known").alias("known_max"),
+        F.min("_now").alias("now"), F.max("_now").alias("now_max"),
+        F.bool_or("_out").alias("published"),
     )
+    same = (F.col("known") == F.col("now")) & (F.col("known_max") == F.col("known")) & (F.col("now_max") == F.col("now"))
+    return per_stem.filter(F.col("published") & same).select("stem")
 
 
 def _open_locks(locks: DataFrame, completions: DataFrame) -> DataFrame:
@@ -93,7 +100,7 @@ def lock_progress(locks: DataFrame, finished: Column) -> DataFrame:
 def assign_batches(queue: DataFrame, order: list[Column], size: int, partitions: int | None = None) -> DataFrame:
     """Consecutive batches of ``size`` over the ordered queue: adds ``rank`` (from 1) and ``batch_index`` (from 0)."""
     ranked = global_rank(queue, order, "rank", partitions)
-    return ranked.withColumn("batch_index", F.floor((F.col("rank") - 1) / size).cast("bigint"))
+    return ranked.withColumn("batch_index", F.expr(f"(rank - 1) div {int(size)}"))
 
 
 def pilot_cap(queue: DataFrame, n: int, order: list[Column]) -> DataFrame:

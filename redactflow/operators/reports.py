@@ -13,6 +13,7 @@ from redactflow.functions.names import basename, fixed
 from redactflow.operators.joins import join_small
 from redactflow.operators.order import running_by_index
 from redactflow.operators.queue import pilot_cap
+from redactflow.session import cut_lineage
 
 ROUTES = {"pass": "final_clean", "quarantine": "quarantine", "manual_review": "manual_review"}
 
@@ -244,8 +245,8 @@ def bottlenecks(metrics: DataFrame, factor: float = 1.75, slow_mean: float = 5.0
 
     The mean is one row per run, joined back by broadcast or salted join depending on its counted size.
     """
-    means = metrics.groupBy("run_id").agg(F.avg("sec_per_image").alias("avg_sec_per_image"))
-    slow = join_small(metrics, means, ["run_id"]).filter(
+    means = cut_lineage(metrics.groupBy("run_id").agg(F.avg("sec_per_image").alias("avg_sec_per_image")))
+    slow = join_small(metrics, means, ["run_id"], written=True).filter(
         (F.col("avg_sec_per_image") > 0) & (F.col("sec_per_image") >= F.col("avg_sec_per_image") * factor)
     )
     rows = slow.select(

@@ -191,14 +191,14 @@ def attach_detections(items: DataFrame, detections: DataFrame, per_row: int = 40
         grouped = detections.groupBy("stem").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
         joined = items.join(grouped, "stem", "left")
         return joined.withColumns({"boxes": F.coalesce("boxes", empty), "part": F.lit(0), "parts": F.lit(1)})
-    split = join_small(detections, large, ["stem"], "left")
+    split = join_small(detections, large, ["stem"], "left", written=True)
     spread = F.pmod(F.xxhash64("text", "score", F.to_json("polygon")), F.coalesce("_parts", F.lit(1))).cast("int")
     grouped = (
         split.withColumn("part", spread)
         .groupBy("stem", "part")
         .agg(F.sort_array(F.collect_list(box)).alias("boxes"))
     )
-    planned = join_small(items, large, ["stem"], "left").withColumn("parts", F.coalesce("_parts", F.lit(1)))
+    planned = join_small(items, large, ["stem"], "left", written=True).withColumn("parts", F.coalesce("_parts", F.lit(1)))
     slots = planned.drop("_parts").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     joined = slots.join(grouped, ["stem", "part"], "left").withColumn("boxes", F.coalesce("boxes", empty))
     return joined.select(*items.columns, "boxes", "part", "parts")

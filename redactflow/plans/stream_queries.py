@@ -36,7 +36,7 @@ def _events(t: Tables) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         "user_id",
         (F.col("value") / 100).alias("seconds"),
-        F.concat(F.lit("run-"), (F.floor(F.col("event_id") / 500) % 2).cast("string")).alias("run_id"),
+        F.concat(F.lit("run-"), (F.expr("event_id div 500") % 2).cast("string")).alias("run_id"),
         outcome.alias("outcome"),
     )
 

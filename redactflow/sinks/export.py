@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from redactflow.functions.names import sha256_hex
 from redactflow.functions.secrets import sanitize_for_export
+from redactflow.operators.joins import join_small
 from redactflow.operators.reports import manifest_totals
 from redactflow.operators.verify import hash_summary, verify_hashes
 from redactflow.schemas import TRANSFER_MANIFEST_SCHEMA_NAME
@@ -36,14 +37,18 @@ def export_clean(
 ) -> DataFrame:
     """Copy passed items and their audit rows under ``target``; returns the one-row verification summary.
 
-    ``items``: path, stem, content, sha256 (hash taken before routing). ``audit``: needs ``stem`` and
-    ``qa.final_decision``. Only items that fail verification are copied a second time, and only hashes are
-    joined: contents are written once per attempt and read back once.
+    ``items``: path, stem, content, sha256 (hash taken before routing), and best also ``final_decision``, as judged
+    rows have it: passed ones are then a filter, and no content is shuffled. Without it they are found by join.
+    ``audit``: needs ``stem`` and ``qa.final_decision``. Only items that fail verification are copied a second
+    time; verification joins hashes only.
     """
     passed = audit.filter(F.col("qa.final_decision") == "pass")
     size = F.col("length") if "length" in items.columns else F.octet_length("content")
-    sized = items.select("path", "stem", "content", "sha256", size.cast("bigint").alias("size_bytes"))
-    chosen = sized.join(passed.select("stem").distinct(), "stem", "left_semi").select(*sized.columns)
+    if "final_decision" in items.columns:
+        allowed = items.filter(F.col("final_decision") == "pass")
+    else:
+        allowed = join_small(items, passed.select("stem").distinct(), ["stem"])
+    chosen = allowed.select("path", "stem", "content", "sha256", size.cast("bigint").alias("size_bytes"))
     expected = chosen.select("path", "sha256")
 
     first = f"{target}/items/attempt=0"
@@ -56,7 +61,7 @@ def export_clean(
 
     if not bad.isEmpty():
         second = f"{target}/items/attempt=1"
-        write(chosen.join(bad, "path", "left_semi"), second)
+        write(join_small(chosen, bad, ["path"], written=True), second)
         again = verify_hashes(expected.join(bad, "path", "left_semi"), _actual(spark, second))
         again.write.mode("overwrite").parquet(f"{checks}/attempt=1")
         repaired = spark.read.parquet(f"{checks}/attempt=1")

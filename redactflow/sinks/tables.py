@@ -57,7 +57,9 @@ def _with_defaults(audit: DataFrame, now: Column) -> DataFrame:
 def write_audit(audit: DataFrame, path: str, now: Column) -> None:
     """One row per item, in partitions by ``batch_id``; writing a batch again replaces exactly that batch."""
     rows = last_entry_per_stem(_with_defaults(audit, now), [F.col("updated_at"), F.xxhash64("image", "batch_id")])
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+    # few files per batch, and a batch holding much of the data is still written by many tasks
+    spread_out = rows.hint("rebalance", "batch_id")
+    spread_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
 def upsert_audit(spark: SparkSession, audit: DataFrame, path: str, now: Column) -> None:
@@ -103,7 +105,8 @@ def batch_summary(audit: DataFrame) -> DataFrame:
 def write_batch_summary(rows: DataFrame, path: str) -> None:
     """CSV files in one folder per batch; repeating a batch replaces it."""
     out = rows.select("batch_id", *[c for c in SUMMARY_COLUMNS if c in rows.columns])
-    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", "true")
+    spread_out = out.hint("rebalance", "batch_id")
+    writer = spread_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", "true")
     writer.partitionBy("batch_id").csv(path)
 
 
