@@ -4,6 +4,7 @@ from redactflow.plans import (  # noqa: F401
     file_queries,
     image_queries,
     queue_queries,
+    record_queries,
     report_queries,
     stream_queries,
     text_queries,

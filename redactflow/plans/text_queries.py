@@ -11,6 +11,8 @@ from redactflow.operators.reports import master_statistics, residual_gate
 from redactflow.operators.text import PATTERNS, anonymize_text, any_pattern, detect_entities, mask_entities
 from redactflow.plans.registry import query
 from redactflow.plans.views import Tables
+from redactflow.plans.waves import run_waves
+from redactflow.session import scratch_path
 
 SALT = "fixed-salt"
 _KINDS = list(PATTERNS)
@@ -212,3 +214,17 @@ def redact_record_events(t: Tables) -> DataFrame:
         )
     )
     return t.events.select("event_id", redact_json(record, "api_token string, note string, k bigint").alias("props"))
+
+
+@query(
+    f"""WITH {audited_sql('documents', 'doc_id', 'text')}
+    SELECT CAST(doc_id AS VARCHAR) AS stem, CASE WHEN final_decision = 'pass' THEN 'final_clean' ELSE 'manual_review' END AS route,
+    CASE WHEN final_decision = 'pass' THEN 0 ELSE 3 END AS retry_count,
+    CASE WHEN final_decision = 'pass' THEN 0 ELSE 2 END AS wave, failure_reason FROM audited"""
+)
+def run_waves_documents(t: Tables) -> DataFrame:
+    """All waves to the end: a text that fails once fails again, so it uses up its budget."""
+    stem = F.col("doc_id").cast("string")
+    items = t.texts("documents", "doc_id", "text").select(stem.alias("stem"), stem.alias("path"), "text")
+    final = run_waves(t.spark, items, lambda queue: anonymize_text(queue, "text"), scratch_path(t.spark, "waves"))
+    return final.select("stem", "route", "retry_count", "wave", "failure_reason")

@@ -4,6 +4,7 @@ from redactflow.sources.files import (
     empty_files,
     list_with_excludes,
     listing_counts,
+    open_image_stream,
     scan_files,
     scan_items,
 )
@@ -17,7 +18,8 @@ from redactflow.sources.records import (
 )
 
 __all__ = [
-    "dataset_profile", "decode_images", "empty_files", "events_from_text", "list_with_excludes", "listing_counts", "read_audit",
+    "dataset_profile", "decode_images", "empty_files", "events_from_text", "list_with_excludes", "listing_counts",
+    "open_image_stream", "read_audit",
     "read_events", "read_processed_manifest", "read_transfer_manifest", "scan_files", "scan_items",
     "transfer_manifest_header",
 ]

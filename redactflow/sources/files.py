@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from redactflow.config import DEFAULTS
 from redactflow.functions.names import basename, extension, glob_match, stem
 
+IMAGE_DDL = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
 
 def _load(spark: SparkSession, fmt: str, path: str, recursive: bool, **options: str) -> DataFrame:
     reader = spark.read.format(fmt).options(**options)
@@ -100,15 +102,31 @@ def decode_images(
     The image source reports unreadable files itself, so the listing is not joined; empty files are added.
     """
     raw = _load(spark, "image", path, False, dropInvalid="false")
+    found = _rasters(raw)
+    if include_empty:
+        found = found.unionByName(empty_files(raw, F.col("image.origin")), allowMissingColumns=True)
+    return _image_rows(found, extensions)
+
+
+def _rasters(raw: DataFrame) -> DataFrame:
     valid = F.col("image.width") > 0
-    found = raw.select(
+    return raw.select(
         F.col("image.origin").alias("path"),
         F.when(valid, F.col("image.height")).alias("height"),
         F.when(valid, F.col("image.width")).alias("width"),
         F.when(valid, F.col("image.nChannels")).alias("channels"),
         F.when(valid, F.col("image.data")).alias("data"),
     )
-    if include_empty:
-        found = found.unionByName(empty_files(raw, F.col("image.origin")), allowMissingColumns=True)
+
+
+def _image_rows(found: DataFrame, extensions: Sequence[str]) -> DataFrame:
     named = found.filter(is_image_name(F.col("path"), extensions))
     return named.select("path", stem(F.col("path")).alias("stem"), "height", "width", "channels", "data")
+
+
+def open_image_stream(
+    spark: SparkSession, path: str, max_files: int, extensions: Sequence[str] = DEFAULTS.image_extensions
+) -> DataFrame:
+    """New images of a folder as a stream, at most ``max_files`` per micro-batch; unreadable files keep their row."""
+    reader = spark.readStream.format("image").schema(IMAGE_DDL).option("dropInvalid", "false")
+    return _image_rows(_rasters(reader.option("maxFilesPerTrigger", str(max_files)).load(path)), extensions)

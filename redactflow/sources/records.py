@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from redactflow.functions.names import normalize_path, stem
@@ -13,9 +13,16 @@ def _ddl(text: str) -> str:
     return " ".join(text.split())
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """JSON sidecars, one per item, as the audit table; the stem is the file's own when the record has none."""
-    reader = spark.read.schema(_ddl(AUDIT_DDL)).option("multiLine", "true").option("mode", "PERMISSIVE")
+def _json(spark: SparkSession, schema: str, multi_line: bool) -> DataFrameReader:
+    return spark.read.schema(_ddl(schema)).option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE")
+
+
+def read_audit(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON sidecars, one per item, as the audit table; the stem is the file's own when the record has none.
+
+    ``multi_line=False`` reads many records per file, one per line, as a large run keeps them.
+    """
+    reader = _json(spark, AUDIT_DDL, multi_line)
     records = reader.json(path)
     readable = F.to_json(F.struct(*records.columns)) != "{}"
     own = stem(F.col("_metadata.file_name"))
@@ -37,26 +44,21 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return events_from_text(spark.read.text(path))
 
 
-def _transfer_manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_ddl(TRANSFER_MANIFEST_DDL)).option("multiLine", "true").json(path)
-
-
-def transfer_manifest_header(spark: SparkSession, path: str) -> DataFrame:
-    return _transfer_manifests(spark, path).drop("files")
+def transfer_manifest_header(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return _json(spark, TRANSFER_MANIFEST_DDL, multi_line).json(path).drop("files")
 
 
-def read_transfer_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_transfer_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row per file of the manifest: ``path, sha256, size_bytes``."""
-    files = _transfer_manifests(spark, path).select(F.explode("files").alias("f"))
+    files = _json(spark, TRANSFER_MANIFEST_DDL, multi_line).json(path).select(F.explode("files").alias("f"))
     return files.select(
         normalize_path(F.col("f.path")).alias("path"), F.col("f.sha256").alias("sha256"), F.col("f.size_bytes").alias("size_bytes")
     )
 
 
-def read_processed_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_processed_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row per stem of the processed manifest."""
-    reader = spark.read.schema(_ddl(PROCESSED_MANIFEST_DDL)).option("multiLine", "true")
-    entries = reader.json(path).select(F.explode("entries").alias("stem", "e"))
+    entries = _json(spark, PROCESSED_MANIFEST_DDL, multi_line).json(path).select(F.explode("entries").alias("stem", "e"))
     return entries.select(
         "stem",
         F.col("e.original_hash").alias("original_hash"),

@@ -5,6 +5,7 @@ from redactflow.streaming.flows import (
     read_batches,
     read_latest,
     stream_anonymize,
+    stream_images,
     windowed_metrics,
     write_batches,
 )
@@ -12,5 +13,5 @@ from redactflow.streaming.state import retry_budget, stale_leases, use_rocksdb
 
 __all__ = [
     "drain", "live_metrics", "open_stream", "read_batches", "read_latest", "retry_budget", "stale_leases",
-    "stream_anonymize", "use_rocksdb", "windowed_metrics", "write_batches",
+    "stream_anonymize", "stream_images", "use_rocksdb", "windowed_metrics", "write_batches",
 ]

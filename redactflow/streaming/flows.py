@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from redactflow.config import DEFAULTS, Settings
+from redactflow.image.ops import Detector, anonymize_images
+from redactflow.image.raster import Fill
 from redactflow.operators.text import PATTERNS, anonymize_text
 from redactflow.session import spread
 
@@ -87,11 +89,21 @@ def stream_anonymize(
 
 
 def stream_images(
-    items: DataFrame, anonymize: Step, target: str, checkpoint: str
+    items: DataFrame,
+    make_face_detector: Callable[[], Detector],
+    make_text_detector: Callable[[], Detector],
+    target: str,
+    checkpoint: str,
+    mode: str | Fill = "boundary_mean",
+    settings: Settings = DEFAULTS,
 ) -> DataStreamWriter:
-    """Image twin of ``stream_anonymize``: ``items`` streams the files of a folder (``binaryFile``), ``anonymize`` maps
-    the listed files of one micro-batch to judged rows. The batch is written once; rasters are not computed twice."""
-    return write_batches(items, target, checkpoint, prepare=anonymize)
+    """Image twin of ``stream_anonymize`` over ``open_image_stream``. Each batch is written once, so no raster is
+    processed twice."""
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        return anonymize_images(spread(batch), make_face_detector, make_text_detector, mode, settings)
+
+    return write_batches(items, target, checkpoint, prepare=prepare)
 
 
 def _metrics(outcome: Column, seconds: Column) -> list[Column]:

@@ -26,8 +26,7 @@ BANDS = [
 
 
 def write_png(path, rgb):
-    with open(path, "wb") as out:
-        out.write(encode_png(rgb))
+    write_bytes(path, encode_png(rgb))
 
 
 def write_bytes(path, content):
