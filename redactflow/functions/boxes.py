@@ -28,28 +28,35 @@ def normalize_boxes(raw: Column) -> Column:
     ``[[polygon, [text, score]], ...]`` as detectors emit it (possibly wrapped once more per page), or
     ``[{"polygon":..., "text":..., "score":...}, ...]`` as audits store it. Malformed entries are dropped.
     """
-    doc = F.try_parse_json(raw)
-    entries = F.coalesce(_cell(doc, "$", "array<variant>"), F.array().cast("array<variant>"))
-    first = F.try_element_at(entries, F.lit(1))
-    # one page wrapped in a list: the only element is itself a list whose first element is a list of lines
-    page = _cell(first, "$", "array<variant>")
-    wrapped = (F.size(entries) == 1) & _cell(first, "$[0][0][0]", "array<variant>").isNotNull()
-    lines = F.when(wrapped, page).otherwise(entries)
+
+    def lines_of(doc: Column) -> Column:
+        entries = F.coalesce(_cell(doc, "$", "array<variant>"), F.array().cast("array<variant>"))
+        # one page wrapped in a list: the only element is itself a list whose first element is a list of lines
+        wrapped = _cell(doc, "$[0][0][0][0]", "array<variant>").isNotNull() & _cell(doc, "$[1]", "variant").isNull()
+        return F.when(wrapped, _cell(doc, "$[0]", "array<variant>")).otherwise(entries)
 
     def to_box(entry: Column) -> Column:
-        listed = _cell(entry, "$", "array<variant>").isNotNull()
-        polygon = F.when(listed, _cell(entry, "$[0]", "array<array<float>>")).otherwise(
-            _cell(entry, "$.polygon", "array<array<float>>")
+        has_score = _cell(entry, "$.score", "variant").isNotNull()
+
+        def box(polygon: Column, text: Column, score: Column) -> Column:
+            return F.struct(polygon.alias("polygon"), text.alias("text"), score.alias("score")).cast(BOX_DDL)
+
+        listed = box(
+            _cell(entry, "$[0]", "array<array<float>>"), _cell(entry, "$[1][0]", "string"), _cell(entry, "$[1][1]", "double")
         )
-        text = F.when(listed, _cell(entry, "$[1][0]", "string")).otherwise(
-            F.coalesce(_cell(entry, "$.text", "string"), F.lit(""))
+        stored = box(
+            _cell(entry, "$.polygon", "array<array<float>>"),
+            F.coalesce(_cell(entry, "$.text", "string"), F.lit("")),
+            F.when(has_score, _cell(entry, "$.score", "double")).otherwise(F.lit(0.0)),
         )
-        has_score = _cell(entry, "$.score", "variant").isNotNull()
-        stored_score = F.when(has_score, _cell(entry, "$.score", "double")).otherwise(F.lit(0.0))
-        score = F.when(listed, _cell(entry, "$[1][1]", "double")).otherwise(stored_score)
-        return F.struct(polygon.alias("polygon"), text.alias("text"), score.alias("score")).cast(BOX_DDL)
+        return F.when(_cell(entry, "$[0]", "variant").isNotNull(), listed).otherwise(stored)
 
     def well_formed(box: Column) -> Column:
         return box.getField("polygon").isNotNull() & box.getField("text").isNotNull() & box.getField("score").isNotNull()
 
-    return F.filter(F.transform(lines, to_box), well_formed).cast(BOXES_DDL)
+    def boxes_of(doc: Column) -> Column:
+        return F.filter(F.transform(lines_of(doc), to_box), well_formed)
+
+    # the lambda variable holds the parsed document, so it is parsed once
+    per_doc = F.transform(F.array(F.try_parse_json(raw)), boxes_of)
+    return F.coalesce(F.get(per_doc, F.lit(0)), F.array().cast(BOXES_DDL)).cast(BOXES_DDL)

@@ -230,7 +230,8 @@ def running_progress(timings: DataFrame, total: Column, chunk: int = 8192) -> Da
         "routed_cumulative": "_routed",
     }
     run = running_by_index(timed.withColumn("_total", total), ["run_id"], "batch_index", sums, chunk).drop("_routed")
-    rate = _rate(F.col("processed_cumulative"), F.greatest(F.col("elapsed_cumulative"), F.lit(1e-6)))
+    elapsed = F.greatest(F.col("elapsed_cumulative").cast("double"), F.lit(1e-6))
+    rate = _rate(F.col("processed_cumulative"), elapsed)
     left = F.greatest(F.lit(0), F.col("_total") - F.col("processed_cumulative"))
     return (
         run.withColumn("quarantine_rate_cumulative", _rate(F.col("quarantine_cumulative"), F.col("routed_cumulative")))

@@ -82,6 +82,9 @@ def _other_dims(heads: pd.Series) -> pd.DataFrame:
     )
 
 
+_other_dims = _other_dims.asNondeterministic()  # so that a filter on the result does not run it a second time
+
+
 def image_dims(df: DataFrame, content: str = "content") -> DataFrame:
     """Adds ``width``, ``height``, ``pixels`` (null when unreadable).
 

@@ -114,13 +114,15 @@ def mask_entities(
     for kind, n in sizes.items():
         total = total + n
         chars = chars + F.aggregate(f"_m_{kind}", F.lit(0), lambda acc, m: acc + F.length(m))
-    return found.select(
-        *[F.col(c) for c in df.columns],
+    result = F.struct(
         F.col("_masked").alias("masked"),
         total.alias("entity_count"),
         chars.alias("masked_chars"),
         *[n.alias(f"n_{kind.lower()}") for kind, n in sizes.items()],
     )
+    # A filter on the results must not be pushed below them, which would run the whole chain of patterns again
+    # inside the predicate. It cannot pass a generator.
+    return found.select(*[F.col(c) for c in df.columns], F.inline(F.array(result)))
 
 
 def residual_count(text: Column, patterns: Mapping[str, str] = PATTERNS) -> Column:

@@ -107,6 +107,10 @@ def screen_reasons(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", reject_reason(F.col("n_chars"), F.col("n_chars"), _SCREEN).alias("reject_reason"))
 
 
+_SIZE = """CASE WHEN {n} < 1024 THEN {n} || ' B' WHEN {n} < 1048576 THEN printf('%.2f KiB', {n} / 1024.0)
+    WHEN {n} < 1073741824 THEN printf('%.2f MiB', {n} / 1048576.0) ELSE printf('%.2f GiB', {n} / 1073741824.0) END"""
+
+
 @query("SELECT doc_id FROM documents WHERE n_chars BETWEEN 100 AND 4000")
 def screened_items(t: Tables) -> DataFrame:
     items = t.documents.select("doc_id", F.col("n_chars").alias("length"), F.col("n_chars").alias("pixels"))
@@ -114,9 +118,7 @@ def screened_items(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.2f KiB', n_chars / 1024.0)
-    ELSE printf('%.2f MiB', n_chars / 1048576.0) END AS shown,
-    CASE WHEN big < 1073741824 THEN printf('%.2f MiB', big / 1048576.0) ELSE printf('%.2f GiB', big / 1073741824.0) END AS shown_big
+    f"""SELECT doc_id, {_SIZE.format(n='n_chars')} AS shown, {_SIZE.format(n='big')} AS shown_big
     FROM (SELECT doc_id, n_chars, n_chars * 262144 AS big FROM documents)"""
 )
 def human_sizes(t: Tables) -> DataFrame:

@@ -199,7 +199,8 @@ def normalize_raw_boxes(t: Tables) -> DataFrame:
     polygon = F.format_string("[[%d,0],[%d,1]]", "l_partkey", "l_partkey")
     score, text = F.col("l_discount").cast("string"), F.col("l_returnflag")
     raw = F.concat(F.lit("[["), polygon, F.lit(',["'), text, F.lit('",'), score, F.lit(']],['), polygon, F.lit(',["n"]],"junk"]'))
-    boxes = t.lineitem.select("l_orderkey", "l_linenumber", normalize_boxes(raw).alias("b"))
+    lines = t.texts("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_returnflag")
+    boxes = lines.select("l_orderkey", "l_linenumber", normalize_boxes(raw).alias("b"))
     first = F.get("b", F.lit(0))
     return boxes.select(
         "l_orderkey", "l_linenumber", box_count(F.col("b")).alias("boxes"), max_score(F.col("b")).alias("score"),

@@ -269,15 +269,18 @@ def last_per_image(t: Tables) -> DataFrame:
 
 _PROGRESS = """, tot AS (SELECT run_id, count(*) AS total FROM outcomes GROUP BY run_id),
     prog AS (SELECT b.run_id, batch_index, images, elapsed_sec, total,
-      CAST(sum(images) OVER w AS BIGINT) AS pc, sum(elapsed_sec) OVER w AS ec,
+      CAST(sum(images) OVER w AS BIGINT) AS pc, CAST(sum(CAST(elapsed_sec AS DECIMAL(20, 4))) OVER w AS DOUBLE) AS ec,
       CAST(sum(quarantine) OVER w AS BIGINT) AS qc, CAST(sum(pass + quarantine + manual_review) OVER w AS BIGINT) AS rc
       FROM batches b JOIN tot USING (run_id)
       WINDOW w AS (PARTITION BY b.run_id ORDER BY batch_index ROWS UNBOUNDED PRECEDING))"""
 
 
 def _progress(t: Tables) -> DataFrame:
+    """Elapsed times as exact decimals, so that the order of addition does not show."""
     totals = t.outcomes.groupBy("run_id").agg(F.count("*").alias("total"))
-    return R.running_progress(t.batches.join(totals, "run_id"), F.col("total"))
+    timings = t.batches.withColumn("elapsed_sec", F.col("elapsed_sec").cast("decimal(20,4)"))
+    run = R.running_progress(timings.join(totals, "run_id"), F.col("total"))
+    return run.withColumn("elapsed_cumulative", F.col("elapsed_cumulative").cast("double"))
 
 
 @query(

@@ -107,3 +107,10 @@ def test_long_text_is_scanned_to_the_end(spark):
     text = "word " * 40_000 + "end@example.org"
     got = mask_entities(spark.createDataFrame([(1, text)], "id int, text string"), "text").first()
     assert got["entity_count"] == 1 and got["masked"].endswith("[EMAIL]")
+
+
+def test_filter_on_the_result_does_not_repeat_the_patterns(samples):
+    audit = anonymize_text(samples, "text")
+    plan = audit.filter("final_decision = 'pass' and entity_count > 0").select("id", "masked")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_replace") <= 2 * len(PATTERNS)
