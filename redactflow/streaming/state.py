@@ -43,24 +43,26 @@ class _RetryBudget(StatefulProcessor):
         retries, settled = self.state.get() if self.state.exists() else (0, False)
         if settled:
             return
-        kept: pd.DataFrame | None = None
+        fails, passes = [], []
         for part in rows:
-            seen = part if kept is None else pd.concat([kept, part])
-            kept = _first_attempts(seen, self.budget)
+            passed = (part["decision"] == "pass").to_numpy()
+            attempt = part["attempt"].to_numpy()
+            fails = sorted([*fails, *attempt[~passed].tolist()])[: self.budget]
+            passes = sorted([*passes, *attempt[passed].tolist()])[:1]
         out = []
-        for attempt, decision in zip(kept["attempt"].tolist(), kept["decision"].tolist()):
-            if decision == "pass":
-                route, settled = CLEAN, True
-            else:
+        for attempt, is_fail in sorted([(a, True) for a in fails] + [(a, False) for a in passes]):
+            if is_fail:
                 retries += 1
                 settled = retries >= self.budget
                 route = MANUAL if settled else QUARANTINE
-            out.append((key[0], int(attempt), route, retries))
+            else:
+                route, settled = CLEAN, True
+            out.append((key[0], attempt, route, retries))
             if settled:
                 break
         self.state.update((retries, settled))
         yield pd.DataFrame(out, columns=["stem", "attempt", "route", "retry_count"]).astype(
-            {"attempt": "int64", "retry_count": "int32"}
+            {"stem": object, "attempt": "int64", "route": object, "retry_count": "int32"}
         )
 
     def close(self) -> None:
@@ -74,7 +76,7 @@ def retry_budget(attempts: DataFrame, settings: Settings = DEFAULTS) -> DataFram
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield _first_attempts(rows, budget)
+            yield _first_attempts(rows, budget).astype({"stem": object, "decision": object})
 
     slim = attempts.select("stem", F.col("attempt").cast("bigint").alias("attempt"), "decision")
     schema = "stem string, attempt bigint, decision string"
@@ -87,65 +89,66 @@ def retry_budget(attempts: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     )
 
 
-def _runs(rows: pd.DataFrame, stale: pd.Timedelta) -> pd.DataFrame:
-    """Renewals of each lease as runs without a gap longer than ``stale``."""
-    ordered = rows.sort_values(["lease", "first_seen"], kind="stable")
-    ended = ordered.groupby("lease", sort=False)["last_seen"].cummax()
-    before = ended.groupby(ordered["lease"], sort=False).shift()
-    fresh = before.isna() | (ordered["first_seen"] - before > stale)
-    return (
-        ordered.assign(run=fresh.cumsum())
-        .groupby(["lease", "run"], sort=False)
-        .agg(first_seen=("first_seen", "min"), last_seen=("last_seen", "max"))
-        .reset_index()[["lease", "first_seen", "last_seen"]]
+def _merge(spans: list[tuple[int, int]], stale_us: int) -> list[tuple[int, int]]:
+    """Spans of renewals in order, joined where no gap is longer than ``stale_us``."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and first - out[-1][1] <= stale_us:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
+def _runs(rows: pd.DataFrame, stale_us: int) -> pd.DataFrame:
+    """Renewals of each lease in one batch as runs without a longer gap."""
+    ordered = rows.sort_values(["lease", "at_us"], kind="stable")
+    gap = ordered.groupby("lease", sort=False)["at_us"].diff()
+    run = (gap.isna() | (gap > stale_us)).cumsum()
+    spans = ordered.groupby(run, sort=False).agg(
+        lease=("lease", "first"), first_us=("at_us", "min"), last_us=("at_us", "max")
     )
+    return spans[["lease", "first_us", "last_us"]]
 
 
 class _Leases(StatefulProcessor):
-    def __init__(self, stale_sec: int):
-        self.stale_ms = stale_sec * 1000
+    """Times are microseconds since the epoch, so the session time zone plays no part."""
+
+    def __init__(self, stale_us: int):
+        self.stale_us = stale_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last_us", "last_us bigint")
 
-    def _released(self, key, last_us: int) -> tuple:
-        last = pd.Timestamp(last_us, unit="us")
-        return key[0], last, last + pd.Timedelta(milliseconds=self.stale_ms)
-
-    def _frame(self, out: list) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["lease", "last_seen", "released_at"]).astype(
-            {"last_seen": "datetime64[us]", "released_at": "datetime64[us]"}
-        )
-
     def _due_ms(self, last_us: int) -> int:
-        return -(-last_us // 1000) + self.stale_ms
+        return -(-(last_us + self.stale_us) // 1000)
+
+    def _frame(self, key, lasts: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"lease": [key[0]] * len(lasts), "last_us": lasts}).astype({"lease": object, "last_us": "int64"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stale = pd.Timedelta(milliseconds=self.stale_ms)
-        runs: pd.DataFrame | None = None
+        runs: list[tuple[int, int]] = []
         for part in rows:
-            part = part.assign(lease=key[0])[["lease", "first_seen", "last_seen"]]
-            runs = _runs(part if runs is None else pd.concat([runs, part]), stale)
-        last_us = self.last.get()[0] if self.last.exists() else None
-        if last_us is not None:
-            self.handle.deleteTimer(self._due_ms(last_us))
-        out = []
-        for first, end in zip(runs["first_seen"], runs["last_seen"]):
-            first_us, end_us = first.value // 1000, end.value // 1000
-            if last_us is not None and first_us - last_us > self.stale_ms * 1000:
-                out.append(self._released(key, last_us))
-            last_us = end_us if last_us is None else max(last_us, end_us)
-        self.last.update((last_us,))
-        self.handle.registerTimer(self._due_ms(last_us))
-        yield self._frame(out)
+            runs = _merge([*runs, *zip(part["first_us"].tolist(), part["last_us"].tolist())], self.stale_us)
+        last = self.last.get()[0] if self.last.exists() else None
+        if last is not None:
+            self.handle.deleteTimer(self._due_ms(last))
+        released = []
+        for first, end in runs:
+            if last is not None and first - last > self.stale_us:
+                released.append(last)
+            last = end if last is None else max(last, end)
+        self.last.update((last,))
+        self.handle.registerTimer(self._due_ms(last))
+        yield self._frame(key, released)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.last.exists():
             return
-        released = self._released(key, self.last.get()[0])
+        released = self.last.get()[0]
         self.last.clear()
-        yield self._frame([released])
+        yield self._frame(key, [released])
 
     def close(self) -> None:
         pass
@@ -157,21 +160,27 @@ def stale_leases(renewals: DataFrame, settings: Settings = DEFAULTS, late: str =
     ``renewals``: lease string, ts timestamp. A release is emitted when a later renewal shows the gap, or by
     event-time timer once the watermark has passed it.
     """
-    stale = pd.Timedelta(seconds=settings.lock_stale_sec)
+    stale_us = settings.lock_stale_sec * 1_000_000
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield _runs(rows, stale)
+            yield _runs(rows, stale_us).astype({"lease": object})
 
-    spans = renewals.select("lease", F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"))
-    reduced = spans.mapInPandas(reduce, "lease string, first_seen timestamp, last_seen timestamp")
-    return (
-        reduced.withWatermark("last_seen", late)
+    slim = renewals.select("lease", F.unix_micros("ts").alias("at_us"))
+    reduced = slim.mapInPandas(reduce, "lease string, first_us bigint, last_us bigint")
+    released = (
+        reduced.withColumn("seen", F.timestamp_micros("last_us"))
+        .withWatermark("seen", late)
         .groupBy("lease")
         .transformWithStateInPandas(
-            statefulProcessor=_Leases(settings.lock_stale_sec),
-            outputStructType=StructType.fromDDL("lease string, last_seen timestamp, released_at timestamp"),
+            statefulProcessor=_Leases(stale_us),
+            outputStructType=StructType.fromDDL("lease string, last_us bigint"),
             outputMode="Append",
             timeMode="EventTime",
         )
     )
+    return released.select(
+        "lease",
+        F.timestamp_micros("last_us").alias("last_seen"),
+        F.timestamp_micros(F.col("last_us") + stale_us).alias("released_at"),
+    )
