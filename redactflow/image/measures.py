@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -13,9 +14,10 @@ LONGEST = 512
 
 
 def to_gray(rgb: np.ndarray) -> np.ndarray:
-    return np.rint(rgb.astype(np.float64) @ np.array([0.299, 0.587, 0.114]))
+    return np.rint(0.299 * rgb[..., 0] + 0.587 * rgb[..., 1] + 0.114 * rgb[..., 2])
 
 
+@lru_cache(maxsize=64)
 def _area_weights(size_in: int, size_out: int) -> np.ndarray:
     edges = np.linspace(0, size_in, size_out + 1)
     low, high = edges[:-1, None], edges[1:, None]
@@ -27,16 +29,19 @@ def _area_weights(size_in: int, size_out: int) -> np.ndarray:
 def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Area-average resize of a 2-d or 3-d raster."""
     rows, cols = _area_weights(image.shape[0], height), _area_weights(image.shape[1], width)
-    return np.einsum("ij,jk...,lk->il...", rows, image.astype(np.float64), cols, optimize=True)
+    across = np.tensordot(cols, image.astype(np.float64), axes=(1, 1))  # width first
+    down = np.tensordot(rows, across, axes=(1, 1))
+    return down
 
 
 def _small_gray(rgb: np.ndarray) -> np.ndarray:
-    height, width = rgb.shape[:2]
+    gray = to_gray(rgb)
+    height, width = gray.shape
     longest = max(height, width)
     if longest > LONGEST:
         scale = LONGEST / longest
-        rgb = np.rint(resize_area(rgb, max(1, int(height * scale)), max(1, int(width * scale))))
-    return to_gray(rgb)
+        gray = np.rint(resize_area(gray, max(1, int(height * scale)), max(1, int(width * scale))))
+    return gray
 
 
 def _window_mean(values: np.ndarray) -> np.ndarray:

@@ -24,6 +24,9 @@ def local_session(cores: str | int = "*", app: str = "redactflow", **conf: str)
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        # one thread of numerical libraries per Python worker: the tasks already use all cores
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

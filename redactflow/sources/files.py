@@ -20,8 +20,8 @@ def _load(spark: SparkSession, fmt: str, path: str, recursive: bool, **options:
     return reader.load(path)
 
 
-def empty_files(files: DataFrame, path: Column | None = None) -> DataFrame:
-    """Paths of zero-length files of a file scan.
+def empty_files(files: DataFrame) -> DataFrame:
+    """Paths of zero-length files of a ``binaryFile`` scan.
 
     Spark's scans leave such files out, although the file index it keeps on the driver has them. The names in
     that index are compared with the scan; contents are not touched. For folders whose names are too many for the
@@ -32,8 +32,7 @@ def empty_files(files: DataFrame, path: Column | None = None) -> DataFrame:
     # the index gives URIs, the scan gives plain paths
     plain = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
     as_path = F.regexp_replace(plain, "^file:/+", "file:/").alias("path")
-    seen = files.select((path if path is not None else F.col("path")).alias("path"))
-    seen = seen.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    seen = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
     return indexed.select(as_path).join(seen, "path", "left_anti")
 
 
@@ -104,7 +103,8 @@ def decode_images(
     raw = _load(spark, "image", path, False, dropInvalid="false")
     found = _rasters(raw)
     if include_empty:
-        found = found.unionByName(empty_files(raw, F.col("image.origin")), allowMissingColumns=True)
+        listed = _load(spark, "binaryFile", path, False)  # names only: nothing is decoded for the comparison
+        found = found.unionByName(empty_files(listed), allowMissingColumns=True)
     return _image_rows(found, extensions)
 
 
