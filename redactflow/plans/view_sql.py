@@ -6,8 +6,8 @@ VIEW_SQL: dict[str, str] = {
     "items": "SELECT CAST(doc_id AS VARCHAR) AS stem, n_chars AS length, sha256(text) AS sha256, source, doc_id FROM documents",
     "listing": "SELECT stem AS path, sha256, length AS size_bytes FROM items",
     "copied": """SELECT stem AS path,
-        CASE WHEN doc_id % 37 = 0 THEN reverse(sha256) WHEN doc_id % 5 = 0 THEN upper(sha256) ELSE sha256 END AS sha256,
-        length AS size_bytes FROM items WHERE doc_id % 41 <> 0""",
+        CASE WHEN source = 'src5' THEN reverse(sha256) WHEN source IN ('src1', 'src9') THEN upper(sha256) ELSE sha256 END AS sha256,
+        length AS size_bytes FROM items WHERE source <> 'src3'""",
     "files": """SELECT (['final_clean', 'logs/batch_summaries', 'temp_processed'])[doc_id % 3 + 1] AS root,
         (['orig_', 'thumb_', 'test_', 'perf_', '', ''])[doc_id % 6 + 1] || CAST(doc_id AS VARCHAR)
           || (['.jpg', '.PNG', '.mp4', '.json', '.tiff'])[doc_id % 5 + 1] AS rel_path,

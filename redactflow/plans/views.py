@@ -45,10 +45,11 @@ class Tables:
 
     @cached_property
     def copy(self) -> DataFrame:
-        """A copy of the listing with some hashes in upper case, some changed and some rows lost."""
-        k = F.col("doc_id")
-        altered = F.when(k % 37 == 0, F.reverse("sha256")).when(k % 5 == 0, F.upper("sha256")).otherwise(F.col("sha256"))
-        return self.items.filter(k % 41 != 0).select(
+        """A copy of the listing in which one source was lost, one was changed and two have hashes in upper case."""
+        source, digest = F.col("source"), F.col("sha256")
+        altered = F.when(source == "src5", F.reverse(digest)).when(source.isin("src1", "src9"), F.upper(digest))
+        altered = altered.otherwise(digest)
+        return self.items.filter(source != "src3").select(
             F.col("stem").alias("path"), altered.alias("sha256"), F.col("length").alias("size_bytes")
         )
 
