@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactflow.llm import language
+from redactflow.llm import language, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learn(docs.filter(~language.held_out()))
     judged = language.predict(docs.select("doc_id", "text"), model)
     return judged.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.round("coverage", 6).alias("coverage"))
+
+
+@register
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
