@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactflow.llm import decontaminate, language, simhash
+from redactflow.llm import decontaminate, language, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,15 @@ m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAS
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+@register
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = pii.personal_data(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *[pii.count_of(k, F.col("base")).alias(f"n_{k}") for k in pii.KINDS[:4]],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        F.concat_ws(",", F.nullif(pii.listed(F.col("base")), F.lit("")), F.nullif(pii.listed(F.col("extra")), F.lit(""))).alias("spans"),
+    )
