@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactflow.llm import decontaminate, language, pii, simhash
+from redactflow.llm import decontaminate, language, mixing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
         F.concat_ws(",", F.nullif(pii.listed(F.col("base")), F.lit("")), F.nullif(pii.listed(F.col("extra")), F.lit(""))).alias("spans"),
     )
+
+
+@register
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources by weight takes of every document."""
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op8_mixing"] = """WITH d AS (SELECT doc_id, source,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || left(md5('mix:' || doc_id), 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY 1),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * source_size AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / w, i) AS k FROM w),
+l AS (SELECT *, CAST((SELECT sum(source_size) FROM w) - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+  / CAST(sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM o),
+f AS (SELECT level FROM l WHERE cap >= level * w ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM f) * w) AS target FROM w),
+q AS (SELECT *, CAST(floor(target) AS BIGINT) AS quota FROM t),
+c AS (SELECT d.doc_id, d.size, q.source_size, q.target, CASE WHEN q.source_size > 0 THEN q.quota // q.source_size ELSE 0 END AS whole,
+  CASE WHEN q.source_size > 0 THEN q.quota % q.source_size ELSE 0 END AS rest,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - gone)) AS BIGINT) AS taken FROM c"""
