@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactflow.llm import decontaminate, language, mixing, pii, simhash
+from redactflow.llm import decontaminate, fingerprints, language, mixing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +108,9 @@ c AS (SELECT d.doc_id, d.size, q.source_size, q.target, CASE WHEN q.source_size
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - gone)) AS BIGINT) AS taken FROM c"""
+
+
+@register
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text edited with the next document's."""
+    return fingerprints.with_next(documents(spark, sf_dir))
