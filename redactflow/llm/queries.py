@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactflow.llm import decontaminate, fingerprints, language, mixing, pii, simhash
+from redactflow.llm import decontaminate, fingerprints, language, licenses, mixing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,3 +114,24 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its text edited with the next document's."""
     return fingerprints.with_next(documents(spark, sf_dir))
+
+
+@register
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base license phrases and all license labels of every document."""
+    found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("detections", lambda d: d["base"])
+
+    def labels(of):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda d: d["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(F.transform(base, lambda d: d["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda d: d["start"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("detections")).alias("labels"),
+        (F.coalesce(F.array_max(F.transform("detections", lambda d: d["priority"])), F.lit(0)) / 100).alias("score"),
+    )
