@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactflow.llm import decontaminate, fingerprints, language, licenses, mixing, pii, simhash
+from redactflow.llm import decontaminate, fingerprints, language, licenses, mixing, pii, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,21 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels(F.col("detections")).alias("labels"),
         (F.coalesce(F.array_max(F.transform("detections", lambda d: d["priority"])), F.lit(0)) / 100).alias("score"),
     )
+
+
+@register
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 20 words that start earlier."""
+    found = substrings.drop_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op5_substrings"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20),
+s AS (SELECT doc_id, k, row_number() OVER (PARTITION BY array_to_string(w[k:k + 19], ' ') ORDER BY doc_id, k) AS nth FROM p),
+c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS i FROM s WHERE nth > 1),
+r AS (SELECT doc_id, list(i) AS gone, count(*) AS n_removed FROM c GROUP BY 1),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM
+  (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE (doc_id, i) NOT IN (SELECT doc_id, i FROM c) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)"""
