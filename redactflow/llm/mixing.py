@@ -104,7 +104,7 @@ def _cutoffs(rows: DataFrame, rest: DataFrame) -> DataFrame:
         shift = HASH_BITS - LEVEL_BITS * level
         cell = F.shiftright("h", shift)
         inside = rows.select("pattern", "size", cell.alias("cell")).groupBy("pattern", "cell").agg(F.sum("size").alias("n"))
-        inside = inside.join(cut, "pattern").filter(F.shiftright("cell", LEVEL_BITS) == F.col("at"))
+        inside = inside.join(F.broadcast(cut), "pattern").filter(F.shiftright("cell", LEVEL_BITS) == F.col("at"))
         # at most 2**LEVEL_BITS cells of a pattern
         upto = Window.partitionBy("pattern").orderBy("cell")
         ends = inside.withColumn("upto", F.col("before") + F.sum("n").over(upto))
@@ -152,7 +152,8 @@ def mix(docs: DataFrame, sources: Column | None = None, doc_id: str = "doc_id",
     plan = spark.createDataFrame(plan, "pattern string, whole bigint, rest bigint, source_size bigint, target double")
 
     cut = _cutoffs(thin, plan.filter("rest > 0"))
-    joined = thin.join(plan, "pattern").join(cut.select("pattern", "at", "before"), "pattern", "left")
+    # both have a row for each pattern, all of which the driver has already held: documents need not move to meet them
+    joined = thin.join(F.broadcast(plan), "pattern").join(F.broadcast(cut.select("pattern", "at", "before")), "pattern", "left")
     cell = F.shiftright("h", HASH_BITS - LEVEL_BITS * LEVELS)
     edge = Window.partitionBy("pattern").orderBy("h", "_id", "_key", "_row").rowsBetween(Window.unboundedPreceding, -1)
     outside = joined.filter(F.col("at").isNull() | (cell != F.col("at")))

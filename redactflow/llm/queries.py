@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactflow.llm import decontaminate, fingerprints, language, licenses, mixing, pii, simhash, substrings
+from redactflow.llm import decontaminate, fingerprints, language, licenses, mixing, ngrams, pii, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,3 +153,13 @@ t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM
   (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE (doc_id, i) NOT IN (SELECT doc_id, i FROM c) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+@register
+def op1_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a model of those that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = ngrams.learn(docs.filter(~ngrams.held_out()))
+    return ngrams.score(docs, model).select(
+        "doc_id", ngrams.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redactflow.llm.packing import packed, unpacked
 from redactflow.llm.table import col
 from redactflow.llm.words import CHUNK_BYTES, Words, window_keys, words_of
 from redactflow.session import cut_lineage, scratch_path
@@ -124,19 +125,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[Block]:
         yield close()
 
 
-def _packed(values: np.ndarray) -> tuple[int, bytes]:
-    """Sorted integers as differences of as few bytes as the largest needs."""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return width, np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _unpacked(width: int, blob: bytes) -> np.ndarray:
-    wide = np.zeros((len(blob) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
-
-
 def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
     """Where each of ``n`` equal ranges of 64-bit keys starts among the sorted ``keys``."""
     edges = np.array([(i << 64) // n for i in range(n)], np.uint64)
@@ -157,7 +145,7 @@ def _key_rows(ranges: int, room: int):
             short = block.keys >> np.uint64(64 - KEY_BITS)
             for i in range(ranges):
                 if cuts[i + 1] > cuts[i]:
-                    width, blob = _packed(short[cuts[i] : cuts[i + 1]])
+                    width, blob = packed(short[cuts[i] : cuts[i + 1]])
                     for k, v in zip(out, (i, block.number, width, blob), strict=True):
                         out[k].append(v)
             for k, v in zip(out, (-1, block.number, 8, _counts_of(block.paths(block.first)).astype("<i8").tobytes()), strict=True):
@@ -178,7 +166,7 @@ def _batch(out: dict[str, list]) -> pa.RecordBatch:
 def _shared_keys(rows: pa.Table) -> pa.Table:
     """Of one range: for each block, which of its keys another block has."""
     blocks, widths, blobs = (rows.column(c).to_pylist() for c in ("block", "width", "blob"))
-    each = [_unpacked(w, b) for w, b in zip(widths, blobs, strict=True)]
+    each = [unpacked(w, b) for w, b in zip(widths, blobs, strict=True)]
     sizes = [len(x) for x in each]
     values = np.concatenate(each)
     order = np.argsort(values, kind="stable")
