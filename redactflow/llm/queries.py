@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactflow.llm import decontaminate, fingerprints, language, licenses, mixing, ngrams, pii, simhash, substrings
+from redactflow.llm import decontaminate, fingerprints, language, licenses, mixing, ngrams, pii, simhash, substrings, toolcalls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -163,3 +163,64 @@ def op1_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(docs, model).select(
         "doc_id", ngrams.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+TOOL_SCHEMAS = {
+    "lookup": {"limit": ("integer", False), "text": ("string", True)},
+    "search": {"limit": ("integer", True), "text": ("string", True)},
+    "summarise": {"limit": ("number", True), "text": ("string", True)},
+}
+_TOOLS = list(TOOL_SCHEMAS)
+
+
+def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as an agent's log: every assistant turn calls a tool with its text, every user turn is the result
+    of the call in the turn before; every second call builds on the call two turns before."""
+    quoted = "substring(to_json(array(t)), 2, length(to_json(array(t))) - 2)"
+    return (
+        spark.read.parquet(f"{sf_dir}/conversations.parquet")
+        .select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("t"))
+        .withColumns({"n": F.length("t"), "me": F.concat_ws("-", F.lit("c"), "conv_id", "turn"), "back": F.concat_ws("-", F.lit("c"), "conv_id", F.col("turn") - 2), "before": F.concat_ws("-", F.lit("c"), "conv_id", F.col("turn") - 1)})
+        .withColumn("limit", F.expr("CASE WHEN n % 11 = 0 THEN '' WHEN n % 7 = 0 THEN ',\"limit\":\"many\"' ELSE concat(',\"limit\": ', n) END"))
+        .withColumn("after", F.expr("CASE WHEN turn >= 3 AND n % 2 = 0 THEN concat(',\"after\":[\"', back, '\"]') ELSE '' END"))
+        .withColumn("tool", F.expr(f"element_at(array('{_TOOLS[0]}', '{_TOOLS[1]}', '{_TOOLS[2]}'), cast(turn % 3 + 1 as int))"))
+        .select(
+            "conv_id",
+            "turn",
+            F.expr("CASE role WHEN 'user' THEN 'tool' ELSE role END").alias("role"),
+            F.expr(
+                "CASE role WHEN 'assistant' THEN concat('I call <tool_call>{\"name\": \"', tool, '\", \"arguments\": {\"text\": ', "
+                + quoted
+                + ", limit, '}, \"id\":\"', me, '\"', after, '}</tool_call> now') "
+                "WHEN 'user' THEN concat('<tool_result>{\"id\":\"', before, '\",\"content\":{\"turn\":', turn, ', \"chars\":', n, '}}</tool_result>') ELSE t END"
+            ).alias("text"),
+        )
+    )
+
+
+@register
+def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All calls of all conversations, linked, ordered, checked and written as canonical JSON."""
+    linked = toolcalls.link(tool_messages(spark, sf_dir), TOOL_SCHEMAS)
+    return linked.select(
+        "conv_id", "position", "level", "id", "name", "call_turn", "result_turn", "n_results", "valid", "problems", F.sha2("json", 256).alias("json_sha256")
+    )
+
+
+SQL["op4_toolcalls"] = r"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM conversations),
+a AS (SELECT conv_id, turn, t, n, 'c-' || conv_id || '-' || turn AS id, ['lookup', 'search', 'summarise'][turn % 3 + 1] AS name,
+  turn >= 3 AND n % 2 = 0 AS follows FROM c WHERE role = 'assistant'),
+k AS (SELECT a.*, b.turn IS NOT NULL AS found FROM a LEFT JOIN a b ON b.conv_id = a.conv_id AND b.turn = a.turn - 2 AND a.follows),
+g AS (SELECT *, sum(CASE WHEN found THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM k),
+l AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS BIGINT) AS level FROM g),
+j AS (SELECT l.*, u.turn AS result_turn, u.n AS result_n FROM l LEFT JOIN c u ON u.conv_id = l.conv_id AND u.turn = l.turn + 1 AND u.role = 'user')
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn) AS position, level, id, name, turn AS call_turn, result_turn,
+  CASE WHEN result_turn IS NULL THEN 0 ELSE 1 END AS n_results,
+  NOT (n % 11 = 0 AND name <> 'lookup') AND NOT (n % 11 <> 0 AND n % 7 = 0) AS valid,
+  concat_ws('; ', CASE WHEN n % 11 = 0 AND name <> 'lookup' THEN 'missing limit' END,
+    CASE WHEN n % 11 <> 0 AND n % 7 = 0 THEN CASE WHEN name = 'summarise' THEN 'not number: limit' ELSE 'not integer: limit' END END,
+    CASE WHEN follows AND NOT found THEN 'unknown call' END, CASE WHEN result_turn IS NULL THEN 'no result' END) AS problems,
+  sha256('{"arguments":{' || CASE WHEN n % 11 = 0 THEN '' WHEN n % 7 = 0 THEN '"limit":"many",' ELSE '"limit":' || n || ',' END || '"text":' || CAST(to_json(t) AS VARCHAR)
+    || '},"id":"' || id || '","name":"' || name || '","result":'
+    || CASE WHEN result_turn IS NULL THEN 'null' ELSE '{"chars":' || result_n || ',"turn":' || result_turn || '}' END || '}') AS json_sha256
+FROM j"""
