@@ -124,8 +124,8 @@ def forest(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return edges
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting lists arrive sorted; a list longer than ``LIST`` is handed on (``mask`` not null)."""
+def _link(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
+    """Posting lists arrive sorted; a list longer than ``room`` is handed on (``mask`` not null)."""
     fields = ["a", "b", "mask"]
 
     def edges_of(a, b):
@@ -164,7 +164,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, held_key, held_n, long = [], key, 0, False
             held_n += len(own)
             held.append(own)
-            if long or held_n > LIST:
+            if long or held_n > room:
                 for part in held:
                     yield handed_on(part, key[0])
                 held, long = [], True
@@ -177,7 +177,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield edges_of(prints[two][hit], prints[two + 1][hit])
         for s, n in zip(starts[inner][sizes > 2], sizes[sizes > 2], strict=True):
             own = prints[s : s + n]
-            if n > LIST:
+            if n > room:
                 yield handed_on(own, mask[s])
                 continue
             for a, b in forest(own):
@@ -194,7 +194,7 @@ def _posting(prints: DataFrame, masks: list[int]) -> DataFrame:
     return prints.select("fp", F.explode(lists).alias("mask"))
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, room: int = LIST) -> DataFrame:
     """(a, b) edges between distinct fingerprints ``fp`` that connect exactly what links connect."""
     triples = [sum(0xFF << (8 * p) for p in t) for t in covering_triples()]
     todo, found = _posting(prints, triples), None
@@ -202,7 +202,7 @@ def links(prints: DataFrame) -> DataFrame:
         lists = todo.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = lists.repartition(n, "mask", "value").sortWithinPartitions("mask", "value")
-        out = cut_lineage(dealt.mapInArrow(_link, "a bigint, b bigint, mask bigint"), "links")
+        out = cut_lineage(dealt.mapInArrow(lambda batches: _link(batches, room), "a bigint, b bigint, mask bigint"), "links")
         edges = out.filter("mask is null").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
         again = out.filter("mask is not null").select(F.col("a").alias("fp"), "mask").distinct()
