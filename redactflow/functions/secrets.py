@@ -48,21 +48,65 @@ def _secret_key_column(key: Column) -> Column:
     return named | F.lower(key).rlike("|".join(SECRET_FIELD_PARTS))
 
 
+# A JSON text as its tokens: strings, brackets, separators, and the rest (numbers, words, blanks).
+_TOKEN = r'"(?:[^"\\]|\\[\s\S])*+"|[\[\]{}:,]|[^"\[\]{}:,]++'
+
+
 def redact_json_text(text: Column, literals: Sequence[str] = ()) -> Column:
-    """Redact JSON text of unknown shape: values under secret-named keys (plain, or an object or list without
-    further nesting), and secrets inside strings. With a known shape use ``redact_json``, which goes all the way."""
-    value = r'("[\s\S]*?(?<!\\)(?:\\\\)*"|\{[^{}]*\}|\[[^\[\]]*\]|[^,}\]\s]+)'
-    names = "|".join(SECRET_FIELD_PARTS)
-    keyed = rf'(?i)"([^"]*(?:{names})[^"]*|{"|".join(SECRET_FIELD_NAMES)})"\s*:\s*{value}'
-    out = F.regexp_replace(text, keyed, '"$1":"' + REDACTED + '"')
-    inline = rf'(?i)({SECRET_KEYS})\s*[:=]\s*[^\s"\\]+'
-    out = F.regexp_replace(out, inline, "$1=" + REDACTED)
+    """Redact JSON text of unknown shape: whatever stands under a secret-named key, to any depth, becomes a constant,
+    and secrets inside strings are redacted. Text that is no JSON but names such a key becomes the constant as a whole.
+
+    The text is read token by token; ``skip`` is the depth at which a secret value began, ``named`` that the last key
+    was secret. With a known shape use ``redact_json``.
+    """
+    constant = F.lit(f'"{REDACTED}"')
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("last"), F.lit(0).alias("depth"), F.lit(0).alias("skip"), F.lit(False).alias("named"))
+
+    def step(s: Column, token: Column) -> Column:
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        blank = F.trim(token, F.lit(" \t\r\n")) == ""
+        inside = s["skip"] > 0
+        begins = s["named"] & ~inside & ~blank & ~closes & ~token.isin(":", ",")
+        skip = F.when(begins & opens, depth).when(inside & closes & (depth < s["skip"]), 0).otherwise(s["skip"])
+        plain = F.when(token.startswith('"'), redact_secrets_inside(token, literals)).otherwise(token)
+        shown = F.when(begins, constant).when(inside, F.lit("")).otherwise(plain)
+        key = F.substring(s["last"], 2, F.length(s["last"]) - 2)
+        named = F.when(token == ":", s["last"].startswith('"') & _secret_key_column(key)).when(blank, s["named"]).otherwise(F.lit(False))
+        return F.struct(
+            F.concat(s["out"], shown).alias("out"), F.when(blank, s["last"]).otherwise(token).alias("last"), depth.alias("depth"), skip.alias("skip"), named.alias("named")
+        )
+
+    read = F.aggregate(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), start, step, lambda s: s["out"])
+    names = "|".join((*SECRET_FIELD_PARTS, *SECRET_FIELD_NAMES))
+    broken = F.when(text.rlike(f"(?i){names}"), F.lit(REDACTED)).otherwise(redact_secrets(text, literals))
+    return F.when(F.try_parse_json(text).isNotNull(), read).when(text.isNotNull(), broken)
+
+
+def redact_secrets_inside(token: Column, literals: Sequence[str] = ()) -> Column:
+    """Secrets inside one JSON string; its end stays."""
+    out = F.regexp_replace(token, rf'(?i)({SECRET_KEYS})\s*[:=]\s*(?:[^\s"\\]|\\[^nrt])+', "$1=" + REDACTED)
     for literal in literals:
         if len(literal) > 4:
             out = F.replace(out, F.lit(literal), F.lit(REDACTED))
     return out
 
 
+def _blank(dtype: T.DataType, value: Column) -> Column:
+    """``value`` with nothing left in it: texts become the constant at any depth, what can't hold it becomes null."""
+    if isinstance(dtype, T.StringType):
+        return F.when(value.isNotNull(), F.lit(REDACTED))
+    if isinstance(dtype, T.VariantType):
+        return F.when(value.isNotNull(), F.lit(REDACTED).cast("variant"))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: _blank(dtype.elementType, x))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(value, lambda _k, v: _blank(dtype.valueType, v))
+    if isinstance(dtype, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_blank(f.dataType, value.getField(f.name)).alias(f.name) for f in dtype.fields]))
+    return F.lit(None).cast(dtype)
+
+
 def _walk(col: Column, dtype: T.DataType, literals: Sequence[str]) -> Column:
     if isinstance(dtype, T.StringType):
         return redact_secrets(col, literals)
@@ -80,12 +124,10 @@ def _walk(col: Column, dtype: T.DataType, literals: Sequence[str]) -> Column:
     if isinstance(dtype, T.ArrayType) and _holds_text(dtype.elementType):
         return F.transform(col, lambda item: _walk(item, dtype.elementType, literals))
     if isinstance(dtype, T.MapType):
-        if isinstance(dtype.valueType, T.StringType):
-            return F.transform_values(
-                col, lambda k, v: F.when(_secret_key_column(k), F.lit(REDACTED)).otherwise(redact_secrets(v, literals))
-            )
-        if _holds_text(dtype.valueType):
-            return F.transform_values(col, lambda _k, v: _walk(v, dtype.valueType, literals))
+        kind = dtype.valueType
+        return F.transform_values(
+            col, lambda k, v: F.when(_secret_key_column(k.cast("string")), _blank(kind, v)).otherwise(_walk(v, kind, literals))
+        )
     return col
 
 

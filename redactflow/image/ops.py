@@ -20,7 +20,6 @@ from redactflow.image.png import encode_png, orientation, strip_metadata, uprigh
 from redactflow.image.raster import Fill, blur_boxes, boxes_to_mask, redact_regions
 from redactflow.operators.qa import decide, detection_fail, integrity_fail
 from redactflow.operators.route import regions_inpainted, route
-from redactflow.operators.screen import HEAD_BYTES
 from redactflow.schemas import BOXES_DDL
 
 Detector = Callable[[np.ndarray], Sequence[dict]]
@@ -205,8 +204,8 @@ def process_images(
     """
     faces, texts = once_per_worker(make_face_detector), once_per_worker(make_text_detector)
     optional = [F.col("extra_mask_dilation")] if "extra_mask_dilation" in items.columns else []
-    if "content" in items.columns:  # only the part that can hold the orientation
-        optional.append(F.substring("content", 1, HEAD_BYTES).alias("content"))
+    if "content" in items.columns:  # whole: the orientation may stand behind any number of other segments
+        optional.append(F.col("content"))
 
     def run(row: dict) -> dict:
         try:

@@ -1,4 +1,4 @@
-"""A join against a side that is expected to be small, with a measured size and a way out when it is not."""
+"""A join against a side that is expected to be small."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from redactflow.session import cut_lineage
 
 BROADCAST_ROWS = 200_000
-SALTS = 64
 
 
 def join_small(
@@ -18,18 +17,20 @@ def join_small(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    limit: int = BROADCAST_ROWS,
     written: bool = False,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join on ``keys``, which must be unique in ``right``; ``how`` is inner or left.
 
-    ``right`` is written out (unless ``written`` says it already is) and counted. Up to ``limit`` rows it is broadcast. Beyond that both sides are salted,
-    so that a key holding much of ``left`` is spread over ``SALTS`` partitions instead of one.
+    ``right`` is written out (unless ``written`` says it already is), so Spark knows its size in bytes: it broadcasts
+    it when that is small, and otherwise shuffles, splitting a key that holds much of ``left``. With ``null_safe`` a
+    null key meets a null key.
     """
     small = right if written else cut_lineage(right)
-    if small.count() <= limit:
-        return left.join(F.broadcast(small), list(keys), how)
-    others = [F.col(c) for c in left.columns if c not in keys]
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*others) if others else F.lit(0), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    if not null_safe:
+        return left.join(small, list(keys), how)
+    renamed = small.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])

@@ -8,6 +8,7 @@ as many as there are rows).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -36,7 +37,7 @@ def _in_order(df: DataFrame, order: Sequence[Column], partitions: int | None) ->
 
 def _per_part(values: Sequence[float], dtype: str) -> Column:
     """The value of a row's own partition, from one constant list."""
-    listed = F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{dtype}>")
+    listed = F.split(F.lit(",".join(str(v) if isinstance(v, Decimal) else repr(v) for v in values)), ",").cast(f"array<{dtype}>")
     return F.element_at(listed, F.col("_part") + 1)
 
 
@@ -109,8 +110,9 @@ def prefix_sums(
     out = placed
     for name, src in sums.items():
         per_part = {r["_part"]: r[name] for r in totals if r[name] is not None}
-        whole = all(isinstance(v, int) for v in per_part.values())
-        base = _per_part(_offsets(per_part, n, 0 if whole else 0.0), "bigint" if whole else "double")
+        dtype = placed.select(F.sum(src).alias("t")).schema["t"].dataType.simpleString()
+        zero = Decimal(0) if dtype.startswith("decimal") else 0 if dtype == "bigint" else 0.0
+        base = _per_part(_offsets(per_part, n, zero), dtype)
         out = out.withColumn(name, base + F.sum(src).over(in_part))
     return out.drop("_part", "_pos")
 
@@ -163,7 +165,12 @@ def running_by_index(
     totals = keyed.groupBy(*group).agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
     bases = totals.select(*group, *[F.sum(f"_t_{out}").over(before).alias(f"_b_{out}") for out in sums])
     inside = Window.partitionBy(*group).orderBy(index).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = keyed.join(bases, group)
+    # null keys are groups like others
+    right = bases.withColumnsRenamed({g: f"_r_{g}" for g in group})
+    same = F.col("_chunk") == F.col("_r__chunk")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    joined = keyed.join(right, same)
     out = joined.select(
         *[F.col(c) for c in df.columns],
         *[

@@ -244,10 +244,10 @@ def running_progress(timings: DataFrame, total: Column, chunk: int = 8192) -> Da
 def bottlenecks(metrics: DataFrame, factor: float = 1.75, slow_mean: float = 5.0) -> DataFrame:
     """Batches much slower than their run's mean, and runs whose mean is high. Needs ``sec_per_image``.
 
-    The mean is one row per run, joined back by broadcast or salted join depending on its counted size.
+    The mean is one row per run, joined back; batches without a run are a run of their own.
     """
     means = cut_lineage(metrics.groupBy("run_id").agg(F.avg("sec_per_image").alias("avg_sec_per_image")))
-    slow = join_small(metrics, means, ["run_id"], written=True).filter(
+    slow = join_small(metrics, means, ["run_id"], written=True, null_safe=True).filter(
         (F.col("avg_sec_per_image") > 0) & (F.col("sec_per_image") >= F.col("avg_sec_per_image") * factor)
     )
     rows = slow.select(

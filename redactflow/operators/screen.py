@@ -89,15 +89,17 @@ def image_dims(df: DataFrame, content: str = "content") -> DataFrame:
     """Adds ``width``, ``height``, ``pixels`` (null when unreadable).
 
     PNG/GIF/BMP need no Python. JPEG, WebP and TIFF headers are read by an Arrow UDF which sees at most the
-    first 64 KiB, with the whole content as second try for a JPEG whose metadata is longer than that.
+    first 64 KiB, with the whole content as second try for a JPEG whose metadata is longer than that and for a TIFF,
+    whose directory may stand behind the pixels.
     """
     body = F.col(content)
     jvm = df.withColumn("_dims", header_dims(body))
     head = F.when(F.col("_dims").isNull() & (F.length(body) > 0), F.substring(body, 1, HEAD_BYTES))
     once = jvm.withColumn("_more", _other_dims(head))
-    is_jpeg = F.hex(F.substring(body, 1, 2)) == "FFD8"
+    start = F.hex(F.substring(body, 1, 4))
+    goes_on = start.startswith("FFD8") | start.isin("49492A00", "4D4D002A")
     retry = F.when(
-        F.col("_dims").isNull() & F.col("_more.width").isNull() & is_jpeg & (F.length(body) > HEAD_BYTES), body
+        F.col("_dims").isNull() & F.col("_more.width").isNull() & goes_on & (F.length(body) > HEAD_BYTES), body
     )
     twice = once.withColumn("_rest", _other_dims(retry))
     out = twice.withColumns(

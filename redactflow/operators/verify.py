@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactflow.functions.names import normalize_path
-from redactflow.operators.joins import join_small
+from redactflow.operators.order import group_ordinal
 from redactflow.schemas import BOXES_DDL
-from redactflow.session import cut_lineage
 
 
 def _one_per_path(df: DataFrame, side: str) -> DataFrame:
@@ -174,34 +173,21 @@ def merge_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def attach_detections(items: DataFrame, detections: DataFrame, per_row: int = 4096) -> DataFrame:
-    """Items with their boxes as ``boxes array``, empty when there is none.
+    """Items with their boxes as ``boxes array``, empty when there is none, in rows of at most ``per_row`` boxes.
 
-    Boxes of one item travel in rows of about ``per_row``: an item with more gets several rows, numbered ``part``
-    of ``parts``, so no single row, task or array grows with a hot item. All boxes are kept. Usually no item is
-    that large, which one count of partial sums tells, and then a plain group and join remain.
+    An item has ``parts`` rows, numbered ``part`` from 0: one, unless it has more boxes than ``per_row``; all but the
+    last are full. Boxes are numbered by one ordered shuffle, so an item with any number of boxes, equal ones
+    included, is spread over tasks, and no row, task or array grows with it.
     """
-    box = F.struct("polygon", "text", "score")
-    empty = F.array().cast(BOXES_DDL)
-    sizes = detections.groupBy("stem").agg(F.count("*").alias("_boxes"))
-    large = sizes.filter(F.col("_boxes") > per_row).select(
-        "stem", F.ceil(F.col("_boxes") / F.lit(per_row)).cast("int").alias("_parts")
-    )
-    large = cut_lineage(large)
-    if large.isEmpty():
-        grouped = detections.groupBy("stem").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
-        joined = items.join(grouped, "stem", "left")
-        return joined.withColumns({"boxes": F.coalesce("boxes", empty), "part": F.lit(0), "parts": F.lit(1)})
-    split = join_small(detections, large, ["stem"], "left", written=True)
-    spread = F.pmod(F.xxhash64("text", "score", F.to_json("polygon")), F.coalesce("_parts", F.lit(1))).cast("int")
-    grouped = (
-        split.withColumn("part", spread)
-        .groupBy("stem", "part")
-        .agg(F.sort_array(F.collect_list(box)).alias("boxes"))
-    )
-    planned = join_small(items, large, ["stem"], "left", written=True).withColumn("parts", F.coalesce("_parts", F.lit(1)))
-    slots = planned.drop("_parts").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    joined = slots.join(grouped, ["stem", "part"], "left").withColumn("boxes", F.coalesce("boxes", empty))
-    return joined.select(*items.columns, "boxes", "part", "parts")
+    tied = detections.select("stem", "polygon", "text", "score").withColumn("_tie", F.monotonically_increasing_id())
+    order = [F.col("text"), F.col("score"), F.xxhash64("polygon"), F.col("_tie")]
+    numbered = group_ordinal(tied, ["stem"], order, "_nth").withColumn("part", F.expr(f"cast((_nth - 1) div {per_row} AS int)"))
+    boxes = F.sort_array(F.collect_list(F.struct("polygon", "text", "score")))
+    grouped = numbered.groupBy("stem", "part").agg(boxes.alias("boxes"))
+    sizes = numbered.groupBy("stem").agg((F.max("part") + 1).alias("parts"))
+    joined = items.join(sizes, "stem", "left").join(grouped, "stem", "left")
+    filled = {"boxes": F.coalesce("boxes", F.array().cast(BOXES_DDL)), "part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))}
+    return joined.withColumns(filled).select(*items.columns, "boxes", "part", "parts")
 
 
 def box_stats(items: DataFrame, detections: DataFrame) -> DataFrame:

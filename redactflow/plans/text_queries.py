@@ -67,7 +67,7 @@ def audited_sql(table: str, key: str, column: str) -> str:
       CASE WHEN length(original) > 0 THEN (length(original) - masked_chars) / length(original)::DOUBLE ELSE 1.0 END
         AS retained_ratio FROM found),
     checked AS (SELECT *, residual_count > 0 AS detection_fail,
-      retained_ratio < {DEFAULTS.retained_ratio_min} AS integrity_fail FROM measured),
+      original IS NULL OR retained_ratio < {DEFAULTS.retained_ratio_min} AS integrity_fail FROM measured),
     audited AS (SELECT *, CASE WHEN detection_fail OR integrity_fail THEN 'fail' ELSE 'pass' END AS final_decision,
       CASE WHEN detection_fail OR integrity_fail THEN 'quarantine' ELSE 'final_clean' END AS route,
       CASE WHEN detection_fail OR integrity_fail THEN 1 ELSE 0 END AS retry_count,

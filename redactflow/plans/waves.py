@@ -18,7 +18,7 @@ from redactflow.operators import queue as Q
 from redactflow.operators.joins import BROADCAST_ROWS
 from redactflow.operators.qa import recycle_overrides
 from redactflow.operators.route import CLEAN, MANUAL, QUARANTINE, latest_attempt
-from redactflow.session import cut_lineage
+from redactflow.session import NO_TABLE, cut_lineage
 
 Process = Callable[[DataFrame], DataFrame]
 
@@ -26,7 +26,9 @@ Process = Callable[[DataFrame], DataFrame]
 def read_attempts(spark: SparkSession, folder: str) -> DataFrame | None:
     try:
         return spark.read.parquet(f"{folder}/attempts")
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() not in NO_TABLE:
+            raise
         return None
 
 
@@ -71,18 +73,21 @@ def run_waves(
         first = Q.first_per_stem(names.withColumn("priority", F.lit(1)))
         capped = cut_lineage(Q.pilot_cap(first.select("stem", "path"), max_items, [F.col("path"), F.col("stem")]))
         names = Q.within_cap(names, capped)
-    for _ in range(settings.max_waves):
+    for turn in range(settings.max_waves + 1):
         attempts = read_attempts(spark, folder)
         pending = cut_lineage(_pending(spark, names, attempts, rejected, locked, settings))
         wanted = pending.count()
         if wanted == 0:
             break
+        if turn == settings.max_waves:
+            raise RuntimeError(f"{wanted} items are still pending after {turn} waves")
         wave = 0 if attempts is None else attempts.agg(F.max("wave")).first()[0] + 1
         chosen = pick(items, pending, wanted)
         # what the failures so far ask for, counted from the original
         widened = recycle_overrides(F.col("retry_count")).getField("extra_mask_dilation")
         judged = process(chosen.withColumn("extra_mask_dilation", widened))
-        judged.write.parquet(f"{folder}/attempts/wave={wave}")
+        # a wave that a crash left half written is written anew
+        judged.write.mode("overwrite").parquet(f"{folder}/attempts/wave={wave}")
     done = read_attempts(spark, folder)
     if done is None:
         raise ValueError("nothing to process: no item is pending and no attempt was made before")

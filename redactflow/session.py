@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# What Spark says of a folder that is not there, or that holds nothing but the remains of a write that was cut off.
+NO_TABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def local_session(cores: str | int = "*", app: str = "redactflow", **conf: str) -> SparkSession:

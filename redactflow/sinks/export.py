@@ -49,9 +49,14 @@ def export_clean(
     else:
         allowed = join_small(items, passed.select("stem").distinct(), ["stem"])
     chosen = allowed.select("path", "stem", "content", "sha256", size.cast("bigint").alias("size_bytes"))
-    expected = chosen.select("path", "sha256")
-
-    first = f"{target}/items/attempt=0"
+    # names, hashes and sizes once: the manifest, and what verification expects
+    chosen.select("path", "sha256", "size_bytes").write.mode("overwrite").parquet(f"{target}/manifest_files")
+    files = spark.read.parquet(f"{target}/manifest_files")
+    expected = files.select("path", "sha256")
+
+    # second copies of an earlier export must not outlive it
+    first, second = f"{target}/items/attempt=0", f"{target}/items/attempt=1"
+    _parquet(chosen.limit(0), second)
     write(chosen, first)
     sanitize_for_export(passed).write.mode("overwrite").parquet(f"{target}/audit")
     checks = f"{target}/checks"
@@ -60,7 +65,6 @@ def export_clean(
     bad = checked.filter(F.col("status") != "verified").select("path")
 
     if not bad.isEmpty():
-        second = f"{target}/items/attempt=1"
         write(join_small(chosen, bad, ["path"], written=True), second)
         again = verify_hashes(expected.join(bad, "path", "left_semi"), _actual(spark, second))
         again.write.mode("overwrite").parquet(f"{checks}/attempt=1")
@@ -71,9 +75,7 @@ def export_clean(
         )
         failures.write.mode("append").json(f"{target}/failures")
 
-    files = chosen.select("path", "sha256", "size_bytes")
-    files.write.mode("overwrite").parquet(f"{target}/manifest_files")
-    header = manifest_totals(spark.read.parquet(f"{target}/manifest_files")).select(
+    header = manifest_totals(files).select(
         F.lit(TRANSFER_MANIFEST_SCHEMA_NAME).alias("schema"),
         F.lit("export").alias("operation"),
         F.lit(target).alias("remote_uri"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Callable, Sequence
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +15,7 @@ from redactflow.functions.secrets import redact_struct
 from redactflow.operators.reports import last_per_image
 from redactflow.operators.verify import last_entry_per_stem
 from redactflow.schemas import AUDIT_SCHEMA_NAME, RUN_SCOPE_DDL
-from redactflow.session import cut_lineage
+from redactflow.session import NO_TABLE, cut_lineage
 
 
 class ProtectedPathError(PermissionError):
@@ -63,16 +63,28 @@ def write_audit(audit: DataFrame, path: str, now: Column) -> None:
 
 
 def upsert_audit(spark: SparkSession, audit: DataFrame, path: str, now: Column) -> None:
-    """Replace the rows of the given items, keep the other rows of the same batches."""
+    """Replace the rows of the given items wherever they are, keep the other rows of the batches this touches."""
     fresh = cut_lineage(_with_defaults(audit, now))
     try:
         old = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() not in NO_TABLE:
+            raise
         write_audit(fresh, path, now)
         return
-    touched = old.join(fresh.select("batch_id").distinct(), "batch_id", "left_semi")
-    kept = touched.join(fresh.select("stem").distinct(), "stem", "left_anti")
-    write_audit(cut_lineage(kept.unionByName(fresh, allowMissingColumns=True)), path, now)
+    stems = fresh.select("stem").distinct()
+    # names only: the batches that hold, or held, one of the items
+    held = old.select("stem", F.col("batch_id").cast("string").alias("batch_id")).join(stems, "stem", "left_semi").select("batch_id")
+    batches = cut_lineage(held.unionByName(fresh.select("batch_id")).distinct())
+    touched = old.withColumn("batch_id", F.col("batch_id").cast("string")).join(batches, "batch_id", "left_semi")
+    kept = touched.join(stems, "stem", "left_anti")
+    after = cut_lineage(kept.unionByName(fresh, allowMissingColumns=True))
+    write_audit(after, path, now)
+    # a batch whose items have all moved away is not written above: empty it
+    left = batches.join(after.select("batch_id").distinct(), "batch_id", "left_anti")
+    for row in left.toLocalIterator():
+        folder = f"{path}/batch_id={quote(row['batch_id'], safe=' ,;()+-._')}"
+        after.drop("batch_id").limit(0).write.mode("overwrite").parquet(folder)
 
 
 def append_master_audit(decided: DataFrame, path: str) -> None:

@@ -24,8 +24,8 @@ def empty_files(files: DataFrame) -> DataFrame:
     """Paths of zero-length files of a ``binaryFile`` scan.
 
     Spark's scans leave such files out, although the file index it keeps on the driver has them. The names in
-    that index are compared with the scan; contents are not touched. For folders whose names are too many for the
-    driver, turn this off in the readers and take empty files from the store's own inventory table.
+    that index are compared with the scan; contents are not touched. The readers leave this out unless asked, as all
+    names pass through the driver; for large folders take empty files from the store's own inventory table.
     """
     spark = files.sparkSession
     indexed = spark.createDataFrame([(name,) for name in files.inputFiles()], "value string")
@@ -54,7 +54,7 @@ def scan_items(
     spark: SparkSession,
     path: str,
     extensions: Sequence[str] = DEFAULTS.image_extensions,
-    include_empty: bool = True,
+    include_empty: bool = False,
 ) -> DataFrame:
     """Files directly in the folder whose lower-cased suffix is listed. Order by ``path`` where output order matters."""
     return scan_files(spark, path, include_empty=include_empty).filter(F.col("ext").isin(*[e.lower() for e in extensions]))
@@ -94,7 +94,7 @@ def decode_images(
     spark: SparkSession,
     path: str,
     extensions: Sequence[str] = DEFAULTS.image_extensions,
-    include_empty: bool = True,
+    include_empty: bool = False,
 ) -> DataFrame:
     """``path, stem, height, width, channels, data`` (BGR rows); a file that does not decode keeps its row, with nulls.
 

@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,11 +63,23 @@ def test_exact_percentiles_equal_numpy(spark):
             assert r[name] == pytest.approx(np.percentile(data[r["metric"]], p))
 
 
-@pytest.mark.parametrize("limit", [10, 0])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_join_small_same_rows_either_way(spark, limit, how):
-    left = spark.range(200).select("id", F.when(F.col("id") % 3 != 0, 1).otherwise(F.col("id") % 9).alias("k"))
-    right = spark.createDataFrame([(1, "one"), (3, "three")], "k bigint, name string")
-    rows = joins.join_small(left, right, ["k"], how, limit=limit).collect()
-    want = sorted((r["id"], r["name"]) for r in left.join(right, "k", how).collect())
-    assert sorted((r["id"], r["name"]) for r in rows) == want
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_join_small(spark, how, null_safe):
+    key = F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 3 != 0, 1).otherwise(F.col("id") % 9)
+    left = spark.range(200).select("id", key.alias("k"))
+    right = spark.createDataFrame([(1, "one"), (3, "three"), (None, "none")], "k bigint, name string")
+    rows = joins.join_small(left, right, ["k"], how, null_safe=null_safe).collect()
+    names = {1: "one", 3: "three"} | ({None: "none"} if null_safe else {})
+    want = [(r["id"], names.get(r["k"])) for r in left.collect() if how == "left" or r["k"] in names]
+    assert sorted((r["id"], r["name"]) for r in rows) == sorted(want)
+
+
+def test_prefix_sums_of_decimals_are_exact(spark):
+    rows = [(i, Decimal(f"{i}.0{i % 10}")) for i in range(1, 200)]
+    data = spark.createDataFrame(rows, "i long, d decimal(20,2)")
+    got = {r["i"]: r["s"] for r in prefix_sums(data, [F.col("i")], {"s": "d"}).collect()}
+    total = Decimal(0)
+    for i, d in rows:
+        total += d
+        assert got[i] == total
