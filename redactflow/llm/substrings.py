@@ -3,9 +3,9 @@
 Every word position starts a suffix; a passage of ``WIDTH`` words that occurs twice is an internal node at that depth.
 Documents are read in blocks (a run of rows of one partition, about ``BLOCK_BYTES`` of text, ordered by doc_id):
 
-1. *Filter.* Each block sends the sorted, distinct keys of its windows, cut to ``KEY_BITS``, to ranges of keys. A range
-   answers each block with one bit per key: does another block have it? Only suffixes of which the answer is yes can
-   lie below a shared deep node; chance hits are sorted out in step 2.
+1. *Filter.* Each block sends the sorted, distinct keys of its windows, cut to ``KEY_BITS`` below those that name the
+   range, to ranges of keys. A range answers each block with one bit per key: does another block have it? Only suffixes
+   of which the answer is yes can lie below a shared deep node; chance hits are sorted out in step 2.
 2. *Trees.* A suffix travels as its path: ``WIDTH`` words as edges of ``EDGE`` words, each edge hashed to 32 bits, so two
    different passages would have to agree in 160 bits. Groups are prefixes of variable length: ranges of first edges,
    of first and second edges where that is too much for one group, or of whole paths where it still is. A group sorts
@@ -44,8 +44,9 @@ from redactflow.session import cut_lineage, scratch_path
 
 WIDTH = 20
 EDGE = 4
-BLOCK_BYTES = 16 << 20
-KEY_BITS = 48
+BLOCK_BYTES = 8 << 20
+#: Bits of a key inside its range; ranges grow in number with the input, so chance hits stay as rare.
+KEY_BITS = 34
 #: Suffixes that one group takes at most, by the counts of step 1.
 GROUP_SUFFIXES = 2_000_000
 _FAN = 64  # prefixes of one and of two edges are counted in _FAN and _FAN**2 ranges
@@ -63,14 +64,13 @@ class Block:
         self.rows = rows
         self.ids = np.sort(ids)
         self.words = _joined(rows.column("text"))
-        self.at, keys = window_keys(self.words.keys, self.words.bounds, WIDTH)
-        self.order = np.argsort(keys, kind="stable")
-        ranked = keys[self.order]
-        new = np.ones(len(ranked), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        self.new = new
-        self.keys = ranked[new]
-        self.first = self.at[self.order[new]]
+        at, keys = window_keys(self.words.keys, self.words.bounds, WIDTH)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        at = at[order]
+        self.keys, self.first, self.inner = keys[new], at[new], at[~new]
 
     def paths(self, which: np.ndarray) -> np.ndarray:
         """[suffix, edge] of the windows at places ``which``."""
@@ -83,8 +83,7 @@ class Block:
     def repeats(self, repeated: np.ndarray) -> np.ndarray:
         """Places of all windows but those that are first everywhere. ``repeated``: of each key, whether its first
         window here is no first one."""
-        inner = self.at[self.order[~self.new]]
-        return np.concatenate([inner, self.first[repeated]])
+        return np.concatenate([self.inner, self.first[repeated]])
 
 
 def _joined(column: pa.ChunkedArray) -> Words:
@@ -142,13 +141,13 @@ def _key_rows(ranges: int, room: int):
         for block in _blocks(batches, room):
             out = {"part": [], "block": [], "width": [], "blob": []}
             cuts = _ranges(block.keys, ranges)
-            short = block.keys >> np.uint64(64 - KEY_BITS)
+            short = np.uint64(max(0, 64 - KEY_BITS - ranges.bit_length()))
             for i in range(ranges):
                 if cuts[i + 1] > cuts[i]:
-                    width, blob = packed(short[cuts[i] : cuts[i + 1]])
+                    width, blob = packed((block.keys[cuts[i] : cuts[i + 1]] - np.uint64((i << 64) // ranges)) >> short)
                     for k, v in zip(out, (i, block.number, width, blob), strict=True):
                         out[k].append(v)
-            for k, v in zip(out, (-1, block.number, 8, _counts_of(block.paths(block.first)).astype("<i8").tobytes()), strict=True):
+            for k, v in zip(out, (-1 - block.number % ranges, block.number, 8, _counts_of(block.paths(block.first)).astype("<i8").tobytes()), strict=True):
                 out[k].append(v)
             yield _batch(out)
 
@@ -164,8 +163,11 @@ def _batch(out: dict[str, list]) -> pa.RecordBatch:
 
 
 def _shared_keys(rows: pa.Table) -> pa.Table:
-    """Of one range: for each block, which of its keys another block has."""
+    """Of one range: for each block, which of its keys another block has. Negative parts: the sum of some blocks' counts."""
     blocks, widths, blobs = (rows.column(c).to_pylist() for c in ("block", "width", "blob"))
+    if (part := rows.column("part")[0].as_py()) < 0:
+        total = sum(np.frombuffer(b, "<i8") for b in blobs)
+        return pa.Table.from_batches([_batch({"part": [part], "block": [-1], "width": [8], "blob": [total.tobytes()]})])
     each = [unpacked(w, b) for w, b in zip(widths, blobs, strict=True)]
     sizes = [len(x) for x in each]
     values = np.concatenate(each)
@@ -320,7 +322,7 @@ def _removal(key_path: str, tree_path: str, ranges: int, base: np.ndarray, many:
 
 
 def _total(rows: DataFrame) -> np.ndarray:
-    """Sum of the blocks' counts: eight partial sums go to the driver."""
+    """Sum of all counts: eight partial sums go to the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_FAN * _FAN, np.int64)
@@ -329,7 +331,7 @@ def _total(rows: DataFrame) -> np.ndarray:
                 total += np.frombuffer(blob.as_py(), "<i8")
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
 
-    parts = rows.filter("part = -1").select("blob").repartition(8).mapInArrow(add, "blob binary").collect()
+    parts = rows.filter("part < 0").select("blob").repartition(8).mapInArrow(add, "blob binary").collect()
     return sum(np.frombuffer(r["blob"], "<i8") for r in parts)
 
 
@@ -339,9 +341,10 @@ def drop_repeats(
     """doc_id, n_words, n_removed and kept (the words left, joined by one blank) of every row."""
     rows = docs.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).cast("string").alias("text"))
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    keys = cut_lineage(rows.mapInArrow(_key_rows(ranges, room), _ROW), "keys")
-    key_path = _by_block(keys.filter("part >= 0").groupBy("part").applyInArrow(_shared_keys, _ROW), "shared")
-    base, many = plan_groups(_total(keys), ranges, limit)
+    shared = rows.mapInArrow(_key_rows(ranges, room), _ROW).groupBy("part").applyInArrow(_shared_keys, _ROW)
+    shared = cut_lineage(shared, "shared")
+    key_path = _by_block(shared.filter("part >= 0"), "shared")
+    base, many = plan_groups(_total(shared), ranges, limit)
     suffixes = rows.mapInArrow(_suffix_rows(key_path, ranges, base, many, room), _ROW)
     tree_path = _by_block(suffixes.groupBy("part").applyInArrow(_tree, _ROW), "repeats")
     out = "doc_id bigint, n_words bigint, n_removed bigint, kept string"

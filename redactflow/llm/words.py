@@ -23,7 +23,7 @@ SYMBOLS[:0x80] = [not chr(i).isalnum() for i in range(0x80)]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
