@@ -5,6 +5,7 @@ from redactflow.plans import (  # noqa: F401
     image_queries,
     queue_queries,
     record_queries,
+    repair_queries,
     report_queries,
     stream_queries,
     text_queries,

@@ -222,7 +222,9 @@ def check_log_paths(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", parse_check_mismatch(line).alias("path"))
 
 
-@query()
-def table_files_profile(t: Tables) -> DataFrame:
-    """The given tables as files: count and bytes per extension, without reading contents."""
-    return sources.dataset_profile(sources.scan_files(t.spark, t.folder))
+@query("SELECT '.txt' AS ext, 1 AS files, CAST(sum(length(s_name) + 1) AS BIGINT) AS bytes FROM supplier")
+def written_files_profile(t: Tables) -> DataFrame:
+    """Supplier names written as a text file, and the folder profiled without reading contents."""
+    folder = scratch_path(t.spark, "names")
+    t.supplier.select("s_name").coalesce(1).write.text(folder)
+    return sources.dataset_profile(sources.scan_files(t.spark, folder).filter("ext = '.txt'"))

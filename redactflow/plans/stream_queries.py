@@ -76,15 +76,15 @@ def stream_live_metrics(t: Tables) -> DataFrame:
 
 @query(
     f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, {_METRICS} FROM outcomes
-    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
     GROUP BY date_trunc('hour', ts)""",
     "outcomes",
 )
 def stream_windowed_metrics(t: Tables) -> DataFrame:
     target = scratch_path(t.spark, "windows")
     metrics = windowed_metrics(_events(t), F.col("outcome"), F.col("seconds"))
-    drain(write_batches(metrics, target, scratch_path(t.spark, "progress")))
-    out = read_batches(t.spark, target).drop("batch_id")
+    # update mode: windows that are still open when the input ends are written too
+    drain(write_batches(metrics, target, scratch_path(t.spark, "progress"), "update"))
+    out = read_latest(t.spark, target, "window_start")
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 

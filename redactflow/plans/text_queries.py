@@ -98,9 +98,20 @@ def detect_entities_pages(t: Tables) -> DataFrame:
     return detect_entities(t.texts("pages", "page_id", "html"), "html", "page_id")
 
 
-@query(detect_sql("(SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)", "turn_id", "text"))
+@query(
+    detect_sql(
+        """(SELECT conv_id || '-' || turn AS turn_id, CASE WHEN turn % 3 = 0 THEN text || ' write to user' || conv_id || '@mail.example.org'
+        WHEN turn % 3 = 1 THEN 'from 10.0.' || turn || '.7, ' || text || ' (555) 555-0100' ELSE text END AS text FROM conversations)""",
+        "turn_id",
+        "text",
+    )
+)
 def detect_entities_conversations(t: Tables) -> DataFrame:
-    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    """Turns with an address, a host or a phone number put in."""
+    mail = F.concat("text", F.lit(" write to user"), "conv_id", F.lit("@mail.example.org"))
+    host = F.concat(F.lit("from 10.0."), "turn", F.lit(".7, "), "text", F.lit(" (555) 555-0100"))
+    text = F.when(F.col("turn") % 3 == 0, mail).when(F.col("turn") % 3 == 1, host).otherwise(F.col("text"))
+    turns = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), text.alias("text"))
     return detect_entities(turns, "text", "turn_id")
 
 
