@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 
@@ -17,21 +16,21 @@ def to_gray(rgb: np.ndarray) -> np.ndarray:
     return np.rint(0.299 * rgb[..., 0] + 0.587 * rgb[..., 1] + 0.114 * rgb[..., 2])
 
 
-@lru_cache(maxsize=64)
-def _area_weights(size_in: int, size_out: int) -> np.ndarray:
-    edges = np.linspace(0, size_in, size_out + 1)
-    low, high = edges[:-1, None], edges[1:, None]
-    cells = np.arange(size_in)[None, :]
-    overlap = np.clip(np.minimum(high, cells + 1) - np.maximum(low, cells), 0, None)
-    return overlap / overlap.sum(axis=1, keepdims=True)
+def _cells(values: np.ndarray, size: int) -> np.ndarray:
+    """Means of ``size`` equal cells along the first axis, from running sums that are cut inside a row where a cell is."""
+    n = values.shape[0]
+    sums = np.zeros((n + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, dtype=np.float64, out=sums[1:])
+    at = np.linspace(0, n, size + 1)
+    whole = np.minimum(at.astype(np.int64), n - 1)
+    part = (at - whole).reshape(-1, *[1] * (values.ndim - 1))
+    upto = sums[whole] + part * (sums[whole + 1] - sums[whole])
+    return np.diff(upto, axis=0) * (size / n)
 
 
 def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Area-average resize of a 2-d or 3-d raster."""
-    rows, cols = _area_weights(image.shape[0], height), _area_weights(image.shape[1], width)
-    across = np.tensordot(cols, image.astype(np.float64), axes=(1, 1))  # width first
-    down = np.tensordot(rows, across, axes=(1, 1))
-    return down
+    return _cells(_cells(image, height).swapaxes(0, 1), width).swapaxes(0, 1)
 
 
 def _small_gray(rgb: np.ndarray) -> np.ndarray:
@@ -92,16 +91,18 @@ def edges(gray: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
         here = np.minimum(away, 180 - away) <= 22.5
         keep |= here & (size > shifted(-dy, -dx)) & (size >= shifted(dy, dx))
     weak, strong = keep & (size > low), keep & (size > high)
-    while True:
-        near = dilate(np.where(strong, 255, 0).astype(np.uint8), 1) > 0
-        p2 = np.pad(strong, 1)
-        for dy in (0, 2):
-            for dx in (0, 2):
-                near |= p2[dy : dy + height, dx : dx + width]
-        grown = weak & near
-        if (grown == strong).all():
-            return strong
-        strong = grown | strong
+    # strong edges spread over adjacent weak ones; only the pixels just reached look around
+    out, flat = np.pad(strong, 1), np.pad(weak & ~strong, 1).ravel()
+    reached = out.ravel()
+    step = width + 2
+    around = np.array([dy * step + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
+    front = np.flatnonzero(reached)
+    while len(front):
+        front = np.unique((front[:, None] + around).ravel())
+        front = front[flat[front]]
+        flat[front] = False
+        reached[front] = True
+    return out[1:-1, 1:-1]
 
 
 def edge_artifact_ratio(rgb: np.ndarray, boxes: Sequence[dict]) -> float:

@@ -18,9 +18,19 @@ from redactflow.config import DEFAULTS, Settings
 from redactflow.image.measures import edge_artifact_ratio, ssim
 from redactflow.image.png import encode_png, orientation, strip_metadata, upright
 from redactflow.image.raster import Fill, blur_boxes, boxes_to_mask, redact_regions
-from redactflow.operators.qa import decide, detection_fail, integrity_fail
+from redactflow.functions.vectors import EPS
+from redactflow.operators.qa import (
+    decide,
+    detection_fail,
+    detection_reason,
+    face_count_warn,
+    identity_fail,
+    integrity_fail,
+    integrity_reason,
+    recycle_overrides,
+)
 from redactflow.operators.route import regions_inpainted, route
-from redactflow.schemas import BOXES_DDL
+from redactflow.schemas import AUDIT_SCHEMA_NAME, BOXES_DDL
 
 Detector = Callable[[np.ndarray], Sequence[dict]]
 
@@ -183,10 +193,10 @@ def image_qa(pairs: DataFrame, key: str = "stem") -> DataFrame:
 
 
 PROCESSED_DDL = f"""
-stem string, content binary, output_sha256 string, input_face_count int, post_face_count int, text_boxes {BOXES_DDL},
+stem string, path string, retry_count int, content binary, source_sha256 string, output_sha256 string, input_face_count int, post_face_count int, text_boxes {BOXES_DDL},
 text_count int, mask_dilation_px int, output_boxes {BOXES_DDL}, cache_hit boolean, redaction_status string,
-inpaint_success boolean, metadata_strip_method string, ssim double, edge_ratio double, processing_status string,
-error string
+inpaint_success boolean, metadata_strip_method string, ssim double, edge_ratio double, identity_distance double,
+processing_status string, error string
 """
 
 
@@ -196,30 +206,44 @@ def process_images(
     make_text_detector: Callable[[], Detector],
     mode: str | Fill = "boundary_mean",
     settings: Settings = DEFAULTS,
+    make_embedder: Callable[[], Callable[[np.ndarray], Sequence[float]]] | None = None,
 ) -> DataFrame:
     """Faces blurred, text redacted, output re-scanned, measured and encoded: one row per item.
 
-    ``items``: stem, height, width, data, optional ``content`` (for EXIF orientation) and ``extra_mask_dilation``
-    of the next pass. An item that cannot be processed gives a row with ``error``; the job goes on.
+    ``items``: stem, height, width, data, and where there are any: path, retry_count, ``orientation`` (or ``content``,
+    from which it is read), source_sha256 (else the hash of ``content`` or of the raster), ``extra_mask_dilation`` of
+    the next pass. ``make_embedder`` gives a model from raster to vector; the cosine distance between original and
+    output is then the ``identity_distance``. An item that cannot be processed gives a row with ``error``; the job
+    goes on.
     """
     faces, texts = once_per_worker(make_face_detector), once_per_worker(make_text_detector)
-    optional = [F.col("extra_mask_dilation")] if "extra_mask_dilation" in items.columns else []
-    if "content" in items.columns:  # whole: the orientation may stand behind any number of other segments
-        optional.append(F.col("content"))
+    embed = once_per_worker(make_embedder) if make_embedder else None
+    # content whole: the orientation may stand behind any number of other segments
+    names = ("path", "retry_count", "source_sha256", "orientation", "extra_mask_dilation", "content")
+    optional = [F.col(c) for c in names if c in items.columns]
 
     def run(row: dict) -> dict:
+        kept = {k: row.get(k) for k in ("stem", "path", "retry_count")}
+        source = row.get("content") or row["data"]
+        kept["source_sha256"] = row.get("source_sha256") or (hashlib.sha256(source).hexdigest() if source else None)
         try:
             if not row["data"]:
                 raise ValueError("decode_failed")
-            return _process(row, faces(), texts(), mode, settings)
+            return kept | _process(row, faces(), texts(), mode, settings, embed() if embed else None)
         except Exception as exc:  # one bad item must not stop the partition
-            return {"stem": row["stem"], "processing_status": "failed", "error": f"{type(exc).__name__}: {exc}"}
+            return kept | {"processing_status": "failed", "error": f"{type(exc).__name__}: {exc}"}
 
     return _map_rows(items.select("stem", "height", "width", "data", *optional), run, " ".join(PROCESSED_DDL.split()))
 
 
-def _process(row: dict, faces: Detector, texts: Detector, mode: str | Fill, settings: Settings) -> dict:
-    original = upright(to_rgb(row["height"], row["width"], row["data"]), orientation(row.get("content") or b""))
+def _distance(embed: Callable[[np.ndarray], Sequence[float]], a: np.ndarray, b: np.ndarray) -> float:
+    x, y = np.asarray(embed(a), dtype=np.float64), np.asarray(embed(b), dtype=np.float64)
+    return float(1 - x @ y / ((np.linalg.norm(x) + EPS) * (np.linalg.norm(y) + EPS)))
+
+
+def _process(row: dict, faces: Detector, texts: Detector, mode: str | Fill, settings: Settings, embed: Callable | None) -> dict:
+    turn = row.get("orientation") or orientation(row.get("content") or b"")
+    original = upright(to_rgb(row["height"], row["width"], row["data"]), turn)
     found_faces = list(faces(original))
     blurred, _ = blur_boxes(original, [rectangle_of(b) for b in found_faces], settings.face_blur_ksize)
     found_text = [_box(b) for b in texts(blurred)]
@@ -230,7 +254,6 @@ def _process(row: dict, faces: Detector, texts: Detector, mode: str | Fill, sett
     rescanned = [_box(b) for b in texts(redacted)] if found_text else []
     content = encode_png(redacted)
     return {
-        "stem": row["stem"],
         "content": content,
         "output_sha256": hashlib.sha256(content).hexdigest(),
         "input_face_count": len(found_faces),
@@ -245,6 +268,8 @@ def _process(row: dict, faces: Detector, texts: Detector, mode: str | Fill, sett
         "metadata_strip_method": "reencoded",
         "ssim": ssim(original, redacted),
         "edge_ratio": edge_artifact_ratio(redacted, rescanned),
+        # who is on the picture is told by faces; without one there is nothing to compare
+        "identity_distance": _distance(embed, original, redacted) if embed and found_faces else None,
         "processing_status": "completed",
     }
 
@@ -253,7 +278,8 @@ def judge_images(processed: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     """QA, decision and routing as columns over processed rows; failed items are failed attempts."""
     from redactflow.functions.boxes import box_count, max_score
 
-    start = processed if "retry_count" in processed.columns else processed.withColumn("retry_count", F.lit(0))
+    given = {"retry_count": F.lit(0), "identity_distance": F.lit(None).cast("double")}
+    start = processed.withColumns({k: F.coalesce(F.col(k), v) if k in processed.columns else v for k, v in given.items()})
     broken = F.col("processing_status") == "failed"
     scored = start.withColumns(
         {"output_max_score": max_score(F.col("output_boxes")), "output_count": box_count(F.col("output_boxes"))}
@@ -262,8 +288,14 @@ def judge_images(processed: DataFrame, settings: Settings = DEFAULTS) -> DataFra
         {
             "detection_fail": detection_fail(F.col("output_max_score"), F.col("output_count"), settings),
             "integrity_fail": integrity_fail(
-                F.col("ssim"), F.lit(None).cast("double"), F.col("edge_ratio"), settings=settings
+                F.col("ssim"),
+                F.col("identity_distance"),
+                F.col("edge_ratio"),
+                F.col("post_face_count"),
+                F.col("input_face_count"),
+                settings=settings,
             ),
+            "face_count_warning": face_count_warn(F.col("post_face_count"), settings),
             "text_regions_inpainted": regions_inpainted(F.col("text_count"), F.col("inpaint_success")),
         }
     )
@@ -276,6 +308,70 @@ def anonymize_images(
     make_text_detector: Callable[[], Detector],
     mode: str | Fill = "boundary_mean",
     settings: Settings = DEFAULTS,
+    make_embedder: Callable[[], Callable[[np.ndarray], Sequence[float]]] | None = None,
 ) -> DataFrame:
-    """``process_images`` then ``judge_images``. Write the result before using it twice: rasters are costly."""
-    return judge_images(process_images(items, make_face_detector, make_text_detector, mode, settings), settings)
+    """``process_images`` then ``judge_images``. Write the result before using it twice: rasters are costly.
+
+    With items that have a path it can be the ``process`` of ``run_waves``.
+    """
+    processed = process_images(items, make_face_detector, make_text_detector, mode, settings, make_embedder)
+    return judge_images(processed, settings)
+
+
+def to_audit(judged: DataFrame, now: Column, batch_id: Column | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """The nested audit record of judged images (``AUDIT_DDL``), without contents."""
+    col = F.col
+    failed = col("processing_status") == "failed"
+    ssim_fail = F.coalesce(col("ssim") < settings.ssim_min, F.lit(False))
+    edge_fail = F.coalesce(col("edge_ratio") > settings.edge_ratio_max, F.lit(False))
+    who_fail = identity_fail(col("identity_distance"), col("post_face_count"), col("input_face_count"), settings)
+
+    def stage(name: str, backend: str, status: Column) -> Column:
+        said = F.when(failed, F.lit("failed")).otherwise(status)
+        return F.struct(F.lit(name).alias("name"), F.lit(backend).alias("backend"), said.alias("status"), F.when(failed, col("error")).alias("error"))
+
+    detection = F.struct(
+        col("output_count").cast("int").alias("ocr_lines"), col("output_max_score").alias("max_det_score"),
+        col("detection_fail").alias("fail"), detection_reason(col("detection_fail")).alias("reason"),
+    )
+    integrity = F.struct(
+        col("ssim"), ssim_fail.alias("ssim_fail"), col("identity_distance"), who_fail.alias("identity_fail"), col("edge_ratio"),
+        edge_fail.alias("edge_fail"), col("integrity_fail").alias("fail"), integrity_reason(col("integrity_fail")).alias("reason"),
+    )
+    blurred = F.when(col("input_face_count") > 0, "blurred").otherwise("none")
+    record = F.struct(
+        F.lit(AUDIT_SCHEMA_NAME).alias("schema"),
+        col("stem"),
+        F.coalesce(F.element_at(F.split("path", "/"), -1), col("stem")).alias("image"),
+        col("path").alias("source_path"),
+        (F.lit(None).cast("string") if batch_id is None else batch_id).alias("batch_id"),
+        now.cast("timestamp").alias("created_at"),
+        now.cast("timestamp").alias("updated_at"),
+        col("retry_count").cast("int").alias("retry_count"),
+        col("failure_reason"),
+        F.struct("source_sha256", "output_sha256").alias("integrity_hashes"),
+        F.struct(
+            F.struct("input_face_count", "post_face_count").alias("faces"),
+            F.struct(col("text_boxes").alias("boxes"), col("text_count").alias("count"), col("mask_dilation_px")).alias("text"),
+        ).alias("detections"),
+        F.struct(col("input_face_count").alias("original_face_count"), F.lit(None).cast("array<float>").alias("original_embedding")).alias("qa_probes"),
+        F.struct(col("output_boxes"), col("output_max_score"), col("output_count").cast("int").alias("output_count")).alias("qa_cache"),
+        F.array(
+            stage("faces", "blur", blurred), stage("text", "redact", F.coalesce("redaction_status", F.lit("skipped"))), stage("metadata", "png", F.lit("ok"))
+        ).alias("stages"),
+        F.struct(
+            F.array(F.lit("faces"), F.lit("text"), F.lit("metadata")).alias("order"), blurred.alias("face_action"),
+            col("redaction_status").alias("text_action"), col("metadata_strip_method"),
+        ).alias("actions"),
+        F.struct(
+            col("processing_status"), F.lit(False).alias("face_gan_applied"), col("text_regions_inpainted").cast("int").alias("text_regions_inpainted"),
+            col("inpaint_success"), (col("final_decision") == "pass").alias("qa_passed"),
+        ).alias("success_metrics"),
+        F.struct(
+            detection.alias("detection"), integrity.alias("integrity"), col("final_decision"), col("route").alias("final_route"), col("failure_reason")
+        ).alias("qa"),
+        F.when(col("final_decision") == "fail", recycle_overrides(col("retry_count"))).alias("next_pass_overrides"),
+    )
+    have = judged.columns
+    filled = judged.withColumns({c: F.lit(None).cast("string") for c in ("path", "source_sha256") if c not in have})
+    return filled.select(record.alias("a")).select("a.*")

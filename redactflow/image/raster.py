@@ -96,17 +96,20 @@ def gaussian_blur(region: np.ndarray, ksize: int) -> np.ndarray:
 
 
 def blur_boxes(rgb: np.ndarray, rectangles: Sequence[Sequence[float]], ksize: int = 51) -> tuple[np.ndarray, int]:
-    """Blur each ``x1, y1, x2, y2`` clamped to the raster; returns the result and the number of boxes given."""
-    out = rgb.copy()
+    """Blur each ``x1, y1, x2, y2`` clamped to the raster; returns the result and how many boxes lie in it."""
+    out, done = rgb.copy(), 0
     height, width = rgb.shape[:2]
     size = max(3, int(ksize) | 1)
     for box in rectangles:
         x1, y1, x2, y2 = (int(v) for v in box[:4])
+        if x1 >= width or y1 >= height:
+            continue
         x1, x2 = max(0, min(width - 1, x1)), max(0, min(width, x2))
         y1, y2 = max(0, min(height - 1, y1)), max(0, min(height, y2))
         if x2 > x1 and y2 > y1:
             out[y1:y2, x1:x2] = gaussian_blur(out[y1:y2, x1:x2], size)
-    return out, len(rectangles)
+            done += 1
+    return out, done
 
 
 Fill = Callable[[np.ndarray, np.ndarray], np.ndarray]

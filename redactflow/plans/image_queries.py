@@ -7,19 +7,24 @@ block twenty further on has the value 250 ("face"), so two simple detectors find
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redactflow.config import DEFAULTS
 from redactflow.image import ops
 from redactflow.image.png import insert_text_chunk
 from redactflow.operators.qa import pair_original_output
+from redactflow.operators.route import master_row
 from redactflow.operators.screen import image_dims
+from redactflow.operators.verify import audit_errors
 from redactflow.plans.registry import query
 from redactflow.plans.views import Tables
+from redactflow.plans.waves import run_waves
 from redactflow.schemas import BOXES_DDL
-from redactflow.session import spread
+from redactflow.session import cut_lineage, scratch_path, spread
 
 SIDE, BLOCK = 64, 8
 TEXT_LEVEL, FACE_LEVEL = 255, 250
@@ -186,3 +191,74 @@ def anonymize_images(t: Tables) -> DataFrame:
     return _anonymized(t).select(
         "stem", "output_sha256", "ssim", "edge_ratio", "final_decision", "failure_reason", "route", "retry_count"
     )
+
+
+_LENIENT = replace(DEFAULTS, ssim_min=-1.0, edge_ratio_max=float("inf"))
+
+
+def _as_items(t: Tables) -> DataFrame:
+    return rasters(t).select(F.concat(F.lit("in/"), "stem", F.lit(".png")).alias("path"), "*")
+
+
+@query(
+    f"""SELECT {_STEM} AS stem, 'in/vec-' || vec_id || '.png' AS path, 'final_clean' AS route, 0::BIGINT AS retry_count,
+    TRUE AS has_hashes FROM embeddings"""
+)
+def run_waves_images(t: Tables) -> DataFrame:
+    """Images through the whole run; thresholds of the tiles' noise are set aside, residual text still counts."""
+
+    def process(chosen: DataFrame) -> DataFrame:
+        return ops.anonymize_images(chosen, level_detector(FACE_LEVEL, 4), level_detector(TEXT_LEVEL), settings=_LENIENT)
+
+    done = run_waves(t.spark, _as_items(t), process, scratch_path(t.spark, "images"))
+    hashes = F.col("source_sha256").isNotNull() & (F.col("output_sha256") == F.sha2("content", 256))
+    return done.select("stem", "path", "route", "retry_count", hashes.alias("has_hashes"))
+
+
+@query(
+    f"""SELECT 'vec-' || vec_id || '.png' AS image, 'pass' AS final_decision, 'final_clean' AS route, 0::BIGINT AS retry_count,
+    1::BIGINT AS text_regions_detected, 1::BIGINT AS text_regions_inpainted, 1::BIGINT AS original_face_count, FALSE AS face_gan_applied,
+    'completed' AS processing_status, 0::BIGINT AS errors FROM embeddings"""
+)
+def anonymize_images_audit(t: Tables) -> DataFrame:
+    """The nested audit record of each image as a report row, and what the completeness check says of it."""
+    make = level_detector(FACE_LEVEL, 4), level_detector(TEXT_LEVEL)
+    judged = cut_lineage(ops.anonymize_images(_as_items(t), *make, settings=_LENIENT), "judged")
+    audit = ops.to_audit(judged, F.to_timestamp(F.lit("2024-06-01 00:00:00")))
+    flat = audit.select(
+        "stem", "integrity_hashes.*", F.col("qa.final_decision").alias("final_decision"), "retry_count",
+        F.col("actions.metadata_strip_method").alias("strip_method"),
+    )
+    wrong = audit_errors(judged.select("stem", F.col("output_sha256").alias("sha256")), flat).groupBy("stem").agg(F.count("*").alias("errors"))
+    rows = master_row(audit).withColumn("stem", F.regexp_replace("image", "[.]png$", ""))
+    return rows.join(wrong, "stem", "left").withColumn("errors", F.coalesce("errors", F.lit(0))).drop("stem")
+
+
+@query("SELECT vec_id, 1 + label % 2 AS blurred, TRUE AS inside FROM embeddings")
+def blur_counts_boxes_inside(t: Tables) -> DataFrame:
+    """One box outside the raster and one or two inside; only those inside count."""
+
+    def box(at: int) -> Column:
+        point = lambda x: F.array(F.lit(float(x)), F.lit(float(x)))
+        return F.struct(F.array(point(at), point(at + 9)).cast("array<array<float>>").alias("polygon"), F.lit("b").alias("text"), F.lit(0.9).alias("score"))
+
+    boxes = F.when(F.col("label") % 2 == 1, F.array(box(500), box(3), box(30))).otherwise(F.array(box(500), box(3)))
+    done = ops.blur(rasters(t).withColumn("boxes", boxes.cast(BOXES_DDL)))
+    return done.select(
+        F.substring_index("stem", "-", -1).cast("bigint").alias("vec_id"), F.col("regions_blurred").alias("blurred"), F.col("replacement_success").alias("inside")
+    )
+
+
+@query(
+    """SELECT vec_id, round((2 * a * b + 6.5025) / (a * a + b * b + 6.5025), 6) AS ssim FROM
+    (SELECT vec_id, CAST(vec_id % 200 AS DOUBLE) AS a, CAST((vec_id * 7) % 251 AS DOUBLE) AS b FROM embeddings)"""
+)
+def ssim_of_flat_rasters(t: Tables) -> DataFrame:
+    """Two flat rasters have a similarity in closed form."""
+    level = lambda v: F.unhex(F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(SIDE * SIDE * 3)))
+    a, b = level(F.col("vec_id") % 200), level((F.col("vec_id") * 7) % 251)
+    pairs = t.embeddings.select(
+        F.col("vec_id").cast("string").alias("stem"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), a.alias("data"),
+        F.array().cast(BOXES_DDL).alias("boxes"), F.lit(SIDE).alias("original_height"), F.lit(SIDE).alias("original_width"), b.alias("original_data"),
+    )
+    return ops.image_qa(pairs).select(F.col("stem").cast("bigint").alias("vec_id"), "ssim")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from redactflow.config import DEFAULTS
+from redactflow.config import DEFAULTS, Settings
 from redactflow.functions.names import basename, extension, glob_match, stem
+from redactflow.session import cut_lineage
 
 IMAGE_DDL = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
@@ -95,13 +98,22 @@ def decode_images(
     path: str,
     extensions: Sequence[str] = DEFAULTS.image_extensions,
     include_empty: bool = False,
+    facts: bool = True,
 ) -> DataFrame:
     """``path, stem, height, width, channels, data`` (BGR rows); a file that does not decode keeps its row, with nulls.
 
-    The image source reports unreadable files itself, so the listing is not joined; empty files are added.
+    The image source reports unreadable files itself, so the listing is not joined. It does not tell how a picture is
+    turned: with ``facts`` the files are read once more, for ``orientation`` and ``source_sha256``, a short row for each
+    that is written and joined by path.
     """
     raw = _load(spark, "image", path, False, dropInvalid="false")
     found = _rasters(raw)
+    if facts:
+        files = _load(spark, "binaryFile", path, False).filter(is_image_name(F.col("path"), extensions))
+        known = files.select("path", _turn(F.col("content")).alias("orientation"), F.sha2("content", 256).alias("source_sha256"))
+        plain = F.regexp_replace("path", "^file:/+", "file:/").alias("_path")
+        known = cut_lineage(known.select(plain, "orientation", "source_sha256"), "facts")
+        found = found.withColumn("_path", plain).join(known, "_path", "left").drop("_path")
     if include_empty:
         listed = _load(spark, "binaryFile", path, False)  # names only: nothing is decoded for the comparison
         found = found.unionByName(empty_files(listed), allowMissingColumns=True)
@@ -111,7 +123,8 @@ def decode_images(
 def _rasters(raw: DataFrame) -> DataFrame:
     valid = F.col("image.width") > 0
     return raw.select(
-        F.col("image.origin").alias("path"),
+        # the image source gives URIs, other scans give plain paths
+        F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B"))).alias("path"),
         F.when(valid, F.col("image.height")).alias("height"),
         F.when(valid, F.col("image.width")).alias("width"),
         F.when(valid, F.col("image.nChannels")).alias("channels"),
@@ -121,7 +134,24 @@ def _rasters(raw: DataFrame) -> DataFrame:
 
 def _image_rows(found: DataFrame, extensions: Sequence[str]) -> DataFrame:
     named = found.filter(is_image_name(F.col("path"), extensions))
-    return named.select("path", stem(F.col("path")).alias("stem"), "height", "width", "channels", "data")
+    more = [c for c in ("orientation", "source_sha256") if c in found.columns]
+    return named.select("path", stem(F.col("path")).alias("stem"), "height", "width", "channels", "data", *more)
+
+
+@F.pandas_udf(T.IntegerType())
+def _turn(contents: pd.Series) -> pd.Series:
+    from redactflow.image.png import orientation
+
+    return pd.Series([orientation(bytes(c)) for c in contents], dtype="int32")
+
+
+def screen_folder(spark: SparkSession, path: str, settings: Settings = DEFAULTS, include_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, rejected)`` image files of a folder, with dimensions and without contents. ``rejected`` (stem, path,
+    reject_reason) is what ``run_waves(rejected=...)`` takes."""
+    from redactflow.operators.screen import image_dims, screen_items
+
+    seen = image_dims(scan_items(spark, path, settings.image_extensions, include_empty)).drop("content")
+    return screen_items(cut_lineage(seen, "screened"), settings=settings)
 
 
 def open_image_stream(

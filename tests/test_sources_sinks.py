@@ -35,10 +35,10 @@ def names(frame):
 
 
 def test_scan_items_not_recursive_any_case(spark, images):
-    assert names(sources.scan_items(spark, images)) == ["a.PNG", "b.png", "corrupted.jpg", "empty.png", "sign.png", "small.png"]
-    assert names(sources.scan_items(spark, images, [".PNG"])) == ["a.PNG", "b.png", "empty.png", "sign.png", "small.png"]
+    assert names(sources.scan_items(spark, images, include_empty=True)) == ["a.PNG", "b.png", "corrupted.jpg", "empty.png", "sign.png", "small.png"]
+    assert names(sources.scan_items(spark, images, [".PNG"], include_empty=True)) == ["a.PNG", "b.png", "empty.png", "sign.png", "small.png"]
     write_bytes(f"{images}/odd name+1%.png", b"")
-    assert "odd name+1%.png" in names(sources.scan_items(spark, images))
+    assert "odd name+1%.png" in names(sources.scan_items(spark, images, include_empty=True))
     assert "inner.png" in names(sources.scan_files(spark, images, recursive=True))
 
 
@@ -51,14 +51,14 @@ def test_listing_does_not_read_contents(spark, images):
 
 
 def test_decode_keeps_broken_files(spark, images):
-    got = {os.path.basename(r["path"]): r for r in sources.decode_images(spark, images).collect()}
+    got = {os.path.basename(r["path"]): r for r in sources.decode_images(spark, images, include_empty=True).collect()}
     assert sorted(got) == ["a.PNG", "b.png", "corrupted.jpg", "empty.png", "sign.png", "small.png"]
     assert got["corrupted.jpg"]["data"] is None and got["empty.png"]["width"] is None
     assert (got["b.png"]["height"], got["b.png"]["width"], len(got["b.png"]["data"])) == (300, 400, 300 * 400 * 3)
 
 
 def test_screening_by_header(spark, images):
-    accepted, rejected = screen_items(image_dims(sources.scan_items(spark, images)))
+    accepted, rejected = screen_items(image_dims(sources.scan_items(spark, images, include_empty=True)))
     assert names(accepted) == ["a.PNG", "b.png", "sign.png"]
     got = {os.path.basename(r["path"]): r["reject_reason"] for r in rejected.collect()}
     assert got == {
@@ -67,8 +67,8 @@ def test_screening_by_header(spark, images):
 
 
 def test_verify_integrity(spark, images):
-    items = sources.scan_items(spark, images)
-    decoded = sources.decode_images(spark, images).select("path", (F.col("data").isNotNull()).alias("ok"))
+    items = sources.scan_items(spark, images, include_empty=True)
+    decoded = sources.decode_images(spark, images, include_empty=True).select("path", (F.col("data").isNotNull()).alias("ok"))
     plain = F.regexp_replace("path", "^file:/+", "/")
     joined = items.withColumn("path", plain).join(decoded.withColumn("path", plain), "path", "left")
     per_item, summary = verify_integrity(joined, F.col("ok"), limit=1)
