@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from redactflow.plans.catalog import REGISTRY  # noqa: E402
-from redactflow.session import local_session  # noqa: E402
+from redactflow.session import clear_scratch, local_session  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -72,6 +72,7 @@ def main() -> None:
         if times.get("anonymize_text_documents")
         else None,
     }
+    clear_scratch(spark)
     spark.stop()
     print(json.dumps(out))
 

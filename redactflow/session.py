@@ -48,8 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/redactflow/{label}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder, in this application's own part of it."""
+    return f"{_own_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/redactflow/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table that ``cut_lineage`` and ``scratch_path`` have made in this application. Frames that read
+    them are of no use afterwards: call it when results are written, at the end of a run."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:

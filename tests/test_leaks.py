@@ -134,6 +134,21 @@ def test_upsert_moves_an_item_between_batches(spark, folder):
     assert got == [("x", "b2"), ("y", "b2"), ("z", "b1")]
 
 
+def test_scratch_goes_as_a_whole(folder):
+    import subprocess
+    import sys
+
+    code = f"""
+from redactflow.session import clear_scratch, cut_lineage, local_session
+import glob
+spark = local_session(1, **{{"spark.checkpoint.dir": "{folder}"}})
+assert cut_lineage(spark.range(5)).count() == 5 and glob.glob("{folder}/redactflow/*/*")
+clear_scratch(spark)
+assert not glob.glob("{folder}/redactflow/*")
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
 def passing(chosen):
     return chosen.select(
         "stem", "path", F.lit("pass").alias("final_decision"), F.lit(None).cast("string").alias("failure_reason"), F.lit("final_clean").alias("route"), "retry_count"
