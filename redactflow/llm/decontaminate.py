@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactflow.llm.table import col
+from redactflow.llm.table import boxed, col, unboxed
 from redactflow.llm.words import SYMBOLS, Words, chunks, mix, window_keys, words_of
 from redactflow.session import cut_lineage
 
@@ -194,5 +194,5 @@ def judge(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no window of any item, with the columns of ``docs``."""
     leaks = judge(docs, items).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(leaks, same, "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    return unboxed(boxed(docs, doc_id=F.col("doc_id").cast("bigint"), text_key=F.xxhash64("text")).join(leaks, same, "left_anti"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redactflow.llm.table import col, without
+from redactflow.llm.table import boxed, col, unboxed, without
 from redactflow.llm.words import LOWER, chunks, mix, text_bytes
 from redactflow.session import cut_lineage
 
@@ -92,7 +92,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, parts in held.items():
         grams, n = merged(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"]
+            [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"]
         )
 
 
@@ -178,21 +178,20 @@ def predict(docs: DataFrame, model: Filters, text: str = "text") -> DataFrame:
                     pred[some] = np.array(m.langs, object)[hits.argmax(axis=1)][some]
                     score[some] = best[some] / total[some]
                     cover[some] = np.minimum(1, best[some] / n[some])
-                arrays = [part.column(c) for c in part.schema.names if c != "_text"]
-                kept = [c for c in part.schema.names if c != "_text"]
+                kept = [c for c in part.schema.names if c != "_text" or text == "_text"]
+                arrays = [part.column(c) for c in kept]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(pred, pa.string()), pa.array(score), pa.array(cover)], [*kept, *names])
 
     rest = without(docs, names)
     schema = T.StructType([*rest.schema.fields, *T.StructType.fromDDL(RESULT).fields])
-    source = docs.select(*[col(c) for c in rest.columns], col(text).cast("string").alias("_text"))
+    source = docs if text == "_text" else docs.select(*[col(c) for c in rest.columns], col(text).cast("string").alias("_text"))
     return source.mapInArrow(run, schema)
 
 
 def of_known_language(docs: DataFrame, model: Filters) -> DataFrame:
     """The rows whose text is of a learned language, with the columns of ``docs``."""
-    judged = predict(docs.select("*", F.col("text").alias("_kept")), model)
-    ok = (F.col("lang_pred") != UNKNOWN) & (F.col("coverage") >= MIN_COVERAGE)
-    return judged.filter(ok).select(*[col(c) for c in docs.columns])
+    judged = predict(boxed(docs, _text=F.col("text").cast("string")), model, "_text")
+    return unboxed(judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("coverage") >= MIN_COVERAGE)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

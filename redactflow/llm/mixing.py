@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactflow.llm.table import col, without
+from redactflow.llm.table import boxed, col, without
 from redactflow.session import cut_lineage
 
 PASSES = 3
@@ -177,10 +177,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     keys = ["doc_id", "text_key", "flow_pattern"]
     part = mix(docs).groupBy(*keys, "size", "source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("_n"))
     part = part.filter("taken > 0").withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "flow_pattern": "_pattern"})
-    rest = without(docs, RESULT)
     mine = F.to_json(F.array(F.coalesce(F.concat(F.lit("="), col("source").cast("string")), F.lit("~"))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")) & (mine == F.col("_pattern"))
+    rest = boxed(docs, doc_id=F.col("doc_id").cast("bigint"), text_key=F.xxhash64("text"), mine=mine)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")) & (F.col("mine") == F.col("_pattern"))
     joined = cut_lineage(rest.join(part, same), "mixed")
     again = joined.filter("_n > 1").dropDuplicates(["_id", "_key", "_pattern"])
-    once = joined.filter("_n = 1").unionByName(again)
-    return once.drop("_id", "_key", "_n").withColumnRenamed("_pattern", "flow_pattern")
+    once = joined.filter("_n = 1").unionByName(again).withColumnRenamed("_pattern", "flow_pattern")
+    kept = [F.col("_doc").getField(c).alias(c) for c in without(docs, RESULT).columns]
+    return once.select(*kept, *RESULT)

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactflow.llm.table import col
+from redactflow.llm.table import boxed, col
 from redactflow.session import cut_lineage
 
 MIN_LENGTH = 5
@@ -226,8 +226,9 @@ def mask(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set("s.value").alias("_extra"))
     )
     extra = cut_lineage(extra, "extra")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    out = docs.join(extra, same, "left").withColumn("_masked", F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    out = boxed(docs, doc_id=F.col("doc_id").cast("bigint"), text_key=F.xxhash64("text"), text=F.col("text"))
+    out = out.join(extra, same, "left").withColumn("_masked", F.coalesce("text", F.lit("")))
     for kind, pattern in ({"token": TOKEN} | PATTERNS).items():
         # values of the method first: their tokens are still whole
         text = F.col("_masked")
@@ -249,4 +250,4 @@ def mask(docs: DataFrame) -> DataFrame:
         out = out.withColumn("_masked", F.when(F.size(hits) > 0, F.array_join(pieces, "")).otherwise(text))
         out = out.drop(f"h_{kind}", f"g_{kind}")
     masked = F.when(F.col("text").isNotNull(), F.col("_masked")).alias("text")
-    return out.select(*[masked if c == "text" else col(c) for c in docs.columns])
+    return out.select(*[masked if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns])

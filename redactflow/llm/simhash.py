@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactflow.llm.graph import components
-from redactflow.llm.table import col
+from redactflow.llm.table import boxed, col, unboxed
 from redactflow.llm.words import chunks
 from redactflow.session import cut_lineage
 
@@ -238,7 +238,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The document that names its component, with all columns; of repeated rows of it, one. Rows without an id stay."""
     found = cut_lineage(near_duplicates(docs), "near")
     ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("_first"), F.count("*").alias("_n"))
-    marked = docs.join(ids, "doc_id", "left").filter("doc_id is null or _first")
+    marked = boxed(docs, doc_id=F.col("doc_id").cast("bigint")).join(ids, "doc_id", "left").filter("doc_id is null or _first")
     once = marked.filter("doc_id is null or _n = 1")
     again = marked.filter("_n > 1").dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(*[col(c) for c in docs.columns])
+    return unboxed(once.unionByName(again))

@@ -35,7 +35,6 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from redactflow.llm.packing import packed, unpacked
 from redactflow.llm.table import col

@@ -1,10 +1,9 @@
-"""Small helpers shared by the operators: mapping Arrow batches and safe column names."""
+"""Small helpers shared by the operators: columns by name, whatever else the input has."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +19,10 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if c.lower() not in taken])
 
 
-def map_arrow(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def boxed(df: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``df`` in one struct ``_doc``, and ``more``: whatever ``df`` has, no name can clash."""
+    return df.select(F.struct(*[col(c) for c in df.columns]).alias("_doc"), *[c.alias(name) for name, c in more.items()])
 
 
-def batch_of(schema: pa.Schema | None = None, **columns) -> pa.RecordBatch:
-    arrays = [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for v in columns.values()]
-    return pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], names=list(columns))
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("_doc.*")

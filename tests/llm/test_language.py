@@ -44,6 +44,8 @@ def test_hard_rows(spark):
     got = sorted((r["id"], r["lang_pred"], round(r["score"], 3)) for r in lg.predict(data, model).collect())
     assert [g[1] for g in got] == ["und", "und", "und", "en", "en", "fr", model.fallback, model.fallback, "en"]
     assert [g[2] for g in got[:3]] == [0, 0, 0] and got[3][2] == 1
+    odd = spark.createDataFrame([("the cat", "en"), ("12 3", "xx"), ("", "yy")], "text string, lang string").coalesce(1)
+    assert lg.learn(odd).langs == ["en"]
     none = spark.createDataFrame([], "id long, text string, lang string")
     assert lg.predict(none, lg.learn(none)).count() == 0
     assert lg.predict(data, lg.learn(none)).select("lang_pred").distinct().first()[0] == "und"
