@@ -19,16 +19,47 @@ _ONE = np.uint64(1)
 _SIX = np.uint64(63)
 
 
+def _every_byte(x: int) -> np.uint64:
+    return np.uint64(x * 0x0101010101010101)
+
+
+#: [byte, n]: position of the n-th (from 0) set bit of a byte.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
+
+
 def _nth(word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Position of the n-th (from 0) set bit of each word."""
-    at = np.zeros(len(word), np.uint64)
-    n = n.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count((word >> at) & np.uint64((1 << width) - 1)).astype(np.int64)
-        on = n >= below
-        n -= np.where(on, below, 0)
-        at += np.where(on, np.uint64(width), np.uint64(0))
-    return at
+    """Position of the n-th (from 0) set bit of each word: running bit counts of its bytes in one word (Vigna, 2008),
+    the byte by comparing all of them at once, the bit from a table."""
+    n = n.astype(np.uint64)
+    counts = word - ((word >> _ONE) & _every_byte(0x55))
+    counts = (counts & _every_byte(0x33)) + ((counts >> np.uint64(2)) & _every_byte(0x33))
+    counts = ((counts + (counts >> np.uint64(4))) & _every_byte(0x0F)) * _every_byte(1)
+    before = ((n * _every_byte(1) | _every_byte(0x80)) - counts) & _every_byte(0x80)
+    place = np.bitwise_count(before).astype(np.uint64) << np.uint64(3)
+    n -= ((counts << np.uint64(8)) >> place) & np.uint64(0xFF)
+    return place + _IN_BYTE[(word >> place) & np.uint64(0xFF), n]
+
+
+def _directory(upto: np.ndarray) -> np.ndarray:
+    """For every 64th of what ``upto`` counts, the word that holds it."""
+    return np.searchsorted(upto, np.arange(0, int(upto[-1]) + 1, 64), side="right").astype(np.int32) - np.int32(1)
+
+
+def _word_of(upto: np.ndarray, directory: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The word that holds number ``k``: from the directory's word on, seldom more than a step or two."""
+    word = directory[k >> 6].astype(np.int64)
+    live = np.flatnonzero(upto[word + 1] <= k)
+    while len(live):
+        word[live] += 1
+        live = live[upto[word[live] + 1] <= k[live]]
+    return word
+
+
+def _after(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a word has a set bit beyond position ``at``, how far it is to the first of them)."""
+    rest = (word >> at) >> _ONE
+    first = rest & (~rest + _ONE)
+    return rest != 0, np.bitwise_count(first - _ONE).astype(np.int64) + 1
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -47,6 +78,7 @@ class Sequence:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.bits = (int(x) for x in arrays["head"])
         self.low, self.high, self.ones, self.zeros = (arrays[k] for k in ("low", "high", "ones", "zeros"))
+        self.one_at, self.zero_at = arrays["one_at"], arrays["zero_at"]
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -59,12 +91,15 @@ class Sequence:
         unary[high] = True
         unary = np.packbits(unary, bitorder="little").view("<u8")
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(unary), dtype=np.int64)])
+        zeros = 64 * np.arange(words + 1) - ones
         return {
             "head": np.array([n, bits], np.int64),
             "low": _pack(values, bits),
             "high": unary,
-            "ones": ones,
-            "zeros": 64 * np.arange(words + 1) - ones,
+            "ones": ones.astype(np.min_scalar_type(64 * words)),
+            "zeros": zeros.astype(np.min_scalar_type(64 * words)),
+            "one_at": _directory(ones),
+            "zero_at": _directory(zeros),
         }
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -78,13 +113,42 @@ class Sequence:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at places ``i``."""
-        word = np.searchsorted(self.ones, i, side="right") - 1
+        word = _word_of(self.ones, self.one_at, i)
         at = 64 * word + _nth(self.high[word], i - self.ones[word]).astype(np.int64)
         return ((at - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
 
+    def ranges(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places ``i`` and ``i + 1``; the second is mostly in the same word."""
+        word = _word_of(self.ones, self.one_at, i)
+        held = self.high[word]
+        off = _nth(held, i - self.ones[word])
+        at = 64 * word + off.astype(np.int64)
+        near, step = _after(held, off)
+        bits, one = np.uint64(self.bits), (at + step - i - 1).astype(np.uint64)
+        following = (one << bits) | self._low(i + 1)
+        if not near.all():
+            following[~near] = self.get(i[~near] + 1)
+        return ((at - i).astype(np.uint64) << bits) | self._low(i), following
+
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[first, end) of the places whose values have this high part; the end is mostly in the same word."""
+        before = np.maximum(high - 1, 0)
+        word = _word_of(self.zeros, self.zero_at, before)
+        gaps = ~self.high[word]
+        off = _nth(gaps, before - self.zeros[word])
+        at = 64 * word + off.astype(np.int64)
+        near, step = _after(gaps, off)
+        lo, hi = at - before, at + step - high
+        far = ~near & (high > 0)
+        if far.any():
+            hi[far] = self._upto(high[far])
+        none = high == 0
+        hi[none], lo[none] = lo[none], 0
+        return lo, hi
+
     def _upto(self, high: np.ndarray) -> np.ndarray:
         """How many values have a high part of at most ``high``."""
-        word = np.searchsorted(self.zeros, high, side="right") - 1
+        word = _word_of(self.zeros, self.zero_at, high)
         return 64 * word + _nth(~self.high[word], high - self.zeros[word]).astype(np.int64) - high
 
     def successor(self, x: np.ndarray, first: np.ndarray | int = 0, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +157,7 @@ class Sequence:
         # beyond the universe there are only empty buckets
         high = np.minimum((x >> np.uint64(self.bits)).astype(np.int64), int(self.zeros[-1]) - 1)
         want = x & np.uint64((1 << self.bits) - 1)
-        lo = np.zeros(len(x), np.int64)
-        some = high > 0
-        lo[some] = self._upto(high[some] - 1)
-        hi = self._upto(high)
+        lo, hi = self._bucket(high)
         lo = np.maximum(lo, first)
         hi = np.maximum(lo, hi if end is None else np.minimum(hi, end))
         stop = hi.copy()

@@ -40,6 +40,8 @@ MIN_COUNT = 2
 DISCOUNT = 0.5
 PART_TOKENS = 4_000_000
 BLOCK_TOKENS = 2_000_000
+#: Bytes of text looked up at once; every part of a level is visited once for each.
+CHUNK = 2 << 20
 #: Cuts that a part proposes for the next level.
 PIECES = 16
 #: One byte holds -log10 of a probability in these steps.
@@ -108,34 +110,35 @@ def counts_of(model: Model, k: int, nodes: np.ndarray) -> np.ndarray:
 
 
 def find(model: Model, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node or -1, stored first term or 0, g of the context) for n-grams of k words; context and word must be nodes."""
+    """(node or -1, stored first term or 0, g of the context) for n-grams of k words; context and word must be nodes.
+
+    Different pairs are looked up once, in order: a part is one slice of them, and its sequences are read forwards.
+    """
     level = model.levels[k - 1]
-    node, direct, back = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.ones(len(word))
-    pair = context.astype(np.uint64) * np.uint64(model.words) + word.astype(np.uint64)
-    for part, at in _by_part(_part(level, pair)):
+    pair, again = np.unique(context.astype(np.uint64) * np.uint64(model.words) + word.astype(np.uint64), return_inverse=True)
+    own, last = (x.astype(np.int64) for x in np.divmod(pair, np.uint64(max(1, model.words))))
+    node, direct, back = np.full(len(pair), -1, np.int64), np.zeros(len(pair)), np.ones(len(pair))
+    cuts = np.append(np.searchsorted(pair, level.edges), len(pair))
+    for part in np.flatnonzero(np.diff(cuts)).tolist():
         if not level.files[part]:
             continue
         file = model.file(k, part)
         first = int(file["first"][0])
-        own = context[at]
-        inside = own >= first
-        place = np.zeros(len(at), np.int64)
-        contexts = ef.part_of(file, "contexts")
-        place[inside], inside[inside] = contexts.successor((own[inside] - first).astype(np.uint64))
+        at = np.arange(max(cuts[part], np.searchsorted(own[: cuts[part + 1]], first)), cuts[part + 1])
+        place, inside = ef.part_of(file, "contexts").successor((own[at] - first).astype(np.uint64))
         at, place = at[inside], place[inside]
         back[at] = _VALUE[file["back"][place]]
-        pointers, grams = ef.part_of(file, "pointers"), ef.part_of(file, "grams")
-        a, b = pointers.get(place).astype(np.int64), pointers.get(place + 1).astype(np.int64)
-        value = place.astype(np.uint64) * np.uint64(model.words) + word[at].astype(np.uint64)
-        where, same = grams.successor(value, a, b)
+        a, b = (x.astype(np.int64) for x in ef.part_of(file, "pointers").ranges(place))
+        value = place.astype(np.uint64) * np.uint64(model.words) + last[at].astype(np.uint64)
+        where, same = ef.part_of(file, "grams").successor(value, a, b)
         at, where = at[same], where[same]
         node[at] = level.bases[part] + where
         direct[at] = _VALUE[file["direct"][where]]
     if len(level.split):
-        slot = np.minimum(np.searchsorted(level.split, context), len(level.split) - 1)
-        same = level.split[slot] == context
+        slot = np.minimum(np.searchsorted(level.split, own), len(level.split) - 1)
+        same = level.split[slot] == own
         back[same] = 1 - level.mass[slot[same]]
-    return node, direct, back
+    return node[again], direct[again], back[again]
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +200,7 @@ def _count(model: Model | None, k: int, edges: np.ndarray) -> Callable[[Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK):
                 keys, _ = _tokens(part.column("text"))
                 held.append(_pairs(model, k, keys))
                 n += len(held[-1])
@@ -365,7 +368,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", CHUNK):
                 keys, bounds = _tokens(part.column("_text"))
                 count, base, full = _scores(model, keys)
                 first = bounds[:-1]

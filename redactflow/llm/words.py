@@ -24,6 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 CHUNK_BYTES = 1 << 20
+KEPT_POWERS = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -31,9 +32,9 @@ _powers: dict[int, np.ndarray] = {}
 
 def _power(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64; kept for the usual chunk size, made anew for longer texts."""
-    if n <= 2 * CHUNK_BYTES:
-        if base not in _powers:
-            _powers[base] = _run(base, 2 * CHUNK_BYTES)
+    if n <= KEPT_POWERS:
+        if base not in _powers or len(_powers[base]) < n:
+            _powers[base] = _run(base, 1 << max(20, (n - 1).bit_length()))
         return _powers[base][:n]
     return _run(base, n)
 

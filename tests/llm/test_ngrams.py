@@ -20,6 +20,8 @@ def test_sequences(universe, n):
     values = np.sort(rng.integers(0, universe - 1, n, dtype=np.uint64, endpoint=True))
     held = ef.Sequence(ef.Sequence.build(values, universe))
     assert (held.get(np.arange(n)) == values).all()
+    a, b = held.ranges(np.arange(max(0, n - 1)))
+    assert (a == values[:-1]).all() and (b == values[1:]).all()
     values = np.unique(values)
     held = ef.Sequence(ef.Sequence.build(values, universe))
     asked = np.concatenate([values, rng.integers(0, min(2 * universe, (1 << 64) - 1), 2000, dtype=np.uint64, endpoint=True)])
