@@ -16,7 +16,7 @@ component is named after it; repeated rows share fingerprint and component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -234,9 +234,10 @@ def hex_print(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document that names its component, with all columns; of repeated rows of it, one. Rows without an id stay."""
-    found = cut_lineage(near_duplicates(docs), "near")
+def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """The document that names its component, with all columns; of repeated rows of it, one. Rows without an id stay.
+    ``groups`` gives (doc_id, component_id) of every row."""
+    found = cut_lineage(groups(docs), "near")
     ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("_first"), F.count("*").alias("_n"))
     marked = boxed(docs, doc_id=F.col("doc_id").cast("bigint")).join(ids, "doc_id", "left").filter("doc_id is null or _first")
     once = marked.filter("doc_id is null or _n = 1")
