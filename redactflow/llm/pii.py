@@ -1,8 +1,9 @@
 """Personal data by patterns and by bootstrapped contexts. DataFrame functions only: no Python runs on the rows.
 
 Base entities (e-mail, ip, card, phone) come from patterns and are the seeds. Every identifier-shaped token (it holds
-a digit or an at sign and has at least ``MIN_LENGTH`` characters) is an instance; the words in front of it, or the key
-before its colon or equals sign, are its lexical pattern. Spark scores the pattern-instance graph: a pattern's
+a digit or an at sign and has at least ``MIN_LENGTH`` characters) that no base span touches is an instance, and so is every
+base span as a whole, blanks included; the words in front of it, or the key before its colon or equals sign, are its
+lexical pattern. Spark scores the pattern-instance graph: a pattern's
 confidence is the share of its distinct instances that are known. Patterns with ``MIN_SUPPORT`` known instances and
 ``MIN_CONFIDENCE`` make all their instances known, which lets further patterns qualify, until nothing new is found. All
 places of a known value that no base span covers become spans of kind ``id``.
@@ -104,18 +105,32 @@ def _key_and_value(hit: Column, before: Column) -> tuple[Column, Column, Column]
     return pattern, value, F.length(key) + F.length(sign)
 
 
+def _pattern_before(before: Column) -> Column:
+    """The lexical pattern of a base span, the same that a token starting with it has: the key that adjoins it, signs
+    between them left out, or else the two words before. Signs alone in front of the span are no word."""
+    run = F.regexp_extract(before, rf"(?<!{_NOT_BLANK}){_NOT_BLANK}++$", 0)
+    signs = r"(?<![^A-Za-z0-9+@=:])[^A-Za-z0-9+@=:]++$"
+    first = F.regexp_extract(run, "^([^=:]++[=:])[^A-Za-z0-9+@]*+$", 1)
+    last = F.regexp_extract(F.regexp_replace(run, signs, ""), r"(?<=[=:])([^=:]++[=:])[=:]*+$", 1)
+    key = F.when(first != "", first).otherwise(last)
+    rest = F.when(run.rlike("[A-Za-z0-9+@]"), before).otherwise(F.substring(before, F.lit(1), F.length(before) - F.length(run)))
+    words = F.filter(F.split(rest, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    two = F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))
+    return F.regexp_replace(F.lower(F.when(key != "", key).otherwise(two)), "[0-9]", "0")
+
+
 def _pieces(kind: str) -> Column:
-    """Each match with what stands in front of it; ``token`` matches carry the text from two matches before on."""
+    """Each match with its pattern, taken from the text from two matches before on."""
     hits, gaps = F.col(f"h_{kind}"), F.col(f"g_{kind}")
     pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("h"), g.alias("g")))
 
     def piece(p: Column, i: Column) -> Column:
+        back = lambda n, a: F.coalesce(F.get(a, i - n), F.lit(""))
+        before = F.concat(back(2, hits), back(1, gaps), back(1, hits), p["g"])
         if kind == "token":
-            back = lambda n, a: F.coalesce(F.get(a, i - n), F.lit(""))
-            before = F.concat(back(2, hits), back(1, gaps), back(1, hits), p["g"])
             pattern, value, skipped = _key_and_value(p["h"], before)
         else:
-            pattern, value, skipped = F.lit(None).cast("string"), p["h"], F.lit(0)
+            pattern, value, skipped = _pattern_before(F.concat(back(2, gaps), before)), p["h"], F.lit(0)
         return F.struct(
             F.lit(kind).alias("kind"),
             i.alias("i"),
@@ -136,7 +151,7 @@ def _tries(text: Column) -> dict[str, Column]:
 
 def places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, entities): rows has _row, doc_id, text_key for every input row; entities has _row, kind, start, end,
-    value and, for kind ``token``, pattern. Both are written once."""
+    value and pattern. Both are written once."""
     body = F.coalesce(col(text).cast("string"), F.lit(""))
     rows = docs.select(col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(col(text)).alias("text_key"), body.alias("text"))
     patterns = PATTERNS | {"token": TOKEN}
@@ -157,14 +172,15 @@ def places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
 
 
 def _instances(entities: DataFrame) -> DataFrame:
-    """Tokens with ``known``: 1 if a base span starts there, 0 if no base span touches them; others are left out."""
-    base = entities.filter("kind <> 'token'").groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    """Base spans with ``known`` 1, and the tokens that no base span touches with ``known`` 0."""
+    spans = entities.filter("kind <> 'token'")
+    base = spans.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     tokens = entities.filter("kind = 'token'").join(base, "_row", "left")
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    starts = F.exists(spans, lambda s: s["start"] == F.col("start"))
-    touches = F.exists(spans, lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    known = F.when(starts, 1).when(~touches, 0)
-    return tokens.select("_row", "start", "end", "value", "pattern", known.alias("known")).filter("known is not null")
+    held = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    touched = F.exists(held, lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
+    names = ["_row", "start", "end", "value", "pattern"]
+    seeds = spans.select(*names, F.lit(1).alias("known"))
+    return seeds.unionByName(tokens.filter(~touched).select(*names, F.lit(0).alias("known")))
 
 
 def bootstrap(instances: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -107,6 +107,32 @@ def test_contexts_find_unseen_values(spark):
     assert got[301] == ""
 
 
+CARDS = [f"4111 1111 11{i:02} 11{j}" for i in range(10) for j in [next(j for j in range(10, 100) if luhn(f"4111111111{i:02}11{j}"))]]
+
+
+def test_spaced_phones_and_cards_are_seeds(spark):
+    """No seed is a token: every one is a phone or a card written with blanks."""
+    assert all(luhn(c.replace(" ", "")) for c in CARDS)
+    texts = [f"call me at +1 (743) 555-38{i}4" for i in range(10)] + [f"or fon=+49 30 12345{i}7 please" for i in range(10)]
+    texts += [f"billed to card {c} today" for c in CARDS]
+    asked = ["call me at EXT99-1234", "or fon=X-20417 please", "billed to card VX-88123 today", "page 12345 of 99999", "seen EXT99-1234"]
+    docs = spark.createDataFrame(list(enumerate([*texts, *asked])), "doc_id long, text string")
+    got = [r["s"] for r in pii.personal_data(docs).select("doc_id", pii.listed(F.col("extra")).alias("s")).orderBy("doc_id").collect()]
+    assert got == [""] * len(texts) + ["id:11:21", "id:7:14", "id:15:23", "", "id:5:15"]
+    masked = [r["text"] for r in pii.mask(docs).orderBy("doc_id").collect()][len(texts) :]
+    assert masked == ["call me at [ID]", "or fon=[ID] please", "billed to card [ID] today", "page 12345 of 99999", "seen [ID]"]
+
+
+def test_patterns_of_spans_are_those_of_tokens(spark):
+    fronts = ["call me at ", "call me at (", "my tel:", "my tel:(", "a std::", "x (=", "x y = ", "http://", "A  1b\t", "one ", "", "é ü <", "k=-:"]
+    docs = spark.createDataFrame([(i, f + "+4930123456") for i, f in enumerate(fronts)], "doc_id long, text string")
+    _, entities = pii.places(docs)
+    found = {}
+    for r in entities.collect():
+        found.setdefault(r["_row"], {})[r["kind"]] = (r["start"], r["pattern"])
+    assert len(found) == len(fronts) and all(f["phone"] == f["token"] for f in found.values())
+
+
 def test_mask(spark):
     rows = spark.createDataFrame([(0, "write a@b.org, 4111 1111 1111 1111 or 10.0.0.1", 1), (1, None, 2), (2, "", 3)], "doc_id long, text string, n int")
     out = {r["doc_id"]: r["text"] for r in pii.mask(rows).collect()}
