@@ -10,7 +10,8 @@ An n-gram is found by the successor of its value inside its context's range. Par
 Probabilities are smoothed by interpolation with absolute discounting: p(w | h) = max(c(hw) - D, 0) / c(h) + g(h) p(w | h'),
 where g(h) is what the stored first terms of h leave of 1, and the lowest order is (c(w) + 1) / (N + V + 1). First
 terms and g are quantised to one byte on a log scale, rounded down, so probabilities never sum up to more than 1.
-N-grams of two or more words seen fewer than ``MIN_COUNT`` times are not stored; their mass is in g(h).
+All n-grams are stored (``MIN_COUNT`` = 1); with a larger one, the mass of those of two or more words seen less often
+would be in g(h).
 
 Counts are summed per block of tokens, then per part; nothing but one short row for each part comes to the driver. The
 model grows with the corpus. Null and empty texts consist of the end alone. Repeated rows count and are scored each for
@@ -36,7 +37,7 @@ from redactflow.llm.words import chunks, words_of
 from redactflow.session import scratch_path
 
 ORDER = 3
-MIN_COUNT = 2
+MIN_COUNT = 1
 DISCOUNT = 0.5
 PART_TOKENS = 4_000_000
 BLOCK_TOKENS = 2_000_000

@@ -97,6 +97,18 @@ def test_many_parts(spark):
         assert r[4] == pytest.approx(w[3]) and r[5] == pytest.approx(w[4], abs=0.05 * w[0])
 
 
+def test_ngrams_seen_once_are_stored(spark):
+    """Every level holds all n-grams there are, and a phrase seen once scores better than its words put otherwise."""
+    texts = ["red fox runs home", "blue fox sits here", "red dog sits home", None, "one"]
+    model = ng.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for k in range(1, ng.ORDER + 1):
+        grams = {tuple(w[i : i + k]) for t in texts for w in [tokens(t)] for i in range(len(w) - k + 1)}
+        assert model.levels[k - 1].bases[-1] == len(grams)
+    asked = spark.createDataFrame([(0, "red fox runs home"), (1, "runs red home fox")], "doc_id long, text string")
+    seen, other = (r["score"] for r in ng.score(asked, model).orderBy("doc_id").collect())
+    assert seen > other + 1
+
+
 def test_probabilities_sum_to_at_most_one(spark):
     """Over all known words, the end and one unknown word, after any context."""
     texts = ["a b c a b d", "a b c", "b c a", "c c c a b"] * 2
