@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from redactflow.llm import licenses
+from redactflow.llm import license_rules, licenses
 from redactflow.llm.license_rules import PHRASES, rules
 from redactflow.llm.queries import QUERIES
 
@@ -68,6 +68,44 @@ def test_gates_never_lose_a_match():
         assert tried == {r.name for r in rules() if r.pattern.search(text.encode())}
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier: Python-2.0", ["psf-2"]),
+        ("license: llama2", ["llama"]),
+        ("license: llama3", ["llama"]),
+        ("licensed under MS-PL", ["ms-pl"]),
+        ("licensed under MS-RL", ["ms-rl"]),
+        ("Do What The Fuck You Want To Public License", ["wtfpl"]),
+        ("Public Domain Dedication and License", ["pddl"]),
+    ],
+)
+def test_alternatives_pass_their_gates(text, labels):
+    assert kept(text) == labels
+
+
+def test_every_spelling_passes_its_gate():
+    """For every rule, spellings in which each alternative of its pattern occurs."""
+    forms = {f: sorted(license_rules.spellings(re.sub("{[ni]}", "NAME", around).replace("{l}", "").replace("{v}", "").replace(r"\d", "2"))) for f, _, around, _ in license_rules.FORMS}
+    names = {label: (name, short) for label, name, short in license_rules.FAMILIES}
+    tried = 0
+    for rule in rules():
+        form, label = rule.name.split(":")
+        if form in forms:
+            inner = license_rules.spellings(names[label][form not in ("granted", "offered", "named")])
+            texts = [f.replace("NAME", x) for f in forms[form] for x in inner]
+        else:
+            pattern = next((p for a, _, p, _ in license_rules.STATEMENTS if form == "statement" and a == label), None)
+            pattern = pattern.replace(r"\d{4}", "1999") if pattern else next(p for p, a in PHRASES if a == label)
+            texts = license_rules.spellings(pattern)
+        for text in texts:
+            if rule.pattern.search(text.encode()):
+                tried += 1
+                held = set(text.encode().split())
+                assert all(n & held for n in rule.needs), (rule.name, text)
+    assert tried > 10_000
+
+
 def test_hundreds_of_rules():
     assert len(rules()) > 300 and len({r.name for r in rules()}) == len(rules())
 
