@@ -1,12 +1,13 @@
 """Document fingerprints by consistent weighted sampling (gamma-based, Ioffe 2010).
 
-A text is a weighted set: its words, folded onto ``TERMS`` terms by their keys, each weighing as often as it occurs.
-For each of ``SAMPLES`` samples and each term, r and c are Gamma(2, 1) and b is uniform, drawn from the seed alone. With
-t = floor(ln w / r + b), the term with the least ln c - r (t - b) - r is the sample; two texts draw the same (term, t)
+A text is a weighted set: its words by their 64-bit keys, each weighing as often as it occurs. For each of ``SAMPLES``
+samples and each word, r and c are Gamma(2, 1) and b is uniform, hashed from the key, the sample and the seed. With
+t = floor(ln w / r + b), the word with the least ln c - r (t - b) - r is the sample; two texts draw the same (word, t)
 with a probability equal to their generalised Jaccard similarity, sum of least weights over sum of greatest.
 
-The tables of r, b and ln c have a fixed size and are made anew in each Python worker. A fingerprint is a hex string
-of SAMPLES 16-bit tags of (term, t); texts that draw different pairs share a tag once in 65536 samples.
+Each Python worker keeps the draws of the first ``KEPT`` words it meets and hashes those of all others as they come;
+both give the same. A fingerprint is a hex string of SAMPLES 16-bit tags of (word, t); texts that draw different pairs
+share a tag once in 65536 samples.
 
 Null and empty texts have no words: their fingerprint is all zeros, its likeness to an equal one is 1.
 """
@@ -25,53 +26,112 @@ from pyspark.sql import functions as F
 from redactflow.llm.table import col
 from redactflow.llm.words import mix, words_of
 
-TERMS = 1 << 15
+KEPT = 1 << 15
 SAMPLES = 64
 SEED = 9
 #: Rows are handled in groups of about this many code points.
 GROUP_CHARS = 1 << 20
+#: Words drawn for at once.
+BLOCK = 1 << 12
 
 
-@lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, b, ln c - r, and the value for weight 1, each [term, sample]."""
-    rng = np.random.default_rng(SEED)
-    shape = (TERMS, SAMPLES)
-    r = rng.gamma(2, 1, shape).astype(np.float32)
-    c = np.log(rng.gamma(2, 1, shape)).astype(np.float32)
-    b = rng.random(shape, np.float32)
+_COUNTERS = mix(np.arange(1, 3 * SAMPLES + 1, dtype=np.uint64) + np.uint64(SEED << 32)).reshape(3, SAMPLES)
+
+
+def _drawn(keys: np.ndarray) -> np.ndarray:
+    """r, b, ln c - r, and the value for weight 1, each [word, sample]."""
+
+    def bits(i: int) -> np.ndarray:
+        return mix(keys[:, None] ^ _COUNTERS[i])
+
+    def gamma(x: np.ndarray) -> np.ndarray:
+        """Gamma(2, 1) is the sum of two exponentials."""
+        return -np.log(((x >> np.uint64(32)) + 0.5) * 2.0**-32 * (((x & np.uint64(0xFFFFFFFF)) + 0.5) * 2.0**-32))
+
+    r, b = gamma(bits(0)), (bits(1) >> np.uint64(40)) * 2.0**-24
+    cr = np.log(gamma(bits(2))) - r
     # weight 1: ln w = 0, so t = floor(b) = 0
-    return r, b, c - r, c - r + r * b
+    return np.stack([r, b, cr, cr + r * b]).astype(np.float32)
+
+
+class _Kept:
+    """Draws of up to ``KEPT`` words; ``keys`` in order, ``slots`` where each has its row."""
+
+    def __init__(self) -> None:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.rows = np.zeros((4, KEPT, SAMPLES), np.float32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each of these different words, -1 for those not kept, after keeping what there is room for."""
+        out = self._find(keys)
+        n = len(self.keys)
+        new = keys[out < 0][: KEPT - n]
+        if len(new):
+            for a in range(0, len(new), BLOCK):
+                part = new[a : a + BLOCK]
+                self.rows[:, n + a : n + a + len(part)] = _drawn(part)
+            self.keys, self.slots = np.append(self.keys, new), np.append(self.slots, np.arange(n, n + len(new)))
+            order = np.argsort(self.keys)
+            self.keys, self.slots = self.keys[order], self.slots[order]
+            out = self._find(keys)
+        return out
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slots[at], -1)
+
+
+@lru_cache(1)
+def _kept() -> _Kept:
+    return _Kept()
 
 
-def _draw(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def _draw(keys: np.ndarray, slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The tags of one weighted set."""
-    r, b, cr, ones = _tables()
-    value = ones[terms]
-    t = np.zeros(value.shape, np.float32)
-    more = np.flatnonzero(weights > 1)
-    if len(more):
-        at = terms[more]
-        log_w = np.log(weights[more]).astype(np.float32)[:, None]
-        t[more] = np.floor(log_w / r[at] + b[at])
-        value[more] = cr[at] - r[at] * (t[more] - b[at])
-    best = value.argmin(axis=0)
-    pair = (terms[best].astype(np.uint64) << np.uint64(32)) ^ t[best, np.arange(SAMPLES)].astype(np.int64).astype(np.uint64)
-    return (mix(pair + np.uint64(1)) >> np.uint64(48)).astype(np.uint16)
+    all_rows, columns = _kept().rows, np.arange(SAMPLES)
+    least, word, at_t = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.float32)
+    for held in (True, False):
+        chosen = np.flatnonzero((slots >= 0) == held)
+        for start in range(0, len(chosen), BLOCK):
+            own = chosen[start : start + BLOCK]
+            if held:
+                rows, at = all_rows, slots[own]
+            else:
+                rows, at = _drawn(keys[own]), np.arange(len(own))
+            r, b, cr, ones = rows
+            value = ones[at]
+            t = np.zeros(value.shape, np.float32)
+            more = np.flatnonzero(weights[own] > 1)
+            if len(more):
+                place = at[more]
+                log_w = np.log(weights[own[more]]).astype(np.float32)[:, None]
+                t[more] = np.floor(log_w / r[place] + b[place])
+                value[more] = cr[place] - r[place] * (t[more] - b[place])
+            best = value.argmin(axis=0)
+            found, key = value[best, columns], keys[own[best]]
+            # of equal values the smaller key, whatever is kept
+            better = (found < least) | ((found == least) & (key < word))
+            least[better], word[better], at_t[better] = found[better], key[better], t[best, columns][better]
+    return (mix(mix(word) + at_t.astype(np.int64).astype(np.uint64) + np.uint64(1)) >> np.uint64(48)).astype(np.uint16)
 
 
 def sample(texts: list[str]) -> np.ndarray:
     """[text, sample] tags."""
     words = words_of(pa.array(texts, pa.large_string()))
     text = np.repeat(np.arange(len(texts), dtype=np.int64), words.counts())
-    term = (words.keys & np.uint64(TERMS - 1)).astype(np.int64)
-    pair, weights = np.unique(text * TERMS + term, return_counts=True)
-    bounds = np.searchsorted(pair, np.arange(len(texts) + 1) * TERMS)
+    distinct, term = np.unique(words.keys, return_inverse=True)
+    n = max(1, len(distinct))
+    pair, weights = np.unique(text * n + term, return_counts=True)
+    bounds = np.searchsorted(pair, np.arange(len(texts) + 1) * n)
+    slots = _kept().find(distinct)
     out = np.zeros((len(texts), SAMPLES), np.uint16)
     for i in range(len(texts)):
         a, b = bounds[i], bounds[i + 1]
         if b > a:
-            out[i] = _draw(pair[a:b] % TERMS, weights[a:b])
+            own = pair[a:b] % n
+            out[i] = _draw(distinct[own], slots[own], weights[a:b])
     return out
 
 
