@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactflow.llm import decontaminate, fingerprints, language, licenses, mixing, ngrams, pii, simhash, substrings, toolcalls
+from redactflow.llm import (
+    bestfit,
+    decontaminate,
+    fingerprints,
+    language,
+    licenses,
+    mixing,
+    ngrams,
+    pii,
+    runs,
+    simhash,
+    structure,
+    substrings,
+    toolcalls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -224,3 +238,117 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn) AS
     || '},"id":"' || id || '","name":"' || name || '","result":'
     || CASE WHEN result_turn IS NULL THEN 'null' ELSE '{"chars":' || result_n || ',"turn":' || result_turn || '}' END || '}') AS json_sha256
 FROM j"""
+
+
+@register
+def op11_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of 4096 tokens."""
+    return bestfit.pack(documents(spark, sf_dir), with_ids=False).drop("ids")
+
+
+@register
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of them with a periodic tail."""
+    found = runs.find_runs(runs.with_tails(documents(spark, sf_dir)))
+    best = runs.longest(F.col("runs"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("bigint").alias("exponent_milli"),
+        F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split({text}, '')]), lambda c, b: {step}), 4294967295)"
+
+
+SQL["op12_runs"] = rf"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+b AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE [CASE WHEN i < a THEN w[i + 1] ELSE w[a + 1 + (i - a) % p] END for i in range(n)] END AS w FROM b),
+i AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM i x JOIN i y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM
+  (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM e) GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.q < s.q AND o.s <= s.s AND o.s + o.l >= s.s + s.l)),
+g AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+  first({{'s': s, 'l': l, 'q': q}} ORDER BY l DESC, s, q) AS best FROM r GROUP BY 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM i ANTI JOIN x USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+  CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+@register
+def op13_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, some of its turns damaged."""
+    return structure.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _repair_sql() -> str:
+    """The walk over the turns of each conversation. A state holds the least (cost, audit) of reaching it and the turns
+    so written; costs have leading zeros, so that text order is the order of cost, then audit."""
+    line = " || chr(10)"
+    written = {"": "''", "u": f"'user:'{line}", "a": f"'assistant:'{line}", "ua": f"'user:'{line} || 'assistant:'{line}"}
+    opened = {(0, 2): "u", (0, 3): "ua", (1, 2): "u", (1, 3): "ua", (2, 3): "a", (3, 2): "u"}
+
+    def way(source: int, cost: str, letters: str, text: str) -> str:
+        key = f"lpad(CAST(CAST(left(w.v{source}.k, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr(w.v{source}.k, 10) || '{letters}'"
+        return f"CASE WHEN w.v{source} IS NOT NULL THEN {{'k': {key}, 't': w.v{source}.t || {text}}} END"
+
+    offers: dict[int, list[str]] = {b: [] for b in range(4)}
+    for a, to in structure.grammar.INSERTS.items():
+        for here, n in to.items():
+            before, i = written[opened.get((a, here), "")], "I" * n
+            offers[here].append(way(a, str(5 * n + 2), i + "D", before))
+            for (state, role), b in structure.grammar.MOVES.items():
+                if state != here:
+                    continue
+                stay = f"5 * r.open + {5 * n}"
+                kept = way(a, stay, i + "K", f"{before} || r.role || ':' || r.text{line}")
+                offers[b].append(f"CASE WHEN NOT r.gone AND r.c = '{role}' THEN {kept} END")
+                if role != "s":
+                    name = {"u": "user", "a": "assistant"}[role]
+                    moved = way(a, stay + " + 1", i + "R", f"{before} || '{name}:' || r.text{line}")
+                    offers[b].append(f"CASE WHEN NOT r.gone THEN {moved} END")
+
+    def least(of: list[str]) -> str:
+        return f"list_sort(list_filter([{', '.join(of)}], lambda z: z IS NOT NULL))[1]"
+
+    picks = ", ".join(f"{least(offers[b])} AS v{b}" for b in range(4))
+    closing = [way(a, str(5 * n), "I" * n, written[t]) for a, n, t in ((0, 0, ""), (1, 2, "ua"), (2, 1, "a"), (3, 0, ""))]
+    ends = least(closing)
+    kind = _crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    ws = r"\x20\x09-\x0D"
+    return rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {kind} % 20 AS kind FROM conversations),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM m),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM n),
+f AS (SELECT *, NOT regexp_matches(text, '[^{ws}]') AS blank, regexp_extract(text, '([^{ws}])[{ws}]*$', 1) AS ending, left(role, 1) AS c,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM o),
+r AS (SELECT *, blank OR nth > 1 AS gone, CASE WHEN ending IN ('.', '!', '?') THEN 0 ELSE 1 END AS open FROM f),
+w AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'k': '000000000', 't': ''}} AS v0, NULL::STRUCT(k VARCHAR, t VARCHAR) AS v1,
+  NULL::STRUCT(k VARCHAR, t VARCHAR) AS v2, NULL::STRUCT(k VARCHAR, t VARCHAR) AS v3 FROM conversations
+  UNION ALL SELECT w.conv_id, r.i, {picks} FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1),
+z AS (SELECT conv_id, {ends} AS best FROM
+  (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM w) w WHERE back = 1),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+  count(*) FILTER (NOT blank AND nth > 1) AS duplicate, count(*) FILTER (NOT gone AND open = 1) AS truncated,
+  count(*) FILTER (i > 1 AND p || c NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1)
+SELECT z.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(left(best.k, 9) AS BIGINT) AS cost, substr(best.k, 10) AS audit, sha256(left(best.t, greatest(length(best.t) - 1, 0))) AS repaired_sha256
+FROM z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
+SQL["op13_structure"] = _repair_sql()

@@ -98,10 +98,14 @@ def words_of(column: pa.Array, lower: bool = False, separators: np.ndarray = BLA
     edges = edges[edges > 0]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return Words(span_keys(data, starts, ends), np.searchsorted(starts, offsets), starts, ends, data, offsets)
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keys of the bytes from ``starts`` to ``ends``."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
-    keys = mix((sums[ends] - sums[starts]) * _power(_UNBASE, len(data))[starts])
-    return Words(keys, np.searchsorted(starts, offsets), starts, ends, data, offsets)
+    return mix((sums[ends] - sums[starts]) * _power(_UNBASE, len(data))[starts])
 
 
 def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
