@@ -39,6 +39,8 @@ FAN = 64
 PART_BYTES = 64 << 20
 #: Symbols that one grammar is built over.
 GRAMMAR_SYMBOLS = 500_000
+#: Segments that one part of the global order can number: monotonically_increasing_id leaves it 2**33 rows.
+_PART_SEGMENTS = (1 << 33) // SEGMENT
 _MATRIX = "array<struct<cost:long,audit:string>>"
 
 
@@ -186,7 +188,7 @@ def _long(segments: DataFrame, id_type: str) -> DataFrame:
     """Cost, audit and illegal neighbours of conversations of several segments, their matrices multiplied in rounds."""
     schema = f"conv_id {id_type}, key long, m {_MATRIX}, illegal long, first string, last string"
     known = segments.select("symbols").distinct().mapInArrow(_matrices, f"symbols string, m {_MATRIX}")
-    nodes = cut_lineage(segments.join(known, "symbols").select("conv_id", F.col("segment").alias("key"), "m", "illegal", "first", "last"), "nodes")
+    nodes = segments.join(known, "symbols").select("conv_id", "key", "m", "illegal", "first", "last")
     several = True
     while several:
         group = F.array_sort(F.collect_list(F.struct("key", "m", "illegal", "first", "last")))
@@ -304,9 +306,16 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     id_type = tidy.schema["conv_id"].dataType.simpleString()
     ordered = _ordered(tidy)
     segments = cut_lineage(_segments(ordered), "segments")
-    per = segments.groupBy("conv_id").agg(F.count("*").alias("many"))
-    several = per.filter("many > 1")
-    long_ones = segments.alias("s").join(several.alias("p"), _same("s", "p", ["conv_id"]), "left_semi")
+    per = segments.groupBy("conv_id").agg(F.count("*").alias("many"), F.min("segment").alias("least"))
+    several = per.filter("many > 1").select("conv_id", "least")
+    # neighbouring segments get neighbouring keys, also where the global order goes on in the next part
+    most = segments.agg(F.max(F.col("segment") % _PART_SEGMENTS)).first()[0] or 0
+
+    def key(segment: str) -> Column:
+        return F.expr(f"{segment} div {_PART_SEGMENTS} * {most + 1} + {segment} % {_PART_SEGMENTS}")
+
+    keyed = segments.alias("s").join(several.alias("p"), _same("s", "p", ["conv_id"])).select("s.*", (key("s.segment") - key("p.least")).alias("key"))
+    long_ones = cut_lineage(keyed, "long")
     short_ones = segments.alias("s").join(several.alias("p"), _same("s", "p", ["conv_id"]), "left_anti")
 
     solved = segments.select("symbols").distinct().mapInArrow(_solve, "symbols string, cost long, audit string")
@@ -315,7 +324,7 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     )
     found = short_found.select("conv_id", "cost", "audit", "illegal")
     dealt = short_found.select("conv_id", "segment", "audit", F.lit(0).alias("state"))
-    some_long = not several.isEmpty()
+    some_long = not long_ones.isEmpty()
     if some_long:
         long_found = cut_lineage(_long(long_ones, id_type), "long")
         parts = long_ones.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("segment", "symbols"))).alias("parts"))
