@@ -1,8 +1,8 @@
 """Detect, mask and re-scan personal data and secrets in text columns. No Python runs per row.
 
-Kinds are taken in a fixed order and each is searched in what the earlier ones left, so every character belongs
-to at most one entity. One combined test per text decides first whether any kind occurs at all; texts without
-entities, which are most of them, pay for that one pass only.
+``entities`` says what runs of text may be an entity and decides each as a whole. Every character belongs to at most one
+run. A cheap test per text decides first whether any kind can occur at all; texts without entities, which are most of
+them, pay for that one pass only.
 """
 
 from __future__ import annotations
@@ -13,101 +13,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactflow.config import DEFAULTS, Settings
+from redactflow.operators.entities import NEEDS, PATTERNS, all_linear, any_pattern, kind_of, score_of, torn
 from redactflow.operators.qa import decide, detection_fail
 from redactflow.operators.route import route
 
-# Entity patterns, in order of precedence, in the subset Java and RE2 share.
-PATTERNS: dict[str, str] = {
-    "SECRET": r"(?i:api[_-]?key|secret|password|token|authorization)[ \t]*[:=][ \t]*[^ \t\r\n]+",
-    "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
-    "IPV4": r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}",
-    "SSN": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "CARD": r"[0-9]{15,}",
-    "PHONE": r"[+]?[0-9]{0,2}[ ]?[(][0-9]{3}[)][ ]?[0-9]{3}-[0-9]{4}",
-    "PLATE": r"(?i:plate)[ \t]+#?[A-Z0-9]{1,4}[0-9]{2,4}",
-    "ACCOUNT": r"(?i:account|acct)[ \t]*[#:][ \t]*[0-9]{2,}-?[0-9]{2,}",
-    "ADDRESS": r"[0-9]{1,5} [A-Z][a-z]+ (?:Street|Avenue|Road|Blvd|Ave|St|Rd|Ln|Dr)\b(?:, Apt [0-9]+[A-Z]?)?",
-}
-
-# The same matches in time linear in the text: a match starts where a run of its characters starts or where the last
-# match ended, and the run is not given back. Only Java knows these forms.
-_LINEAR: dict[str, str] = {
-    PATTERNS["EMAIL"]: r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
-}
-
-# One cheap test per kind: without such a character the pattern cannot match. Kinds of the caller need none.
-NEEDS: dict[str, str] = {"SECRET": "[:=]", "EMAIL": "@"} | dict.fromkeys(
-    ("IPV4", "SSN", "CARD", "PHONE", "PLATE", "ACCOUNT", "ADDRESS"), "[0-9]"
-)
-
-
-def any_pattern(patterns: Mapping[str, str] = PATTERNS) -> str:
-    return "|".join(f"(?:{p})" for p in patterns.values())
-
-
-def _linear(patterns: Mapping[str, str]) -> dict[str, str]:
-    return {kind: _LINEAR.get(p, p) for kind, p in patterns.items()}
-
 
 def has_entity(text: Column, patterns: Mapping[str, str] = PATTERNS) -> Column:
-    """Whether any kind occurs: kinds are grouped by what they need, and a group is searched only where that is found."""
+    """Whether any run occurs: kinds are grouped by what they need, and a group is searched only where that is found."""
     groups: dict[str | None, dict[str, str]] = {}
     for kind, pattern in patterns.items():
         need = NEEDS.get(kind) if pattern == PATTERNS.get(kind) else None
         groups.setdefault(need, {})[kind] = pattern
     out = F.lit(False)
     for need, members in groups.items():
-        found = text.rlike(any_pattern(_linear(members)))
+        found = text.rlike(any_pattern(all_linear(members)))
         if need is not None:
             found = (text.contains(need) if len(need) == 1 else text.rlike(need)) & found
         out = out | found
     return F.coalesce(out, F.lit(False))
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _runs(text: Column, patterns: Mapping[str, str]) -> Column:
+    """All runs of a text in order: kind (null: let go), match, score."""
+    found = F.regexp_extract_all(text, F.lit(any_pattern(all_linear(patterns))), F.lit(0))
+    kinds = F.transform(found, lambda m: F.struct(kind_of(m, patterns).alias("kind"), m.alias("match")))
+    return F.transform(kinds, lambda r: F.struct(r["kind"].alias("kind"), r["match"].alias("match"), score_of(r["match"], r["kind"], patterns).alias("score")))
+
 
+def _of_kind(runs: str, kind: str) -> Column:
+    return F.filter(runs, lambda r: r["kind"] == kind)
 
-def pseudonym(match: Column, kind: str, salt: str) -> Column:
+
+def pseudonym(match: Column, kind: Column, salt: str) -> Column:
     """Stable keyed stand-in for one match: equal matches get equal tokens."""
-    return F.concat(F.lit(f"[{kind}:"), F.substring(F.sha2(F.concat(F.lit(salt), match), 256), 1, 12), F.lit("]"))
-
-
-def _replace(text: Column, pattern: str, kind: str, salt: str | None) -> Column:
-    if salt is None:
-        return F.regexp_replace(text, pattern, f"[{kind}]")
-    # the pieces between matches, each followed by the token of the match after it
-    pieces = F.split(text, pattern, -1)
-    tokens = F.transform(_matches(text, pattern), lambda m: pseudonym(m, kind, salt))
-    return F.array_join(F.zip_with(pieces, tokens, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "")
-
-
-def _found(df: DataFrame, column: str, patterns: Mapping[str, str], salt: str | None) -> DataFrame:
-    """Adds ``_has`` (any entity), ``_masked`` and one ``_m_KIND`` array of matches per kind."""
-    none = F.array().cast("array<string>")
-    out = df.withColumns({"_has": has_entity(F.col(column), patterns), "_masked": F.col(column)})
-    has = F.col("_has")
-    for kind, pattern in _linear(patterns).items():
-        text = F.col("_masked")
-        out = out.withColumns(
-            {
-                f"_m_{kind}": F.when(has, _matches(text, pattern)).otherwise(none),
-                "_masked": F.when(has, _replace(text, pattern, kind, salt)).otherwise(text),
-            }
-        )
-    return out
+    return F.concat(F.lit("["), kind, F.lit(":"), F.substring(F.sha2(F.concat(F.lit(salt), match), 256), 1, 12), F.lit("]"))
+
+
+def _found(df: DataFrame, column: str, patterns: Mapping[str, str]) -> DataFrame:
+    """Adds ``_has`` (any run at all) and ``_runs``."""
+    has = has_entity(F.col(column), patterns)
+    none = F.array().cast("array<struct<kind:string,match:string,score:double>>")
+    return df.withColumn("_has", has).withColumn("_runs", F.when(F.col("_has"), _runs(F.col(column), patterns)).otherwise(none))
+
+
+def _masked(text: Column, runs: Column, patterns: Mapping[str, str], salt: str | None) -> Column:
+    """The pieces between runs, each followed by what stands for the run after it."""
+    pieces = F.split(text, any_pattern(all_linear(patterns)), -1)
+
+    def stand_in(r: Column) -> Column:
+        token = F.concat(F.lit("["), r["kind"], F.lit("]")) if salt is None else pseudonym(r["match"], r["kind"], salt)
+        return F.when(r["kind"].isNull(), r["match"]).otherwise(token)
+
+    return F.array_join(F.zip_with(pieces, runs, lambda p, r: F.concat(p, F.when(r.isNull(), F.lit("")).otherwise(stand_in(r)))), "")
 
 
 def detect_entities(df: DataFrame, column: str, key: str, patterns: Mapping[str, str] = PATTERNS) -> DataFrame:
-    """One row per entity: key, kind, match, ordinal (from 0, per kind), score (1.0: patterns match or they do not)."""
+    """One row per entity: key, kind, match, ordinal (from 0, per kind), score (1.0, or 0.9 for a run that is longer than
+    its kind or fails its check digit)."""
     hit = df.select(key, column).filter(has_entity(F.col(column), patterns))
-    found = _found(hit, column, patterns, None)
-    per_kind = F.array(
-        *[F.struct(F.lit(kind).alias("kind"), F.col(f"_m_{kind}").alias("matches")) for kind in patterns]
-    )
-    kinds = found.select(key, F.explode(per_kind).alias("k"))
-    return kinds.select(key, F.col("k.kind").alias("kind"), F.posexplode("k.matches").alias("ordinal", "match")).withColumn(
-        "score", F.lit(1.0)
+    found = _found(hit, column, patterns)
+    per_kind = F.array(*[F.struct(F.lit(kind).alias("kind"), _of_kind("_runs", kind).alias("runs")) for kind in patterns])
+    # the runs are computed once, below a generator, and not once for every kind
+    kinds = found.select(key, F.explode(F.array("_runs")).alias("_runs")).select(key, F.explode(per_kind).alias("k"))
+    return kinds.select(key, F.col("k.kind").alias("kind"), F.posexplode("k.runs").alias("ordinal", "r")).select(
+        key, "kind", F.col("r.match").alias("match"), "ordinal", F.col("r.score").alias("score")
     )
 
 
@@ -118,26 +87,26 @@ def mask_entities(
 
     With ``salt`` each match becomes a keyed pseudonym instead of ``[KIND]``.
     """
-    found = _found(df, column, patterns, salt)
-    sizes = {kind: F.size(f"_m_{kind}") for kind in patterns}
-    total, chars = F.lit(0), F.lit(0)
-    for kind, n in sizes.items():
-        total = total + n
-        chars = chars + F.aggregate(f"_m_{kind}", F.lit(0), lambda acc, m: acc + F.length(m))
+    # A filter on the results must not be pushed below them, which would search the text again inside the predicate. It
+    # cannot pass a generator.
+    found = _found(df, column, patterns).select(*[F.col(c) for c in df.columns], F.inline(F.array(F.struct("_has", "_runs"))))
+    taken = F.filter("_runs", lambda r: r["kind"].isNotNull())
+    text = F.col(column)
     result = F.struct(
-        F.col("_masked").alias("masked"),
-        total.alias("entity_count"),
-        chars.alias("masked_chars"),
-        *[n.alias(f"n_{kind.lower()}") for kind, n in sizes.items()],
+        F.when(F.col("_has"), _masked(text, F.col("_runs"), patterns, salt)).otherwise(text).alias("masked"),
+        F.size(taken).alias("entity_count"),
+        F.aggregate(taken, F.lit(0), lambda acc, r: acc + F.length(r["match"])).alias("masked_chars"),
+        *[F.size(_of_kind("_runs", kind)).alias(f"n_{kind.lower()}") for kind in patterns],
     )
-    # A filter on the results must not be pushed below them, which would run the whole chain of patterns again
-    # inside the predicate. It cannot pass a generator.
     return found.select(*[F.col(c) for c in df.columns], F.inline(F.array(result)))
 
 
 def residual_count(text: Column, patterns: Mapping[str, str] = PATTERNS) -> Column:
-    """Entities still found by a fresh scan of the output."""
-    return F.coalesce(F.regexp_count(text, F.lit(any_pattern(_linear(patterns)))), F.lit(0))
+    """Entities still found by a fresh scan of the output, and masks that are part of a longer word or number: whatever
+    was missed there is not searched for by the same patterns."""
+    found = F.regexp_extract_all(text, F.lit(any_pattern(all_linear(patterns))), F.lit(0))
+    entities = F.size(F.filter(found, lambda m: kind_of(m, patterns).isNotNull()))
+    return F.coalesce(entities + F.regexp_count(text, F.lit(torn(patterns))), F.lit(0))
 
 
 def text_qa(

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from redactflow.config import DEFAULTS
 from redactflow.functions.secrets import SECRET_KEYS, redact_json, redact_secrets
 from redactflow.operators.reports import master_statistics, residual_gate
-from redactflow.operators.text import PATTERNS, anonymize_text, any_pattern, detect_entities, mask_entities
+from redactflow.operators import entities as E
+from redactflow.operators.entities import PATTERNS, any_pattern
+from redactflow.operators.text import anonymize_text, detect_entities, mask_entities
 from redactflow.plans.registry import query
 from redactflow.plans.views import Tables
 from redactflow.plans.waves import run_waves
@@ -22,46 +24,56 @@ def _lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _luhn_sql(number: str) -> str:
+    d = f"CAST({number}[len({number}) - i] AS INTEGER)"
+    return f"list_sum([CASE WHEN i % 2 = 0 THEN {d} ELSE 2 * {d} - CASE WHEN {d} > 4 THEN 9 ELSE 0 END END for i in range(len({number}))]) % 10 = 0"
+
+
+def _kind_sql(run: str) -> str:
+    number = f"regexp_replace({run}, '[^0-9]', '', 'g')"
+    low, high = E.CARD_DIGITS
+    card = f"regexp_matches({run}, '^[0-9]+$') OR len({number}) > {high} OR (len({number}) >= {low} AND {_luhn_sql(number)})"
+    names = {
+        "CARD": f"CASE WHEN {card} THEN 'CARD' END",
+        "SSN": f"CASE WHEN regexp_matches({run}, {_lit(E.SEVEN_TEN)}) THEN 'PHONE' ELSE 'SSN' END",
+    }
+    arms = " ".join(f"WHEN regexp_matches({run}, {_lit(f'^(?:{p})')}) THEN {names.get(kind, _lit(kind))}" for kind, p in PATTERNS.items())
+    return f"CASE {arms} END"
+
+
+def _score_sql(run: str, kind: str) -> str:
+    number = f"regexp_replace({run}, '[^0-9]', '', 'g')"
+    good = {k: f"regexp_matches({run}, {_lit(p)})" for k, p in E.EXACT.items()}
+    good["CARD"] = f"(len({number}) BETWEEN {E.CARD_DIGITS[0]} AND {E.CARD_DIGITS[1]} AND {_luhn_sql(number)})"
+    arms = " ".join(f"WHEN {kind} = '{k}' AND NOT {g} THEN {E.UNSURE}::DOUBLE" for k, g in good.items())
+    return f"CASE {arms} ELSE {E.SURE}::DOUBLE END"
+
+
 def found_sql(table: str, key: str, column: str, salt: str | None = None) -> str:
-    """CTE list: one step per kind, each searching what the earlier ones left. Last step: ``found``."""
-    steps = [f"s0 AS (SELECT {key}, {column} AS original, {column} AS t FROM {table})"]
-    for i, (kind, pattern) in enumerate(PATTERNS.items(), 1):
-        p = _lit(pattern)
-        found = f"regexp_extract_all(t, {p})"
-        if salt is None:
-            after = f"regexp_replace(t, {p}, '[{kind}]', 'g')"
-        else:
-            token = f"'[{kind}:' || left(sha256({_lit(salt)} || m), 12) || ']'"
-            after = (
-                f"array_to_string([z[1] || coalesce(z[2], '') for z in list_zip(string_split_regex(t, {p}), "
-                f"[{token} for m in {found}])], '')"
-            )
-            after = f"CASE WHEN len({found}) > 0 THEN {after} ELSE t END"
-        steps.append(f"s{i} AS (SELECT * EXCLUDE (t), {found} AS m_{kind.lower()}, {after} AS t FROM s{i - 1})")
-    counts = ", ".join(f"len(m_{k.lower()}) AS n_{k.lower()}" for k in _KINDS)
-    total = " + ".join(f"len(m_{k.lower()})" for k in _KINDS)
-    chars = " + ".join(
-        f"coalesce(list_sum([length(m) for m in m_{k.lower()}]), 0)" for k in _KINDS
-    )
-    steps.append(
-        f"found AS (SELECT {key}, original, t AS masked, {counts}, CAST({total} AS BIGINT) AS entity_count, "
-        f"CAST({chars} AS BIGINT) AS masked_chars, {', '.join(f'm_{k.lower()}' for k in _KINDS)} FROM s{len(_KINDS)})"
-    )
-    return ", ".join(steps)
+    """CTE list ending in ``found``: all runs of each text, those that are entities, and the text with their stand-ins."""
+    p = _lit(any_pattern())
+    token = "'[' || r.kind || ']'" if salt is None else f"'[' || r.kind || ':' || left(sha256({_lit(salt)} || r.match), 12) || ']'"
+    joined = f"array_to_string([z[1] || coalesce(z[2], '') for z in list_zip(string_split_regex(t, {p}), [CASE WHEN r.kind IS NULL THEN r.match ELSE {token} END for r in runs])], '')"
+    counts = ", ".join(f"len(list_filter(runs, lambda r: r.kind = '{k}')) AS n_{k.lower()}" for k in _KINDS)
+    return f"""f0 AS (SELECT {key}, {column} AS t FROM {table}),
+    f1 AS (SELECT *, [{{'kind': {_kind_sql("m")}, 'match': m}} for m in regexp_extract_all(t, {p})] AS runs FROM f0),
+    found AS (SELECT {key}, t AS original, list_filter(runs, lambda r: r.kind IS NOT NULL) AS entities,
+      CASE WHEN len(runs) > 0 THEN {joined} ELSE t END AS masked, {counts},
+      CAST(coalesce(len(list_filter(runs, lambda r: r.kind IS NOT NULL)), 0) AS BIGINT) AS entity_count,
+      CAST(coalesce(list_sum([length(r.match) for r in runs if r.kind IS NOT NULL]), 0) AS BIGINT) AS masked_chars FROM f1)"""
 
 
 def detect_sql(table: str, key: str, column: str) -> str:
-    arms = " UNION ALL ".join(
-        f"SELECT {key}, '{k}' AS kind, unnest(m_{k.lower()}) AS match, "
-        f"CAST(unnest(range(len(m_{k.lower()}))) AS BIGINT) AS ordinal, 1.0::DOUBLE AS score FROM found"
-        for k in _KINDS
-    )
-    return f"WITH {found_sql(table, key, column)} {arms}"
+    return f"""WITH {found_sql(table, key, column)},
+    each AS (SELECT {key}, unnest(entities) AS r, unnest(range(len(entities))) AS place FROM found)
+    SELECT {key}, r.kind AS kind, r.match AS match, row_number() OVER (PARTITION BY {key}, r.kind ORDER BY place) - 1 AS ordinal,
+      {_score_sql("r.match", "r.kind")} AS score FROM each"""
 
 
 def audited_sql(table: str, key: str, column: str) -> str:
     """CTE list ending in ``audited``: one routed row per text."""
-    scan = f"len(regexp_extract_all(masked, {_lit(any_pattern())}))"
+    again = f"len([m for m in regexp_extract_all(masked, {_lit(any_pattern())}) if ({_kind_sql('m')}) IS NOT NULL])"
+    scan = f"({again} + len(regexp_extract_all(masked, {_lit(E.torn(PATTERNS))})))"
     return f"""{found_sql(table, key, column)},
     measured AS (SELECT *, CASE WHEN entity_count = 0 THEN 0 ELSE {scan} END AS residual_count,
       CASE WHEN length(original) > 0 THEN (length(original) - masked_chars) / length(original)::DOUBLE ELSE 1.0 END
