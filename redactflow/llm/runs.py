@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redactflow.llm.table import col, without
-from redactflow.llm.words import Words, chunks, words_of
+from redactflow.llm.words import CHUNK_BYTES, Words, chunks, words_of
 
 #: A run has at least this many words and this many periods.
 LEAST_WORDS = 6
@@ -150,27 +150,39 @@ def _joined(words: Words, kept: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[alive])])
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rest = [c for c in batch.schema.names if c != "_text"]
-        for part in chunks(batch, "_text"):
-            words = words_of(part.column("_text"))
-            start, length, period = runs_of(words.keys, words.bounds)
-            ends = np.searchsorted(start, words.bounds)
-            collapsed = _joined(words, _kept(words, start, length, period))
-            text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(ends))
-            fields = [pa.array(x, pa.int64()) for x in (start - words.bounds[text], length, period)]
-            runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "length", "period"]))
-            arrays = [*[part.column(c) for c in rest], pa.array(words.counts(), pa.int64()), runs, collapsed.cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, [*rest, "n_words", "runs", "collapsed"])
+def _find(room: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "_text", room):
+                yield _judged(part)
 
+    return run
 
-def find_runs(docs: DataFrame, text: str = "text") -> DataFrame:
+
+def _judged(part: pa.RecordBatch) -> pa.RecordBatch:
+    words = words_of(part.column("_text"))
+    start, length, period = runs_of(words.keys, words.bounds)
+    ends = np.searchsorted(start, words.bounds)
+    collapsed = _joined(words, _kept(words, start, length, period))
+    text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(ends))
+    fields = [pa.array(x, pa.int64()) for x in (start - words.bounds[text], length, period)]
+    runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "length", "period"]))
+    rest = [c for c in part.schema.names if c != "_text"]
+    arrays = [*[part.column(c) for c in rest], pa.array(words.counts(), pa.int64()), runs, collapsed.cast(pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, [*rest, "n_words", "runs", "collapsed"])
+
+
+def find_runs(docs: DataFrame, text: str = "text", room: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, ``runs`` (by start, then period; places are word numbers from 0) and ``collapsed``: the
-    words that no run holds after its first period. Columns of ``docs`` with these names go. One pass, no shuffle."""
-    rest = without(docs, ["n_words", "runs", "collapsed", "_text"])
-    schema = T.StructType([*rest.schema.fields, *T.StructType.fromDDL(RESULT).fields])
-    return docs.select(*[col(c) for c in rest.columns], col(text).cast("string").alias("_text")).mapInArrow(_find, schema)
+    words that no run holds after its first period. Columns of ``docs`` with these names go. One pass, no shuffle.
+    Texts are taken in chunks of about ``room`` bytes, which changes no result."""
+    # the other columns travel in one struct: whatever their names are
+    rest = without(docs, ["n_words", "runs", "collapsed"])
+    held = F.struct(*[col(c) for c in rest.columns]) if rest.columns else F.struct(F.lit(None).cast("int").alias("_"))
+    boxed = docs.select(held.alias("_doc"), col(text).cast("string").alias("_text"))
+    schema = T.StructType([boxed.schema["_doc"], *T.StructType.fromDDL(RESULT).fields])
+    found = boxed.mapInArrow(_find(room), schema)
+    return found.select(*(["_doc.*"] if rest.columns else []), "n_words", "runs", "collapsed")
 
 
 def longest(runs: Column) -> Column:

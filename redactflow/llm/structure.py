@@ -39,8 +39,8 @@ FAN = 64
 PART_BYTES = 64 << 20
 #: Symbols that one grammar is built over.
 GRAMMAR_SYMBOLS = 500_000
-#: Segments that one part of the global order can number: monotonically_increasing_id leaves it 2**33 rows.
-_PART_SEGMENTS = (1 << 33) // SEGMENT
+#: Rows that monotonically_increasing_id can number in one part of the global order.
+_PART_ROWS = 1 << 33
 _MATRIX = "array<struct<cost:long,audit:string>>"
 
 
@@ -57,7 +57,7 @@ def _same(left: str, right: str, names: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names])
 
 
-def _ordered(turns: DataFrame) -> DataFrame:
+def _ordered(turns: DataFrame, segment: int) -> DataFrame:
     """Turns with a count of equal ones and their fault, in the order of conversations and turns (``seq``)."""
     text_key = F.sha2("text", 256)
     rows = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
@@ -87,7 +87,7 @@ def _ordered(turns: DataFrame) -> DataFrame:
     return cut_lineage(
         sorted_turns.select(
             "conv_id", "turn", "role", "text", "n", "blank", "initial", "symbol", F.monotonically_increasing_id().alias("seq")
-        ).withColumn("segment", F.expr(f"seq div {SEGMENT}")),
+        ).withColumn("segment", F.expr(f"seq div {segment}")),
         "turns",
     )
 
@@ -166,25 +166,24 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([part[i]]), pa.array([_as_rows(m)], _ARROW_MATRIX)], ["symbols", "m"])
 
 
-_NODE = [pa.field("key", pa.int64()), pa.field("m", _ARROW_MATRIX), pa.field("illegal", pa.int64()), pa.field("first", pa.string()), pa.field("last", pa.string())]
+_NODE = [pa.field("m", _ARROW_MATRIX), pa.field("illegal", pa.int64()), pa.field("first", pa.string()), pa.field("last", pa.string())]
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One node for the nodes of a group, which come in order."""
     for batch in batches:
-        at = batch.schema.get_field_index("nodes")
-        for i, nodes in enumerate(batch.column(at)):
+        for i, nodes in enumerate(batch.column("nodes")):
             nodes = nodes.as_py()
             m = reduce(grammar.times, [_as_matrix(n["m"]) for n in nodes])
             steps = sum(a["last"] + b["first"] not in ("su", "ua", "au") for a, b in zip(nodes, nodes[1:], strict=False))
-            one = [nodes[0]["key"] // FAN, _as_rows(m), steps + sum(n["illegal"] for n in nodes), nodes[0]["first"], nodes[-1]["last"]]
+            one = [_as_rows(m), steps + sum(n["illegal"] for n in nodes), nodes[0]["first"], nodes[-1]["last"]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id").slice(i, 1), *[pa.array([v], f.type) for v, f in zip(one, _NODE, strict=True)]],
-                ["conv_id", *[f.name for f in _NODE]],
+                [*[batch.column(c).slice(i, 1) for c in ("conv_id", "key")], *[pa.array([v], f.type) for v, f in zip(one, _NODE, strict=True)]],
+                ["conv_id", "key", *[f.name for f in _NODE]],
             )
 
 
-def _long(segments: DataFrame, id_type: str) -> DataFrame:
+def _long(segments: DataFrame, id_type: str, fan: int) -> DataFrame:
     """Cost, audit and illegal neighbours of conversations of several segments, their matrices multiplied in rounds."""
     schema = f"conv_id {id_type}, key long, m {_MATRIX}, illegal long, first string, last string"
     known = segments.select("symbols").distinct().mapInArrow(_matrices, f"symbols string, m {_MATRIX}")
@@ -192,8 +191,8 @@ def _long(segments: DataFrame, id_type: str) -> DataFrame:
     several = True
     while several:
         group = F.array_sort(F.collect_list(F.struct("key", "m", "illegal", "first", "last")))
-        grouped = nodes.groupBy("conv_id", F.expr(f"key div {FAN}").alias("_up")).agg(group.alias("nodes"))
-        nodes = cut_lineage(grouped.select("conv_id", "nodes").mapInArrow(_joined, schema), "nodes")
+        grouped = nodes.groupBy("conv_id", F.expr(f"key div {fan}").alias("_up")).agg(group.alias("nodes"))
+        nodes = cut_lineage(grouped.select("conv_id", F.col("_up").alias("key"), "nodes").mapInArrow(_joined, schema), "nodes")
         several = not nodes.groupBy("conv_id").count().filter("count > 1").isEmpty()
     return nodes.mapInArrow(_close, f"conv_id {id_type}, cost long, audit string, illegal long")
 
@@ -294,8 +293,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> Repaired:
-    """Least costs, audits and repaired turns of all conversations of ``turns``."""
+def repair(
+    turns: DataFrame,
+    conv_id: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    segment: int = SEGMENT,
+    fan: int = FAN,
+) -> Repaired:
+    """Least costs, audits and repaired turns of all conversations of ``turns``. ``segment`` and ``fan``: see above; they
+    change no result."""
     blank = F.lit(" ")
     tidy = turns.select(
         col(conv_id).alias("conv_id"),
@@ -304,15 +312,16 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         F.coalesce(col(text).cast("string"), blank).alias("text"),
     )
     id_type = tidy.schema["conv_id"].dataType.simpleString()
-    ordered = _ordered(tidy)
+    ordered = _ordered(tidy, segment)
     segments = cut_lineage(_segments(ordered), "segments")
     per = segments.groupBy("conv_id").agg(F.count("*").alias("many"), F.min("segment").alias("least"))
     several = per.filter("many > 1").select("conv_id", "least")
     # neighbouring segments get neighbouring keys, also where the global order goes on in the next part
-    most = segments.agg(F.max(F.col("segment") % _PART_SEGMENTS)).first()[0] or 0
+    room = _PART_ROWS // segment
+    most = segments.agg(F.max(F.col("segment") % room)).first()[0] or 0
 
-    def key(segment: str) -> Column:
-        return F.expr(f"{segment} div {_PART_SEGMENTS} * {most + 1} + {segment} % {_PART_SEGMENTS}")
+    def key(name: str) -> Column:
+        return F.expr(f"{name} div {room} * {most + 1} + {name} % {room}")
 
     keyed = segments.alias("s").join(several.alias("p"), _same("s", "p", ["conv_id"])).select("s.*", (key("s.segment") - key("p.least")).alias("key"))
     long_ones = cut_lineage(keyed, "long")
@@ -326,7 +335,7 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     dealt = short_found.select("conv_id", "segment", "audit", F.lit(0).alias("state"))
     some_long = not long_ones.isEmpty()
     if some_long:
-        long_found = cut_lineage(_long(long_ones, id_type), "long")
+        long_found = cut_lineage(_long(long_ones, id_type, fan), "long")
         parts = long_ones.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("segment", "symbols"))).alias("parts"))
         with_parts = long_found.alias("f").join(parts.alias("p"), _same("f", "p", ["conv_id"])).select("f.conv_id", "f.audit", "p.parts")
         found = found.unionByName(long_found)
