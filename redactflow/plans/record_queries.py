@@ -82,7 +82,7 @@ def write_audit(t: Tables) -> DataFrame:
     folder, now = scratch_path(t.spark, "audit"), F.to_timestamp(F.lit(NOW))
     for _ in range(2):
         sinks.write_audit(audits(t), folder, now)
-    rows = t.spark.read.parquet(folder)
+    rows = sinks.audit_rows(t.spark, folder)
     stamp = F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at")
     return rows.select("stem", "image", "batch_id", "schema", stamp, F.col("qa.final_decision").alias("final_decision"))
 

@@ -155,7 +155,36 @@ def upsert_audit_moved(t: Tables) -> DataFrame:
     tables.write_audit(t.supplier.select(stem, F.concat(F.lit("batch-"), "s_nationkey").alias("batch_id")), path, now)
     moved = t.supplier.filter("s_suppkey % 3 = 0 OR s_nationkey = 3")
     tables.upsert_audit(t.spark, moved.select(stem, F.concat(F.lit("moved-"), F.col("s_suppkey") % 5).alias("batch_id")), path, now)
-    return t.spark.read.parquet(path).select("stem", F.col("batch_id").alias("batch"))
+    return tables.audit_rows(t.spark, path).select("stem", F.col("batch_id").alias("batch"))
+
+
+_BATCHES = ("007", "7", "1e3", "1000.0", "2024-01-01", "0x10", "true", "NULL", "batch=1", "a/b")
+
+
+@query(
+    f"""WITH s AS (SELECT 's' || s_suppkey AS stem, s_suppkey % 10 AS b, s_suppkey % 3 AS m, {list(_BATCHES)!r} AS ids FROM supplier)
+    SELECT stem, CASE WHEN m = 0 THEN ids[(b + 2) % 10 + 1] WHEN m = 1 THEN ids[(b + 1) % 10 + 1] ELSE ids[b + 1] END AS batch,
+    CASE WHEN m = 0 THEN 2 WHEN m = 1 THEN 1 ELSE 0 END AS retry_count FROM s WHERE NOT (m = 2 AND b = 3)"""
+)
+def upsert_audit_numeric_ids(t: Tables) -> DataFrame:
+    """Batches whose ids look like numbers, dates or paths; two thirds of the items move once and a third of them again, with
+    a compaction in between; at last one batch is written anew without its items."""
+    path, now = scratch_path(t.spark, "audit"), F.to_timestamp(F.lit("2024-06-01 00:00:00"))
+    key, ids = F.col("s_suppkey"), F.array(*[F.lit(b) for b in _BATCHES])
+
+    def moved(by: int) -> DataFrame:
+        batch = F.element_at(ids, ((key % 10 + by) % 10 + 1).cast("int"))
+        return t.supplier.filter(key % 3 <= 2 - by).select(
+            F.concat(F.lit("s"), key).alias("stem"), batch.alias("batch_id"), F.lit(by).alias("retry_count"), key
+        )
+
+    tables.write_audit(moved(0).drop("s_suppkey"), path, now)
+    tables.upsert_audit(t.spark, moved(1).drop("s_suppkey"), path, now)
+    tables.compact_audit(t.spark, path)
+    tables.upsert_audit(t.spark, moved(2).drop("s_suppkey"), path, now)
+    rest = tables.audit_rows(t.spark, path).filter((F.col("batch_id") == _BATCHES[3]) & (F.col("retry_count") > 0))
+    tables.write_audit(rest, path, now)
+    return tables.audit_rows(t.spark, path).select("stem", F.col("batch_id").alias("batch"), "retry_count")
 
 
 @query(

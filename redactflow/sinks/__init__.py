@@ -2,6 +2,8 @@ from redactflow.sinks.export import export_clean, read_export
 from redactflow.sinks.tables import (
     append_events,
     append_master_audit,
+    audit_rows,
+    compact_audit,
     guarded_write,
     upsert_audit,
     write_audit,
@@ -12,6 +14,6 @@ from redactflow.sinks.tables import (
 )
 
 __all__ = [
-    "append_events", "append_master_audit", "export_clean", "guarded_write", "read_export", "upsert_audit",
+    "append_events", "append_master_audit", "audit_rows", "compact_audit", "export_clean", "guarded_write", "read_export", "upsert_audit",
     "write_audit", "write_batch_summary", "write_manifest", "write_master_summary", "write_run_scope",
 ]

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Callable, Sequence
-from urllib.parse import quote, urlsplit
+from urllib.parse import urlsplit
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from redactflow.functions.secrets import redact_struct
 from redactflow.operators.reports import last_per_image
 from redactflow.operators.verify import last_entry_per_stem
 from redactflow.schemas import AUDIT_SCHEMA_NAME, RUN_SCOPE_DDL
-from redactflow.session import NO_TABLE, cut_lineage
+from redactflow.sinks.keyed import KeyedTable
 
 
 class ProtectedPathError(PermissionError):
@@ -54,37 +53,33 @@ def _with_defaults(audit: DataFrame, now: Column) -> DataFrame:
     return audit.withColumns(filled)
 
 
+def _audit_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, "stem", "batch_id")
+
+
+def _one_each(audit: DataFrame, now: Column) -> DataFrame:
+    return last_entry_per_stem(_with_defaults(audit, now), [F.col("updated_at"), F.xxhash64("image", "batch_id")])
+
+
 def write_audit(audit: DataFrame, path: str, now: Column) -> None:
-    """One row per item, in partitions by ``batch_id``; writing a batch again replaces exactly that batch."""
-    rows = last_entry_per_stem(_with_defaults(audit, now), [F.col("updated_at"), F.xxhash64("image", "batch_id")])
-    # few files per batch, and a batch holding much of the data is still written by many tasks
-    spread_out = rows.hint("rebalance", "batch_id")
-    spread_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+    """One row per item; writing a batch again replaces exactly that batch. Rows of the items elsewhere are superseded."""
+    _audit_table(audit.sparkSession, path).upsert(_one_each(audit, now), replace_groups=True)
 
 
 def upsert_audit(spark: SparkSession, audit: DataFrame, path: str, now: Column) -> None:
-    """Replace the rows of the given items wherever they are, keep the other rows of the batches this touches."""
-    fresh = cut_lineage(_with_defaults(audit, now))
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() not in NO_TABLE:
-            raise
-        write_audit(fresh, path, now)
-        return
-    stems = fresh.select("stem").distinct()
-    # names only: the batches that hold, or held, one of the items
-    held = old.select("stem", F.col("batch_id").cast("string").alias("batch_id")).join(stems, "stem", "left_semi").select("batch_id")
-    batches = cut_lineage(held.unionByName(fresh.select("batch_id")).distinct())
-    touched = old.withColumn("batch_id", F.col("batch_id").cast("string")).join(batches, "batch_id", "left_semi")
-    kept = touched.join(stems, "stem", "left_anti")
-    after = cut_lineage(kept.unionByName(fresh, allowMissingColumns=True))
-    write_audit(after, path, now)
-    # a batch whose items have all moved away is not written above: empty it
-    left = batches.join(after.select("batch_id").distinct(), "batch_id", "left_anti")
-    for row in left.toLocalIterator():
-        folder = f"{path}/batch_id={quote(row['batch_id'], safe=' ,;()+-._')}"
-        after.drop("batch_id").limit(0).write.mode("overwrite").parquet(folder)
+    """Replace the rows of the given items wherever they are. Reads nothing of what is there."""
+    _audit_table(spark, path).upsert(_one_each(audit, now))
+
+
+def audit_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_audit`` and ``upsert_audit`` have written: one row per item, the newest."""
+    rows = _audit_table(spark, path).read()
+    return spark.createDataFrame([], "stem string, batch_id string") if rows is None else rows
+
+
+def compact_audit(spark: SparkSession, path: str) -> None:
+    """Merge all versions into one, so that reads need not."""
+    _audit_table(spark, path).compact()
 
 
 def append_master_audit(decided: DataFrame, path: str) -> None:

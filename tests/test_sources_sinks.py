@@ -115,7 +115,7 @@ def test_write_audit_defaults_and_replaces_batch(spark, folder):
     sinks.write_audit(audit_rows(spark, [("a", "b1", 0, None, None), ("b", "b2", 0, "b.png", None)]), path, now())
     sinks.write_audit(audit_rows(spark, [("a", "b1", 1, None, None), ("c", "b1", 0, None, None)]), path, now())
     sinks.write_audit(audit_rows(spark, [("a", "b1", 1, None, None), ("c", "b1", 0, None, None)]), path, now())
-    got = by(spark.read.parquet(path).collect(), "stem")
+    got = by(sinks.audit_rows(spark, path).collect(), "stem")
     assert sorted(got) == ["a", "b", "c"] and got["a"]["retry_count"] == 1
     assert got["a"]["schema"] == AUDIT_SCHEMA_NAME and got["a"]["image"] == "a" and got["a"]["updated_at"].year == 2024
 
@@ -124,7 +124,7 @@ def test_upsert_audit_keeps_other_rows_of_the_batch(spark, folder):
     path = f"{folder}/audit"
     sinks.upsert_audit(spark, audit_rows(spark, [("a", "b1", 0, None, None), ("b", "b1", 0, None, None)]), path, now())
     sinks.upsert_audit(spark, audit_rows(spark, [("a", "b1", 2, None, None)]), path, now())
-    assert {r["stem"]: r["retry_count"] for r in spark.read.parquet(path).collect()} == {"a": 2, "b": 0}
+    assert {r["stem"]: r["retry_count"] for r in sinks.audit_rows(spark, path).collect()} == {"a": 2, "b": 0}
 
 
 def test_master_audit_only_appends(spark, folder):
