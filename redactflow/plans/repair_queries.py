@@ -3,6 +3,8 @@ exports, moved audit rows, interrupted runs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +114,7 @@ def attach_detections_hot(t: Tables) -> DataFrame:
     return rows.select("stem", "part", "parts", F.size("boxes").alias("boxes"))
 
 
-def _exported(t: Tables, target: str, ending: str, torn: bool) -> None:
+def _exported(t: Tables, target: str, ending: str, torn: bool, between: Callable[[], None] = lambda: None) -> None:
     content = F.concat("p_name", F.lit(ending)).cast("binary")
     items = t.part.select(F.concat(F.lit("parts/"), "p_partkey").alias("path"), F.concat(F.lit("p"), "p_partkey").alias("stem"), content.alias("content"))
     items = items.withColumns({"sha256": F.sha2("content", 256), "final_decision": F.lit("pass")})
@@ -123,6 +125,7 @@ def _exported(t: Tables, target: str, ending: str, torn: bool) -> None:
         tries.append(path)
         bad = F.when(F.length("content") % 3 == 0, F.lit(b"torn")).otherwise(F.col("content"))
         (df.withColumn("content", bad) if torn and len(tries) == 1 else df).write.mode("overwrite").parquet(path)
+        between()
 
     export_clean(t.spark, items, audit, target, "2024-06-01T00:00:00", write)
 
@@ -158,6 +161,21 @@ def upsert_audit_moved(t: Tables) -> DataFrame:
     return tables.audit_rows(t.spark, path).select("stem", F.col("batch_id").alias("batch"))
 
 
+@query(
+    """SELECT unnest(['before', 'during', 'after']) AS reader, 'parts/' || p_partkey AS path,
+    unnest([sha256(p_name || '-1'), sha256(p_name || '-1'), sha256(p_name || '-2')]) AS content_sha256 FROM part"""
+)
+def export_clean_snapshots(t: Tables) -> DataFrame:
+    """Readers that open before, during and after a second export to the same place, all read at its end."""
+    target, readers = scratch_path(t.spark, "export"), {}
+    _exported(t, target, "-1", torn=True)
+    readers["before"] = read_export(t.spark, target)
+    _exported(t, target, "-2", torn=False, between=lambda: readers.update(during=read_export(t.spark, target)))
+    readers["after"] = read_export(t.spark, target)
+    seen = [df.select(F.lit(name).alias("reader"), "path", F.sha2("content", 256).alias("content_sha256")) for name, df in readers.items()]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
+
+
 _BATCHES = ("007", "7", "1e3", "1000.0", "2024-01-01", "0x10", "true", "NULL", "batch=1", "a/b")
 
 

@@ -37,6 +37,15 @@ def current_state(attempts: DataFrame) -> DataFrame:
     return latest_attempt(attempts.withColumn("attempt", F.col("wave")))
 
 
+def settled_rows(attempts: DataFrame) -> DataFrame:
+    """``current_state`` of a written table, outputs and all. Only names are compared; rows that a later wave has
+    superseded, which are those of failures, are taken out where they are."""
+    names = attempts.select("stem", "wave").distinct()
+    last = names.groupBy("stem").agg(F.max("wave").alias("_last"))
+    past = cut_lineage(names.join(last, "stem").filter(F.col("wave") < F.col("_last")).select("stem", "wave"), "superseded")
+    return attempts.join(past, ["stem", "wave"], "left_anti")
+
+
 def pick(items: DataFrame, pending: DataFrame, wanted: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Items named in ``pending`` (stem, path, retry_count; ``wanted`` rows), contents not shuffled if avoidable.
 
@@ -91,7 +100,7 @@ def run_waves(
     done = read_attempts(spark, folder)
     if done is None:
         raise ValueError("nothing to process: no item is pending and no attempt was made before")
-    return current_state(done)
+    return settled_rows(done)
 
 
 def _pending(

@@ -1,4 +1,4 @@
-from redactflow.sinks.export import export_clean, read_export
+from redactflow.sinks.export import current_export, export_clean, exports, forget_exports, read_export
 from redactflow.sinks.tables import (
     append_events,
     append_master_audit,
@@ -14,6 +14,6 @@ from redactflow.sinks.tables import (
 )
 
 __all__ = [
-    "append_events", "append_master_audit", "audit_rows", "compact_audit", "export_clean", "guarded_write", "read_export", "upsert_audit",
+    "append_events", "append_master_audit", "audit_rows", "compact_audit", "current_export", "export_clean", "exports", "forget_exports", "guarded_write", "read_export", "upsert_audit",
     "write_audit", "write_batch_summary", "write_manifest", "write_master_summary", "write_run_scope",
 ]

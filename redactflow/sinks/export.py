@@ -1,10 +1,20 @@
-"""Publish passed items, read them back, verify, repair once, record what still fails."""
+"""Publish passed items as a version of its own, read it back, verify, repair once, commit.
+
+Each export writes a new folder and becomes visible by one commit file. A reader takes the folder the last commit names
+and keeps it, whatever is exported meanwhile; an export that dies is never seen, and nothing of an earlier one (second
+copies, check results) can be taken for a part of a later one.
+
+Contents are computed once and stay where they are: the manifest comes from what was written (or staged, for a writer of
+the caller), and verification, repair and reading join names and hashes.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactflow.functions.names import sha256_hex
@@ -13,19 +23,50 @@ from redactflow.operators.joins import join_small
 from redactflow.operators.reports import manifest_totals
 from redactflow.operators.verify import hash_summary, verify_hashes
 from redactflow.schemas import TRANSFER_MANIFEST_SCHEMA_NAME
+from redactflow.session import cut_lineage
+from redactflow.sinks.log import CommitLog
 
 Writer = Callable[[DataFrame, str], None]
 
 
-def _parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+@dataclass(frozen=True)
+class Published:
+    """One export: its number, its folder, and how often items were copied (1, or 2 if some had to be repaired)."""
+
+    version: int
+    folder: str
+    copies: int
+
+
+def exports(spark: SparkSession, target: str) -> list[Published]:
+    """All exports that were completed, oldest first."""
+    found = CommitLog(spark, target).commits()
+    return [Published(c.version, f"{target}/{c.facts['folder']}", c.facts["copies"]) for c in found]
+
 
+def current_export(spark: SparkSession, target: str) -> Published | None:
+    last = CommitLog(spark, target).last()
+    return None if last is None else Published(last.version, f"{target}/{last.facts['folder']}", last.facts["copies"])
 
-def read_export(spark: SparkSession, target: str) -> DataFrame:
-    """Published items; where an item was copied again, the later copy counts."""
-    copies = spark.read.parquet(f"{target}/items")
-    w = Window.partitionBy("path").orderBy(F.col("attempt").desc())
-    return copies.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") == 1).drop("_nth")
+
+def forget_exports(spark: SparkSession, target: str, keep: int = 2) -> None:
+    """Delete the folders of all but the newest ``keep`` exports; readers of those must be done."""
+    log = CommitLog(spark, target)
+    for old in exports(spark, target)[: -max(1, keep)]:
+        log.delete(old.folder)
+
+
+def read_export(spark: SparkSession, target: str, published: Published | None = None) -> DataFrame:
+    """Published items of the last export, or of ``published``; where an item was copied again, the later copy counts."""
+    seen = published or current_export(spark, target)
+    if seen is None:
+        raise FileNotFoundError(f"nothing was exported to {target}")
+    first = spark.read.parquet(f"{seen.folder}/items/attempt=0").withColumn("attempt", F.lit(0))
+    if seen.copies == 1:
+        return first
+    second = spark.read.parquet(f"{seen.folder}/items/attempt=1").withColumn("attempt", F.lit(1))
+    again = cut_lineage(second.select("path"), "again")
+    return first.join(again, "path", "left_anti").unionByName(second)
 
 
 def _actual(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,14 +74,15 @@ def _actual(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def export_clean(
-    spark: SparkSession, items: DataFrame, audit: DataFrame, target: str, now: str, write: Writer = _parquet
+    spark: SparkSession, items: DataFrame, audit: DataFrame, target: str, now: str, write: Writer | None = None
 ) -> DataFrame:
     """Copy passed items and their audit rows under ``target``; returns the one-row verification summary.
 
     ``items``: path, stem, content, sha256 (hash taken before routing), and best also ``final_decision``, as judged
     rows have it: passed ones are then a filter, and no content is shuffled. Without it they are found by join.
-    ``audit``: needs ``stem`` and ``qa.final_decision``. Only items that fail verification are copied a second
-    time; verification joins hashes only.
+    ``audit``: needs ``stem`` and ``qa.final_decision``. ``write`` copies a frame to a folder in place of Spark's own
+    writer; as nothing is known of it, items are then staged first. Only items that fail verification are copied a second
+    time.
     """
     passed = audit.filter(F.col("qa.final_decision") == "pass")
     size = F.col("length") if "length" in items.columns else F.octet_length("content")
@@ -49,26 +91,36 @@ def export_clean(
     else:
         allowed = join_small(items, passed.select("stem").distinct(), ["stem"])
     chosen = allowed.select("path", "stem", "content", "sha256", size.cast("bigint").alias("size_bytes"))
-    # names, hashes and sizes once: the manifest, and what verification expects
-    chosen.select("path", "sha256", "size_bytes").write.mode("overwrite").parquet(f"{target}/manifest_files")
-    files = spark.read.parquet(f"{target}/manifest_files")
+
+    name = f"exports/{uuid.uuid4().hex}"
+    folder = f"{target}/{name}"
+    first, second = f"{folder}/items/attempt=0", f"{folder}/items/attempt=1"
+    if write is None:
+        chosen.write.parquet(first)
+        held = spark.read.schema(chosen.schema).parquet(first)
+    else:
+        held = cut_lineage(chosen, "staged")
+        write(held, first)
+    held.select("path", "sha256", "size_bytes").write.parquet(f"{folder}/manifest_files")
+    files = spark.read.parquet(f"{folder}/manifest_files")
     expected = files.select("path", "sha256")
 
-    # second copies of an earlier export must not outlive it
-    first, second = f"{target}/items/attempt=0", f"{target}/items/attempt=1"
-    _parquet(chosen.limit(0), second)
-    write(chosen, first)
-    sanitize_for_export(passed).write.mode("overwrite").parquet(f"{target}/audit")
-    checks = f"{target}/checks"
-    verify_hashes(expected, _actual(spark, first)).write.mode("overwrite").parquet(f"{checks}/attempt=0")
-    checked = spark.read.parquet(f"{checks}/attempt=0")
+    sanitize_for_export(passed).write.parquet(f"{folder}/audit")
+    verify_hashes(expected, _actual(spark, first)).write.parquet(f"{folder}/checks/attempt=0")
+    checked = spark.read.parquet(f"{folder}/checks/attempt=0")
     bad = checked.filter(F.col("status") != "verified").select("path")
 
+    copies = 1
     if not bad.isEmpty():
-        write(join_small(chosen, bad, ["path"], written=True), second)
-        again = verify_hashes(expected.join(bad, "path", "left_semi"), _actual(spark, second))
-        again.write.mode("overwrite").parquet(f"{checks}/attempt=1")
-        repaired = spark.read.parquet(f"{checks}/attempt=1")
+        copies = 2
+        source = chosen if write is None else held
+        again = join_small(source, bad, ["path"], written=True)
+        if write is None:
+            again.write.parquet(second)
+        else:
+            write(again, second)
+        verify_hashes(expected.join(bad, "path", "left_semi"), _actual(spark, second)).write.parquet(f"{folder}/checks/attempt=1")
+        repaired = spark.read.parquet(f"{folder}/checks/attempt=1")
         checked = checked.join(bad, "path", "left_anti").unionByName(repaired)
         failures = repaired.filter(F.col("status") != "verified").select(
             F.lit("export").alias("operation"), "path", "status", F.lit(now).alias("timestamp")
@@ -83,5 +135,6 @@ def export_clean(
         "file_count",
         "total_bytes",
     )
-    header.write.mode("overwrite").json(f"{target}/manifest")
+    header.write.json(f"{folder}/manifest")
+    CommitLog(spark, target).commit({"folder": name, "copies": copies, "timestamp": now})
     return hash_summary(checked)

@@ -202,10 +202,11 @@ def test_export_only_passed_items(spark, folder):
     summary = sinks.export_clean(spark, items, audit, folder, "2024-01-01").first()
     assert summary["ok"] and summary["verified_count"] == 3
     assert sorted(r["stem"] for r in sinks.read_export(spark, folder).collect()) == ["a", "b", "d"]
-    assert "decode_path" not in spark.read.parquet(f"{folder}/audit").columns
-    header = spark.read.json(f"{folder}/manifest").first()
+    at = sinks.current_export(spark, folder).folder
+    assert "decode_path" not in spark.read.parquet(f"{at}/audit").columns
+    header = spark.read.json(f"{at}/manifest").first()
     assert (header["file_count"], header["total_bytes"]) == (3, 15)
-    files = spark.read.parquet(f"{folder}/manifest_files")
+    files = spark.read.parquet(f"{at}/manifest_files")
     assert {r["path"] for r in files.collect()} == {"p/a.png", "p/b.png", "p/d.png"}
 
 
@@ -232,6 +233,57 @@ def test_export_lists_persistent_failures(spark, folder):
     assert [r["path"] for r in spark.read.json(f"{folder}/failures").collect()] == ["p/a.png"]
 
 
+def test_readers_keep_their_version(spark, folder):
+    items, audit = exported(spark)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_export(spark, folder)
+    sinks.export_clean(spark, items, audit, folder, "t1", _damage(lambda path: ["a"] if path.endswith("attempt=0") else [""]))
+    opened, during = sinks.read_export(spark, folder), []
+
+    def slow(df, path):
+        df.write.parquet(path)
+        during.append({bytes(r["content"]) for r in sinks.read_export(spark, folder).collect()})
+        raise_now = len(during) == 1
+        if raise_now:
+            raise OSError("the writer died")
+
+    changed = items.withColumn("content", F.concat("content", F.lit(b"!"))).withColumn("sha256", sha256_hex(F.col("content")))
+    old, new = {b"aaaaa", b"bbbbb", b"ddddd"}, {b"aaaaa!", b"bbbbb!", b"ddddd!"}
+    with pytest.raises(OSError, match="died"):
+        sinks.export_clean(spark, changed, audit, folder, "t2", slow)
+    assert during == [old] and len(sinks.exports(spark, folder)) == 1
+    assert sinks.export_clean(spark, changed, audit, folder, "t3", slow).first()["ok"]
+    assert during == [old, old] and {bytes(r["content"]) for r in opened.collect()} == old
+    assert {bytes(r["content"]) for r in sinks.read_export(spark, folder).collect()} == new
+    first, last = sinks.exports(spark, folder)
+    assert (first.copies, last.copies) == (2, 1)
+    assert {bytes(r["content"]) for r in sinks.read_export(spark, folder, first).collect()} == old
+    sinks.forget_exports(spark, folder, keep=1)
+    assert not os.path.exists(first.folder) and sinks.read_export(spark, folder).count() == 3
+
+
+def test_items_run_once(spark, folder):
+    items, audit = exported(spark)
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    judged = items.withColumn("final_decision", F.lit("pass"))
+    assert sinks.export_clean(spark, judged.mapInArrow(count, judged.schema), audit, folder, "t").first()["ok"]
+    assert runs.value == 4
+
+
+def test_no_content_is_shuffled(spark, folder):
+    items, audit = exported(spark)
+    sinks.export_clean(spark, items, audit, folder, "t", _damage(lambda path: ["a"] if path.endswith("attempt=0") else [""]))
+    plan = sinks.read_export(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line]
+    assert all("Broadcast" in line for line in shuffles) and "BroadcastHashJoin" in plan
+
+
 def test_audit_from_sidecars_is_complete(spark, folder):
     record = {
         "integrity_hashes": {"source_sha256": "s", "output_sha256": "o"}, "retry_count": 0,
