@@ -33,6 +33,13 @@ def insert_text_chunk(png: bytes, key: str, text: str) -> bytes:
     return png[:at] + _chunk(b"tEXt", body) + png[at:]
 
 
+def with_orientation(png: bytes, turn: int) -> bytes:
+    """The same file with an EXIF note of how it is to be turned."""
+    tiff = b"II*\0" + struct.pack("<IHHHIHHI", 8, 1, 0x0112, 3, 1, turn, 0, 0)
+    at = len(SIGNATURE) + 25
+    return png[:at] + _chunk(b"eXIf", tiff) + png[at:]
+
+
 def strip_metadata(content: bytes) -> tuple[bytes | None, str]:
     """``(bytes, method)``; pixels are untouched. Formats other than PNG and JPEG give ``(None, "unsupported")``."""
     if content[:8] == SIGNATURE:
@@ -76,7 +83,15 @@ def _strip_jpeg(content: bytes) -> bytes:
 
 
 def orientation(content: bytes) -> int:
-    """EXIF orientation 1..8 of a JPEG; 1 when there is none."""
+    """EXIF orientation 1..8 of a JPEG or PNG; 1 when there is none."""
+    if content[:8] == SIGNATURE:
+        at = 8
+        while at + 8 <= len(content):
+            size = struct.unpack(">I", content[at : at + 4])[0]
+            if content[at + 4 : at + 8] == b"eXIf":
+                return _tiff_orientation(content[at + 8 : at + 8 + size])
+            at += 12 + size
+        return 1
     at = 2
     while content[:2] == b"\xff\xd8" and at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] != 0xDA:
         size = struct.unpack(">H", content[at + 2 : at + 4])[0]

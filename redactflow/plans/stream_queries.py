@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import replace
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redactflow.config import DEFAULTS
+from redactflow.image.ops import to_rgb
+from redactflow.image.png import encode_png, upright, with_orientation
+from redactflow.plans.image_queries import FACE_LEVEL, TEXT_LEVEL, level_detector, rasters
 from redactflow.plans.registry import query
 from redactflow.plans.text_queries import AUDIT_COLUMNS, audited_select
 from redactflow.plans.views import Tables
-from redactflow.session import scratch_path
+from redactflow.session import cut_lineage, scratch_path
+from redactflow.sources.files import open_image_stream
 from redactflow.streaming import (
     drain,
     live_metrics,
@@ -18,6 +28,7 @@ from redactflow.streaming import (
     retry_budget,
     stale_leases,
     stream_anonymize,
+    stream_images,
     use_rocksdb,
     windowed_metrics,
     write_batches,
@@ -49,6 +60,57 @@ def stream_anonymize_documents(t: Tables) -> DataFrame:
     return read_batches(t.spark, target).select("doc_id", *AUDIT_COLUMNS)
 
 
+_FACELESS = replace(DEFAULTS, ssim_min=-1.0, edge_ratio_max=float("inf"))
+
+
+def _has_face() -> Callable[[np.ndarray], list[float]]:
+    """Who is on a picture: someone, or no one."""
+
+    def embed(rgb: np.ndarray) -> list[float]:
+        seen = bool((rgb == FACE_LEVEL).all(axis=2).any())
+        return [float(seen), float(not seen)]
+
+    return embed
+
+
+def _turned_files(t: Tables) -> DataFrame:
+    """One PNG file for each raster, turned so that its EXIF orientation, 1 to 8, sets it upright: vec_id, content."""
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for vec_id, height, width, data in rows.itertuples(index=False):
+                to = 1 + vec_id % 8
+                raw = upright(to_rgb(height, width, data), {6: 8, 8: 6}.get(to, to))
+                out.append(with_orientation(encode_png(raw), to))
+            yield pd.DataFrame({"vec_id": rows["vec_id"], "content": out})
+
+    return rasters(t).select("vec_id", "height", "width", "data").mapInPandas(turn, "vec_id bigint, content binary")
+
+
+@query(
+    """SELECT vec_id, 1::BIGINT AS input_face_count, 0::BIGINT AS post_face_count, (label % 8) * 8::DOUBLE AS x0, (label // 8) * 8::DOUBLE AS y0,
+    1.0::DOUBLE AS identity_distance, 'final_clean' AS route, TRUE AS hashed FROM embeddings"""
+)
+def stream_images_turned(t: Tables) -> DataFrame:
+    """Image files that lie on their sides or are mirrored, drained from a folder: text is found where it is upright, the
+    identity gate sees the face go, and the recorded hash is that of the file."""
+    folder, target = scratch_path(t.spark, "photos"), scratch_path(t.spark, "clean")
+    files = cut_lineage(_turned_files(t), "files")
+    # Spark's text writer writes a string's bytes as they are and ends the line: a file for each row
+    files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    known = files.select("vec_id", F.sha2(F.concat("content", F.lit(b"\n")), 256).alias("source_sha256"))
+    source = open_image_stream(t.spark, folder, 512, (".txt",))
+    make = level_detector(FACE_LEVEL, 4), level_detector(TEXT_LEVEL)
+    drain(stream_images(source, *make, target, scratch_path(t.spark, "progress"), settings=_FACELESS, make_embedder=_has_face))
+    done = read_batches(t.spark, target)
+    corner = F.get("text_boxes", F.lit(0)).getField("polygon")[0]
+    return done.join(known, "source_sha256").select(
+        "vec_id", "input_face_count", "post_face_count", corner[0].cast("double").alias("x0"), corner[1].cast("double").alias("y0"),
+        "identity_distance", "route", (F.col("output_sha256") == F.sha2(F.col("content"), 256)).alias("hashed"),
+    )
+
+
 @query("SELECT stem, attempt, route, CAST(fails AS BIGINT) AS retry_count FROM settling", "settling")
 def stream_retry_budget(t: Tables) -> DataFrame:
     use_rocksdb(t.spark)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +17,11 @@ from redactflow.config import DEFAULTS, Settings
 from redactflow.functions.names import basename, extension, glob_match, stem
 from redactflow.session import cut_lineage
 
-IMAGE_DDL = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+FILE_DDL = "path string, modificationTime timestamp, length bigint, content binary"
+#: From the bytes of a file to an RGB raster, by lower-cased extension.
+Decoders = Mapping[str, Callable[[bytes], np.ndarray]]
+#: Extensions of images that the JVM cannot open without a decoder of the caller.
+UNREADABLE = (".webp",)
 
 
 def _load(spark: SparkSession, fmt: str, path: str, recursive: bool, **options: str) -> DataFrame:
@@ -99,15 +107,23 @@ def decode_images(
     extensions: Sequence[str] = DEFAULTS.image_extensions,
     include_empty: bool = False,
     facts: bool = True,
+    decoders: Decoders | None = None,
 ) -> DataFrame:
     """``path, stem, height, width, channels, data`` (BGR rows); a file that does not decode keeps its row, with nulls.
 
     The image source reports unreadable files itself, so the listing is not joined. It does not tell how a picture is
     turned: with ``facts`` the files are read once more, for ``orientation`` and ``source_sha256``, a short row for each
-    that is written and joined by path.
+    that is written and joined by path. Where that table is too large to broadcast, the join moves rasters: drain
+    ``open_image_stream`` over such folders instead, whose batches are bounded.
+
+    ``decoders`` are functions of the caller from the bytes of a file to an RGB raster, by extension, for formats that
+    the JVM does not read (WebP); their files are opened by them alone.
     """
     raw = _load(spark, "image", path, False, dropInvalid="false")
     found = _rasters(raw)
+    if decoders:
+        own = _load(spark, "binaryFile", path, False).filter(F.lower(extension(F.col("path"))).isin(*decoders))
+        found = found.filter(~F.lower(extension(F.col("path"))).isin(*decoders)).unionByName(_plugged(own, decoders))
     if facts:
         files = _load(spark, "binaryFile", path, False).filter(is_image_name(F.col("path"), extensions))
         known = files.select("path", _turn(F.col("content")).alias("orientation"), F.sha2("content", 256).alias("source_sha256"))
@@ -120,6 +136,26 @@ def decode_images(
     return _image_rows(found, extensions)
 
 
+def _plugged(files: DataFrame, decoders: Decoders) -> DataFrame:
+    """Rasters by the caller's decoders; a file on which its decoder fails has nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                name = path.as_py()
+                try:
+                    rgb = np.asarray(decoders["." + name.rsplit(".", 1)[-1].lower()](content.as_py()), np.uint8)
+                    one = [*rgb.shape, np.ascontiguousarray(rgb[:, :, ::-1]).tobytes()]
+                except Exception:  # a decoder of the caller may raise anything; the file is an unreadable one
+                    one = [None] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name]), *[pa.array([v], pa.int32()) for v in one[:3]], pa.array([one[3]], pa.binary())],
+                    ["path", "height", "width", "channels", "data"],
+                )
+
+    return files.select("path", "content").mapInArrow(run, "path string, height int, width int, channels int, data binary")
+
+
 def _rasters(raw: DataFrame) -> DataFrame:
     valid = F.col("image.width") > 0
     return raw.select(
@@ -145,18 +181,56 @@ def _turn(contents: pd.Series) -> pd.Series:
     return pd.Series([orientation(bytes(c)) for c in contents], dtype="int32")
 
 
-def screen_folder(spark: SparkSession, path: str, settings: Settings = DEFAULTS, include_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+def screen_folder(
+    spark: SparkSession, path: str, settings: Settings = DEFAULTS, include_empty: bool = False, decoders: Decoders | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)`` image files of a folder, with dimensions and without contents. ``rejected`` (stem, path,
-    reject_reason) is what ``run_waves(rejected=...)`` takes."""
+    reject_reason) is what ``run_waves(rejected=...)`` takes. A format that neither the JVM nor one of ``decoders`` can
+    open is rejected here, once, instead of failing in every wave."""
     from redactflow.operators.screen import image_dims, screen_items
 
     seen = image_dims(scan_items(spark, path, settings.image_extensions, include_empty)).drop("content")
-    return screen_items(cut_lineage(seen, "screened"), settings=settings)
+    seen = cut_lineage(seen, "screened")
+    closed = F.lower(F.col("ext")).isin(*[e for e in UNREADABLE if e not in (decoders or {})])
+    accepted, rejected = screen_items(seen.filter(~closed), settings=settings)
+    unopened = seen.filter(closed).withColumn("reject_reason", F.concat(F.lit("no_decoder:"), "ext"))
+    return accepted, rejected.unionByName(unopened.select(*rejected.columns))
 
 
 def open_image_stream(
     spark: SparkSession, path: str, max_files: int, extensions: Sequence[str] = DEFAULTS.image_extensions
 ) -> DataFrame:
-    """New images of a folder as a stream, at most ``max_files`` per micro-batch; unreadable files keep their row."""
-    reader = spark.readStream.format("image").schema(IMAGE_DDL).option("dropInvalid", "false")
-    return _image_rows(_rasters(reader.option("maxFilesPerTrigger", str(max_files)).load(path)), extensions)
+    """New images of a folder as a stream of what is known of each file: ``path, stem, orientation, source_sha256``; at
+    most ``max_files`` per micro-batch, whose rasters ``decode_batch`` adds."""
+    reader = spark.readStream.format("binaryFile").schema(FILE_DDL).option("maxFilesPerTrigger", str(max_files))
+    files = reader.load(path).filter(is_image_name(F.col("path"), extensions))
+    return files.select(
+        "path", stem(F.col("path")).alias("stem"), _turn(F.col("content")).alias("orientation"), F.sha2("content", 256).alias("source_sha256")
+    )
+
+
+def decode_batch(known: DataFrame, decoders: Decoders | None = None) -> DataFrame:
+    """Rasters of the files named in ``known`` (one micro-batch of ``open_image_stream``), with its columns. Names pass
+    through the driver and short rows are broadcast, as many as the stream's ``max_files``; a raster is not moved."""
+    spark = known.sparkSession
+    known = cut_lineage(known, "known")
+    names = [r["path"] for r in known.select("path").collect()]
+    plain = F.regexp_replace("path", "^file:/+", "file:/").alias("_path")
+    if not names:
+        found = spark.createDataFrame([], "path string, height int, width int, channels int, data binary")
+    else:
+        own = [n for n in names if "." + n.rsplit(".", 1)[-1].lower() in (decoders or {})]
+        rest = [_literal(n) for n in names if n not in set(own)]
+        parts = []
+        if rest:
+            parts.append(_rasters(spark.read.format("image").option("dropInvalid", "false").load(rest)))
+        if own:
+            parts.append(_plugged(spark.read.format("binaryFile").load([_literal(n) for n in own]), decoders))
+        found = reduce(DataFrame.unionByName, parts)
+    facts = F.broadcast(known.withColumn("_path", plain))
+    return found.withColumn("_path", plain).drop("path").join(facts, "_path").drop("_path")
+
+
+def _literal(path: str) -> str:
+    """A path in which no character stands for others."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)

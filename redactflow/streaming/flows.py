@@ -5,8 +5,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -16,6 +17,7 @@ from redactflow.image.ops import Detector, anonymize_images
 from redactflow.image.raster import Fill
 from redactflow.operators.text import PATTERNS, anonymize_text
 from redactflow.session import spread
+from redactflow.sources.files import Decoders, decode_batch
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -96,12 +98,16 @@ def stream_images(
     checkpoint: str,
     mode: str | Fill = "boundary_mean",
     settings: Settings = DEFAULTS,
+    make_embedder: Callable[[], Callable[[np.ndarray], Sequence[float]]] | None = None,
+    decoders: Decoders | None = None,
 ) -> DataStreamWriter:
-    """Image twin of ``stream_anonymize`` over ``open_image_stream``. Each batch is written once, so no raster is
-    processed twice."""
+    """Image twin of ``stream_anonymize`` over ``open_image_stream``: rasters are decoded inside each micro-batch and go
+    with their file's orientation and hash, so what is judged and recorded is what the batch flow judges and records.
+    Each batch is written once, so no raster is processed twice."""
 
     def prepare(batch: DataFrame) -> DataFrame:
-        return anonymize_images(spread(batch), make_face_detector, make_text_detector, mode, settings)
+        rasters = decode_batch(batch, decoders)
+        return anonymize_images(spread(rasters), make_face_detector, make_text_detector, mode, settings, make_embedder)
 
     return write_batches(items, target, checkpoint, prepare=prepare)
 

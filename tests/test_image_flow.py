@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from redactflow.config import DEFAULTS
 from redactflow.image import ops
 from redactflow.image.measures import edge_artifact_ratio, edges, resize_area, to_gray
-from redactflow.image.png import encode_png
+from redactflow.image.png import encode_png, orientation, strip_metadata, upright, with_orientation
 from redactflow.image.raster import blur_boxes
 from redactflow.operators.verify import audit_errors
 from redactflow.sources import files
+from redactflow.streaming import drain, read_batches, stream_images
 from tests.helpers import write_bytes
 
 
@@ -110,3 +111,64 @@ def test_a_photo_with_residual_text_is_quick():
     start = time.process_time()
     edge_artifact_ratio(rgb, [box])
     assert time.process_time() - start < (30 if os.environ.get("SLOW_BOX") else 12)
+
+
+@pytest.mark.parametrize("turn", range(1, 9))
+def test_png_files_tell_how_they_are_turned(turn):
+    file = with_orientation(encode_png(picture()), turn)
+    assert orientation(file) == turn and orientation(strip_metadata(file)[0]) == 1 and orientation(encode_png(picture())) == 1
+    assert orientation(file[:40]) == 1  # cut off
+    back = {6: 8, 8: 6}.get(turn, turn)
+    assert (upright(upright(picture(), back), turn) == picture()).all()
+
+
+def band():
+    """The rows that are all white."""
+
+    def detect(rgb):
+        rows = np.flatnonzero((rgb == 255).all(axis=(1, 2)))
+        return [{"polygon": [[0, rows[0]], [rgb.shape[1] - 1, rows[0]], [rgb.shape[1] - 1, rows[-1]], [0, rows[-1]]], "text": "t", "score": 0.9}] if len(rows) else []
+
+    return detect
+
+
+def decode_flat(content):
+    """A decoder of the caller: two numbers and a level."""
+    head, height, width, level = content.split()
+    if head != b"FLAT":
+        raise ValueError("not mine")
+    return np.full((int(height), int(width), 3), int(level), np.uint8)
+
+
+def test_stream_of_turned_files_equals_batch(spark, folder):
+    rgb = picture() // 2
+    rgb[5:12] = 255
+    names = {f"turn {t}+%[{t}].png": t for t in (1, 3, 6, 8)}
+    for name, t in names.items():
+        write_bytes(f"{folder}/in/{name}", with_orientation(encode_png(upright(rgb, {6: 8, 8: 6}.get(t, t))), t))
+    write_bytes(f"{folder}/in/bad.png", b"no picture")
+    write_bytes(f"{folder}/in/a.webp", b"FLAT 40 60 9")
+    write_bytes(f"{folder}/in/torn.webp", b"RIFF")
+    decoders = {".webp": decode_flat}
+    for _ in range(2):  # a second drain finds nothing new
+        stream = files.open_image_stream(spark, f"{folder}/in", 3)
+        drain(stream_images(stream, nothing, band, f"{folder}/out", f"{folder}/ck", decoders=decoders))
+    got = {r["stem"]: r for r in read_batches(spark, f"{folder}/out").collect()}
+    batch = ops.anonymize_images(files.decode_images(spark, f"{folder}/in", decoders=decoders), nothing, band)
+    want = {r["stem"]: r for r in batch.collect()}
+    assert got.keys() == want.keys() and len(got) == 7
+    for stem, r in want.items():
+        for c in ("source_sha256", "output_sha256", "text_boxes", "processing_status", "route", "error"):
+            assert got[stem][c] == r[c], (stem, c)
+    for name in names:
+        box = got[name.removesuffix(".png")]["text_boxes"][0]["polygon"]
+        assert box[0] == [0, 5] and box[2] == [119, 11]
+    assert got["a"]["processing_status"] == "completed" and {got[s]["processing_status"] for s in ("bad", "torn")} == {"failed"}
+
+
+def test_formats_without_a_decoder_are_rejected_once(spark, folder):
+    write_bytes(f"{folder}/a.webp", b"FLAT 80 90 9")
+    write_bytes(f"{folder}/b.png", encode_png(picture()))
+    accepted, rejected = files.screen_folder(spark, folder)
+    assert [r["stem"] for r in accepted.collect()] == ["b"]
+    assert [(r["stem"], r["reject_reason"]) for r in rejected.collect()] == [("a", "no_decoder:.webp")]
