@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from redactflow.config import DEFAULTS
 from redactflow.image.ops import to_rgb
 from redactflow.image.png import encode_png, upright, with_orientation
+from redactflow.operators.route import retry_state
 from redactflow.plans.image_queries import FACE_LEVEL, TEXT_LEVEL, level_detector, rasters
 from redactflow.plans.registry import query
 from redactflow.plans.text_queries import AUDIT_COLUMNS, audited_select
@@ -26,10 +27,10 @@ from redactflow.streaming import (
     read_batches,
     read_latest,
     retry_budget,
+    rocksdb_state,
     stale_leases,
     stream_anonymize,
     stream_images,
-    use_rocksdb,
     windowed_metrics,
     write_batches,
 )
@@ -113,11 +114,26 @@ def stream_images_turned(t: Tables) -> DataFrame:
 
 @query("SELECT stem, attempt, route, CAST(fails AS BIGINT) AS retry_count FROM settling", "settling")
 def stream_retry_budget(t: Tables) -> DataFrame:
-    use_rocksdb(t.spark)
     log, target = scratch_path(t.spark, "attempts"), scratch_path(t.spark, "routes")
     t.hard_attempts.select("stem", "attempt", "decision").write.parquet(log)
     source = open_stream(t.spark, log, "stem string, attempt bigint, decision string")
-    drain(write_batches(retry_budget(source), target, scratch_path(t.spark, "progress")))
+    with rocksdb_state(t.spark):
+        drain(write_batches(retry_budget(source), target, scratch_path(t.spark, "progress")))
+    return read_batches(t.spark, target).select("stem", "attempt", "route", "retry_count")
+
+
+@query("SELECT stem, attempt, route, CAST(fails AS BIGINT) AS retry_count FROM settling WHERE attempt > 2", "settling")
+def stream_retry_budget_resumed(t: Tables) -> DataFrame:
+    """The first two attempts of each stem are history in a batch log; the stream takes up where they left off, and what
+    is settled is forgotten after a day."""
+    log, target = scratch_path(t.spark, "attempts"), scratch_path(t.spark, "routes")
+    attempts = cut_lineage(t.hard_attempts.select("stem", "attempt", "decision"), "attempts")
+    attempts.filter("attempt > 2").write.parquet(log)
+    before = retry_state(attempts.filter("attempt <= 2"))
+    source = open_stream(t.spark, log, "stem string, attempt bigint, decision string")
+    with rocksdb_state(t.spark, expiring=True):
+        routed = retry_budget(source, before=before, keep_settled_sec=86_400)
+        drain(write_batches(routed, target, scratch_path(t.spark, "progress")))
     return read_batches(t.spark, target).select("stem", "attempt", "route", "retry_count")
 
 
@@ -157,10 +173,10 @@ def stream_windowed_metrics(t: Tables) -> DataFrame:
     WHERE later - ts > INTERVAL 1 HOUR OR (later IS NULL AND ts + INTERVAL 1 HOUR < latest)"""
 )
 def stream_stale_leases(t: Tables) -> DataFrame:
-    use_rocksdb(t.spark)
     target = scratch_path(t.spark, "releases")
     renewals = _events(t).select(F.col("user_id").cast("string").alias("lease"), "ts")
-    drain(write_batches(stale_leases(renewals), target, scratch_path(t.spark, "progress")))
+    with rocksdb_state(t.spark):
+        drain(write_batches(stale_leases(renewals), target, scratch_path(t.spark, "progress")))
     shown = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return read_batches(t.spark, target).select(
         "lease", F.date_format("last_seen", shown).alias("last_seen"), F.date_format("released_at", shown).alias("released_at")

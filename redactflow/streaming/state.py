@@ -7,6 +7,7 @@ that fills much of a micro-batch reaches its state as a few rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,32 @@ from redactflow.operators.route import CLEAN, MANUAL, QUARANTINE
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state in Python needs the RocksDB store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Keyed state in Python needs the RocksDB store. This holds for all streams the session starts from now on."""
+    spark.conf.set(_PROVIDER, ROCKSDB)
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession, expiring: bool = False) -> Iterator[None]:
+    """The RocksDB store for streams started inside; afterwards the session is as it was. ``expiring`` is for state with
+    a time to live: Spark would otherwise follow each batch by empty ones for as long as the stream runs, so that draining
+    never ends."""
+    wanted = {_PROVIDER: ROCKSDB} | ({_EMPTY_BATCHES: "false"} if expiring else {})
+    was = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in was.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def _first_attempts(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
@@ -33,16 +57,31 @@ def _first_attempts(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
 
 
 class _RetryBudget(StatefulProcessor):
-    def __init__(self, budget: int):
-        self.budget = budget
+    """Per stem either ``open``, the failures so far, or ``settled``, which may expire: only stems that still have budget
+    are kept for as long as it takes."""
+
+    def __init__(self, budget: int, keep_settled_ms: int | None):
+        self.budget, self.keep_settled_ms = budget, keep_settled_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("retry", "retries int, settled boolean")
+        self.open = handle.getValueState("open", "retries int")
+        self.settled = handle.getValueState("settled", "route string", self.keep_settled_ms)
+
+    def _settle(self, route: str) -> None:
+        self.open.clear()
+        self.settled.update((route,))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        if row["route"] == QUARANTINE:
+            self.open.update((int(row["retry_count"]),))
+        else:
+            self._settle(row["route"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        retries, settled = self.state.get() if self.state.exists() else (0, False)
-        if settled:
+        if self.settled.exists():
             return
+        retries = self.open.get()[0] if self.open.exists() else 0
         fails, passes = [], []
         for part in rows:
             passed = (part["decision"] == "pass").to_numpy()
@@ -51,16 +90,14 @@ class _RetryBudget(StatefulProcessor):
             passes = sorted([*passes, *attempt[passed].tolist()])[:1]
         out = []
         for attempt, is_fail in sorted([(a, True) for a in fails] + [(a, False) for a in passes]):
-            if is_fail:
-                retries += 1
-                settled = retries >= self.budget
-                route = MANUAL if settled else QUARANTINE
-            else:
-                route, settled = CLEAN, True
+            retries += is_fail
+            route = CLEAN if not is_fail else MANUAL if retries >= self.budget else QUARANTINE
             out.append((key[0], attempt, route, retries))
-            if settled:
+            if route != QUARANTINE:
+                self._settle(route)
                 break
-        self.state.update((retries, settled))
+        else:
+            self.open.update((retries,))
         yield pd.DataFrame(out, columns=["stem", "attempt", "route", "retry_count"]).astype(
             {"stem": object, "attempt": "int64", "route": object, "retry_count": "int32"}
         )
@@ -69,9 +106,17 @@ class _RetryBudget(StatefulProcessor):
         pass
 
 
-def retry_budget(attempts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def retry_budget(
+    attempts: DataFrame, settings: Settings = DEFAULTS, before: DataFrame | None = None, keep_settled_sec: int | None = None
+) -> DataFrame:
     """Route of every attempt up to the one that settles its stem: quarantine until the budget is used up, then
-    manual_review once; final_clean at the first pass. Attempts arrive in order across micro-batches."""
+    manual_review once; final_clean at the first pass. Attempts arrive in order across micro-batches.
+
+    ``before`` is where stems stand when the stream starts (``retry_state`` of the log so far: stem, route, retry_count).
+    With ``keep_settled_sec`` the note that a stem is settled expires after so long, so state is bounded by the stems that
+    are open and those settled lately; choose it longer than a repeated attempt can be on its way, and start the stream
+    inside ``rocksdb_state(spark, expiring=True)``.
+    """
     budget = settings.max_retries
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,11 +126,13 @@ def retry_budget(attempts: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     slim = attempts.select("stem", F.col("attempt").cast("bigint").alias("attempt"), "decision")
     schema = "stem string, attempt bigint, decision string"
     reduced = slim.mapInPandas(reduce, schema)
+    known = None if before is None else before.select("stem", "route", F.col("retry_count").cast("int").alias("retry_count"))
     return reduced.groupBy("stem").transformWithStateInPandas(
-        statefulProcessor=_RetryBudget(budget),
+        statefulProcessor=_RetryBudget(budget, None if keep_settled_sec is None else keep_settled_sec * 1000),
         outputStructType=StructType.fromDDL("stem string, attempt bigint, route string, retry_count int"),
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if keep_settled_sec is None else "ProcessingTime",
+        initialState=None if known is None else known.groupBy("stem"),
     )
 
 

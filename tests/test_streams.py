@@ -97,6 +97,39 @@ def test_retry_budget_across_batches(spark, folder):
     assert {s: r[-1] for s, r in routes.items()} == {s: r["route"] for s, r in batch.items()}
 
 
+def test_retry_budget_goes_on_from_a_batch_log(spark, folder):
+    rows = [(s, i, "pass" if c == "P" else "fail") for s, text in LOG.items() for i, c in enumerate(text, 1)]
+    before = retry_state(spark.createDataFrame([r for r in rows if r[1] <= 2], ATTEMPTS))
+    put(spark, f"{folder}/in", [r for r in rows if r[1] > 2] + [("new", 1, "fail")], ATTEMPTS)
+    with S.rocksdb_state(spark):
+        source = S.open_stream(spark, f"{folder}/in", ATTEMPTS)
+        S.drain(S.write_batches(S.retry_budget(source, before=before), f"{folder}/out", f"{folder}/ck"))
+    got = {(r["stem"], r["attempt"], r["route"], r["retry_count"]) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {("a", 3, "manual_review", 3), ("c", 3, "final_clean", 2), ("e", 3, "manual_review", 3), ("new", 1, "quarantine", 1)}
+
+
+def test_settled_stems_expire_and_open_ones_stay(spark, folder):
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+
+    def feed(rows):
+        put(spark, f"{folder}/in", rows, ATTEMPTS)
+        source = S.open_stream(spark, f"{folder}/in", ATTEMPTS)
+        S.drain(S.write_batches(S.retry_budget(source, keep_settled_sec=1), f"{folder}/out", f"{folder}/ck"))
+
+    def held(name):
+        state = spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/ck")
+        return sorted(r["key"]["stem"] for r in state.collect())
+
+    with S.rocksdb_state(spark, expiring=True):
+        feed([(f"s{i}", 1, "pass") for i in range(50)] + [("open", 1, "fail")])
+        assert held("open") == ["open"] and len(held("settled")) == 50
+        time.sleep(2)
+        feed([("late", 1, "fail")])
+        feed([("later", 1, "fail"), ("open", 2, "fail"), ("open", 3, "fail")])
+        assert held("open") == ["late", "later"] and held("settled") == ["open"]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == was
+
+
 def test_reduction_before_the_shuffle_keeps_what_matters():
     from redactflow.streaming.state import _first_attempts
 
