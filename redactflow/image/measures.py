@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from redactflow.image.raster import boxes_to_mask, dilate
+from redactflow.image.raster import around, boxes_to_mask, dilate
 
 WINDOW = 7
 LONGEST = 512
@@ -67,42 +67,98 @@ def ssim(original: np.ndarray, output: np.ndarray) -> float | None:
     return float((top / ((mean_a**2 + mean_b**2 + c1) * (var_a + var_b + c2))).mean())
 
 
-def _sobel(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = np.pad(gray, 1, mode="edge")
-    smooth_rows = p[:-2] + 2 * p[1:-1] + p[2:]
-    smooth_cols = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
-    return smooth_rows[:, 2:] - smooth_rows[:, :-2], smooth_cols[2:] - smooth_cols[:-2]
+#: tan(22.5 degrees): between the sectors of a gradient's direction. No ratio of whole numbers equals it.
+_SECTOR = np.sqrt(2) - 1
+#: How far around the widened mask edges are looked at first.
+MARGIN = 16
 
 
-def edges(gray: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
-    """Edge map: gradient (L1), thinning across the gradient, then weak edges kept only next to strong ones."""
-    gx, gy = _sobel(gray)
-    size = np.abs(gx) + np.abs(gy)
-    angle = np.rad2deg(np.arctan2(gy, gx)) % 180
-    p = np.pad(size, 1)
+def _thin(gray: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weak and strong pixels: gradient (L1) of whole gray levels, thinned across its direction."""
+    p = np.pad(gray.astype(np.int16), 1, mode="edge")
+    rows = p[:-2] + 2 * p[1:-1] + p[2:]
+    cols = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
+    gx, gy = rows[:, 2:] - rows[:, :-2], cols[2:] - cols[:-2]
+    across, down = np.abs(gx), np.abs(gy)
+    size = across + down
+    padded = np.pad(size, 1)
     height, width = size.shape
 
-    def shifted(dy: int, dx: int) -> np.ndarray:
-        return p[1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width]
-
-    keep = np.zeros(size.shape, dtype=bool)
-    for centre, (dy, dx) in {0: (0, 1), 45: (1, 1), 90: (1, 0), 135: (1, -1)}.items():
-        away = np.abs(angle - centre)
-        here = np.minimum(away, 180 - away) <= 22.5
-        keep |= here & (size > shifted(-dy, -dx)) & (size >= shifted(dy, dx))
-    weak, strong = keep & (size > low), keep & (size > high)
-    # strong edges spread over adjacent weak ones; only the pixels just reached look around
-    out, flat = np.pad(strong, 1), np.pad(weak & ~strong, 1).ravel()
-    reached = out.ravel()
-    step = width + 2
-    around = np.array([dy * step + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-    front = np.flatnonzero(reached)
-    while len(front):
-        front = np.unique((front[:, None] + around).ravel())
-        front = front[flat[front]]
-        flat[front] = False
-        reached[front] = True
-    return out[1:-1, 1:-1]
+    def higher(dy: int, dx: int) -> np.ndarray:
+        """Above the neighbour on one side, not below that on the other."""
+        before = padded[1 - dy : 1 - dy + height, 1 - dx : 1 - dx + width]
+        after = padded[1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width]
+        return (size > before) & (size >= after)
+
+    flat, steep = down < _SECTOR * across.astype(np.float32), across < _SECTOR * down.astype(np.float32)
+    falling = (gx > 0) == (gy > 0)
+    slant = np.where(falling, higher(1, 1), higher(1, -1))
+    keep = np.where(flat, higher(0, 1), np.where(steep, higher(1, 0), slant)) & (size > low)
+    return keep, keep & (size > high)
+
+
+def _run_labels(starts: np.ndarray, ends: np.ndarray, stride: int) -> np.ndarray:
+    """The component of each run of pixels, runs of neighbouring rows being joined where they touch (corners too)."""
+    first = np.searchsorted(ends, starts + stride - 1)
+    count = np.maximum(np.searchsorted(starts, ends + stride + 1, "right") - first, 0)
+    a = np.repeat(np.arange(len(starts)), count)
+    b = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    label = np.arange(len(starts))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _grown(weak: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weak pixels connected with strong ones, and those that are not but reach the border of the raster."""
+    height, width = weak.shape
+    stride = width + 2
+    flat = np.pad(weak, ((0, 0), (1, 1))).ravel()
+    change = np.flatnonzero(np.diff(flat.astype(np.int8), prepend=0, append=0))
+    starts, ends = change[::2], change[1::2] - 1
+    out = np.zeros((2, height * stride), bool)
+    if len(starts):
+        label = _run_labels(starts, ends, stride)
+        sums = np.concatenate([[0], np.cumsum(np.pad(strong, ((0, 0), (1, 1))).ravel())])
+        row, left, right = starts // stride, starts % stride, ends % stride
+        rim = (row == 0) | (row == height - 1) | (left == 1) | (right == width)
+        sure, touches = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+        sure[label[sums[ends + 1] > sums[starts]]] = True
+        touches[label[rim]] = True
+        for plane, chosen in zip(out, (sure[label], touches[label] & ~sure[label]), strict=True):
+            step = np.zeros(height * stride + 1, np.int8)
+            step[starts[chosen]] = 1
+            step[ends[chosen] + 1] -= 1
+            plane[:] = np.cumsum(step[:-1], dtype=np.int8) > 0
+    grown, open_ = (plane.reshape(height, stride)[:, 1:-1] for plane in out)
+    return grown, open_
+
+
+def edges(gray: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
+    """Edge map: gradient (L1), thinning across the gradient, then weak edges kept only where they hang on strong ones."""
+    return _grown(*_thin(gray, low, high))[0]
+
+
+def _edges_near(rgb: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, tuple[slice, slice]]:
+    """The edge map of the whole raster, but only the part with all ``wanted`` pixels. Where a weak edge of that part runs
+    on beyond it, more is looked at, so the result is that of the whole raster."""
+    margin, frame = MARGIN, wanted.shape
+    while True:
+        part = around(wanted, margin)
+        # thinning looks two pixels around
+        outer = tuple(slice(max(0, p.start - 2), min(n, p.stop + 2)) for p, n in zip(part, frame, strict=True))
+        inner = tuple(slice(p.start - o.start, p.stop - o.start) for p, o in zip(part, outer, strict=True))
+        weak, strong = (m[inner] for m in _thin(to_gray(rgb[outer]), 50, 150))
+        found, running_on = _grown(weak, strong)
+        whole = all(p.start == 0 and p.stop == n for p, n in zip(part, frame, strict=True))
+        if whole or not (running_on & wanted[part]).any():
+            return found, part
+        margin *= 4
 
 
 def edge_artifact_ratio(rgb: np.ndarray, boxes: Sequence[dict]) -> float:
@@ -110,9 +166,9 @@ def edge_artifact_ratio(rgb: np.ndarray, boxes: Sequence[dict]) -> float:
     mask = boxes_to_mask(rgb.shape[0], rgb.shape[1], boxes)
     if not mask.any():
         return 0.0
-    mask = dilate(mask, 12)
-    found = edges(to_gray(rgb))
-    inside = float(found[mask > 0].mean())
-    ring = (dilate(mask, 2) > 0) & (mask == 0)
-    around = float(found[ring].mean()) if ring.any() else 1.0
-    return inside / (around + 1e-6)
+    inside = dilate(mask, 12) > 0
+    wanted = dilate(np.where(inside, 255, 0).astype(np.uint8), 2) > 0
+    found, part = _edges_near(rgb, wanted)
+    inside, ring = inside[part], (wanted & ~inside)[part]
+    around_it = float(found[ring].mean()) if ring.any() else 1.0
+    return float(found[inside].mean()) / (around_it + 1e-6)

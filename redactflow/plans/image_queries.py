@@ -262,3 +262,100 @@ def ssim_of_flat_rasters(t: Tables) -> DataFrame:
         F.array().cast(BOXES_DDL).alias("boxes"), F.lit(SIDE).alias("original_height"), F.lit(SIDE).alias("original_width"), b.alias("original_data"),
     )
     return ops.image_qa(pairs).select(F.col("stem").cast("bigint").alias("vec_id"), "ssim")
+
+
+def _byte(value: Column) -> Column:
+    return F.lpad(F.hex(value.cast("bigint")), 2, "0")
+
+
+def _line(level: Callable[[Column], Column]) -> Column:
+    """One row of pixels as hexadecimal digits, gray, from the level at each x."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda x: F.repeat(_byte(level(x)), 3)), "")
+
+
+def _gray(t: Tables, level: Callable[[Column], Column], hole: Column | None = None) -> DataFrame:
+    """Rasters whose rows are alike, and black inside ``hole`` (x from and to, y from and to)."""
+    plain = _line(level)
+    if hole is None:
+        lines = F.repeat(plain, F.lit(SIDE))
+    else:
+        x0, x1, y0, y1 = hole["x0"], hole["x1"], hole["y0"], hole["y1"]
+        torn = _line(lambda x: F.when((x >= x0) & (x <= x1), 0).otherwise(level(x)))
+        lines = F.concat(F.repeat(plain, y0), F.repeat(torn, y1 - y0 + 1), F.repeat(plain, SIDE - 1 - y1))
+    stem = F.concat(F.lit("vec-"), F.col("vec_id")).alias("stem")
+    return spread(t.embeddings).select(stem, "vec_id", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.unhex(lines).alias("data"))
+
+
+def _rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    points = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    polygon = F.array(*[F.array(x.cast("float"), y.cast("float")) for x, y in points])
+    return F.array(F.struct(polygon.alias("polygon"), F.lit("t").alias("text"), F.lit(0.9).alias("score"))).cast(BOXES_DDL)
+
+
+def _id_of(stem: str) -> Column:
+    return F.substring_index(stem, "-", -1).cast("bigint").alias("vec_id")
+
+
+@query(
+    """SELECT vec_id, sha256(unhex(repeat(string_agg(repeat(lpad(to_hex(2 * x + vec_id % 50), 2, '0'), 3), '' ORDER BY x), 64))) AS data_sha256
+    FROM embeddings, (SELECT unnest(range(64)) AS x) GROUP BY vec_id"""
+)
+def redact_regions_ramp(t: Tables) -> DataFrame:
+    """A black hole in a linear ramp: the smoothest surface through what is around it is the ramp."""
+    k = F.col("vec_id")
+    hole = {"x0": 3 + k % 9, "x1": 40 + k % 13, "y0": (2 + k % 7).cast("int"), "y1": (50 + k % 11).cast("int")}
+    start = _gray(t, lambda x: 2 * x + k % 50, hole)
+    boxed = start.withColumn("boxes", _rectangle(hole["x0"], hole["y0"], hole["x1"], hole["y1"]))
+    return ops.redact(boxed, "diffuse", dilate=0).select(_id_of("stem"), F.sha2("data", 256).alias("data_sha256"))
+
+
+@query(
+    """WITH k AS (SELECT unnest(range(51)) - 25 AS i), w AS (SELECT i, exp(-(i * i) / 128.0) / (SELECT sum(exp(-(i * i) / 128.0)) FROM k) AS w FROM k),
+    p AS (SELECT x, w, CASE WHEN x + i < 0 THEN -(x + i) WHEN x + i > 47 THEN 94 - (x + i) ELSE x + i END AS s FROM (SELECT unnest(range(48)) AS x), w),
+    f AS (SELECT x, coalesce(sum(w) FILTER (s >= 24), 0) AS share FROM p GROUP BY x)
+    SELECT vec_id, string_agg(lpad(to_hex(CAST(round(a + share * b) AS BIGINT)), 2, '0'), '' ORDER BY x) AS line, 1::BIGINT AS regions
+    FROM (SELECT vec_id, vec_id % 100 AS a, 37 + vec_id % 89 AS b FROM embeddings), f GROUP BY vec_id"""
+)
+def blur_of_a_step(t: Tables) -> DataFrame:
+    """A step blurred by the kernel is a sum of its weights."""
+    k, zero = F.col("vec_id"), F.lit(8)
+    start = _gray(t, lambda x: k % 100 + F.when(x >= 32, 37 + k % 89).otherwise(0))
+    done = ops.blur(start.withColumn("boxes", _rectangle(zero, zero, F.lit(56), F.lit(56))))
+    line = F.hex(F.substring("data", (30 * SIDE + 8) * 3 + 1, 48 * 3))
+    gray = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda x: F.substring(line, x * 6 + 1, F.lit(2))), "")
+    return done.select(_id_of("stem"), gray.alias("line"), F.col("regions_blurred").alias("regions"))
+
+
+@query(
+    """WITH g AS (SELECT x, y FROM (SELECT unnest(range(64)) AS x), (SELECT unnest(range(64)) AS y)),
+    b AS (SELECT DISTINCT vec_id % 6 AS w, vec_id % 5 AS h FROM embeddings),
+    d AS (SELECT w, h, x, y, greatest(28 - x, x - (30 + w), 0) AS dx, s, greatest(28 - (y - s), (y - s) - (30 + h), 0) AS dy FROM g, b, (SELECT unnest([-2, -1, 0, 1, 2]) AS s)),
+    m AS (SELECT w, h, x, y, bool_or(s = 0 AND dy <= 12 AND dx <= round(sqrt(greatest(144 - dy * dy, 0)))) AS inside,
+      bool_or(dy <= 12 AND dx <= round(sqrt(greatest(144 - dy * dy, 0))) + CASE WHEN abs(s) = 2 THEN 0 ELSE 2 END) AS wanted FROM d GROUP BY ALL),
+    r AS (SELECT w, h, count(*) FILTER (inside AND x = 31) / count(*) FILTER (inside)::DOUBLE AS i,
+      count(*) FILTER (wanted AND NOT inside AND x = 31) / count(*) FILTER (wanted AND NOT inside)::DOUBLE AS o FROM m GROUP BY ALL)
+    SELECT vec_id, round(i / (o + 1e-6), 6) AS edge_ratio FROM embeddings JOIN r ON w = vec_id % 6 AND h = vec_id % 5"""
+)
+def edge_ratio_of_a_step(t: Tables) -> DataFrame:
+    """One straight edge through the text: its share of the widened mask over its share of the ring around that."""
+    k, at = F.col("vec_id"), F.lit(28)
+    start = _gray(t, lambda x: 20 + F.when(x >= 32, 60 + k % 100).otherwise(0))
+    boxed = start.withColumn("boxes", _rectangle(at, at, 30 + k % 6, 30 + k % 5))
+    pairs = pair_original_output(boxed, start.select("stem", "height", "width", "data"))
+    return ops.image_qa(pairs).select(_id_of("stem"), "edge_ratio")
+
+
+def _checkered(rgb: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """An inpainter of the caller: the colour upside down."""
+    return 255 - rgb
+
+
+@query(
+    """SELECT vec_id, upper(repeat(lpad(to_hex(255 - vec_id % 200), 2, '0'), 3 * (5 + vec_id % 7)) || repeat(lpad(to_hex(vec_id % 200), 2, '0'), 3 * (59 - vec_id % 7))) AS first_row
+    FROM embeddings"""
+)
+def redact_with_own_fill(t: Tables) -> DataFrame:
+    """The caller's function fills the mask and nothing else."""
+    k, zero = F.col("vec_id"), F.lit(0)
+    start = _gray(t, lambda x: k % 200 + x * 0).withColumn("boxes", _rectangle(zero, zero, 4 + k % 7, F.lit(9)))
+    return ops.redact(start, _checkered, dilate=0).select(_id_of("stem"), F.hex(F.substring("data", 1, SIDE * 3)).alias("first_row"))

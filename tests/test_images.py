@@ -309,3 +309,42 @@ def test_png_rows_are_plain_zlib():
     body = png.encode_png(flat(3, 4, 5))
     size = struct.unpack(">I", body[33:37])[0]
     assert zlib.decompress(body[41 : 41 + size]) == (b"\0" + bytes([5] * 12)) * 3
+
+
+# --- fills and edges at any size ------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [6, 61, 500])
+def test_diffuse_fill_settles_at_any_size(size):
+    ys, xs = np.mgrid[0:560, 0:560]
+    ramp = np.rint(np.stack([xs * 0.4, ys * 0.4 + 10, 250 - (xs + ys) * 0.2], axis=2)).astype(np.uint8)
+    mask = np.zeros((560, 560), np.uint8)
+    mask[20 : 20 + size, 30 : 30 + size] = 255
+    torn = np.where(mask[..., None] > 0, 0, ramp).astype(np.uint8)
+    out, status = raster.redact_regions(torn, mask, "diffuse")
+    assert status == "ok" and np.abs(out.astype(int) - ramp).max() <= 1
+    hole = mask > 0
+    work = raster._spread_in(torn.astype(float), hole)
+    assert np.abs(raster._neighbours(work) - work)[hole].max() < 0.5 and (work[~hole] == torn[~hole]).all()
+
+
+def test_diffuse_fill_of_any_shape():
+    rng = np.random.default_rng(5)
+    rgb = rng.integers(0, 255, (90, 75, 3)).astype(np.uint8)
+    for hole in (rng.random((90, 75)) < 0.6, np.ones((90, 75), bool), np.eye(90, 75, dtype=bool)):
+        out, _ = raster.redact_regions(rgb, np.where(hole, 255, 0).astype(np.uint8), "diffuse")
+        assert (out[~hole] == rgb[~hole]).all()
+        if not hole.all():
+            assert out[hole].min() >= rgb[~hole].min() and out[hole].max() <= rgb[~hole].max()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_edges_near_the_mask_are_those_of_the_whole_raster(seed, monkeypatch):
+    """Long weak edges that are strong far away: the part looked at grows until nothing runs on."""
+    rng = np.random.default_rng(seed)
+    rgb = np.clip(np.cumsum(rng.integers(-3, 4, (120, 140, 3)), axis=1) * 3 + 120, 0, 255).astype(np.uint8)
+    box = [rect(40, 50, 60, 58)]
+    monkeypatch.setattr(measures, "MARGIN", 1)
+    small = measures.edge_artifact_ratio(rgb, box)
+    monkeypatch.setattr(measures, "MARGIN", 10_000)
+    assert small == measures.edge_artifact_ratio(rgb, box)
