@@ -12,9 +12,10 @@ from redactflow.functions.names import sha256_hex
 from redactflow.functions.secrets import sanitize_for_export as sanitize
 from redactflow.operators import route as X
 from redactflow.operators import verify as V
+from redactflow.operators.qa import decide
 from redactflow.plans.registry import query
 from redactflow.plans.views import Tables
-from redactflow.schemas import AUDIT_DDL
+from redactflow.schemas import AUDIT_DDL, RUN_SCOPE_DDL
 from redactflow.session import scratch_path
 from redactflow.sinks.tables import batch_summary as summary_of
 
@@ -222,9 +223,83 @@ def check_log_paths(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", parse_check_mismatch(line).alias("path"))
 
 
-@query("SELECT '.txt' AS ext, 1 AS files, CAST(sum(length(s_name) + 1) AS BIGINT) AS bytes FROM supplier")
+def _name_files(t: Tables, folder: str) -> None:
+    """Supplier names as text files, one for each nation, in a folder of its own."""
+    names = t.supplier.select("s_name", "s_nationkey").repartition("s_nationkey")
+    names.write.partitionBy("s_nationkey").text(folder)
+
+
+@query("SELECT '.txt' AS ext, count(DISTINCT s_nationkey) AS files, CAST(sum(length(s_name) + 1) AS BIGINT) AS bytes FROM supplier")
 def written_files_profile(t: Tables) -> DataFrame:
-    """Supplier names written as a text file, and the folder profiled without reading contents."""
+    """Supplier names written as text files, and the folders profiled without reading contents."""
     folder = scratch_path(t.spark, "names")
-    t.supplier.select("s_name").coalesce(1).write.text(folder)
-    return sources.dataset_profile(sources.scan_files(t.spark, folder).filter("ext = '.txt'"))
+    _name_files(t, folder)
+    return sources.dataset_profile(sources.scan_files(t.spark, folder, recursive=True).filter("ext = '.txt'"))
+
+
+@query(
+    """SELECT 'nation' AS folder, s_nationkey AS nation, '.txt' AS ext, CAST(sum(length(s_name) + 1) AS BIGINT) AS bytes FROM supplier GROUP BY s_nationkey
+    UNION ALL SELECT 'orders', NULL, '.json', CAST(sum(length('{"o_orderkey":' || o_orderkey || '}') + 1) AS BIGINT) FROM orders"""
+)
+def scan_items_written(t: Tables) -> DataFrame:
+    """Files of three extensions in many folders, scanned folder by folder: only those directly inside and of the listed
+    extensions count, checksum files beside them do not."""
+    folder = scratch_path(t.spark, "files")
+    _name_files(t, f"{folder}/names")
+    t.orders.select("o_orderkey").write.json(f"{folder}/orders")
+    t.orders.select("o_orderkey").write.json(f"{folder}/orders/deeper")
+    t.nation.select("n_name").write.csv(f"{folder}/orders", mode="append")
+    names = sources.scan_items(t.spark, f"{folder}/names/*", (".TXT",))
+    nation = F.regexp_extract("path", "s_nationkey=([0-9]+)/", 1).cast("bigint")
+    orders = sources.scan_items(t.spark, f"{folder}/orders", (".json", ".parquet"))
+    total = F.sum("length").alias("bytes")
+    first = names.groupBy(F.lit("nation").alias("folder"), nation.alias("nation"), "ext").agg(total)
+    return first.unionByName(orders.groupBy(F.lit("orders").alias("folder"), F.lit(None).cast("bigint").alias("nation"), "ext").agg(total))
+
+
+@query(
+    """SELECT 'images_only' AS processing_mode, unnest(['pilot', 'full']) AS run_type, 32::BIGINT AS batch_size,
+    unnest([(SELECT count(*) FROM orders), NULL])::BIGINT AS max_images, unnest([FALSE, TRUE]) AS dry_run"""
+)
+def run_scopes(t: Tables) -> DataFrame:
+    """Two runs on record: a pilot of as many items as there are orders, and a dry run of everything."""
+    folder, now = scratch_path(t.spark, "scope"), F.to_timestamp(F.lit(NOW))
+    sinks.write_run_scope(t.spark, folder, now, max_items=t.orders.count())
+    sinks.write_run_scope(t.spark, folder, now, dry_run=True)
+    rows = t.spark.read.schema(RUN_SCOPE_DDL).json(folder)
+    return rows.select("processing_mode", "run_type", "batch_size", "max_images", "dry_run")
+
+
+@query(
+    """SELECT c_nationkey AS nation, c_nationkey % 3 = 0 AS refused, CASE WHEN c_nationkey % 3 = 0 THEN 0 ELSE count(*) END AS customers
+    FROM customer GROUP BY c_nationkey"""
+)
+def guarded_writes(t: Tables) -> DataFrame:
+    """Customers of a third of the nations are aimed at the originals by a detour, those of the others at a folder whose
+    name only begins like it: the first write is refused, the second is done."""
+    root = scratch_path(t.spark, "guard")
+    customers, refused = t.customer.select("c_nationkey", "c_custkey"), F.col("c_nationkey") % 3 == 0
+
+    def write(rows: DataFrame, target: str) -> None:
+        rows.write.mode("append").parquet(target)
+
+    for rows, target in ((customers.filter(refused), f"{root}/out/../originals/x"), (customers.filter(~refused), f"{root}/originals-not")):
+        try:
+            sinks.guarded_write(rows, target, f"{root}/originals", write)
+        except sinks.ProtectedPathError:
+            sinks.guarded_write(rows.limit(0), f"{root}/originals-not", f"{root}/originals", write)
+    found = t.spark.read.parquet(f"{root}/originals-not").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    every = customers.select("c_nationkey").distinct().join(found, "c_nationkey", "left")
+    return every.select(F.col("c_nationkey").alias("nation"), refused.alias("refused"), F.coalesce("customers", F.lit(0)).alias("customers"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN n_chars > 9000 OR coalesce(toxic, 0) = 1 THEN 'fail' ELSE 'pass' END AS final_decision,
+    CASE WHEN n_chars > 9000 OR coalesce(toxic, 0) = 1 THEN concat_ws(' | ', CASE WHEN n_chars > 9000 THEN 'rule:too_long' END,
+      CASE WHEN coalesce(toxic, 0) = 1 THEN 'rule:toxic' END) END AS failure_reason FROM documents LEFT JOIN labels USING (doc_id)"""
+)
+def decide_by_own_rules(t: Tables) -> DataFrame:
+    """Rules of the caller decide next to the fixed checks; a rule that gives null does not fail."""
+    judged = t.documents.join(t.labels, "doc_id", "left").withColumns({"detection_fail": F.lit(False), "integrity_fail": F.lit(False)})
+    rules = {"too_long": F.col("n_chars") > 9000, "toxic": F.col("toxic") == 1}
+    return decide(judged, rules).select("doc_id", "final_decision", "failure_reason")

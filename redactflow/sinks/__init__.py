@@ -1,5 +1,6 @@
 from redactflow.sinks.export import current_export, export_clean, exports, forget_exports, read_export
 from redactflow.sinks.tables import (
+    ProtectedPathError,
     append_events,
     append_master_audit,
     audit_rows,
@@ -14,6 +15,6 @@ from redactflow.sinks.tables import (
 )
 
 __all__ = [
-    "append_events", "append_master_audit", "audit_rows", "compact_audit", "current_export", "export_clean", "exports", "forget_exports", "guarded_write", "read_export", "upsert_audit",
+    "ProtectedPathError", "append_events", "append_master_audit", "audit_rows", "compact_audit", "current_export", "export_clean", "exports", "forget_exports", "guarded_write", "read_export", "upsert_audit",
     "write_audit", "write_batch_summary", "write_manifest", "write_master_summary", "write_run_scope",
 ]
