@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from redactflow.functions.names import normalize_path
 from redactflow.operators.order import group_ordinal
 from redactflow.schemas import BOXES_DDL
+from redactflow.session import cut_lineage
 
 
 def _one_per_path(df: DataFrame, side: str) -> DataFrame:
@@ -176,16 +177,24 @@ def attach_detections(items: DataFrame, detections: DataFrame, per_row: int = 40
     """Items with their boxes as ``boxes array``, empty when there is none, in rows of at most ``per_row`` boxes.
 
     An item has ``parts`` rows, numbered ``part`` from 0: one, unless it has more boxes than ``per_row``; all but the
-    last are full. Boxes are numbered by one ordered shuffle, so an item with any number of boxes, equal ones
-    included, is spread over tasks, and no row, task or array grows with it.
+    last are full. Counts, added up before the shuffle, tell which items have more. The others, nearly all, are grouped in
+    one shuffle of boxes; only boxes of items with more are put in order and numbered, so that an item with any number of
+    boxes, equal ones included, is spread over tasks, and no row, task or array grows with it.
     """
-    tied = detections.select("stem", "polygon", "text", "score").withColumn("_tie", F.monotonically_increasing_id())
-    order = [F.col("text"), F.col("score"), F.xxhash64("polygon"), F.col("_tie")]
-    numbered = group_ordinal(tied, ["stem"], order, "_nth").withColumn("part", F.expr(f"cast((_nth - 1) div {per_row} AS int)"))
-    boxes = F.sort_array(F.collect_list(F.struct("polygon", "text", "score")))
-    grouped = numbered.groupBy("stem", "part").agg(boxes.alias("boxes"))
-    sizes = numbered.groupBy("stem").agg((F.max("part") + 1).alias("parts"))
-    joined = items.join(sizes, "stem", "left").join(grouped, "stem", "left")
+    boxes = F.sort_array(F.collect_list(F.struct("polygon", "text", "score"))).alias("boxes")
+    # a box of no item can't be attached
+    found = detections.filter(F.col("stem").isNotNull()).select("stem", "polygon", "text", "score")
+    counts = found.groupBy("stem").agg(F.count("*").alias("_n")).filter(F.col("_n") > per_row)
+    many = cut_lineage(counts.select("stem", F.ceil(F.col("_n") / per_row).cast("int").alias("parts")), "many")
+    some_many = not many.isEmpty()
+    few = found.join(many, "stem", "left_anti") if some_many else found
+    grouped = few.groupBy("stem").agg(boxes).withColumns({"part": F.lit(0), "parts": F.lit(1)})
+    if some_many:
+        tied = found.join(many, "stem").withColumn("_tie", F.monotonically_increasing_id())
+        order = [F.col("text"), F.col("score"), F.xxhash64("polygon"), F.col("_tie")]
+        numbered = group_ordinal(tied, ["stem"], order, "_nth").withColumn("part", F.expr(f"cast((_nth - 1) div {per_row} AS int)"))
+        grouped = grouped.unionByName(numbered.groupBy("stem", "part").agg(boxes, F.first("parts").alias("parts")))
+    joined = items.join(grouped, "stem", "left")
     filled = {"boxes": F.coalesce("boxes", F.array().cast(BOXES_DDL)), "part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))}
     return joined.withColumns(filled).select(*items.columns, "boxes", "part", "parts")
 
