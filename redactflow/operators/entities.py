@@ -46,6 +46,11 @@ SEVEN_TEN = r"^[0-9]{3}-[0-9]{3}-[0-9]{4}$"
 CARD_DIGITS = (13, 19)
 SURE, UNSURE = 1.0, 0.9
 
+#: That a run occurs at all can be told by less than the run: how it starts, and for secrets without quotes before the
+#: key and without the rest of the value.
+STARTS: dict[str, str] = {"[0-9]": "(?=[0-9(+pPaA])"}
+THERE: dict[str, str] = {"SECRET": rf"(?i:api[_-]?key|secret|password|token|authorization){_QUOTE}[ \t]*[:=][ \t]*[^ \t\r\n]"}
+
 # One cheap test per kind: without such a character the pattern cannot match. Kinds of the caller need none.
 NEEDS: dict[str, str] = {"SECRET": "[:=]", "EMAIL": "@"} | dict.fromkeys(
     ("IPV4", "SSN", "CARD", "PHONE", "PLATE", "ACCOUNT", "ADDRESS"), "[0-9]"

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactflow.config import DEFAULTS, Settings
-from redactflow.operators.entities import NEEDS, PATTERNS, all_linear, any_pattern, kind_of, score_of, torn
+from redactflow.operators.entities import NEEDS, PATTERNS, STARTS, THERE, all_linear, any_pattern, kind_of, score_of, torn
 from redactflow.operators.qa import decide, detection_fail
 from redactflow.operators.route import route
 
@@ -23,10 +23,10 @@ def has_entity(text: Column, patterns: Mapping[str, str] = PATTERNS) -> Column:
     groups: dict[str | None, dict[str, str]] = {}
     for kind, pattern in patterns.items():
         need = NEEDS.get(kind) if pattern == PATTERNS.get(kind) else None
-        groups.setdefault(need, {})[kind] = pattern
+        groups.setdefault(need, {})[kind] = pattern if need is None else THERE.get(kind, pattern)
     out = F.lit(False)
     for need, members in groups.items():
-        found = text.rlike(any_pattern(all_linear(members)))
+        found = text.rlike(f"{STARTS.get(need, '')}(?:{any_pattern(all_linear(members))})")
         if need is not None:
             found = (text.contains(need) if len(need) == 1 else text.rlike(need)) & found
         out = out | found
