@@ -216,6 +216,30 @@ def load(path: str) -> dict[str, np.ndarray]:
     return _maps[path]
 
 
+def save_sections(path: str, keys: list[int], sections: list[bytes]) -> None:
+    """A file of byte strings by ascending keys, of which one is read at a time."""
+    starts = np.cumsum([0, *map(len, sections)])
+    save(path, {"keys": np.array(keys, np.int64), "starts": starts, "data": np.frombuffer(b"".join(sections), np.uint8)})
+
+
+def section(path: str, key: int) -> bytes | None:
+    """The byte string of a key; None if the file or the key is missing. Reads no more than the index and the section."""
+    system, target = pafs.FileSystem.from_uri(path)
+    try:
+        source = system.open_input_file(target)
+    except FileNotFoundError:
+        return None
+    with source:
+        size = int.from_bytes(source.read_at(8, 0), "little")
+        head = json.loads(source.read_at(size, 8))
+        (_, (n,), keys_at), (_, _, starts_at), (_, _, at) = (head[k] for k in ("keys", "starts", "data"))
+        keys, starts = (np.frombuffer(source.read_at(8 * m, 8 + size + a), "<i8") for m, a in ((n, keys_at), (n + 1, starts_at)))
+        i = int(np.searchsorted(keys, key))
+        if i == n or keys[i] != key:
+            return None
+        return source.read_at(int(starts[i + 1] - starts[i]), 8 + size + at + int(starts[i]))
+
+
 def prefixed(prefix: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {f"{prefix}.{k}": v for k, v in arrays.items()}
 

@@ -173,8 +173,7 @@ FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)"""
 def op1_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under a model of those that are not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    model = ngrams.learn(docs.filter(~ngrams.held_out()))
-    return ngrams.score(docs, model).select(
+    return ngrams.learn_and_score(docs, ~ngrams.held_out()).select(
         "doc_id", ngrams.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 
