@@ -46,12 +46,12 @@ def _directory(upto: np.ndarray) -> np.ndarray:
 
 
 def _word_of(upto: np.ndarray, directory: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The word that holds number ``k``: from the directory's word on, seldom more than a step or two."""
+    """The word that holds number ``k``: the directory's, the next one, or, where values are far apart, by search."""
     word = directory[k >> 6].astype(np.int64)
     live = np.flatnonzero(upto[word + 1] <= k)
-    while len(live):
-        word[live] += 1
-        live = live[upto[word[live] + 1] <= k[live]]
+    word[live] += 1
+    live = live[upto[word[live] + 1] <= k[live]]
+    word[live] = np.searchsorted(upto, k[live].astype(upto.dtype), side="right") - 1
     return word
 
 
