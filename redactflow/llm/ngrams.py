@@ -124,7 +124,8 @@ def _in_part(file: dict[str, np.ndarray], k: int, words: int, pair: np.ndarray,
 
 def find(model: Model, k: int, pair: np.ndarray, told: Told | None = None) -> Found:
     """(node or -1, count of a word or stored first term, g of the context) of ascending, different pairs of level k, or
-    of words by their keys: from what the parts told of a block, else from the parts themselves."""
+    of words by their keys: from what the parts told of a block, else from the parts themselves. In the last level only
+    the sign of a node has a meaning."""
     level = model.levels[k - 1]
     node, back = np.full(len(pair), -1, np.int64), np.ones(len(pair))
     direct = np.zeros(len(pair), np.int64 if k == 1 else float)
@@ -301,7 +302,9 @@ def _level_part(model: Model, k: int, edges: np.ndarray, build: bool, told: str
         if told and has:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.cumsum(new) - 1
-            found = _in_part(model.file(k, part), k, model.words, distinct, edges[part])
+            place, *codes = _in_part(model.file(k, part), k, model.words, distinct, edges[part])
+            # nobody asks beyond the last level: that an n-gram is there is all that is told of it
+            found = (place if k < model.order else np.minimum(place, 0), *codes)
             cuts = np.cumsum([0, *sizes])
             pieces = [_sealed(found, rank[a:b], _sum(pairs[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
             ef.save_sections(f"{told}/{k}-{part}", blocks, pieces)

@@ -7,11 +7,13 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from redactflow.llm import elias_fano as ef
 from redactflow.llm import ngrams as ng
 from redactflow.llm.queries import QUERIES
 from redactflow.llm.words import words_of
+from redactflow.session import scratch_path
 
 
 @pytest.mark.parametrize(("universe", "n"), [(1 << 64, 5000), (1000, 0), (10, 8), (1 << 40, 3000), (300, 4000), (1, 1)])
@@ -96,6 +98,51 @@ def test_many_parts(spark):
         assert r[4] == pytest.approx(w[3]) and r[5] == pytest.approx(w[4])
 
 
+def sums(frame):
+    return [tuple(r) for r in frame.select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").orderBy("doc_id").collect()]
+
+
+def test_told_blocks_and_the_parts_agree(spark):
+    """What parts tell of a block, what they hold, and both ways to ask give the same scores; a block that was not asked
+    for is looked up in the parts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    train = F.col("doc_id") % 3 != 0
+    together = ng.learn_and_score(docs, train, room=50_000)
+    model = ng.learn(docs.filter(train), room=50_000)
+    want = sums(ng.score(docs, model))
+    assert np.allclose(sums(together), want, rtol=1e-9)
+    # rows in another order: no block is the one that was asked for
+    turned = ng._scored(docs.orderBy(F.desc("doc_id")), model, "text", scratch_path(spark, "told"))
+    assert np.allclose(sums(turned), want, rtol=1e-9)
+
+
+def test_what_is_told(tmp_path):
+    pair = np.array([3, 9, 10, 500], np.uint64)
+    found = (np.array([-1, 7, 8, -1]), np.array([0, 70_000, 2, 0]), np.array([5, 0, 1, 255], np.uint8))
+    pieces = [ng._sealed(found, np.arange(4), ng._sum(pair)), ng._sealed(found, np.array([1]), ng._sum(pair[1:2]))]
+    ef.save_sections(f"{tmp_path}/1-0", [4, 1 << 33], pieces)
+    for got, want in zip(ng.Told(str(tmp_path), 4)(1, 0, pair), found, strict=True):
+        assert got.tolist() == want.tolist()
+    assert [x.tolist() for x in ng.Told(str(tmp_path), 1 << 33)(1, 0, pair[1:2])] == [[7], [70_000], [0]]
+    # other pairs, another block, another part
+    assert ng.Told(str(tmp_path), 4)(1, 0, pair + np.uint64(1)) is None
+    assert ng.Told(str(tmp_path), 5)(1, 0, pair) is None and ng.Told(str(tmp_path), 4)(1, 1, pair) is None
+
+
+def test_blocks_depend_on_rows_alone(spark, monkeypatch):
+    """However Arrow batches are cut, the same texts stand in a block; a text longer than a block is whole."""
+    monkeypatch.setattr(ng, "BLOCK", 20)
+    monkeypatch.setattr(ng.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 2})()))
+    texts = ["a" * 7, None, "b" * 15, "", "c" * 90, "d", "e" * 19, "f"] * 3
+    whole = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    cut = lambda n: [whole.slice(i, n) for i in range(0, len(texts), n)]
+    blocks = lambda batches: [(i, [t for r in rows for t in r.column("text").to_pylist()]) for i, rows in ng._blocks(iter(batches), "text")]
+    want = blocks([whole])
+    assert [t for _, b in want for t in b] == texts and len({i for i, _ in want}) == len(want) > 5
+    assert all(blocks(cut(n)) == want for n in (1, 2, 3, 7))
+    assert blocks([]) == [] and blocks([whole.slice(0, 0)]) == []
+
+
 def test_ngrams_seen_once_are_stored(spark):
     """Every level holds all n-grams there are, and a phrase seen once scores better than its words put otherwise."""
     texts = ["red fox runs home", "blue fox sits here", "red dog sits home", None, "one"]
