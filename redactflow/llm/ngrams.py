@@ -48,6 +48,8 @@ DISCOUNT = 0.5
 PART_TOKENS = 4_000_000
 #: Bytes of text that ask the parts together.
 BLOCK = 12 << 20
+#: Pairs of a part that are looked up at a time.
+LOOKED = 1 << 19
 #: Cuts that a part proposes for the next level.
 PIECES = 16
 #: One byte holds -log10 of a probability in these steps.
@@ -302,7 +304,9 @@ def _level_part(model: Model, k: int, edges: np.ndarray, build: bool, told: str
         if told and has:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.cumsum(new) - 1
-            place, *codes = _in_part(model.file(k, part), k, model.words, distinct, edges[part])
+            del ranked, order, counts, total
+            slices = [_in_part(model.file(k, part), k, model.words, distinct[a : a + LOOKED], edges[part]) for a in range(0, len(distinct), LOOKED)]
+            place, *codes = map(np.concatenate, zip(*slices, strict=True))
             # nobody asks beyond the last level: that an n-gram is there is all that is told of it
             found = (place if k < model.order else np.minimum(place, 0), *codes)
             cuts = np.cumsum([0, *sizes])
