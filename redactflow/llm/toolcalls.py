@@ -4,7 +4,8 @@ Assistant messages carry calls, ``<tool_call>{"id": ..., "name": ..., "arguments
 tool messages carry results, ``<tool_result>{"id": ..., "content": ...}</tool_result>``, any number in a message.
 Calls and results meet in a join on conversation and identifier. Calls are ordered topologically by ``after``, level by
 level; inside a level by turn and place. Arguments are checked against a schema for each tool; call and result are
-written as canonical JSON: keys in code point order at every depth, no blanks, numbers in shortest form.
+written as JSON of one form: keys in code point order at every depth, no blanks. Numbers keep the form Spark gives them, so equal
+numbers written differently (1e3, 1000.0, 1000) may stay different, and 1000.0 is no integer to a schema.
 
 A conversation may hold any share of the rows: joins are on conversation and identifier, results are reduced to the
 first one before the join, and positions come from one ordered shuffle, not from a window over a conversation.
