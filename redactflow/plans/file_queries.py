@@ -176,7 +176,8 @@ def events_from_json_lines(t: Tables) -> DataFrame:
     FROM documents"""
 )
 def image_dims_by_format(t: Tables) -> DataFrame:
-    """Headers in four formats with known dimensions: PNG, GIF, BMP and JPEG by language."""
+    """Headers in four formats with known dimensions: PNG, GIF, BMP and JPEG by language. GIF and JPEG hold 16 bits of a
+    width, so what is wider is a PNG in every language."""
     w, h = F.col("n_chars"), F.length("source") + 60
 
     def big(value, n: int):
@@ -190,7 +191,7 @@ def image_dims_by_format(t: Tables) -> DataFrame:
     gif = F.concat(F.lit("474946383961"), little(w, 2), little(h, 2), F.lit("F70000"))
     bmp = F.concat(F.lit("424D" + "00" * 12 + "28000000"), little(w, 4), little(h, 4), F.lit("01001800"))
     jpeg = F.concat(F.lit("FFD8FFE000044A46FFC0001108"), big(h, 2), big(w, 2), F.lit("03011100"))
-    head = F.when(F.col("lang") == "en", png).when(F.col("lang") == "fr", gif).when(F.col("lang") == "de", bmp)
+    head = F.when((F.col("lang") == "en") | (w > 0xFFFF), png).when(F.col("lang") == "fr", gif).when(F.col("lang") == "de", bmp)
     items = t.documents.select("doc_id", F.unhex(head.otherwise(jpeg)).alias("content"))
     return image_dims(items).select("doc_id", "width", "height", "pixels")
 

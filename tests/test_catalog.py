@@ -36,3 +36,11 @@ def test_query(spark, con, name):
 def test_entry(spark):
     row = entry(spark).first()
     assert row["images_in_master"] == row["passed"] + row["failed"] > 0
+
+
+def test_widths_that_two_formats_cannot_hold(spark, tmp_path):
+    """Texts of more than 65,535 characters, whose number is the width, in every language."""
+    rows = [(i, "x", lang, "web", n) for i, (lang, n) in enumerate((lang, n) for lang in ("en", "fr", "de", "es") for n in (0, 65_535, 65_536, 128_657))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["width"], r["height"], r["pixels"]) for r in queries()["image_dims_by_format"](spark, str(tmp_path)).collect()}
+    assert got == {i: (n, 63, n * 63) for i, _, _, _, n in rows}
