@@ -24,6 +24,7 @@ from redactflow.streaming import (
     drain,
     live_metrics,
     open_stream,
+    open_table_stream,
     read_batches,
     read_latest,
     retry_budget,
@@ -40,7 +41,7 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def _events(t: Tables) -> DataFrame:
-    raw = open_stream(t.spark, t.folder, EVENTS, glob="events.parquet")
+    raw = open_table_stream(t.spark, f"{t.folder}/events.parquet", EVENTS)
     kind = F.col("event_type")
     outcome = F.when(kind == "signup", "quarantine").when(kind == "error", "manual_review").otherwise("pass")
     return raw.select(
@@ -56,7 +57,7 @@ def _events(t: Tables) -> DataFrame:
 @query(audited_select("documents", "doc_id", "text"))
 def stream_anonymize_documents(t: Tables) -> DataFrame:
     target, checkpoint = scratch_path(t.spark, "clean"), scratch_path(t.spark, "progress")
-    source = open_stream(t.spark, t.folder, DOCUMENTS, glob="documents.parquet", max_files=64)
+    source = open_table_stream(t.spark, f"{t.folder}/documents.parquet", DOCUMENTS, max_files=64)
     drain(stream_anonymize(source.select("doc_id", "text"), "text", target, checkpoint))
     return read_batches(t.spark, target).select("doc_id", *AUDIT_COLUMNS)
 

@@ -2,6 +2,7 @@ from redactflow.streaming.flows import (
     drain,
     live_metrics,
     open_stream,
+    open_table_stream,
     read_batches,
     read_latest,
     stream_anonymize,
@@ -12,6 +13,6 @@ from redactflow.streaming.flows import (
 from redactflow.streaming.state import retry_budget, rocksdb_state, stale_leases, use_rocksdb
 
 __all__ = [
-    "drain", "live_metrics", "open_stream", "read_batches", "read_latest", "retry_budget", "rocksdb_state", "stale_leases",
-    "stream_anonymize", "stream_images", "use_rocksdb", "windowed_metrics", "write_batches",
+    "drain", "live_metrics", "open_stream", "open_table_stream", "read_batches", "read_latest", "retry_budget", "rocksdb_state",
+    "stale_leases", "stream_anonymize", "stream_images", "use_rocksdb", "windowed_metrics", "write_batches",
 ]

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -34,6 +35,15 @@ def open_stream(
     return reader.load(path)
 
 
+def open_table_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of files. Its path must hold no signs of a pattern."""
+    if re.search(r"[\\{}\[\]*?]", path):
+        raise ValueError(f"a stream's table can't have pattern signs in its path: {path}")
+    folder, name = path.rsplit("/", 1)
+    # a plain path would have to be a folder; a pattern may match either
+    return open_stream(spark, f"{folder}/[{name[0]}]{name[1:]}", schema, max_files=max_files)
+
+
 def _replace_batch(target: str, prepare: Step | None = None) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch

@@ -184,3 +184,16 @@ def test_windowed_metrics_drop_late_rows(spark, folder):
     S.drain(S.write_batches(metrics, f"{folder}/out", f"{folder}/ck"))
     got = sorted((r["window_start"].hour, r["processed"]) for r in spark.read.parquet(f"{folder}/out").collect())
     assert got == [(0, 1), (2, 1), (4, 1)]
+
+
+def test_table_that_is_a_folder_of_files(spark, folder):
+    """A table is one file or a folder of files."""
+    rows = [(i, f"row {i} mail a{i}@b.co") for i in range(20)]
+    table = f"{folder}/in put/documents.parquet"
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(table)
+    one = f"{folder}/in put/one.parquet"
+    pd.DataFrame(rows, columns=["id", "text"]).to_parquet(one)
+    for n, path in enumerate((table, one)):
+        target = f"{folder}/out{n}"
+        S.drain(S.stream_anonymize(S.open_table_stream(spark, path, SCHEMA), "text", target, f"{folder}/ck{n}"))
+        assert sorted(r["id"] for r in S.read_batches(spark, target).collect()) == list(range(20))
