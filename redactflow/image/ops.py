@@ -33,6 +33,8 @@ from redactflow.operators.route import regions_inpainted, route
 from redactflow.schemas import AUDIT_SCHEMA_NAME, BOXES_DDL
 
 Detector = Callable[[np.ndarray], Sequence[dict]]
+#: Rows, and bytes of images, that a map hands back together.
+OUT_ROWS, OUT_BYTES = 256, 4 << 20
 
 _loaded: dict[str, object] = {}
 
@@ -63,14 +65,21 @@ def to_bgr_bytes(rgb: np.ndarray) -> bytes:
 
 
 def _map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
-    """Row-wise map over Arrow batches. Batches are bounded by bytes by the session's Arrow settings."""
+    """Row-wise map over Arrow batches. One row of a batch is opened at a time; results leave in batches of ``OUT_ROWS``
+    rows or ``OUT_BYTES`` bytes of images, whichever is reached first."""
     arrow_schema_of = _arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done, held = [], 0
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                yield pa.RecordBatch.from_pylist([fn(row)], schema=arrow_schema_of)
+                done.append(fn(batch.slice(i, 1).to_pylist()[0]))
+                held += sum(len(v) for v in done[-1].values() if isinstance(v, bytes))
+                if len(done) >= OUT_ROWS or held >= OUT_BYTES:
+                    yield pa.RecordBatch.from_pylist(done, schema=arrow_schema_of)
+                    done, held = [], 0
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=arrow_schema_of)
 
     return df.mapInArrow(run, schema)
 

@@ -348,3 +348,39 @@ def test_edges_near_the_mask_are_those_of_the_whole_raster(seed, monkeypatch):
     small = measures.edge_artifact_ratio(rgb, box)
     monkeypatch.setattr(measures, "MARGIN", 10_000)
     assert small == measures.edge_artifact_ratio(rgb, box)
+
+
+def test_diffuse_fill_is_the_exact_one():
+    """Holes of four corners anywhere, on the raster's border too, against the solution of all equations at once."""
+    rng = np.random.default_rng(5)
+    for n in range(40):
+        height, width = rng.integers(8, 32, 2)
+        rgb = rng.integers(0, 255, (height, width, 3)).astype(np.uint8)
+        if n % 2:
+            mask = raster.boxes_to_mask(height, width, [{"polygon": rng.uniform(-8, 40, (4, 2)).tolist()}], int(rng.integers(0, 4)))
+        else:
+            x0, x1, y0, y1 = *np.sort(rng.uniform(-5, width, 2)), *np.sort(rng.uniform(-5, height, 2))
+            mask = raster.boxes_to_mask(height, width, [{"polygon": [[x0, y0], [x1, y0], [x1, y1], [x0, y1]]}], 2)
+        hole = mask > 0
+        if not hole.any() or hole.all():
+            continue
+        places = np.argwhere(hole)
+        number = np.zeros(hole.shape, int)
+        number[hole] = np.arange(len(places))
+        a, b = 4.0 * np.eye(len(places)), np.zeros((len(places), 3))
+        for i, (y, x) in enumerate(places):
+            for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)):
+                at = min(max(y + dy, 0), height - 1), min(max(x + dx, 0), width - 1)
+                if hole[at]:
+                    a[i, number[at]] -= 1
+                else:
+                    b[i] += rgb[at]
+        want = np.linalg.solve(a, b)
+        got = raster.redact_regions(rgb, mask, "diffuse")[0][hole]
+        assert np.abs(got - want).max() < 0.51, n
+
+
+def test_masks_larger_than_the_raster():
+    mask = np.zeros((5, 9), np.uint8)
+    mask[2, 4] = 255
+    assert (raster.dilate(mask, 40) == 255).all()
