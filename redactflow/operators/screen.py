@@ -85,22 +85,40 @@ def _other_dims(heads: pd.Series) -> pd.DataFrame:
 _other_dims = _other_dims.asNondeterministic()  # so that a filter on the result does not run it a second time
 
 
+def _short_tiff(content: Column) -> Column:
+    """A TIFF of its head and first directory only, wherever that stands; null for anything else. Its dimensions are those
+    of the whole file."""
+    start = F.hex(F.substring(content, 1, 4))
+    little = start == "49492A00"
+    big = start == "4D4D002A"
+    at = F.when(little, _little_endian(content, 5, 4)).when(big, _big_endian(content, 5, 4))
+    place = F.when(at < F.length(content), at).cast("int") + 1
+    count = F.hex(F.substring(content, place, F.lit(2)))
+    swapped = F.concat(F.substring(count, 3, 2), F.substring(count, 1, 2))
+    entries = F.conv(F.when(little, swapped).otherwise(count), 16, 10).cast("int")
+    head = F.when(little, F.unhex(F.lit("49492A0008000000"))).otherwise(F.unhex(F.lit("4D4D002A00000008")))
+    whole = F.concat(head, F.substring(content, place, 2 + 12 * entries))
+    return F.when(little | big, F.coalesce(whole, F.substring(content, 1, 4)))
+
+
 def image_dims(df: DataFrame, content: str = "content") -> DataFrame:
     """Adds ``width``, ``height``, ``pixels`` (null when unreadable).
 
-    PNG/GIF/BMP need no Python. JPEG, WebP and TIFF headers are read by an Arrow UDF which sees at most the
-    first 64 KiB, with the whole content as second try for a JPEG whose metadata is longer than that and for a TIFF,
-    whose directory may stand behind the pixels.
+    PNG/GIF/BMP need no Python. JPEG, WebP and TIFF headers are read by an Arrow UDF. Of a TIFF, whose directory may
+    stand behind the pixels, it sees the directory alone; of others at most the first 64 KiB, with the whole content as
+    second try for a JPEG whose metadata is longer than that. What it needs is cut out below a generator, so that
+    contents do not wait beside it for its answers unless the caller asks for them.
     """
     body = F.col(content)
-    jvm = df.withColumn("_dims", header_dims(body))
-    head = F.when(F.col("_dims").isNull() & (F.length(body) > 0), F.substring(body, 1, HEAD_BYTES))
-    once = jvm.withColumn("_more", _other_dims(head))
-    start = F.hex(F.substring(body, 1, 4))
-    goes_on = start.startswith("FFD8") | start.isin("49492A00", "4D4D002A")
-    retry = F.when(
-        F.col("_dims").isNull() & F.col("_more.width").isNull() & goes_on & (F.length(body) > HEAD_BYTES), body
-    )
+    known = header_dims(body)
+    tiff = _short_tiff(body)
+    other = known.isNull() & (F.length(body) > 0)
+    head = F.when(other, F.coalesce(tiff, F.substring(body, 1, HEAD_BYTES)))
+    longer = F.when(other & F.hex(F.substring(body, 1, 2)).eqNullSafe("FFD8") & (F.length(body) > HEAD_BYTES), body)
+    parts = F.struct(known.alias("_dims"), head.alias("_head"), longer.alias("_long"))
+    cut = df.select(*[F.col(c) for c in df.columns], F.inline(F.array(parts)))
+    once = cut.withColumn("_more", _other_dims("_head"))
+    retry = F.when(F.col("_more.width").isNull(), F.col("_long"))
     twice = once.withColumn("_rest", _other_dims(retry))
     out = twice.withColumns(
         {
@@ -108,7 +126,7 @@ def image_dims(df: DataFrame, content: str = "content") -> DataFrame:
             "height": F.coalesce("_dims.height", "_more.height", "_rest.height"),
         }
     )
-    return out.withColumn("pixels", F.col("width") * F.col("height")).drop("_dims", "_more", "_rest")
+    return out.withColumn("pixels", F.col("width") * F.col("height")).drop("_dims", "_head", "_long", "_more", "_rest")
 
 
 def verify_integrity(items: DataFrame, decodable: Column, limit: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -93,10 +93,9 @@ def image_dims_tail_directory(t: Tables) -> DataFrame:
     """TIFF files whose directory stands behind 70,000 bytes of pixels."""
     width, height = 1 + F.col("c_custkey") % 900, 1 + F.col("c_custkey") % 700
     entry = lambda tag, v: F.concat(F.lit(tag), F.lit("030001000000"), _short(v), F.lit("0000"))
-    body = F.concat(
-        F.lit("49492A0078110100"), F.repeat(F.lit("00"), F.lit(70_000)), F.lit("0200"), entry("0001", width), entry("0101", height), F.lit("00000000")
-    )
-    files = t.customer.select("c_custkey", F.unhex(body).alias("content"))
+    pixels = F.unhex(F.concat(F.lit("49492A0078110100"), F.repeat(F.lit("00"), F.lit(70_000))))  # alike in every file
+    body = F.concat(pixels, F.unhex(F.concat(F.lit("0200"), entry("0001", width), entry("0101", height), F.lit("00000000"))))
+    files = t.texts("customer", "c_custkey").select("c_custkey", body.alias("content"))
     return image_dims(files).select("c_custkey", "width", "height")
 
 
