@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactflow.functions.names import normalize_path
-from redactflow.operators.order import group_ordinal
+from redactflow.operators.joins import join_small
+from redactflow.operators.order import prefix_sums
 from redactflow.schemas import BOXES_DDL
 from redactflow.session import cut_lineage
 
@@ -173,14 +174,20 @@ def merge_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select("stem", *[F.coalesce(f"_n_{c}", c).alias(c) for c in names])
 
 
+#: Distinct boxes of items with many that one task puts in order.
+PART_ROWS = 500_000
+
+
 def attach_detections(items: DataFrame, detections: DataFrame, per_row: int = 4096) -> DataFrame:
     """Items with their boxes as ``boxes array``, empty when there is none, in rows of at most ``per_row`` boxes.
 
     An item has ``parts`` rows, numbered ``part`` from 0: one, unless it has more boxes than ``per_row``; all but the
     last are full. Counts, added up before the shuffle, tell which items have more. The others, nearly all, are grouped in
-    one shuffle of boxes; only boxes of items with more are put in order and numbered, so that an item with any number of
-    boxes, equal ones included, is spread over tasks, and no row, task or array grows with it.
+    one shuffle of boxes. Equal boxes of items with more are counted, and the counts alone are put in order and summed up,
+    in tasks of at most ``PART_ROWS`` distinct boxes; a row of such an item is a list of boxes and how often each comes
+    until the item has been joined, so no row, task or shuffle grows with what an item repeats.
     """
+    spark = detections.sparkSession
     boxes = F.sort_array(F.collect_list(F.struct("polygon", "text", "score"))).alias("boxes")
     # a box of no item can't be attached
     found = detections.filter(F.col("stem").isNotNull()).select("stem", "polygon", "text", "score")
@@ -189,12 +196,27 @@ def attach_detections(items: DataFrame, detections: DataFrame, per_row: int = 40
     some_many = not many.isEmpty()
     few = found.join(many, "stem", "left_anti") if some_many else found
     grouped = few.groupBy("stem").agg(boxes).withColumns({"part": F.lit(0), "parts": F.lit(1)})
+    plain = items.join(many, "stem", "left_anti") if some_many else items
+    joined = plain.join(grouped, "stem", "left")
     if some_many:
-        tied = found.join(many, "stem").withColumn("_tie", F.monotonically_increasing_id())
-        order = [F.col("text"), F.col("score"), F.xxhash64("polygon"), F.col("_tie")]
-        numbered = group_ordinal(tied, ["stem"], order, "_nth").withColumn("part", F.expr(f"cast((_nth - 1) div {per_row} AS int)"))
-        grouped = grouped.unionByName(numbered.groupBy("stem", "part").agg(boxes, F.first("parts").alias("parts")))
-    joined = items.join(grouped, "stem", "left")
+        box = ["stem", "text", "score", "polygon"]
+        equal = cut_lineage(found.join(many, "stem", "left_semi").groupBy(*box).agg(F.count("*").alias("_n")), "equal")
+        order = [F.col("stem"), F.col("text"), F.col("score"), F.xxhash64("polygon"), F.col("polygon")]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-equal.count() // PART_ROWS))
+        summed = cut_lineage(prefix_sums(equal, order, {"_upto": "_n"}, parts), "summed")
+        base = summed.groupBy("stem").agg(F.min(F.col("_upto") - F.col("_n")).alias("_base")).join(many, "stem")
+        placed = join_small(summed, base, ["stem"]).withColumns(
+            {"_first": F.col("_upto") - F.col("_n") - F.col("_base"), "_last": F.col("_upto") - F.col("_base") - 1}
+        )
+        row = placed.withColumn("part", F.explode(F.sequence(F.expr(f"_first div {per_row}"), F.expr(f"_last div {per_row}"))))
+        times = F.least("_last", (F.col("part") + 1) * per_row - 1) - F.greatest("_first", F.col("part") * per_row) + 1
+        one = F.struct(F.struct("polygon", "text", "score").alias("box"), times.cast("int").alias("times"))
+        rows = row.groupBy("stem", F.col("part").cast("int").alias("part")).agg(F.sort_array(F.collect_list(one)).alias("_rows"), F.first("parts").alias("parts"))
+        hot = items.join(many, "stem", "left_semi").withColumnRenamed("stem", "_stem")
+        small = cut_lineage(hot, "hot")
+        attached = rows.join(small, F.col("stem") == F.col("_stem")).drop("_stem")
+        repeated = F.flatten(F.transform("_rows", lambda r: F.array_repeat(r["box"], r["times"])))
+        joined = joined.unionByName(attached.withColumn("boxes", repeated).drop("_rows"))
     filled = {"boxes": F.coalesce("boxes", F.array().cast(BOXES_DDL)), "part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))}
     return joined.withColumns(filled).select(*items.columns, "boxes", "part", "parts")
 

@@ -188,3 +188,22 @@ def test_tiff_dims_of_both_byte_orders_and_torn_files(spark):
     assert got == {i: read if i in (0, 1, 8) else (None, None) for i in range(9)}
     seen = frame.select(F.length(screen._short_tiff(F.col("content"))).alias("n")).filter("n IS NOT NULL").agg(F.max("n")).first()[0]
     assert seen < 50
+
+
+def test_hot_item_repeats_are_not_shuffled(spark):
+    """Of a million boxes with three shapes only counts are put in order, and every box comes back, beside those of others."""
+    kind = F.col("id") % 3
+    boxes = spark.range(1_000_000).select(
+        F.when(F.col("id") < 10, "few").otherwise("hot").alias("stem"), F.lit("t").alias("text"),
+        F.array(F.array(kind.cast("float"), F.lit(2.0).cast("float"))).alias("polygon"), F.lit(0.5).alias("score"),
+    )
+    items = spark.createDataFrame([("hot", 1), ("hot", 2), ("few", 3), ("bare", 4), (None, 5)], "stem string, n int")
+    rows = verify.attach_detections(items, boxes)
+    shown = rows.select("stem", "n", "part", "parts", F.size("boxes").alias("size"))
+    got = sorted(tuple(r) for r in shown.filter("stem IS NOT NULL").collect())
+    hot = [("hot", n, p, 245, min(4096, 999_990 - p * 4096)) for n in (1, 2) for p in range(245)]
+    assert got == sorted([("bare", 4, 0, 1, 0), ("few", 3, 0, 1, 10), *hot]) and shown.filter("stem IS NULL").count() == 1
+    each = rows.filter("n = 1").select(F.explode("boxes").alias("b")).groupBy(F.expr("b.polygon[0][0]").alias("x")).count().collect()
+    assert sorted((r["x"], r["count"]) for r in each) == [(0.0, 333_330), (1.0, 333_330), (2.0, 333_330)]
+    # where the rows are made, nothing but counts has been moved: three boxes in as many pieces as they have rows
+    assert "_rows" in rows._jdf.queryExecution().optimizedPlan().toString()
