@@ -57,17 +57,26 @@ NEEDS: dict[str, str] = {"SECRET": "[:=]", "EMAIL": "@"} | dict.fromkeys(
 )
 
 
+#: Characters that a run of each kind may start with: a search tries a kind only there. Addresses of mail start anywhere.
+FIRST: dict[str, str] = {"SECRET": r"""[\\"'aApPsStT]""", "PHONE": "[0-9+(]", "PLATE": "[pP]", "ACCOUNT": "[aA]"} | dict.fromkeys(
+    ("IPV4", "CARD", "SSN", "ADDRESS"), "[0-9]"
+)
+
+
 def any_pattern(patterns: Mapping[str, str] = PATTERNS) -> str:
     return "|".join(f"(?:{p})" for p in patterns.values())
 
 
 def linear(kind: str, pattern: str) -> str:
     """The same matches in Java without recursion and without trying a run again from its middle: repeated groups, after
-    which nothing has to match, are not given back, and an address starts only where its run does."""
+    which nothing has to match, are not given back, an address starts only where its run does, and other kinds are tried
+    only at their first characters."""
     if pattern != PATTERNS.get(kind):
         return pattern
     held = pattern.replace(")*", ")*+").replace("){3,}", "){3,}+").replace("-]+)+", "-]+)++")
-    return rf"(?:(?<![A-Za-z0-9._%+-])|\G){held.replace(']+@', ']++@', 1)}" if kind == "EMAIL" else held
+    if kind == "EMAIL":
+        return rf"(?:(?<![A-Za-z0-9._%+-])|\G){held.replace(']+@', ']++@', 1)}"
+    return f"(?={FIRST[kind]})(?:{held})"
 
 
 def all_linear(patterns: Mapping[str, str]) -> dict[str, str]:

@@ -33,13 +33,30 @@ def has_entity(text: Column, patterns: Mapping[str, str] = PATTERNS) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def _runs(text: Column, patterns: Mapping[str, str]) -> Column:
-    """All runs of a text in order: kind (null: let go), match, score."""
-    found = F.regexp_extract_all(text, F.lit(any_pattern(all_linear(patterns))), F.lit(0))
+def _decided(found: Column, patterns: Mapping[str, str]) -> Column:
+    """What becomes of each run: kind (null: let go), match, score."""
     kinds = F.transform(found, lambda m: F.struct(kind_of(m, patterns).alias("kind"), m.alias("match")))
     return F.transform(kinds, lambda r: F.struct(r["kind"].alias("kind"), r["match"].alias("match"), score_of(r["match"], r["kind"], patterns).alias("score")))
 
 
+def _runs(text: Column, patterns: Mapping[str, str]) -> Column:
+    """All runs of a text in order, decided."""
+    return _decided(F.regexp_extract_all(text, F.lit(any_pattern(all_linear(patterns))), F.lit(0)), patterns)
+
+
+#: Put around runs, so that one search gives them and what stands between. Texts that hold it are searched twice.
+MARK = "\u0001"
+
+
+def _cut(text: Column, patterns: Mapping[str, str]) -> Column:
+    """A text cut at its runs: pieces and runs in turn, the first and the last a piece."""
+    pattern = any_pattern(all_linear(patterns))
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    in_turn = F.flatten(F.zip_with(pieces, found, lambda p, m: F.when(m.isNull(), F.array(p)).otherwise(F.array(p, m))))
+    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    return F.when(text.contains(MARK), in_turn).otherwise(marked)
+
+
 def _of_kind(runs: str, kind: str) -> Column:
     return F.filter(runs, lambda r: r["kind"] == kind)
 
@@ -56,9 +73,8 @@ def _found(df: DataFrame, column: str, patterns: Mapping[str, str]) -> DataFrame
     return df.withColumn("_has", has).withColumn("_runs", F.when(F.col("_has"), _runs(F.col(column), patterns)).otherwise(none))
 
 
-def _masked(text: Column, runs: Column, patterns: Mapping[str, str], salt: str | None) -> Column:
+def _masked(pieces: Column, runs: Column, salt: str | None) -> Column:
     """The pieces between runs, each followed by what stands for the run after it."""
-    pieces = F.split(text, any_pattern(all_linear(patterns)), -1)
 
     def stand_in(r: Column) -> Column:
         token = F.concat(F.lit("["), r["kind"], F.lit("]")) if salt is None else pseudonym(r["match"], r["kind"], salt)
@@ -88,12 +104,18 @@ def mask_entities(
     With ``salt`` each match becomes a keyed pseudonym instead of ``[KIND]``.
     """
     # A filter on the results must not be pushed below them, which would search the text again inside the predicate. It
-    # cannot pass a generator.
-    found = _found(df, column, patterns).select(*[F.col(c) for c in df.columns], F.inline(F.array(F.struct("_has", "_runs"))))
+    # cannot pass a generator, and what a generator gives is computed once.
+    given = [F.col(c) for c in df.columns]
+    searched = df.withColumn("_has", has_entity(F.col(column), patterns))
+    cut = searched.select(*given, F.inline(F.array(F.struct(F.when(F.col("_has"), _cut(F.col(column), patterns)).alias("_cut")))))
+    pieces, found = F.filter("_cut", lambda x, i: i % 2 == 0), F.filter("_cut", lambda x, i: i % 2 == 1)
+    none = F.array().cast("array<struct<kind:string,match:string,score:double>>")
+    runs = F.when(F.col("_cut").isNull(), none).otherwise(_decided(found, patterns))
+    found = cut.select(*given, F.inline(F.array(F.struct(pieces.alias("_pieces"), runs.alias("_runs")))))
     taken = F.filter("_runs", lambda r: r["kind"].isNotNull())
     text = F.col(column)
     result = F.struct(
-        F.when(F.col("_has"), _masked(text, F.col("_runs"), patterns, salt)).otherwise(text).alias("masked"),
+        F.when(F.col("_pieces").isNull(), text).otherwise(_masked(F.col("_pieces"), F.col("_runs"), salt)).alias("masked"),
         F.size(taken).alias("entity_count"),
         F.aggregate(taken, F.lit(0), lambda acc, r: acc + F.length(r["match"])).alias("masked_chars"),
         *[F.size(_of_kind("_runs", kind)).alias(f"n_{kind.lower()}") for kind in patterns],

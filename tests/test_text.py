@@ -183,3 +183,17 @@ def test_java_and_common_forms_find_the_same(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     both = frame.select(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (any_pattern(), any_pattern(all_linear(PATTERNS)))])
     assert all(a == b for a, b in both.collect())
+
+
+def test_masks_of_texts_that_hold_the_mark(spark):
+    """A text is searched once, with marks around its runs; one that holds the mark already comes out the same around it."""
+    from redactflow.operators.text import MARK, mask_entities
+
+    body = "{0}a@b.co {0}10.0.0.1{0} token: x1 and 4111 1111 1111 1111, 4111 1111 1111 1112 end{0}"
+    rows = [(0, body.format("")), (1, body.format(MARK)), (2, None), (3, ""), (4, "no run here"), (5, "a@b.co")]
+    out = mask_entities(spark.createDataFrame(rows, "id int, text string"), "text")
+    assert "regexp_replace" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: (r["masked"], r["entity_count"]) for r in out.collect()}
+    want = "{0}[EMAIL] {0}[IPV4]{0} [SECRET] and [CARD], 4111 1111 1111 1112 end{0}"
+    assert got[0] == (want.format(""), 4) and got[1] == (want.format(MARK), 4)
+    assert [got[i] for i in (2, 3, 4, 5)] == [(None, 0), ("", 0), ("no run here", 0), ("[EMAIL]", 1)]
