@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from redactflow.config import DEFAULTS
 from redactflow.image.ops import to_rgb
-from redactflow.image.png import encode_png, upright, with_orientation
+from redactflow.image.png import encode_png, insert_text_chunk, upright, with_orientation
 from redactflow.operators.route import retry_state
 from redactflow.plans.image_queries import FACE_LEVEL, TEXT_LEVEL, level_detector, rasters
 from redactflow.plans.registry import query
@@ -76,7 +76,8 @@ def _has_face() -> Callable[[np.ndarray], list[float]]:
 
 
 def _turned_files(t: Tables) -> DataFrame:
-    """One PNG file for each raster, turned so that its EXIF orientation, 1 to 8, sets it upright: vec_id, content."""
+    """One PNG file for each raster, turned so that its EXIF orientation, 1 to 8, sets it upright: vec_id, content. It
+    carries its id as a text, so that files of equal rasters have different hashes."""
 
     def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -84,7 +85,7 @@ def _turned_files(t: Tables) -> DataFrame:
             for vec_id, height, width, data in rows.itertuples(index=False):
                 to = 1 + vec_id % 8
                 raw = upright(to_rgb(height, width, data), {6: 8, 8: 6}.get(to, to))
-                out.append(with_orientation(encode_png(raw), to))
+                out.append(insert_text_chunk(with_orientation(encode_png(raw), to), "id", str(vec_id)))
             yield pd.DataFrame({"vec_id": rows["vec_id"], "content": out})
 
     return rasters(t).select("vec_id", "height", "width", "data").mapInPandas(turn, "vec_id bigint, content binary")
@@ -100,17 +101,19 @@ def stream_images_turned(t: Tables) -> DataFrame:
     folder, target = scratch_path(t.spark, "photos"), scratch_path(t.spark, "clean")
     files = cut_lineage(_turned_files(t), "files")
     # Spark's text writer writes a string's bytes as they are and ends the line: a file for each row
-    files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
-    known = files.select("vec_id", F.sha2(F.concat("content", F.lit(b"\n")), 256).alias("source_sha256"))
-    source = open_image_stream(t.spark, folder, 512, (".txt",))
+    writer = files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
+    # the tasks put their files in place themselves: the driver would move all of them, one by one
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
+    known = files.select("vec_id", F.sha2(F.concat("content", F.lit(b"\n")), 256).alias("source_sha256")).distinct()
+    source = open_image_stream(t.spark, folder, 4096, (".txt",))
     make = level_detector(FACE_LEVEL, 4), level_detector(TEXT_LEVEL)
     drain(stream_images(source, *make, target, scratch_path(t.spark, "progress"), settings=_FACELESS, make_embedder=_has_face))
-    done = read_batches(t.spark, target)
     corner = F.get("text_boxes", F.lit(0)).getField("polygon")[0]
-    return done.join(known, "source_sha256").select(
-        "vec_id", "input_face_count", "post_face_count", corner[0].cast("double").alias("x0"), corner[1].cast("double").alias("y0"),
+    done = read_batches(t.spark, target).select(
+        "source_sha256", "input_face_count", "post_face_count", corner[0].cast("double").alias("x0"), corner[1].cast("double").alias("y0"),
         "identity_distance", "route", (F.col("output_sha256") == F.sha2(F.col("content"), 256)).alias("hashed"),
     )
+    return known.join(done, "source_sha256").drop("source_sha256")
 
 
 @query("SELECT stem, attempt, route, CAST(fails AS BIGINT) AS retry_count FROM settling", "settling")

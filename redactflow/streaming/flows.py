@@ -6,7 +6,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,10 +66,29 @@ def write_batches(
     )
 
 
+_LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def short_listings(spark: SparkSession) -> Iterator[None]:
+    """Streams look up the files of a micro-batch in a few tasks for each core, as long as they are started and run inside.
+    Spark would otherwise start a task for each file, each time it opens them. Afterwards the session is as it was."""
+    was = spark.conf.get(_LISTING_TASKS, None)
+    spark.conf.set(_LISTING_TASKS, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(_LISTING_TASKS)
+        else:
+            spark.conf.set(_LISTING_TASKS, was)
+
+
 def drain(writer: DataStreamWriter) -> StreamingQuery:
     """Process everything there is now, in bounded micro-batches, then stop."""
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
+    with short_listings(SparkSession.active()):
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
     return query
 
 

@@ -60,6 +60,34 @@ def test_restart_neither_repeats_nor_loses(spark, inbox):
     assert rows_of(S.read_batches(spark, f"{inbox}/out")) == want and sorted(os.listdir(f"{inbox}/out")) == files
 
 
+def test_files_of_a_batch_are_listed_in_few_tasks(spark, inbox):
+    key, seen = "spark.sql.sources.parallelPartitionDiscovery.parallelism", []
+    before = spark.conf.get(key, None)
+
+    def prepare(batch):
+        # the source reads the session's own setting, the batch that of the stream's copy
+        seen.append((spark.conf.get(key), batch.sparkSession.conf.get(key)))
+        return batch
+
+    source = S.open_stream(spark, f"{inbox}/in", SCHEMA, max_files=1)
+    S.drain(S.write_batches(source, f"{inbox}/out", f"{inbox}/ck", prepare=prepare))
+    few = str(4 * spark.sparkContext.defaultParallelism)
+    assert seen == [(few, few)] * 4 and spark.conf.get(key, None) == before
+
+
+def test_equal_pictures_are_told_apart(spark, folder):
+    from redactflow.plans.stream_queries import stream_images_turned
+    from redactflow.plans.views import Tables
+
+    some = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id < 4")
+    # the same pictures under other ids, turned the same way, and one row twice
+    again = some.withColumn("vec_id", F.col("vec_id") + 800)
+    some.unionByName(again).unionByName(some.filter("vec_id = 2")).write.parquet(f"{folder}/embeddings.parquet")
+    got = stream_images_turned(Tables(spark, folder)).collect()
+    assert sorted(r["vec_id"] for r in got) == [0, 1, 2, 2, 3, 800, 801, 802, 803]
+    assert all(r["hashed"] and r["route"] == "final_clean" for r in got)
+
+
 def test_repeated_batch_replaces_itself(spark, folder):
     from redactflow.streaming.flows import _replace_batch
 
