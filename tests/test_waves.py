@@ -54,6 +54,35 @@ def test_interrupted_run_continues(spark, folder):
     assert (final["short"]["route"], final["short"]["wave"]) == ("manual_review", 2)
 
 
+def test_only_the_first_wave_ranks_all_items(spark, folder, monkeypatch):
+    ranked, pending = [], waves._pending
+    monkeypatch.setattr(waves, "_pending", lambda *a: ranked.append(1) or pending(*a))
+    items = items_of(spark, {"a": FILLER, "short": "a@b.co"})
+    final = by(waves.run_waves(spark, items, by_text, folder).collect(), "stem")
+    assert (final["short"]["route"], final["short"]["wave"]) == ("manual_review", 2) and len(ranked) == 1
+
+
+def test_items_without_a_verdict_stay_pending(spark, folder):
+    """The first wave loses one item, gives another no route and one a count beyond the budget."""
+    calls = []
+
+    def process(chosen):
+        calls.append(1)
+        done = by_text(chosen)
+        if len(calls) > 1:
+            return done
+        stem = F.col("stem")
+        route = F.when(stem == "spent", "quarantine").when(stem != "none", F.col("route"))
+        tries = F.when(stem == "spent", 7).otherwise(F.col("retry_count"))
+        return done.filter(stem != "lost").withColumns({"route": route, "retry_count": tries.cast("int")})
+
+    items = items_of(spark, {s: FILLER for s in ("a", "lost", "none", "spent")})
+    got = by(waves.run_waves(spark, items, process, folder).collect(), "stem")
+    assert {s: (r["route"], r["retry_count"], r["wave"]) for s, r in got.items()} == {
+        "a": ("final_clean", 0, 0), "lost": ("final_clean", 0, 1), "none": ("final_clean", 0, 1), "spent": ("final_clean", 0, 1),
+    }
+
+
 def test_pilot_set_stays_fixed(spark, folder):
     items = items_of(spark, {f"s{i}": "a@b.co" for i in range(6)})
     final = waves.run_waves(spark, items, by_text, folder, max_items=2).collect()
