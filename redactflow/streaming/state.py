@@ -67,8 +67,9 @@ class _RetryBudget(StatefulProcessor):
         self.open = handle.getValueState("open", "retries int")
         self.settled = handle.getValueState("settled", "route string", self.keep_settled_ms)
 
-    def _settle(self, route: str) -> None:
-        self.open.clear()
+    def _settle(self, route: str, was_open: bool) -> None:
+        if was_open:
+            self.open.clear()
         self.settled.update((route,))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
@@ -76,12 +77,14 @@ class _RetryBudget(StatefulProcessor):
         if row["route"] == QUARANTINE:
             self.open.update((int(row["retry_count"]),))
         else:
-            self._settle(row["route"])
+            self._settle(row["route"], was_open=False)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.settled.exists():
             return
-        retries = self.open.get()[0] if self.open.exists() else 0
+        # each look at state is a call to the JVM
+        held = self.open.get()
+        retries = held[0] if held else 0
         fails, passes = [], []
         for part in rows:
             passed = (part["decision"] == "pass").to_numpy()
@@ -94,7 +97,7 @@ class _RetryBudget(StatefulProcessor):
             route = CLEAN if not is_fail else MANUAL if retries >= self.budget else QUARANTINE
             out.append((key[0], attempt, route, retries))
             if route != QUARANTINE:
-                self._settle(route)
+                self._settle(route, was_open=held is not None)
                 break
         else:
             self.open.update((retries,))

@@ -225,3 +225,47 @@ def test_table_that_is_a_folder_of_files(spark, folder):
         target = f"{folder}/out{n}"
         S.drain(S.stream_anonymize(S.open_table_stream(spark, path, SCHEMA), "text", target, f"{folder}/ck{n}"))
         assert sorted(r["id"] for r in S.read_batches(spark, target).collect()) == list(range(20))
+
+
+class _CountedState:
+    """A value state that notes each call, as each is a round trip to the JVM."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+
+def test_a_budget_is_asked_once():
+    from redactflow.streaming.state import _RetryBudget
+
+    def attempts(*decisions):
+        return iter([pd.DataFrame({"attempt": range(len(decisions)), "decision": decisions})])
+
+    calls = []
+    budget = _RetryBudget(3, None)
+    budget.open, budget.settled = _CountedState(calls), _CountedState(calls)
+    list(budget.handleInputRows(("a",), attempts("fail"), None))
+    assert calls == ["exists", "get", "update"] and budget.open.value == (1,)
+    calls.clear()
+    (out,) = budget.handleInputRows(("a",), attempts("fail", "pass"), None)
+    assert out["route"].tolist() == ["quarantine", "final_clean"] and out["retry_count"].tolist() == [2, 2]
+    assert calls == ["exists", "get", "clear", "update"] and budget.open.value is None
+    calls.clear()
+    budget.settled.value = None
+    budget.handleInitialState(("b",), pd.DataFrame({"route": ["manual_review"], "retry_count": [3]}), None)
+    assert calls == ["update"]
