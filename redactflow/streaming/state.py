@@ -181,7 +181,8 @@ class _Leases(StatefulProcessor):
         runs: list[tuple[int, int]] = []
         for part in rows:
             runs = _merge([*runs, *zip(part["first_us"].tolist(), part["last_us"].tolist())], self.stale_us)
-        last = self.last.get()[0] if self.last.exists() else None
+        held = self.last.get()
+        last = held[0] if held else None
         if last is not None:
             self.handle.deleteTimer(self._due_ms(last))
         released = []
@@ -191,14 +192,15 @@ class _Leases(StatefulProcessor):
             last = end if last is None else max(last, end)
         self.last.update((last,))
         self.handle.registerTimer(self._due_ms(last))
-        yield self._frame(key, released)
+        if released:
+            yield self._frame(key, released)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.last.exists():
+        held = self.last.get()
+        if held is None:
             return
-        released = self.last.get()[0]
         self.last.clear()
-        yield self._frame(key, [released])
+        yield self._frame(key, [held[0]])
 
     def close(self) -> None:
         pass

@@ -269,3 +269,16 @@ def test_a_budget_is_asked_once():
     budget.settled.value = None
     budget.handleInitialState(("b",), pd.DataFrame({"route": ["manual_review"], "retry_count": [3]}), None)
     assert calls == ["update"]
+
+
+def test_a_lease_is_asked_once():
+    from redactflow.streaming.state import _Leases
+
+    calls, leases, timers = [], _Leases(10), set()
+    leases.last = _CountedState(calls)
+    leases.handle = type("Timers", (), {"registerTimer": lambda self, at: timers.add(at), "deleteTimer": lambda self, at: timers.discard(at)})()
+    assert list(leases.handleInputRows(("a",), iter([pd.DataFrame({"first_us": [1], "last_us": [5]})]), None)) == []
+    assert calls == ["get", "update"] and timers == {1}
+    calls.clear()
+    (out,) = leases.handleExpiredTimer(("a",), None, None)
+    assert calls == ["get", "clear"] and out["last_us"].tolist() == [5]
