@@ -64,14 +64,18 @@ def simhash(text: str | None) -> np.ndarray:
 
 def fold(hashes: list[np.ndarray]) -> np.ndarray:
     """One fingerprint per text: the bits set in over half of its hashes."""
-    counts = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(hashes), np.uint64)
+    bounds = np.cumsum([0, *map(len, hashes)])
+    return majority(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), bounds)
+
+
+def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One fingerprint per text, text ``i`` having ``hashes[bounds[i]:bounds[i + 1]]``; zero for none."""
+    counts = np.diff(bounds)
+    out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        flat = np.concatenate([hashes[i] for i in some]).astype(">u8").view(np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(flat, axis=1)
-        at = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, bounds[some], axis=0, dtype=np.int32)
         out[some] = np.packbits(2 * ones > counts[some, None], axis=1).view(">u8").ravel().astype(np.uint64)
     return out
 

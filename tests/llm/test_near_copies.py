@@ -7,6 +7,8 @@ import pyarrow as pa
 
 import corpus_pipeline
 from redactflow.llm import near_copies as nc
+from redactflow.llm import simhash
+from redactflow.llm.graph import components
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -88,3 +90,35 @@ def test_sets():
     keys, bounds = nc.shingles(pa.array(texts))
     assert np.diff(bounds).tolist() == [len(plain_set(t)) for t in texts]
     assert keys[bounds[3]] == keys[bounds[4]]
+
+
+def test_fingerprints_propose(spark, monkeypatch):
+    """Without the bands, the inverted lists over byte positions still connect what is alike and within their reach."""
+    monkeypatch.setattr(nc, "rest", lambda lists, sets, links: links)
+    rng = random.Random(4)
+    rows = []
+    for base in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows.append((2 * base, " ".join(words)))
+        words[rng.randrange(400)] = "changed"
+        rows.append((2 * base + 1, " ".join(words)))
+    prints = simhash.majority(*nc.shingles(pa.array([t for _, t in rows])))
+    near = np.bitwise_count(prints[::2] ^ prints[1::2]) <= 4
+    got = {r["doc_id"]: r["component_id"] for r in nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(40)] == near.tolist() and near.any()
+
+
+def test_only_what_is_alike_is_linked(spark):
+    sets = spark.createDataFrame([(1, list(range(9))), (2, list(range(1, 10))), (3, list(range(2, 11))), (4, [])], "key long, set array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4)], "a long, b long")
+    assert {(r["a"], r["b"]) for r in nc.verified(pairs, sets).collect()} == {(1, 2), (2, 3)}
+
+
+def test_a_chain_in_one_list(spark, monkeypatch):
+    """Sets of which only neighbours are alike, in one list and many blocks: two chains, as one set is left out."""
+    monkeypatch.setattr(nc, "ROOM", 3)
+    nodes = [i for i in range(31) if i != 15]
+    sets = spark.createDataFrame([(i, list(range(10 * i, 10 * i + 100))) for i in nodes], "key long, set array<long>")
+    lists = spark.createDataFrame([(7, i) for i in nodes], "band long, key long")
+    links = nc.rest(lists, sets, spark.createDataFrame([], "a long, b long"))
+    assert {r["node"]: r["label"] for r in components(links).collect()} == {i: 0 if i < 15 else 16 for i in nodes}
