@@ -33,6 +33,10 @@ from redactflow.operators.route import regions_inpainted, route
 from redactflow.schemas import AUDIT_SCHEMA_NAME, BOXES_DDL
 
 Detector = Callable[[np.ndarray], Sequence[dict]]
+#: Makes the RGB raster of a file from its path and content, or None where it cannot open such a file.
+Reader = Callable[[str, bytes], np.ndarray | None]
+#: The error of a file that a reader leaves to others.
+UNOPENED = "unopened"
 #: Rows, and bytes of images, that a map hands back together.
 OUT_ROWS, OUT_BYTES = 256, 4 << 20
 
@@ -216,6 +220,7 @@ def process_images(
     mode: str | Fill = "boundary_mean",
     settings: Settings = DEFAULTS,
     make_embedder: Callable[[], Callable[[np.ndarray], Sequence[float]]] | None = None,
+    read: Reader | None = None,
 ) -> DataFrame:
     """Faces blurred, text redacted, output re-scanned, measured and encoded: one row per item.
 
@@ -223,26 +228,36 @@ def process_images(
     from which it is read), source_sha256 (else the hash of ``content`` or of the raster), ``extra_mask_dilation`` of
     the next pass. ``make_embedder`` gives a model from raster to vector; the cosine distance between original and
     output is then the ``identity_distance``. An item that cannot be processed gives a row with ``error``; the job
-    goes on.
+    goes on. With ``read`` items have stem, path and content in place of a raster, which it makes; an item that it gives
+    None for comes back with the error ``UNOPENED``.
     """
     faces, texts = once_per_worker(make_face_detector), once_per_worker(make_text_detector)
     embed = once_per_worker(make_embedder) if make_embedder else None
     # content whole: the orientation may stand behind any number of other segments
     names = ("path", "retry_count", "source_sha256", "orientation", "extra_mask_dilation", "content")
     optional = [F.col(c) for c in names if c in items.columns]
+    raster = [] if read else ["height", "width", "data"]
+
+    def opened(row: dict) -> np.ndarray | None:
+        if read:
+            return read(row["path"], row["content"])
+        if not row["data"]:
+            raise ValueError("decode_failed")
+        return to_rgb(row["height"], row["width"], row["data"])
 
     def run(row: dict) -> dict:
         kept = {k: row.get(k) for k in ("stem", "path", "retry_count")}
         source = row.get("content") or row["data"]
         kept["source_sha256"] = row.get("source_sha256") or (hashlib.sha256(source).hexdigest() if source else None)
         try:
-            if not row["data"]:
-                raise ValueError("decode_failed")
-            return kept | _process(row, faces(), texts(), mode, settings, embed() if embed else None)
+            rgb = opened(row)
+            if rgb is None:
+                return kept | {"processing_status": "failed", "error": UNOPENED}
+            return kept | _process(row, rgb, faces(), texts(), mode, settings, embed() if embed else None)
         except Exception as exc:  # one bad item must not stop the partition
             return kept | {"processing_status": "failed", "error": f"{type(exc).__name__}: {exc}"}
 
-    return _map_rows(items.select("stem", "height", "width", "data", *optional), run, " ".join(PROCESSED_DDL.split()))
+    return _map_rows(items.select("stem", *raster, *optional), run, " ".join(PROCESSED_DDL.split()))
 
 
 def _distance(embed: Callable[[np.ndarray], Sequence[float]], a: np.ndarray, b: np.ndarray) -> float:
@@ -250,9 +265,11 @@ def _distance(embed: Callable[[np.ndarray], Sequence[float]], a: np.ndarray, b:
     return float(1 - x @ y / ((np.linalg.norm(x) + EPS) * (np.linalg.norm(y) + EPS)))
 
 
-def _process(row: dict, faces: Detector, texts: Detector, mode: str | Fill, settings: Settings, embed: Callable | None) -> dict:
+def _process(
+    row: dict, rgb: np.ndarray, faces: Detector, texts: Detector, mode: str | Fill, settings: Settings, embed: Callable | None
+) -> dict:
     turn = row.get("orientation") or orientation(row.get("content") or b"")
-    original = upright(to_rgb(row["height"], row["width"], row["data"]), turn)
+    original = np.ascontiguousarray(upright(rgb, turn))
     found_faces = list(faces(original))
     blurred, _ = blur_boxes(original, [rectangle_of(b) for b in found_faces], settings.face_blur_ksize)
     found_text = [_box(b) for b in texts(blurred)]

@@ -51,12 +51,18 @@ def rasters(t: Tables) -> DataFrame:
     )
 
 
+def at_level(rgb: np.ndarray, level: int) -> np.ndarray:
+    """Pixels of one gray level."""
+    red, green, blue = (rgb[..., i] == level for i in range(3))
+    return red & green & blue
+
+
 def level_detector(wanted: int, margin: int = 0) -> Callable[[], ops.Detector]:
     """Box around all pixels of one gray level, widened by ``margin``."""
 
     def make() -> ops.Detector:
         def detect(rgb: np.ndarray) -> list[dict]:
-            ys, xs = np.nonzero((rgb == wanted).all(axis=2))
+            ys, xs = np.nonzero(at_level(rgb, wanted))
             if not len(xs):
                 return []
             x0, x1, y0, y1 = xs.min() - margin, xs.max() + margin, ys.min() - margin, ys.max() + margin

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ from redactflow.config import DEFAULTS
 from redactflow.image.ops import to_rgb
 from redactflow.image.png import encode_png, insert_text_chunk, upright, with_orientation
 from redactflow.operators.route import retry_state
-from redactflow.plans.image_queries import FACE_LEVEL, TEXT_LEVEL, level_detector, rasters
+from redactflow.plans.image_queries import FACE_LEVEL, TEXT_LEVEL, at_level, level_detector, rasters
 from redactflow.plans.registry import query
 from redactflow.plans.text_queries import AUDIT_COLUMNS, audited_select
 from redactflow.plans.views import Tables
@@ -69,15 +73,16 @@ def _has_face() -> Callable[[np.ndarray], list[float]]:
     """Who is on a picture: someone, or no one."""
 
     def embed(rgb: np.ndarray) -> list[float]:
-        seen = bool((rgb == FACE_LEVEL).all(axis=2).any())
+        seen = bool(at_level(rgb, FACE_LEVEL).any())
         return [float(seen), float(not seen)]
 
     return embed
 
 
-def _turned_files(t: Tables) -> DataFrame:
-    """One PNG file for each raster, turned so that its EXIF orientation, 1 to 8, sets it upright: vec_id, content. It
-    carries its id as a text, so that files of equal rasters have different hashes."""
+def _turned_files(t: Tables, folder: str) -> DataFrame:
+    """One PNG file in the folder for each raster, turned so that its EXIF orientation, 1 to 8, sets it upright. It carries
+    its id as a text, so that files of equal rasters have different hashes. Gives vec_id and source_sha256 of each."""
+    here = _made_folder(t, folder)
 
     def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -88,7 +93,38 @@ def _turned_files(t: Tables) -> DataFrame:
                 out.append(insert_text_chunk(with_orientation(encode_png(raw), to), "id", str(vec_id)))
             yield pd.DataFrame({"vec_id": rows["vec_id"], "content": out})
 
-    return rasters(t).select("vec_id", "height", "width", "data").mapInPandas(turn, "vec_id bigint, content binary")
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, times = TaskContext.get(), Counter()
+        for rows in turn(batches):
+            rows["source_sha256"] = [hashlib.sha256(content).hexdigest() for content in rows["content"]]
+            for content, name in rows[["content", "source_sha256"]].itertuples(index=False):
+                times[name] += 1
+                # whatever attempt of the task comes last puts the same bytes under the same name
+                name = f"{name}-{task.partitionId()}-{times[name]}.png"
+                with open(f"{here}/.{name}-{task.taskAttemptId()}", "wb") as out:
+                    out.write(content)
+                os.replace(out.name, f"{here}/{name}")
+            yield rows[["vec_id", "source_sha256"]]
+
+    made = rasters(t).select("vec_id", "height", "width", "data")
+    if here is not None:
+        return cut_lineage(made.mapInPandas(put, "vec_id bigint, source_sha256 string"), "known")
+    files = cut_lineage(made.mapInPandas(turn, "vec_id bigint, content binary"), "files")
+    # Spark's text writer writes a string's bytes as they are and ends the line: a file for each row
+    writer = files.select(F.col("content").cast("string").alias("value")).write.mode("append").option("maxRecordsPerFile", 1)
+    # the tasks put their files in place themselves: the driver would move all of them, one by one
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
+    return files.select("vec_id", F.sha2(F.concat("content", F.lit(b"\n")), 256).alias("source_sha256"))
+
+
+def _made_folder(t: Tables, folder: str) -> str | None:
+    """Makes the folder; its path for plain file calls if it is in a file system that is mounted, else None. Spark's writer
+    starts two processes for each file there (``chmod``, for it and its checksum), which takes most of the time."""
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    uri = fs.makeQualified(path).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
 
 
 @query(
@@ -99,13 +135,8 @@ def stream_images_turned(t: Tables) -> DataFrame:
     """Image files that lie on their sides or are mirrored, drained from a folder: text is found where it is upright, the
     identity gate sees the face go, and the recorded hash is that of the file."""
     folder, target = scratch_path(t.spark, "photos"), scratch_path(t.spark, "clean")
-    files = cut_lineage(_turned_files(t), "files")
-    # Spark's text writer writes a string's bytes as they are and ends the line: a file for each row
-    writer = files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
-    # the tasks put their files in place themselves: the driver would move all of them, one by one
-    writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
-    known = files.select("vec_id", F.sha2(F.concat("content", F.lit(b"\n")), 256).alias("source_sha256")).distinct()
-    source = open_image_stream(t.spark, folder, 4096, (".txt",))
+    known = _turned_files(t, folder).distinct()
+    source = open_image_stream(t.spark, folder, 16_384, (".png", ".txt"))
     make = level_detector(FACE_LEVEL, 4), level_detector(TEXT_LEVEL)
     drain(stream_images(source, *make, target, scratch_path(t.spark, "progress"), settings=_FACELESS, make_embedder=_has_face))
     corner = F.get("text_boxes", F.lit(0)).getField("polygon")[0]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from redactflow.config import DEFAULTS, Settings
 from redactflow.functions.names import basename, extension, glob_match, stem
+from redactflow.image.ops import Reader
+from redactflow.image.png import decode_png, orientation
 from redactflow.session import cut_lineage
 
 FILE_DDL = "path string, modificationTime timestamp, length bigint, content binary"
@@ -176,8 +178,6 @@ def _image_rows(found: DataFrame, extensions: Sequence[str]) -> DataFrame:
 
 @F.pandas_udf(T.IntegerType())
 def _turn(contents: pd.Series) -> pd.Series:
-    from redactflow.image.png import orientation
-
     return pd.Series([orientation(bytes(c)) for c in contents], dtype="int32")
 
 
@@ -200,33 +200,62 @@ def screen_folder(
 def open_image_stream(
     spark: SparkSession, path: str, max_files: int, extensions: Sequence[str] = DEFAULTS.image_extensions
 ) -> DataFrame:
-    """New images of a folder as a stream of what is known of each file: ``path, stem, orientation, source_sha256``; at
-    most ``max_files`` per micro-batch, whose rasters ``decode_batch`` adds."""
+    """New images of a folder as a stream ``path, stem, content``; at most ``max_files`` per micro-batch."""
     reader = spark.readStream.format("binaryFile").schema(FILE_DDL).option("maxFilesPerTrigger", str(max_files))
     files = reader.load(path).filter(is_image_name(F.col("path"), extensions))
-    return files.select(
-        "path", stem(F.col("path")).alias("stem"), _turn(F.col("content")).alias("orientation"), F.sha2("content", 256).alias("source_sha256")
-    )
+    return files.select("path", stem(F.col("path")).alias("stem"), "content")
+
+
+def content_reader(decoders: Decoders | None = None) -> Reader:
+    """Makes rasters where the content of a file already is: by the caller's decoders, and of plain PNG files. None for
+    a file that the JVM has to open (``decode_batch``); a file on which its decoder fails raises an error."""
 
+    def read(path: str, content: bytes) -> np.ndarray | None:
+        decode = (decoders or {}).get("." + path.rsplit(".", 1)[-1].lower())
+        if decode is None:
+            return decode_png(content)
+        try:
+            return np.ascontiguousarray(np.asarray(decode(content), np.uint8))
+        except Exception as exc:  # a decoder of the caller may raise anything; the file is an unreadable one
+            raise ValueError("decode_failed") from exc
 
-def decode_batch(known: DataFrame, decoders: Decoders | None = None) -> DataFrame:
-    """Rasters of the files named in ``known`` (one micro-batch of ``open_image_stream``), with its columns. Names pass
-    through the driver and short rows are broadcast, as many as the stream's ``max_files``; a raster is not moved."""
+    return read
+
+
+def unopened_files(files: DataFrame, read: Reader) -> DataFrame:
+    """What is known of the files (path, stem, content) that ``read`` leaves to the JVM: ``path, stem, orientation,
+    source_sha256``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = []
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                content = row.pop("content")
+                try:
+                    if read(row["path"], content) is None:
+                        left.append(row | {"orientation": orientation(content), "source_sha256": hashlib.sha256(content).hexdigest()})
+                except ValueError:  # a decoder of the caller has had it
+                    continue
+            if left:
+                yield pa.RecordBatch.from_pylist(left, schema=known)
+
+    known = pa.schema([("path", pa.string()), ("stem", pa.string()), ("orientation", pa.int32()), ("source_sha256", pa.string())])
+    return files.select("path", "stem", "content").mapInArrow(run, "path string, stem string, orientation int, source_sha256 string")
+
+
+def decode_batch(known: DataFrame) -> DataFrame:
+    """Rasters that the JVM makes of the files named in ``known`` (``unopened_files`` of one micro-batch), with its columns.
+    Names pass through the driver and short rows are broadcast, as many as the stream's ``max_files``; a raster is not
+    moved."""
     spark = known.sparkSession
     known = cut_lineage(known, "known")
-    names = [r["path"] for r in known.select("path").collect()]
+    names = [_literal(r["path"]) for r in known.select("path").collect()]
     plain = F.regexp_replace("path", "^file:/+", "file:/").alias("_path")
-    if not names:
-        found = spark.createDataFrame([], "path string, height int, width int, channels int, data binary")
+    if names:
+        found = _rasters(spark.read.format("image").option("dropInvalid", "false").load(names))
     else:
-        own = [n for n in names if "." + n.rsplit(".", 1)[-1].lower() in (decoders or {})]
-        rest = [_literal(n) for n in names if n not in set(own)]
-        parts = []
-        if rest:
-            parts.append(_rasters(spark.read.format("image").option("dropInvalid", "false").load(rest)))
-        if own:
-            parts.append(_plugged(spark.read.format("binaryFile").load([_literal(n) for n in own]), decoders))
-        found = reduce(DataFrame.unionByName, parts)
+        found = spark.createDataFrame([], "path string, height int, width int, channels int, data binary")
     facts = F.broadcast(known.withColumn("_path", plain))
     return found.withColumn("_path", plain).drop("path").join(facts, "_path").drop("_path")
 

@@ -10,16 +10,16 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from redactflow.config import DEFAULTS, Settings
-from redactflow.image.ops import Detector, anonymize_images
+from redactflow.image.ops import UNOPENED, Detector, judge_images, process_images
 from redactflow.image.raster import Fill
 from redactflow.operators.text import PATTERNS, anonymize_text
 from redactflow.session import spread
-from redactflow.sources.files import Decoders, decode_batch
+from redactflow.sources.files import Decoders, content_reader, decode_batch, unopened_files
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -47,14 +47,17 @@ def open_table_stream(spark: SparkSession, path: str, schema: str, max_files: in
 
 def _replace_batch(target: str, prepare: Step | None = None) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare(batch) if prepare else batch
-        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch_id").parquet(target)
+        _put_batch(prepare(batch) if prepare else batch, batch_id, target, "overwrite")
 
     return write
 
 
+def _put_batch(rows: DataFrame, batch_id: int, target: str, mode: str) -> None:
+    rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("batch_id").parquet(target)
+
+
 def write_batches(
     stream: DataFrame, target: str, checkpoint: str, mode: str = "append", prepare: Step | None = None
 ) -> DataStreamWriter:
@@ -67,26 +70,32 @@ def write_batches(
 
 
 _LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+#: What opening a file counts for, in bytes, when files are dealt out: a task reads up to 256 small ones.
+_OPEN_COST, _SMALL = "spark.sql.files.openCostInBytes", 512 << 10
 
 
 @contextmanager
-def short_listings(spark: SparkSession) -> Iterator[None]:
-    """Streams look up the files of a micro-batch in a few tasks for each core, as long as they are started and run inside.
-    Spark would otherwise start a task for each file, each time it opens them. Afterwards the session is as it was."""
-    was = spark.conf.get(_LISTING_TASKS, None)
-    spark.conf.set(_LISTING_TASKS, str(4 * spark.sparkContext.defaultParallelism))
+def few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Streams look up and read the files of a micro-batch in a few tasks for each core, as long as they are started and run
+    inside. Spark would otherwise start a task for each file, each time it looks them up, and one for every 32 small files
+    that it reads. Afterwards the session is as it was."""
+    wanted = {_LISTING_TASKS: str(4 * spark.sparkContext.defaultParallelism), _OPEN_COST: str(_SMALL)}
+    was = {key: spark.conf.get(key, None) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        if was is None:
-            spark.conf.unset(_LISTING_TASKS)
-        else:
-            spark.conf.set(_LISTING_TASKS, was)
+        for key, value in was.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def drain(writer: DataStreamWriter) -> StreamingQuery:
     """Process everything there is now, in bounded micro-batches, then stop."""
-    with short_listings(SparkSession.active()):
+    with few_tasks(SparkSession.active()):
         query = writer.trigger(availableNow=True).start()
         query.awaitTermination()
     return query
@@ -131,15 +140,26 @@ def stream_images(
     make_embedder: Callable[[], Callable[[np.ndarray], Sequence[float]]] | None = None,
     decoders: Decoders | None = None,
 ) -> DataStreamWriter:
-    """Image twin of ``stream_anonymize`` over ``open_image_stream``: rasters are decoded inside each micro-batch and go
-    with their file's orientation and hash, so what is judged and recorded is what the batch flow judges and records.
-    Each batch is written once, so no raster is processed twice."""
-
-    def prepare(batch: DataFrame) -> DataFrame:
-        rasters = decode_batch(batch, decoders)
-        return anonymize_images(spread(rasters), make_face_detector, make_text_detector, mode, settings, make_embedder)
+    """Image twin of ``stream_anonymize`` over ``open_image_stream``: rasters are made inside each micro-batch and go with
+    their file's orientation and hash, so what is judged and recorded is what the batch flow judges and records. Files are
+    read and processed in one pass; those that only the JVM can open follow in a second write of the same batch. No raster
+    is processed twice."""
+    read = content_reader(decoders)
+    how = make_face_detector, make_text_detector, mode, settings, make_embedder
+    unopened = F.col("error").eqNullSafe(UNOPENED)
 
-    return write_batches(items, target, checkpoint, prepare=prepare)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        tried = process_images(spread(batch), *how, read)
+        tried = tried.observe(seen, F.count("*").alias("files"), F.count_if(unopened).alias("left"))
+        _put_batch(judge_images(tried.filter(~unopened), settings), batch_id, target, "overwrite")
+        files, left = seen.get["files"], seen.get["left"]
+        if left:
+            rest = process_images(spread(decode_batch(unopened_files(batch, read))), *how)
+            # a first write without rows has replaced nothing
+            _put_batch(judge_images(rest, settings), batch_id, target, "append" if left < files else "overwrite")
+
+    return items.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
 def _metrics(outcome: Column, seconds: Column) -> list[Column]:

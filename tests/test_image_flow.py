@@ -3,6 +3,7 @@
 import os
 import struct
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from redactflow.config import DEFAULTS
 from redactflow.image import ops
 from redactflow.image.measures import edge_artifact_ratio, edges, resize_area, to_gray
-from redactflow.image.png import encode_png, orientation, strip_metadata, upright, with_orientation
+from redactflow.image import raster
+from redactflow.image.png import SIGNATURE, _chunk, decode_png, encode_png, insert_text_chunk, orientation, strip_metadata, upright, with_orientation
 from redactflow.image.raster import blur_boxes
 from redactflow.operators.verify import audit_errors
 from redactflow.sources import files
@@ -166,6 +168,92 @@ def test_stream_of_turned_files_equals_batch(spark, folder):
     assert got["a"]["processing_status"] == "completed" and {got[s]["processing_status"] for s in ("bad", "torn")} == {"failed"}
 
 
+def test_rectangles_and_small_blurs_by_the_short_way(monkeypatch):
+    g = np.random.default_rng(1)
+    for _ in range(300):
+        (x0, x1), (y0, y1) = np.sort(g.integers(-15, 60, (2, 2)))
+        corners = [[x0, y0], [x1, y0], [x1, y1], [x0, y1]]
+        turned = [corners[(i + g.integers(4)) % 4] for i in range(4)]
+        for pts in (corners, corners[1:] + corners[:1], corners[::-1], turned):
+            # with a corner named twice the polygon is the same one, and no rectangle of four
+            long, short = (raster.boxes_to_mask(40, 50, [{"polygon": p}]) for p in ([*pts, pts[-1]], pts))
+            assert (long == short).all()
+    for height, width, size in ((16, 16, 51), (1, 9, 5), (30, 2, 7)):
+        values = picture(2, height, width).astype(np.float64)
+        short = raster.gaussian_blur(values, size), raster._convolve(values, raster._kernel(size), 1)
+        with monkeypatch.context() as m:
+            m.setattr(raster, "PRODUCTS", 0)
+            assert (raster.gaussian_blur(values, size) == short[0]).all() and (raster._convolve(values, raster._kernel(size), 1) == short[1]).all()
+
+
+def png_of(rgb, kinds, colour=2, interlaced=0, more=b""):
+    """A PNG whose rows are stored in the ways named: 0 as they are, 1 from the left, 2 from above, 4 by Paeth."""
+    height, width, bands = rgb.shape
+    lines, above = [], np.zeros((width, bands), np.int32)
+    for row, kind in zip(rgb.astype(np.int32), kinds):
+        left = np.vstack([np.zeros((1, bands), np.int32), row[:-1]])
+        corner = np.vstack([np.zeros((1, bands), np.int32), above[:-1]])
+        p = left + above - corner
+        off = [abs(p - v) for v in (left, above, corner)]
+        paeth = np.where((off[0] <= off[1]) & (off[0] <= off[2]), left, np.where(off[1] <= off[2], above, corner))
+        lines.append(bytes([kind]) + ((row - {0: 0, 1: left, 2: above, 4: paeth}[kind]) % 256).astype(np.uint8).tobytes())
+        above = row
+    packed = zlib.compress(b"".join(lines))
+    head = struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, interlaced)
+    half = len(packed) // 2
+    return SIGNATURE + _chunk(b"IHDR", head) + more + _chunk(b"IDAT", packed[:half]) + _chunk(b"IDAT", packed[half:]) + _chunk(b"IEND", b"")
+
+
+def odd_files():
+    """PNG files that are read at once, and files that are left to the JVM."""
+    rgb = np.random.default_rng(3).integers(0, 256, (9, 14, 3)).astype(np.uint8)
+    whole = png_of(rgb, [0] * 9)
+    plain = {
+        "rows.png": whole, "left.png": png_of(rgb, [1] * 9), "above.png": png_of(rgb, [2] * 9), "mixed.png": png_of(rgb, [2, 1, 0, 2, 2, 1, 1, 0, 2]),
+        "one.png": png_of(rgb[:1, :1], [2]), "noted.png": insert_text_chunk(with_orientation(whole, 6), "a", "b"), "more.png": whole + b"\n",
+    }
+    other = {
+        "paeth.png": png_of(rgb, [0, 4, 4, 1, 2, 4, 0, 4, 4]), "gray.png": png_of(rgb[..., :1], [0] * 9, 0),
+        "alpha.png": png_of(np.dstack([rgb, rgb[..., :1]]), [1] * 9, 6), "clear.png": png_of(rgb, [0] * 9, more=_chunk(b"tRNS", bytes(6))),
+        "gamma.png": png_of(rgb, [0] * 9, more=_chunk(b"gAMA", struct.pack(">I", 99000))), "short.png": png_of(rgb, [0] * 8),
+        "torn.png": whole[:-30], "head.png": whole[:20], "wrong.png": whole[:60] + b"?" + whole[61:], "none.png": b"nothing",
+    }
+    return plain, other
+
+
+def test_plain_png_is_what_the_jvm_makes_of_it(spark, folder):
+    plain, other = odd_files()
+    for name, content in plain.items():
+        write_bytes(f"{folder}/{name}", content)
+    rows = {r["path"].rsplit("/", 1)[-1]: r for r in files.decode_images(spark, folder).collect()}
+    for name, content in plain.items():
+        r = rows[name]
+        assert (decode_png(content) == ops.to_rgb(r["height"], r["width"], r["data"])).all(), name
+    assert [n for n, content in other.items() if decode_png(content) is not None] == []
+
+
+@pytest.mark.parametrize("which", ["both", "plain", "other"])
+def test_only_what_is_not_plain_is_opened_again(spark, folder, monkeypatch, which):
+    plain, other = odd_files()
+    for name, content in {**(plain if which != "other" else {}), **(other if which != "plain" else {})}.items():
+        write_bytes(f"{folder}/in/{name}", content)
+    again = []
+
+    def noted(known):
+        again.extend(r["path"].rsplit("/", 1)[-1] for r in known.select("path").collect())
+        return files.decode_batch(known)
+
+    monkeypatch.setattr("redactflow.streaming.flows.decode_batch", noted)
+    for n in range(2):  # the second run repeats all batches, as after a failure
+        stream = files.open_image_stream(spark, f"{folder}/in", 100)
+        drain(stream_images(stream, nothing, band, f"{folder}/out", f"{folder}/ck{n}"))
+    assert sorted(again) == (sorted([*other, *other]) if which != "plain" else [])
+    columns = ("stem", "source_sha256", "output_sha256", "processing_status", "route", "error")
+    batch = ops.anonymize_images(files.decode_images(spark, f"{folder}/in"), nothing, band)
+    rows = [sorted(tuple(map(str, r)) for r in f.select(*columns).collect()) for f in (read_batches(spark, f"{folder}/out"), batch)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(os.listdir(f"{folder}/in"))
+
+
 def test_formats_without_a_decoder_are_rejected_once(spark, folder):
     write_bytes(f"{folder}/a.webp", b"FLAT 80 90 9")
     write_bytes(f"{folder}/b.png", encode_png(picture()))

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import time
 
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from redactflow import streaming as S
 from redactflow.operators.route import retry_state
 from redactflow.operators.text import anonymize_text
-from tests.helpers import by
+from redactflow.sources.files import FILE_DDL
+from tests.helpers import by, write_bytes
 
 SCHEMA = "id bigint, text string"
 
@@ -88,6 +90,40 @@ def test_equal_pictures_are_told_apart(spark, folder):
     assert all(r["hashed"] and r["route"] == "final_clean" for r in got)
 
 
+def test_small_files_are_read_in_few_tasks(spark, folder):
+    for i in range(200):
+        write_bytes(f"{folder}/in/{i}.bin", b"x")
+    source, tasks = spark.readStream.format("binaryFile").schema(FILE_DDL).load(f"{folder}/in"), []
+
+    def prepare(batch):
+        tasks.append(batch.rdd.getNumPartitions())
+        return batch.select("path")
+
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    S.drain(S.write_batches(source, f"{folder}/out", f"{folder}/ck", prepare=prepare))
+    assert len(tasks) == 1 and tasks[0] <= spark.sparkContext.defaultParallelism + 1 and spark.conf.get(key) == before
+    assert S.read_batches(spark, f"{folder}/out").count() == 200
+
+
+def test_a_picture_of_each_row_is_written_without_a_process_of_its_own(spark, folder):
+    from redactflow.plans.stream_queries import _turned_files
+    from redactflow.plans.views import Tables
+
+    some = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id < 40")
+    some.unionByName(some.filter("vec_id = 2")).write.parquet(f"{folder}/embeddings.parquet")
+    known = _turned_files(Tables(spark, folder), f"{folder}/a folder").collect()
+    names = os.listdir(f"{folder}/a folder")
+    # Spark's writer leaves a checksum beside each file and starts a process for either
+    assert len(names) == 41 and all(n.endswith(".png") for n in names)
+    found = []
+    for name in names:
+        with open(f"{folder}/a folder/{name}", "rb") as file:
+            found.append(hashlib.sha256(file.read()).hexdigest())
+    assert sorted(found) == sorted(r["source_sha256"] for r in known)
+    assert sorted(r["vec_id"] for r in known) == sorted([*range(40), 2])
+
+
 def test_repeated_batch_replaces_itself(spark, folder):
     from redactflow.streaming.flows import _replace_batch
 
