@@ -97,7 +97,8 @@ def _turned_files(t: Tables, folder: str) -> DataFrame:
         task, times = TaskContext.get(), Counter()
         for rows in turn(batches):
             rows["source_sha256"] = [hashlib.sha256(content).hexdigest() for content in rows["content"]]
-            for content, name in rows[["content", "source_sha256"]].itertuples(index=False):
+            for content, sha in rows[["content", "source_sha256"]].itertuples(index=False):
+                name = sha[:16]  # short, as the driver holds the names of all files
                 times[name] += 1
                 # whatever attempt of the task comes last puts the same bytes under the same name
                 name = f"{name}-{task.partitionId()}-{times[name]}.png"
@@ -138,7 +139,8 @@ def stream_images_turned(t: Tables) -> DataFrame:
     known = _turned_files(t, folder).distinct()
     source = open_image_stream(t.spark, folder, 16_384, (".png", ".txt"))
     make = level_detector(FACE_LEVEL, 4), level_detector(TEXT_LEVEL)
-    drain(stream_images(source, *make, target, scratch_path(t.spark, "progress"), settings=_FACELESS, make_embedder=_has_face))
+    writer = stream_images(source, *make, target, scratch_path(t.spark, "progress"), settings=_FACELESS, make_embedder=_has_face)
+    drain(writer, small_files=True)
     corner = F.get("text_boxes", F.lit(0)).getField("polygon")[0]
     done = read_batches(t.spark, target).select(
         "source_sha256", "input_face_count", "post_face_count", corner[0].cast("double").alias("x0"), corner[1].cast("double").alias("y0"),

@@ -215,7 +215,11 @@ def content_reader(decoders: Decoders | None = None) -> Reader:
         if decode is None:
             return decode_png(content)
         try:
-            return np.ascontiguousarray(np.asarray(decode(content), np.uint8))
+            rgb = np.asarray(decode(content), np.uint8)
+            height, width, bands = rgb.shape
+            if bands not in (1, 3):
+                raise ValueError(f"{bands} bands are no RGB raster")
+            return np.broadcast_to(rgb, (height, width, 3))
         except Exception as exc:  # a decoder of the caller may raise anything; the file is an unreadable one
             raise ValueError("decode_failed") from exc
 

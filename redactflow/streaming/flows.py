@@ -70,16 +70,17 @@ def write_batches(
 
 
 _LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-#: What opening a file counts for, in bytes, when files are dealt out: a task reads up to 256 small ones.
-_OPEN_COST, _SMALL = "spark.sql.files.openCostInBytes", 512 << 10
+#: What opening a file counts for, in bytes, when files are dealt out to tasks, and how many tasks there are at least.
+_OPEN_COST, _LEAST_TASKS, _SMALL = "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum", 64 << 10
 
 
 @contextmanager
-def few_tasks(spark: SparkSession) -> Iterator[None]:
-    """Streams look up and read the files of a micro-batch in a few tasks for each core, as long as they are started and run
-    inside. Spark would otherwise start a task for each file, each time it looks them up, and one for every 32 small files
-    that it reads. Afterwards the session is as it was."""
-    wanted = {_LISTING_TASKS: str(4 * spark.sparkContext.defaultParallelism), _OPEN_COST: str(_SMALL)}
+def few_tasks(spark: SparkSession, small_files: bool = False) -> Iterator[None]:
+    """Streams look up the files of a micro-batch in a few tasks for each core, as long as they are started and run inside,
+    and with ``small_files`` read them so too. Spark would otherwise start a task for each file, each time it looks them up,
+    and one for every 32 small files that it reads. Afterwards the session is as it was."""
+    few = str(4 * spark.sparkContext.defaultParallelism)
+    wanted = {_LISTING_TASKS: few} | ({_OPEN_COST: str(_SMALL), _LEAST_TASKS: few} if small_files else {})
     was = {key: spark.conf.get(key, None) for key in wanted}
     try:
         for key, value in wanted.items():
@@ -93,9 +94,10 @@ def few_tasks(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def drain(writer: DataStreamWriter) -> StreamingQuery:
-    """Process everything there is now, in bounded micro-batches, then stop."""
-    with few_tasks(SparkSession.active()):
+def drain(writer: DataStreamWriter, small_files: bool = False) -> StreamingQuery:
+    """Process everything there is now, in bounded micro-batches, then stop. ``small_files``: the source has many files that
+    are far smaller than a task's share of bytes."""
+    with few_tasks(SparkSession.active(), small_files):
         query = writer.trigger(availableNow=True).start()
         query.awaitTermination()
     return query

@@ -99,10 +99,15 @@ def test_small_files_are_read_in_few_tasks(spark, folder):
         tasks.append(batch.rdd.getNumPartitions())
         return batch.select("path")
 
-    key = "spark.sql.files.openCostInBytes"
-    before = spark.conf.get(key)
-    S.drain(S.write_batches(source, f"{folder}/out", f"{folder}/ck", prepare=prepare))
-    assert len(tasks) == 1 and tasks[0] <= spark.sparkContext.defaultParallelism + 1 and spark.conf.get(key) == before
+    keys = "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"
+    before, most = [spark.conf.get(k, None) for k in keys], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")  # a task for every two files otherwise
+        S.drain(S.write_batches(source, f"{folder}/out", f"{folder}/ck", prepare=prepare), small_files=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    few = 4 * spark.sparkContext.defaultParallelism
+    assert len(tasks) == 1 and tasks[0] <= few + 1 and [spark.conf.get(k, None) for k in keys] == before
     assert S.read_batches(spark, f"{folder}/out").count() == 200
 
 
@@ -124,6 +129,18 @@ def test_a_picture_of_each_row_is_written_without_a_process_of_its_own(spark, fo
     assert sorted(r["vec_id"] for r in known) == sorted([*range(40), 2])
 
 
+def test_pictures_of_a_store_that_only_spark_reaches(spark, folder, monkeypatch):
+    from redactflow.plans import stream_queries
+    from redactflow.plans.views import Tables
+
+    made = stream_queries._made_folder
+    monkeypatch.setattr(stream_queries, "_made_folder", lambda t, path: made(t, path) and None)
+    some = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id < 9")
+    some.write.parquet(f"{folder}/embeddings.parquet")
+    got = stream_queries.stream_images_turned(Tables(spark, folder)).collect()
+    assert sorted(r["vec_id"] for r in got) == list(range(9)) and all(r["hashed"] and r["x0"] is not None for r in got)
+
+
 def test_repeated_batch_replaces_itself(spark, folder):
     from redactflow.streaming.flows import _replace_batch
 
